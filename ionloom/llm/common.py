@@ -23,13 +23,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it again: its lineage ends in files that outlive executors."""
+def cut(df: DataFrame, name: str = "cut", paths: list[str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: its lineage ends in files that outlive executors. The path is added to paths, for remove()."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete what cut() wrote, once nothing reads it any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the Arrow batches that carry whole texts to Python."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -2,14 +2,15 @@
 
 Nodes are distinct shingle sets (copies share a node). Under the Jaccard metric unrelated documents all lie at distance 1,
 so document pivots alone can't part them. The first regions are therefore cells of the shingle universe: it is cut into m
-ranges of hash values, and two linked sets differ in at most k shingles, so among the first k + 1 filled ranges of either
-set one is untouched, and both hold the same shingles there. Nodes with equal content of a range form a region.
+ranges of hash values, and two linked sets differ in at most k shingles, so of the first k + 1 + e filled ranges of one of
+them 1 + e are untouched, and both hold the same shingles there. Nodes with equal content of a range form a region, and a
+node that shares fewer than 1 + e regions with others has no link.
 
 Within the regions pivots are documents. Each node is measured against its nearest pivot (the one it shares most regions
 with); a link joins their components. A region whose nodes are all in one component needs no more work. In the others
 further pivots are taken, eight times as many each round, and a node is measured against a pivot only if the components
-differ and the sizes and, where both know their distance to a common pivot, the triangle inequality allow a link. The
-rounds end when every region is one component or all its nodes have been pivots, so no link between components is lost.
+differ and the sizes, the triangle inequality (where both know their distance to a common pivot) and the L1 distance of two
+count sketches (at most the symmetric difference) allow a link. The rounds end when every region is one component or all its nodes have been pivots, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -23,13 +24,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_view, chunks, cut, mix, shingle_sets, small_batches, table
+from .common import byte_view, chunks, cut, mix, remove, shingle_sets, small_batches, table
 from .graph import components
 
 K, THRESHOLD = 4, Fraction(85, 100)
 PIVOTS, GROWTH = 1, 8
 #: Bits of the filter that tells which nodes' sets are needed; its size doesn't depend on the input.
 FILTER_BITS = 1 << 23
+#: Counts in a node's sketch.
+SKETCH = 128
+#: Rounds in which nodes that share too few regions leave them, which may empty others.
+PRUNE = 2
 _U = np.uint64
 
 
@@ -54,17 +59,22 @@ def most_apart(size: np.ndarray, t: Fraction) -> np.ndarray:
     return both * (q - p) // (q + p)
 
 
+def spare(apart: np.ndarray) -> np.ndarray:
+    """Ranges given beyond the necessary ones, so that linked nodes share several regions."""
+    return apart // 4 + 1
+
+
 def _regions(row, h, size, seen: set, node, t: Fraction):
-    """(key, node) of each region of each node that isn't in seen."""
+    """(key, node, need) of each region of each node that isn't in seen; need: regions that it shares with others if it has a link."""
     new = np.array([s > 0 and x not in seen and not seen.add(x) for s, x in zip(size.tolist(), node.tolist(), strict=True)], bool)
     take = new[row]
     row, h = row[take], h[take]
-    if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     level = np.frexp(np.maximum(size, 1).astype(np.float64))[1] - 1  # size is in [2 ** level, 2 ** (level + 1))
     apart = most_apart(size, t)
-    keys, nodes = [], []
-    strong = np.zeros(len(size), bool)
+    give = apart + 1 + spare(apart)
+    need = 1 + spare(most_apart((size * t.numerator) // t.denominator, t))
+    keys, owners = [], []
+    strong = new.copy()
     with np.errstate(over="ignore"):
         for up in (0, 1):
             lv = level + up
@@ -74,7 +84,7 @@ def _regions(row, h, size, seen: set, node, t: Fraction):
             r, x = row[inside], h[inside]
             if not len(x):
                 continue
-            ranges = np.maximum(16, (np.int64(1) << lv) * 2 * (t.denominator - t.numerator) * 4 // (t.numerator * 3)).astype(np.uint64)
+            ranges = np.maximum(16, (np.int64(1) << lv) * 28 * (t.denominator - t.numerator) // (9 * t.numerator)).astype(np.uint64)
             cell = ((x >> _U(32)) * ranges[r]) >> _U(32)
             start = np.ones(len(x), bool)
             start[1:] = (r[1:] != r[:-1]) | (cell[1:] != cell[:-1])
@@ -83,26 +93,24 @@ def _regions(row, h, size, seen: set, node, t: Fraction):
             owner = r[at]
             filled = np.bincount(owner, minlength=len(size))
             rank = np.arange(len(at)) - (np.cumsum(filled) - filled)[owner]
-            use = rank <= apart[owner]
-            if up == 0:
-                strong = filled > apart
-            else:
-                strong &= ~reach | (filled > apart)
+            use = rank < give[owner]
+            strong &= ~reach | (filled >= give)
             tag = mix(cell[at] * _U(64) + lv[owner].astype(np.uint64))
             keys.append(mix(content ^ tag)[use])
-            nodes.append(owner[use])
+            owners.append(owner[use])
         # too few filled ranges for the argument: such sets also meet on the shingles of their prefix
         weak = new & ~strong
-        if weak.any():
-            inside = weak[row]
-            r, x = row[inside], h[inside]
-            count = np.bincount(r, minlength=len(size))
-            rank = np.arange(len(x)) - (np.cumsum(count) - count)[r]
-            prefix = size - (size * t.numerator + t.denominator - 1) // t.denominator + 1
-            use = rank < prefix[r]
-            keys.append(mix(x[use] ^ _U(0xA5A5A5A5DEADBEEF)))
-            nodes.append(r[use])
-    return np.concatenate(keys).view(np.int64), node[np.concatenate(nodes)]
+        need[weak] = 1
+        inside = weak[row]
+        r, x = row[inside], h[inside]
+        count = np.bincount(r, minlength=len(size))
+        rank = np.arange(len(x)) - (np.cumsum(count) - count)[r]
+        prefix = size - (size * t.numerator + t.denominator - 1) // t.denominator + 1
+        use = rank < prefix[r]
+        keys.append(mix(x[use] ^ _U(0xA5A5A5A5DEADBEEF)))
+        owners.append(r[use])
+    owner = np.concatenate(owners)
+    return np.concatenate(keys).view(np.int64), node[owner], need[owner].astype(np.int32)
 
 
 def _region_rows(t: Fraction, k: int):
@@ -110,8 +118,7 @@ def _region_rows(t: Fraction, k: int):
         seen: set[int] = set()
         for batch in batches:
             for _, _, row, h, size, node in _sets(batch.column(0), k):
-                key, own = _regions(row, h, size, seen, node, t)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own)], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _regions(row, h, size, seen, node, t)], ["key", "node", "need"])
 
     return run
 
@@ -120,18 +127,19 @@ def _node_rows(bits: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for i, j, _, h, size, node in _sets(batch.column(1), k):
+            for i, j, row, h, size, node in _sets(batch.column(1), k):
                 ends = np.cumsum(size)
+                sketch = np.bincount(row * SKETCH + (h & _U(SKETCH - 1)).astype(np.int64), minlength=(j - i) * SKETCH).clip(max=255).astype(np.uint8).reshape(j - i, SKETCH)
                 slot = node.view(np.uint64) % _U(FILTER_BITS)
                 needed = (bits[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63))) & _U(1) == 1
-                sets = [None] * (j - i)
+                sets, sketches = [None] * (j - i), [None] * (j - i)
                 for x in np.flatnonzero(needed & (size > 0)).tolist():
                     n = int(node[x])
                     if n not in seen:
                         seen.add(n)
-                        sets[x] = h[ends[x] - size[x] : ends[x]].tobytes()
-                out = [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0), pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_shingles", "node", "set"])
+                        sets[x], sketches[x] = h[ends[x] - size[x] : ends[x]].tobytes(), sketch[x].tobytes()
+                out = [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_shingles", "node", "set", "sketch"])
 
     return run
 
@@ -148,14 +156,40 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array([len(x.as_buffer()) // 8 for x in a], pa.int64()), pa.array([len(x.as_buffer()) // 8 for x in b], pa.int64())], ["x", "y", "common", "nx", "ny"])
 
 
-def measure(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+def _plausible(t: Fraction):
+    """Pairs (x, y, nx, ny, sx, sy) whose sketches are no farther apart than linked sets can be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for i in (4, 5))
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = np.abs(a - b).sum(1) <= both * (t.denominator - t.numerator) // (t.denominator + t.numerator)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["x", "y"])
+
+    return run
+
+
+def plausible(pairs: DataFrame, about: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (x, y) that sizes, sketches and known distances to a common pivot let be linked. about: (node, n, sketch, pivot, d)."""
+    for side in "xy":
+        pairs = pairs.join(about.select(*[F.col(c).alias(a + side) for c, a in (("node", "_"), ("n", "n"), ("sketch", "s"), ("pivot", "p"), ("d", "d"))]), F.col(side) == F.col("_" + side)).drop("_" + side)
+    sizes = F.least("nx", "ny") * t.denominator >= F.greatest("nx", "ny") * t.numerator
+    beyond = (F.col("px") == F.col("py")) & (F.abs(F.col("dx") - F.col("dy")) > float(1 - t) + 1e-9)
+    known = (F.col("px") == F.col("y")) | (F.col("py") == F.col("x"))
+    fit = sizes & ~F.coalesce(beyond, F.lit(False)) & ~F.coalesce(known, F.lit(False))
+    return pairs.where(fit).select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(_plausible(t), "x long, y long")
+
+
+def measure(pairs: DataFrame, sets: DataFrame, t: Fraction, paths: list[str]) -> DataFrame:
     """(x, y, common, nx, ny, linked) of pairs (x, y), written to the shared folder."""
     left = sets.select(F.col("node").alias("x"), F.col("set").alias("a"))
     right = sets.select(F.col("node").alias("y"), F.col("set").alias("b"))
     joined = pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b")
     out = joined.mapInArrow(_common, "x long, y long, common long, nx long, ny long")
     union = F.col("nx") + F.col("ny") - F.col("common")
-    return cut(out.withColumn("linked", F.col("common") * t.denominator >= union * t.numerator), "jaccard-pairs")
+    return cut(out.withColumn("linked", F.col("common") * t.denominator >= union * t.numerator), "jaccard-pairs", paths)
 
 
 def _filter_bits(nodes: DataFrame) -> np.ndarray:
@@ -173,44 +207,45 @@ def jaccard_nodes(docs: DataFrame, k: int = K, t: Fraction = THRESHOLD) -> tuple
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    regions = docs.select("text").mapInArrow(_region_rows(t, k), "key long, node long")
+    paths: list[str] = []
     whole = Window.partitionBy("key")
-    shared = regions.withColumns({"least": F.min("node").over(whole), "most": F.max("node").over(whole)}).where("least < most")
-    shared = cut(shared.select("key", "node").distinct(), "jaccard-regions")
+    ends = {"least": F.min("node").over(whole), "most": F.max("node").over(whole)}
+    regions = docs.select("text").mapInArrow(_region_rows(t, k), "key long, node long, need int")
+    shared = cut(regions.withColumns(ends).where("least < most").select("key", "node", "need").distinct(), "jaccard-regions", paths)
+    for _ in range(PRUNE):
+        enough = shared.groupBy("node").agg(F.count("*").alias("has"), F.max("need").alias("need")).where("has >= need").select("node")
+        shared = shared.join(enough, "node", "left_semi").withColumns(ends).where("least < most").select("key", "node", "need")
+        shared = cut(shared, "jaccard-regions", paths)
     bits = spark.sparkContext.broadcast(_filter_bits(shared.select("node")))
-    rows = cut(docs.mapInArrow(_lazy_node_rows(bits, k), "doc_id long, n_shingles long, node long, set binary"), "jaccard-nodes")
-    sets = rows.where("set is not null").dropDuplicates(["node"]).select("node", "set")
-    sizes = rows.where("set is not null").select("node", F.col("n_shingles").alias("n")).distinct()
+    rows = cut(docs.mapInArrow(_lazy_node_rows(bits, k), "doc_id long, n_shingles long, node long, set binary, sketch binary"), "jaccard-nodes")
+    known = rows.where("set is not null").dropDuplicates(["node"])
+    sets = known.select("node", "set")
+    about = known.select("node", F.col("n_shingles").alias("n"), "sketch")
 
     # the nearest pivot of each node
-    leader = F.min("node").over(whole)
-    votes = shared.withColumn("y", leader).where("node <> y").groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("votes"))
-    nearest = votes.groupBy("x").agg(F.max(F.struct("votes", (-F.col("y")).alias("minus"))).alias("best")).select("x", (-F.col("best.minus")).alias("y"))
-    measured = measure(nearest, sets, t)
+    votes = shared.withColumn("y", F.min("node").over(whole)).where("node <> y").groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("votes"))
+    nearest = votes.groupBy("x").agg(F.max(F.struct("votes", F.bitwise_not("y").alias("not"))).alias("best")).select("x", F.bitwise_not(F.col("best.not")).alias("y"))
+    blank = about.withColumns({"pivot": F.lit(None).cast("long"), "d": F.lit(None).cast("double")})
+    measured = measure(plausible(nearest, blank, t), sets, t, paths)
     edges = measured.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     place = measured.select(F.col("x").alias("node"), F.col("y").alias("pivot"), (1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("d"))
-    pivots = measured.select(F.col("y").alias("node")).distinct().join(place.select("node"), "node", "left_anti")
-    place = place.unionByName(pivots.select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("d")))
-    about = cut(sizes.join(place, "node", "left"), "jaccard-places")
+    about = cut(about.join(place, "node", "left"), "jaccard-places", paths)
 
     done, count = 0, PIVOTS
     while True:
         comps = components(edges)
         state = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         state = state.withColumns({"first": F.min("comp").over(whole), "last": F.max("comp").over(whole), "rank": F.row_number().over(whole.orderBy("node"))})
-        open_ = cut(state.where("first < last").select("key", "node", "comp", "rank"), "jaccard-open")
-        if (open_.agg(F.max("rank")).first()[0] or 0) <= done + 1:
-            return rows.select("doc_id", "n_shingles", "node"), comps
-        x, y = open_.where(F.col("rank") > done + 1).alias("x"), open_.where((F.col("rank") > done) & (F.col("rank") <= done + count)).alias("y")
+        rest = cut(state.where("first < last").select("key", "node", "comp", "rank"), "jaccard-open", paths)
+        if (rest.agg(F.max("rank")).first()[0] or 0) <= done + 1:
+            break
+        x, y = rest.where(F.col("rank") > done + 1).alias("x"), rest.where((F.col("rank") > done) & (F.col("rank") <= done + count)).alias("y")
         pairs = x.join(y, F.expr("x.key = y.key and x.rank > y.rank and x.comp <> y.comp")).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
-        pairs = pairs.join(about.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pivot").alias("px"), F.col("d").alias("dx")), "x")
-        pairs = pairs.join(about.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pivot").alias("py"), F.col("d").alias("dy")), "y")
-        sizes_fit = F.least("nx", "ny") * t.denominator >= F.greatest("nx", "ny") * t.numerator
-        window = (F.col("px") == F.col("py")) & (F.abs(F.col("dx") - F.col("dy")) > float(1 - t) + 1e-9)
-        fresh = ~F.coalesce((F.col("px") == F.col("y")) | (F.col("py") == F.col("x")), F.lit(False))
-        measured = measure(pairs.where(sizes_fit & ~F.coalesce(window, F.lit(False)) & fresh).select("x", "y"), sets, t)
-        edges = cut(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).where("u <> v").union(measured.where("linked").select("x", "y")), "jaccard-links")
+        measured = measure(plausible(pairs, about, t), sets, t, paths)
+        edges = cut(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).where("u <> v").union(measured.where("linked").select("x", "y")), "jaccard-links", paths)
         done, count = done + count, count * GROWTH
+    remove(spark, paths)
+    return rows.select("doc_id", "n_shingles", "node"), comps
 
 
 def _lazy_node_rows(bits, k):
