@@ -6,11 +6,12 @@ ranges of hash values, and two linked sets differ in at most k shingles, so of t
 them 1 + e are untouched, and both hold the same shingles there. Nodes with equal content of a range form a region, and a
 node that shares fewer than 1 + e regions with others has no link.
 
-Within the regions pivots are documents. Each node is measured against its nearest pivot (the one it shares most regions
-with); a link joins their components. A region whose nodes are all in one component needs no more work. In the others
-further pivots are taken, eight times as many each round, and a node is measured against a pivot only if the components
-differ and the sizes, the triangle inequality (where both know their distance to a common pivot) and the L1 distance of two
-count sketches (at most the symmetric difference) allow a link. The rounds end when every region is one component or all its nodes have been pivots, so no link between components is lost.
+Within the regions pivots are documents. In each round a node is measured against its nearest pivot (the one it shares
+most regions with, of those of another component); a link joins their components. A region whose nodes are all in one
+component needs no more work. After ROUNDS rounds the rest of the regions are joined exhaustively, in blocks of bounded
+size: nodes of different components are paired if their sizes, the triangle inequality (where both know their distance to
+a common pivot) and the L1 distance of two count sketches (at most the symmetric difference) allow a link, and measured.
+So no link between components is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from .common import byte_view, chunks, cut, mix, remove, shingle_sets, small_bat
 from .graph import components
 
 K, THRESHOLD = 4, Fraction(85, 100)
-PIVOTS, GROWTH = 1, 8
+ROUNDS = 3
+#: Nodes of a region that one step of the exhaustive join holds at most, twice.
+BLOCK = 2048
 #: Bits of the filter that tells which nodes' sets are needed; its size doesn't depend on the input.
 FILTER_BITS = 1 << 23
 #: Counts in a node's sketch.
@@ -156,30 +159,80 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array([len(x.as_buffer()) // 8 for x in a], pa.int64()), pa.array([len(x.as_buffer()) // 8 for x in b], pa.int64())], ["x", "y", "common", "nx", "ny"])
 
 
-def _plausible(t: Fraction):
-    """Pairs (x, y, nx, ny, sx, sy) whose sketches are no farther apart than linked sets can be."""
+def _allowed(i, j, c, t: Fraction) -> np.ndarray:
+    """Which places (i, j) of the columns c may be linked nodes of different components."""
+    size = c["n"]
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    keep = (c["comp"][i] != c["comp"][j]) & (small * t.denominator >= large * t.numerator)
+    keep &= (c["bi"][i] == c["bj"][i]) | (c["block"][i] != c["block"][j])
+    keep &= ~((c["pivot"][i] == c["pivot"][j]) & (np.abs(c["d"][i] - c["d"][j]) > float(1 - t) + 1e-9))
+    keep &= (c["pivot"][i] != c["node"][j]) & (c["pivot"][j] != c["node"][i])
+    found = np.flatnonzero(keep)
+    for a in range(0, len(found), 1 << 14):
+        at = found[a : a + (1 << 14)]
+        x, y = i[at], j[at]
+        apart = np.abs(c["sketch"][x].astype(np.int16) - c["sketch"][y]).sum(1)
+        keep[at] = apart <= (size[x] + size[y]) * (t.denominator - t.numerator) // (t.denominator + t.numerator)
+    return keep
+
+
+_FIELDS = ("key", "bi", "bj", "block", "node", "comp", "n", "pivot", "d")
+
+
+def _pairs_of(groups: pa.Table, t: Fraction) -> pa.RecordBatch:
+    """Allowed pairs within the groups (key, bi, bj), which are whole and sorted."""
+    c = {f: groups[f].to_numpy() for f in _FIELDS}
+    c["sketch"] = np.frombuffer(b"".join(groups["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+    n = len(c["key"])
+    start = np.ones(n, bool)
+    start[1:] = (c["key"][1:] != c["key"][:-1]) | (c["bi"][1:] != c["bi"][:-1]) | (c["bj"][1:] != c["bj"][:-1])
+    first = np.flatnonzero(start)
+    end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
+    out, i, step = [], np.arange(n), 1
+    while True:
+        i = i[i + step < end[i]]
+        if not len(i):
+            break
+        keep = _allowed(i, i + step, c, t)
+        a, b = c["node"][i[keep]], c["node"][i[keep] + step]
+        out.append(np.stack([np.maximum(a, b), np.minimum(a, b)], 1))
+        step += 1
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["x", "y"])
+
+
+def _pair_rows(t: Fraction):
+    """Pairs from rows sorted by (key, bi, bj); a group that a batch cuts is held until its end comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for batch in batches:
-            if not batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if len(held) < 4 * BLOCK:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for i in (4, 5))
-            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = np.abs(a - b).sum(1) <= both * (t.denominator - t.numerator) // (t.denominator + t.numerator)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["x", "y"])
+            last = [held[f][-1].as_py() for f in ("key", "bi", "bj")]
+            same = np.logical_and.reduce([held[f].to_numpy() == v for f, v in zip(("key", "bi", "bj"), last, strict=True)])
+            whole = int(np.argmax(same))
+            if whole:
+                yield _pairs_of(held.slice(0, whole), t)
+                held = held.slice(whole)
+        if held is not None and len(held):
+            yield _pairs_of(held, t)
 
     return run
 
 
-def plausible(pairs: DataFrame, about: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (x, y) that sizes, sketches and known distances to a common pivot let be linked. about: (node, n, sketch, pivot, d)."""
-    for side in "xy":
-        pairs = pairs.join(about.select(*[F.col(c).alias(a + side) for c, a in (("node", "_"), ("n", "n"), ("sketch", "s"), ("pivot", "p"), ("d", "d"))]), F.col(side) == F.col("_" + side)).drop("_" + side)
-    sizes = F.least("nx", "ny") * t.denominator >= F.greatest("nx", "ny") * t.numerator
-    beyond = (F.col("px") == F.col("py")) & (F.abs(F.col("dx") - F.col("dy")) > float(1 - t) + 1e-9)
-    known = (F.col("px") == F.col("y")) | (F.col("py") == F.col("x"))
-    fit = sizes & ~F.coalesce(beyond, F.lit(False)) & ~F.coalesce(known, F.lit(False))
-    return pairs.where(fit).select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(_plausible(t), "x long, y long")
+def plausible(rest: DataFrame, about: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (x, y) in one region of (key, node, comp) that may be linked and lie in different components. about: (node, n, sketch, pivot, d)."""
+    whole = Window.partitionBy("key")
+    place = (F.row_number().over(whole.orderBy("node")) - 1).alias("place")
+    rows = rest.select("key", "node", "comp", place, F.count("*").over(whole).alias("many"))
+    rows = rows.withColumns({"block": F.floor(F.col("place") / BLOCK).cast("int"), "last": F.floor((F.col("many") - 1) / BLOCK).cast("int")})
+    rows = rows.join(about, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    rows = rows.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other"), "pivot": F.coalesce("pivot", F.lit(0)), "d": F.coalesce("d", F.lit(float("nan")))})
+    rows = rows.select(*_FIELDS, "sketch").repartition(F.col("key"), F.col("bi"), F.col("bj")).sortWithinPartitions("key", "bi", "bj")
+    return rows.mapInArrow(_pair_rows(t), "x long, y long").distinct()
 
 
 def measure(pairs: DataFrame, sets: DataFrame, t: Fraction, paths: list[str]) -> DataFrame:
@@ -222,28 +275,31 @@ def jaccard_nodes(docs: DataFrame, k: int = K, t: Fraction = THRESHOLD) -> tuple
     sets = known.select("node", "set")
     about = known.select("node", F.col("n_shingles").alias("n"), "sketch")
 
-    # the nearest pivot of each node
-    votes = shared.withColumn("y", F.min("node").over(whole)).where("node <> y").groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("votes"))
-    nearest = votes.groupBy("x").agg(F.max(F.struct("votes", F.bitwise_not("y").alias("not"))).alias("best")).select("x", F.bitwise_not(F.col("best.not")).alias("y"))
-    blank = about.withColumns({"pivot": F.lit(None).cast("long"), "d": F.lit(None).cast("double")})
-    measured = measure(plausible(nearest, blank, t), sets, t, paths)
-    edges = measured.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    place = measured.select(F.col("x").alias("node"), F.col("y").alias("pivot"), (1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("d"))
-    about = cut(about.join(place, "node", "left"), "jaccard-places", paths)
-
-    done, count = 0, PIVOTS
-    while True:
-        comps = components(edges)
-        state = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        state = state.withColumns({"first": F.min("comp").over(whole), "last": F.max("comp").over(whole), "rank": F.row_number().over(whole.orderBy("node"))})
-        rest = cut(state.where("first < last").select("key", "node", "comp", "rank"), "jaccard-open", paths)
-        if (rest.agg(F.max("rank")).first()[0] or 0) <= done + 1:
-            break
-        x, y = rest.where(F.col("rank") > done + 1).alias("x"), rest.where((F.col("rank") > done) & (F.col("rank") <= done + count)).alias("y")
-        pairs = x.join(y, F.expr("x.key = y.key and x.rank > y.rank and x.comp <> y.comp")).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
-        measured = measure(plausible(pairs, about, t), sets, t, paths)
-        edges = cut(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).where("u <> v").union(measured.where("linked").select("x", "y")), "jaccard-links", paths)
-        done, count = done + count, count * GROWTH
+    comps = None
+    places = None
+    for turn in range(ROUNDS + 1):
+        state = shared.select("key", "node").withColumn("comp", F.col("node")) if comps is None else shared.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        state = state.withColumns({"first": F.min("comp").over(whole), "last": F.max("comp").over(whole)}).where("first < last")
+        state = cut(state, "jaccard-open", paths)
+        if turn == ROUNDS:
+            pairs = plausible(state.select("key", "node", "comp"), about.join(places, "node", "left"), t)
+        else:
+            # the pivot of a region is the node that names its least component, or its largest for the nodes of that one
+            pivot = F.when(F.col("comp") == F.col("first"), F.col("last")).otherwise(F.col("first"))
+            votes = state.select(F.col("node").alias("x"), pivot.alias("y")).groupBy("x", "y").agg(F.count("*").alias("votes"))
+            best = votes.groupBy("x").agg(F.max(F.struct("votes", F.bitwise_not("y").alias("not"))).alias("best"))
+            pairs = best.select("x", F.bitwise_not(F.col("best.not")).alias("y"))
+            for side in "xy":
+                pairs = pairs.join(about.select(F.col("node").alias(side), F.col("n").alias("n" + side)), side)
+            pairs = pairs.where(F.least("nx", "ny") * t.denominator >= F.greatest("nx", "ny") * t.numerator).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+        measured = measure(pairs, sets, t, paths)
+        if places is None:
+            gap = 1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
+            both = measured.select(F.col("x").alias("node"), F.col("y").alias("pivot"), gap.alias("d")).union(measured.select(F.col("y").alias("node"), F.col("x").alias("pivot"), gap.alias("d")))
+            places = cut(both.groupBy("node").agg(F.min_by(F.struct("pivot", "d"), F.struct("d", "pivot")).alias("p")).select("node", "p.pivot", "p.d"), "jaccard-places", paths)
+        new = measured.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+        old = comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).where("u <> v") if comps is not None else None
+        comps = components(new if old is None else old.union(new))
     remove(spark, paths)
     return rows.select("doc_id", "n_shingles", "node"), comps
 
