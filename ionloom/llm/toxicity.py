@@ -15,13 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, chunks, crc_mod, small_batches, table, words_of
+from .common import byte_view, chunks, crc_mod, cut, small_batches, table, words_of
 
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 #: The classifier is fitted on at most so many labelled rows, the first by a hash of their id. The prior counts all documents.
 LABELLED = 50_000
 PRIOR, FLOOR = 200.0, 0.5
@@ -68,16 +68,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), *(pa.array(total[k][x]) for k in (4, 0, 1, 2, 3))], ["t", "n", "n0", "n1", "n2", "n3"])
 
 
-def weights(t: np.ndarray, n: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
-    """Log-odds by token id, less the drift, from counts in all, clean and toxic texts; tokens never seen get the drift alone."""
-    out = np.full(BUCKETS, -DRIFT, np.float32)
-    if not y0.sum() or not y1.sum():
-        return out
-    prior = FLOOR + PRIOR * n / n.sum()
+def log_odds(n: str, y0: Column, y1: Column, total: float, all0: float, all1: float) -> Column:
+    """Shrunk log-odds of a token from its counts in all, clean and toxic texts; 0 without clean or toxic texts."""
+    if not all0 or not all1:
+        return F.lit(0.0)
+    prior = FLOOR + PRIOR * F.col(n) / total
     a1, a0 = y1 + prior, y0 + prior
-    odds = np.log(a1 / (y1.sum() + PRIOR)) - np.log(a0 / (y0.sum() + PRIOR))
-    shrunk = np.sign(odds) * np.maximum(0, np.abs(odds) - SHRINK * np.sqrt(1 / a1 + 1 / a0))
-    out[t] = np.clip(shrunk - DRIFT, -4, 6)
+    raw = F.ln(a1 / (all1 + PRIOR)) - F.ln(a0 / (all0 + PRIOR))
+    return F.signum(raw) * F.greatest(F.lit(0.0), F.abs(raw) - SHRINK * F.sqrt(1 / a1 + 1 / a0))
+
+
+def _array(t: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Weights by token id: log-odds less the drift; any other token has the drift alone."""
+    out = np.full(BUCKETS, -DRIFT, np.float32)
+    out[t] = np.clip(value - DRIFT, -4, 6)
     return out
 
 
@@ -115,10 +119,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> dict:
     sample = F.broadcast(spark.createDataFrame(sample.toPandas(), sample.schema))
     joined = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id"), "left").select("text", "label")
     names = ["n", "n0", "n1", "n2", "n3"]
-    counts = joined.mapInArrow(_count, "t int, n long, n0 long, n1 long, n2 long, n3 long").groupBy("t").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # at most BUCKETS rows
-    t, (n, y0, y1, z0, z1) = counts["t"].to_numpy(np.int64), (counts[c].to_numpy(np.float64) for c in names)
-    model = {"weights": weights(t, n, y0 + z0, y1 + z1), "lambda": 1.0, "k": 1e-4, "slope": 0.0, "cut": 0.0}
-    shared = spark.sparkContext.broadcast(weights(t, n, y0, y1))
+    counts = joined.mapInArrow(_count, "t int, n long, n0 long, n1 long, n2 long, n3 long").groupBy("t").agg(*[F.sum(c).alias(c) for c in names])
+    counts = cut(counts, "toxicity-counts")
+    n, y0, y1, z0, z1 = (float(x or 0) for x in counts.agg(*[F.sum(c) for c in names]).first())
+    final = log_odds("n", F.col("n0") + F.col("n2"), F.col("n1") + F.col("n3"), n, y0 + z0, y1 + z1)
+    trial = log_odds("n", F.col("n0"), F.col("n1"), n, y0, y1)
+    known = counts.select("t", final.cast("float").alias("final"), trial.cast("float").alias("trial")).where("final <> 0 or trial <> 0").toPandas()  # at most BUCKETS rows
+    t = known["t"].to_numpy(np.int64)
+    model = {"weights": _array(t, known["final"].to_numpy()), "lambda": 1.0, "k": 1e-4, "slope": 0.0, "cut": 0.0}
+    shared = spark.sparkContext.broadcast(_array(t, known["trial"].to_numpy()))
 
     def best(batches):
         for batch in batches:
