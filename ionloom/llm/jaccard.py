@@ -29,7 +29,7 @@ from .common import byte_view, chunks, cut, mix, remove, shingle_sets, small_bat
 from .graph import components
 
 K, THRESHOLD = 4, Fraction(85, 100)
-ROUNDS = 3
+ROUNDS, WAVES = 3, 3
 #: Nodes of a region that one step of the exhaustive join holds at most, twice.
 BLOCK = 2048
 #: Bits of the filter that tells which nodes' sets are needed; its size doesn't depend on the input.
@@ -159,8 +159,8 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array([len(x.as_buffer()) // 8 for x in a], pa.int64()), pa.array([len(x.as_buffer()) // 8 for x in b], pa.int64())], ["x", "y", "common", "nx", "ny"])
 
 
-def _allowed(i, j, c, t: Fraction) -> np.ndarray:
-    """Which places (i, j) of the columns c may be linked nodes of different components."""
+def _allowed(i, j, c, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Which places (i, j) of the columns c may be linked nodes of different components, and how far apart their sketches are."""
     size = c["n"]
     small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
     keep = (c["comp"][i] != c["comp"][j]) & (small * t.denominator >= large * t.numerator)
@@ -168,12 +168,14 @@ def _allowed(i, j, c, t: Fraction) -> np.ndarray:
     keep &= ~((c["pivot"][i] == c["pivot"][j]) & (np.abs(c["d"][i] - c["d"][j]) > float(1 - t) + 1e-9))
     keep &= (c["pivot"][i] != c["node"][j]) & (c["pivot"][j] != c["node"][i])
     found = np.flatnonzero(keep)
+    gap = np.zeros(len(i), np.int32)
     for a in range(0, len(found), 1 << 14):
         at = found[a : a + (1 << 14)]
         x, y = i[at], j[at]
         apart = np.abs(c["sketch"][x].astype(np.int16) - c["sketch"][y]).sum(1)
         keep[at] = apart <= (size[x] + size[y]) * (t.denominator - t.numerator) // (t.denominator + t.numerator)
-    return keep
+        gap[at] = apart
+    return keep, gap
 
 
 _FIELDS = ("key", "bi", "bj", "block", "node", "comp", "n", "pivot", "d")
@@ -188,17 +190,26 @@ def _pairs_of(groups: pa.Table, t: Fraction) -> pa.RecordBatch:
     start[1:] = (c["key"][1:] != c["key"][:-1]) | (c["bi"][1:] != c["bi"][:-1]) | (c["bj"][1:] != c["bj"][:-1])
     first = np.flatnonzero(start)
     end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
+    smaller: dict[int, frozenset] = {}
+
+    def less(at: int) -> frozenset:
+        if at not in smaller:
+            smaller[at] = frozenset(groups["less"][at].as_py())
+        return smaller[at]
+
     out, i, step = [], np.arange(n), 1
     while True:
         i = i[i + step < end[i]]
         if not len(i):
             break
-        keep = _allowed(i, i + step, c, t)
-        a, b = c["node"][i[keep]], c["node"][i[keep] + step]
-        out.append(np.stack([np.maximum(a, b), np.minimum(a, b)], 1))
+        keep, gap = _allowed(i, i + step, c, t)
+        for at, apart in zip(i[keep].tolist(), gap[keep].tolist(), strict=True):
+            # a pair is taken in the first of its common regions only
+            if less(at).isdisjoint(less(at + step)):
+                a, b = int(c["node"][at]), int(c["node"][at + step])
+                out.append((max(a, b), min(a, b), apart))
         step += 1
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["x", "y"])
+    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["x", "y", "apart"])
 
 
 def _pair_rows(t: Fraction):
@@ -224,15 +235,17 @@ def _pair_rows(t: Fraction):
 
 
 def plausible(rest: DataFrame, about: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (x, y) in one region of (key, node, comp) that may be linked and lie in different components. about: (node, n, sketch, pivot, d)."""
+    """The pairs (x, y, apart) in one region of (key, node, comp) that may be linked and lie in different components. about: (node, n, sketch, pivot, d)."""
     whole = Window.partitionBy("key")
+    before = Window.partitionBy("node").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    rest = rest.withColumn("less", F.collect_list("key").over(before))
     place = (F.row_number().over(whole.orderBy("node")) - 1).alias("place")
-    rows = rest.select("key", "node", "comp", place, F.count("*").over(whole).alias("many"))
+    rows = rest.select("key", "node", "comp", "less", place, F.count("*").over(whole).alias("many"))
     rows = rows.withColumns({"block": F.floor(F.col("place") / BLOCK).cast("int"), "last": F.floor((F.col("many") - 1) / BLOCK).cast("int")})
     rows = rows.join(about, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     rows = rows.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other"), "pivot": F.coalesce("pivot", F.lit(0)), "d": F.coalesce("d", F.lit(float("nan")))})
-    rows = rows.select(*_FIELDS, "sketch").repartition(F.col("key"), F.col("bi"), F.col("bj")).sortWithinPartitions("key", "bi", "bj")
-    return rows.mapInArrow(_pair_rows(t), "x long, y long").distinct()
+    rows = rows.select(*_FIELDS, "sketch", "less").repartition(F.col("key"), F.col("bi"), F.col("bj")).sortWithinPartitions("key", "bi", "bj")
+    return rows.mapInArrow(_pair_rows(t), "x long, y long, apart int")
 
 
 def measure(pairs: DataFrame, sets: DataFrame, t: Fraction, paths: list[str]) -> DataFrame:
@@ -282,28 +295,46 @@ def jaccard_nodes(docs: DataFrame, k: int = K, t: Fraction = THRESHOLD) -> tuple
         state = state.withColumns({"first": F.min("comp").over(whole), "last": F.max("comp").over(whole)}).where("first < last")
         state = cut(state, "jaccard-open", paths)
         if turn == ROUNDS:
-            pairs = plausible(state.select("key", "node", "comp"), about.join(places, "node", "left"), t)
-        else:
-            # the pivot of a region is the node that names its least component, or its largest for the nodes of that one
-            pivot = F.when(F.col("comp") == F.col("first"), F.col("last")).otherwise(F.col("first"))
-            votes = state.select(F.col("node").alias("x"), pivot.alias("y")).groupBy("x", "y").agg(F.count("*").alias("votes"))
-            best = votes.groupBy("x").agg(F.max(F.struct("votes", F.bitwise_not("y").alias("not"))).alias("best"))
-            pairs = best.select("x", F.bitwise_not(F.col("best.not")).alias("y"))
-            for side in "xy":
-                pairs = pairs.join(about.select(F.col("node").alias(side), F.col("n").alias("n" + side)), side)
-            pairs = pairs.where(F.least("nx", "ny") * t.denominator >= F.greatest("nx", "ny") * t.numerator).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+            break
+        # pivots of a region: of its least and of its largest component one node, the same in as many regions as possible
+        order = F.xxhash64("node", F.lit(turn))
+        state = state.withColumns({e: F.min_by(F.when(F.col("comp") == F.col(e), F.col("node")), F.when(F.col("comp") == F.col(e), order)).over(whole) for e in ("first", "last")} | {"own": F.col("comp") == F.col("first")})
+        pivot = F.when(F.col("own"), F.col("last")).otherwise(F.col("first"))
+        votes = state.select(F.col("node").alias("x"), pivot.alias("y")).groupBy("x", "y").agg(F.count("*").alias("votes"))
+        best = votes.groupBy("x").agg(F.max(F.struct("votes", F.bitwise_not("y").alias("not"))).alias("best"))
+        pairs = best.select("x", F.bitwise_not(F.col("best.not")).alias("y"))
+        for side in "xy":
+            pairs = pairs.join(about.select(F.col("node").alias(side), F.col("n").alias("n" + side)), side)
+        pairs = pairs.where(F.least("nx", "ny") * t.denominator >= F.greatest("nx", "ny") * t.numerator).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
         measured = measure(pairs, sets, t, paths)
         if places is None:
             gap = 1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
             both = measured.select(F.col("x").alias("node"), F.col("y").alias("pivot"), gap.alias("d")).union(measured.select(F.col("y").alias("node"), F.col("x").alias("pivot"), gap.alias("d")))
             places = cut(both.groupBy("node").agg(F.min_by(F.struct("pivot", "d"), F.struct("d", "pivot")).alias("p")).select("node", "p.pivot", "p.d"), "jaccard-places", paths)
-        new = measured.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-        old = comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).where("u <> v") if comps is not None else None
-        comps = components(new if old is None else old.union(new))
+        comps = _joined(measured, comps)
+    pairs = cut(plausible(state.select("key", "node", "comp"), about.join(places, "node", "left"), t), "jaccard-plausible", paths)
+    # two components need one link only: the likeliest pairs come first, the others if they still part components
+    for wave in range(WAVES + 1):
+        for side in "xy":
+            pairs = pairs.join(comps.select(F.col("node").alias(side), F.col("comp").alias("c" + side)), side, "left").withColumn("c" + side, F.coalesce("c" + side, side))
+        pairs = pairs.where("cx <> cy")
+        chosen = pairs
+        if wave < WAVES:
+            between = (F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b"))
+            chosen = pairs.groupBy(*between).agg(F.min_by(F.struct("x", "y"), F.struct("apart", "x", "y")).alias("p")).select("p.x", "p.y")
+        measured = measure(chosen.select("x", "y"), sets, t, paths)
+        comps = _joined(measured, comps)
+        pairs = pairs.select("x", "y", "apart").join(measured.select("x", "y"), ["x", "y"], "left_anti")
     remove(spark, paths)
     return rows.select("doc_id", "n_shingles", "node"), comps
 
 
+def _joined(measured: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Components with the links of measured pairs added."""
+    new = measured.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    return components(new if comps is None else comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).where("u <> v").union(new))
+
+
 def _lazy_node_rows(bits, k):
     def run(batches):
         yield from _node_rows(bits.value, k)(batches)
