@@ -1,19 +1,497 @@
-"""All registered queries and their SQL."""
+"""Registered queries over the operators and the SQL that gives the same rows.
+
+The driver's tables stand in for spectra and candidates: a part is a spectrum (precursor p_retailprice, molecule p_brand
+and p_type, polarity from p_size), its lineitems are peaks (mz l_extendedprice / 100, intensity l_quantity, the maximum of
+equal mz), orders are the candidate pool (mass o_totalprice / 500, key o_custkey), embeddings are fingerprints and logits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import chem
+from .operators import bandjoin, fuse, linkage, network, peaks, rank, similarity, split
+from .sources import tables
+
+_QUERIES: dict[str, Callable] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _spectra(spark, d) -> DataFrame:
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("sid"), F.col("p_retailprice").alias("precursor"), F.concat_ws("/", "p_brand", "p_type").alias("mol"), F.col("p_brand").alias("adduct"), (F.col("p_size") % 2).alias("pol"))
+
+
+def _peaks(spark, d) -> DataFrame:
+    """Long peaks (sid, mz, it)."""
+    rows = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("sid"), (F.col("l_extendedprice") / 100).alias("mz"), F.col("l_quantity").alias("it"))
+    return rows.groupBy("sid", "mz").agg(F.max("it").alias("it"))
+
+
+def _arrays(spark, d) -> DataFrame:
+    """(sid, peaks)."""
+    return _peaks(spark, d).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("mz", "it"))).alias("peaks"))
+
+
+def _pool(spark, d) -> DataFrame:
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("pid"), (F.col("o_totalprice") / 500).alias("mass"), F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("formula"))
+
+
+def _words(column: str):
+    """The sign bits of a 64-vector as one word."""
+    return F.array(F.aggregate(F.transform(column, lambda x, i: F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b)))
+
+
+def _long(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.explode("peaks").alias("p")).select(*keys, F.round("p.mz", 6).alias("mz"), F.round("p.it", 6).alias("it"))
+
+
+_SQL_PEAKS = "pk AS (SELECT l_partkey AS sid, l_extendedprice / 100 AS mz, max(l_quantity) AS it FROM lineitem GROUP BY ALL)"
+_SQL_SPECTRA = "sp AS (SELECT p_partkey AS sid, p_retailprice AS precursor, p_brand || '/' || p_type AS mol, p_brand AS adduct, p_size % 2 AS pol FROM part)"
+_SQL_POOL = "po AS (SELECT o_orderkey AS pid, o_totalprice / 500 AS mass, o_custkey AS key, o_orderpriority AS source, o_orderstatus AS formula FROM orders)"
+
+
+def flagship(spark: SparkSession, d: str, ppm: float = 20.0, k: int = 25) -> DataFrame:
+    """Spectra against library spectra of their polarity within ppm: two-pointer cosine, the best per molecule, the 25 best."""
+    s = _spectra(spark, d).join(_arrays(spark, d), "sid").withColumn("peaks", peaks.unit_normalise(peaks.powered(F.col("peaks"), "sqrt")))
+    lib = s.select(F.col("sid").alias("lid"), F.col("precursor").alias("mass"), F.col("mol").alias("key"), "pol", F.col("peaks").alias("ref"))
+    pairs = bandjoin.ppm_join(s, lib, "precursor", "mass", ppm, ["pol"]).where("sid <> lid")
+    scored = pairs.withColumn("c", similarity.walk_cosine(F.col("peaks"), F.col("ref"), 0.5))
+    best = scored.groupBy("sid", "key").agg(F.max(F.round("c.score", 6)).alias("score"), F.max("c.matches").alias("matches"))
+    return rank.top_k(best, ["sid"], [F.desc("score"), F.asc("key")], k)
+
+
+@query()
+def library_search(spark, d):
+    """J5, K7, G10, T1."""
+    return flagship(spark, d)
+
+
+@query(f"WITH {_SQL_SPECTRA}, {_SQL_POOL} SELECT sid, pid FROM sp JOIN po ON po.mass >= sp.precursor * (1 - 100 * 1e-6) AND po.mass <= sp.precursor * (1 + 100 * 1e-6)")
+def ppm_band_join(spark, d):
+    """J1."""
+    return bandjoin.ppm_join(_spectra(spark, d), _pool(spark, d), "precursor", "mass", 100).select("sid", "pid")
+
+
+@query(f"WITH {_SQL_SPECTRA}, {_SQL_POOL} SELECT sid, pid, round(mass - precursor, 6) AS shift FROM sp JOIN po ON po.mass >= sp.precursor - 0.5 AND po.mass <= sp.precursor + 0.5")
+def abs_band_analogs(spark, d):
+    """J3, J4."""
+    return bandjoin.absolute_join(_spectra(spark, d), _pool(spark, d), "precursor", "mass", 0.5).select("sid", "pid", F.round(F.col("mass") - F.col("precursor"), 6).alias("shift"))
+
+
+@query(f"WITH {_SQL_SPECTRA}, {_SQL_POOL} SELECT sid, pid FROM sp JOIN po ON po.mass >= sp.precursor - greatest(0.05, sp.precursor * 15e-6) AND po.mass <= sp.precursor + greatest(0.05, sp.precursor * 15e-6)")
+def floored_window(spark, d):
+    """J6, J9."""
+    w = F.greatest(F.lit(0.05), F.col("precursor") * 15e-6)
+    return bandjoin.bounds_join(_spectra(spark, d), _pool(spark, d), F.col("precursor") - w, F.col("precursor") + w, "mass", 0.2).select("sid", "pid")
+
+
+@query(f"""WITH {_SQL_SPECTRA}, {_SQL_POOL},
+ w AS (SELECT sid, precursor, pid, mass FROM sp JOIN po ON po.mass >= sp.precursor * (1 - 600 * 1e-6) AND po.mass <= sp.precursor * (1 + 600 * 1e-6)),
+ c AS (SELECT *, count(*) FILTER (mass >= precursor * (1 - 50 * 1e-6) AND mass <= precursor * (1 + 50 * 1e-6)) OVER (PARTITION BY sid) AS n1, count(*) FILTER (mass >= precursor * (1 - 200 * 1e-6) AND mass <= precursor * (1 + 200 * 1e-6)) OVER (PARTITION BY sid) AS n2 FROM w),
+ t AS (SELECT *, CASE WHEN n1 >= 3 THEN 50.0 WHEN n2 >= 3 THEN 200.0 ELSE 600.0 END AS tier FROM c)
+ SELECT sid, pid, CAST(tier AS DOUBLE) AS tier FROM t WHERE mass >= precursor * (1 - tier * 1e-6) AND mass <= precursor * (1 + tier * 1e-6)""")
+def adaptive_window(spark, d):
+    """J8."""
+    return bandjoin.adaptive_join(_spectra(spark, d), _pool(spark, d), "precursor", "mass", [50, 200, 600], 3, "sid").select("sid", "pid", "tier")
+
+
+@query("""WITH e AS (SELECT user_id, epoch_ms(ts) / 1000.0 AS lo, epoch_ms(ts) / 1000.0 + 36000 AS hi FROM events),
+ m AS (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM e),
+ i AS (SELECT *, sum(CASE WHEN lo <= e THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS isl FROM m)
+ SELECT user_id, CAST(min(lo) AS DOUBLE) AS lo, CAST(max(hi) AS DOUBLE) AS hi FROM i GROUP BY user_id, isl""")
+def interval_union(spark, d):
+    """J15."""
+    e = _t(spark, d, "events").select("user_id", (F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0).alias("lo"))
+    return bandjoin.union_intervals(e.withColumn("hi", F.col("lo") + 36000), "lo", "hi", ["user_id"])
+
+
+@query(f"WITH {_SQL_SPECTRA}, {_SQL_POOL} SELECT pid FROM po WHERE EXISTS (SELECT 1 FROM sp WHERE po.mass >= sp.precursor - 0.002 AND po.mass <= sp.precursor + 0.002)")
+def interval_semi_join(spark, d):
+    """spectra's intervals merged, then pool members inside."""
+    s = _spectra(spark, d).select((F.col("precursor") - 0.002).alias("lo"), (F.col("precursor") + 0.002).alias("hi"))
+    merged = bandjoin.union_intervals(s, "lo", "hi")
+    return bandjoin.in_intervals(_pool(spark, d), merged, "mass", 0.5).select("pid")
+
+
+@query(f"""WITH {_SQL_POOL}, n AS (SELECT a.pid, b.pid AS other, abs(b.mass - a.mass) AS gap, row_number() OVER (PARTITION BY a.pid ORDER BY abs(b.mass - a.mass), b.pid) AS rank FROM po a JOIN po b ON a.key = b.key AND a.pid <> b.pid)
+ SELECT pid, other, round(gap, 6) AS gap, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 3""")
+def mass_knn(spark, d):
+    """J27."""
+    out = bandjoin.nearest_values(_pool(spark, d), "pid", "mass", "key", 3)
+    return out.select("pid", "other", F.round("gap", 6).alias("gap"), "rank")
+
+
+@query(f"""WITH {_SQL_PEAKS}, f AS (SELECT *, max(it) OVER (PARTITION BY sid) AS top FROM pk), r AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY it DESC, mz) AS n FROM f WHERE it >= 0.1 * top)
+ SELECT sid, round(mz, 6) AS mz, round(it, 6) AS it FROM r WHERE n <= 8""")
+def peak_floor_topk(spark, d):
+    """P3, P4."""
+    return _long(_arrays(spark, d).withColumn("peaks", peaks.strongest(peaks.floor_relative(F.col("peaks"), 0.1), 8)), "sid")
+
+
+@query(f"""WITH {_SQL_PEAKS}, {_SQL_SPECTRA}, j AS (SELECT sid, mz, it, precursor, max(it) OVER (PARTITION BY sid) AS top FROM pk JOIN sp USING (sid)), c AS (SELECT sid, mz, it / top AS it FROM j WHERE mz <= precursor - 300)
+ , k AS (SELECT *, max(it) OVER (PARTITION BY sid) AS t2 FROM c), r AS (SELECT sid, mz, sqrt(it) AS it, row_number() OVER (PARTITION BY sid ORDER BY it DESC, mz) AS n FROM k WHERE it >= 0.05 * t2), z AS (SELECT *, max(it) OVER (PARTITION BY sid) AS t3 FROM r WHERE n <= 12)
+ SELECT sid, round(mz, 6) AS mz, round(it / t3, 6) AS it FROM z""")
+def filter_chain(spark, d):
+    """P1, P2, P6, P8, P9, P10."""
+    rows = _arrays(spark, d).join(_spectra(spark, d), "sid")
+    return _long(rows.withColumn("peaks", peaks.filter_chain(F.col("peaks"), F.col("precursor"), buffer=-300.0, floor=0.05, k=12)), "sid")
+
+
+@query(f"""WITH {_SQL_PEAKS}, n AS (SELECT sid, mz, it / sum(it) OVER (PARTITION BY sid) AS p FROM pk), e AS (SELECT *, -sum(p * ln(p)) OVER (PARTITION BY sid) AS s FROM n),
+ w AS (SELECT sid, mz, CASE WHEN s < 3 THEN pow(p, 0.25 + 0.25 * s) ELSE p END AS v FROM e) SELECT sid, round(mz, 6) AS mz, round(v / sum(v) OVER (PARTITION BY sid) + 1e-9, 6) AS it FROM w""")
+def entropy_weighting(spark, d):
+    """P11, P12."""
+    rows = _arrays(spark, d).select("sid", F.explode(peaks.entropy_weighted(F.col("peaks"))).alias("p"))
+    return rows.select("sid", F.round("p.mz", 6).alias("mz"), F.round(F.col("p.it") + 1e-9, 6).alias("it"))
+
+
+@query(f"""WITH {_SQL_PEAKS}, q AS (SELECT *, count(*) OVER (PARTITION BY sid) AS n, row_number() OVER (PARTITION BY sid, floor(mz / 100) ORDER BY it DESC, mz) AS k FROM pk),
+ p AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY CAST(k <= 2 AS INT) DESC, it DESC, mz) AS r FROM q) SELECT sid, round(mz, 6) AS mz, it FROM p WHERE n <= 16 OR r <= 16""")
+def window_quota_peaks(spark, d):
+    """P5."""
+    return peaks.window_quota(_peaks(spark, d), ["sid"], 16, 100.0, 2).select("sid", F.round("mz", 6).alias("mz"), "it")
+
+
+@query(f"""WITH {_SQL_PEAKS}, b AS (SELECT sid, CAST(floor((mz - 50) / ((1074.0 - 50) / 512)) AS INTEGER) AS bin, sqrt(max(it)) AS v FROM pk WHERE mz >= 50 AND mz < 1074 GROUP BY ALL)
+ SELECT sid, bin, round(v / max(v) OVER (PARTITION BY sid), 6) AS v FROM b""")
+def bin_spectrum(spark, d):
+    """P16, P18."""
+    return peaks.binned(_peaks(spark, d), ["sid"], 50.0, 1074.0, 512).select("sid", "bin", F.round("v", 6).alias("v"))
+
+
+@query(f"""WITH {_SQL_PEAKS}, {_SQL_SPECTRA} SELECT sid, CAST(floor((precursor - mz) / 0.5) AS INTEGER) AS bin, max(it) AS v FROM pk JOIN sp USING (sid) WHERE mz < precursor GROUP BY ALL""")
+def neutral_loss_bins(spark, d):
+    """P17."""
+    rows = _arrays(spark, d).join(_spectra(spark, d), "sid").select("sid", F.explode(peaks.neutral_losses(F.col("peaks"), F.col("precursor"))).alias("p"))
+    return rows.groupBy("sid", F.floor(F.col("p.mz") / 0.5).cast("int").alias("bin")).agg(F.max("p.it").alias("v"))
+
+
+@query(f"""WITH {_SQL_PEAKS}, n AS (SELECT *, lag(mz) OVER w AS lm, lag(it) OVER w AS li, lead(mz) OVER w AS rm, lead(it) OVER w AS ri FROM pk WINDOW w AS (PARTITION BY sid ORDER BY mz))
+ SELECT sid, round(mz, 6) AS mz, round(it, 6) AS it FROM n WHERE NOT coalesce(rm - mz < 8 AND ri >= it, false) AND NOT coalesce(mz - lm < 8 AND it < li, false)""")
+def merge_close_peaks(spark, d):
+    """G4."""
+    return _long(_arrays(spark, d).withColumn("peaks", peaks.merge_close(F.col("peaks"), 8.0)), "sid")
+
+
+@query()
+def anchored_pooling(spark, d):
+    """Peaks of a molecule's spectra, base-normalised, pooled."""
+    rows = _arrays(spark, d).withColumn("peaks", peaks.base_normalise(F.col("peaks"))).join(_spectra(spark, d), "sid")
+    together = rows.groupBy("mol").agg(F.array_sort(F.flatten(F.collect_list("peaks"))).alias("peaks"))
+    return _long(together.withColumn("peaks", peaks.pool(F.col("peaks"), 0.5)), "mol")
+
+
+@query()
+def isotope_filter(spark, d):
+    """P7."""
+    return _long(_arrays(spark, d).withColumn("peaks", peaks.drop_isotopes(F.col("peaks"), 0.25)), "sid")
+
+
+@query()
+def entropy_similarity(spark, d):
+    """K1-K5: neighbours in precursor."""
+    s = _spectra(spark, d).join(_arrays(spark, d), "sid").withColumn("peaks", peaks.clean(F.col("peaks"), k=32))
+    other = s.select(F.col("sid").alias("oid"), F.col("precursor").alias("mass"), F.col("peaks").alias("ref"))
+    pairs = bandjoin.absolute_join(s, other, "precursor", "mass", 0.02).where("sid < oid")
+    return pairs.select("sid", "oid", F.round(similarity.shifted_entropy_similarity(F.col("peaks"), F.col("ref"), 0.5, F.col("precursor") - F.col("mass")), 6).alias("score"))
+
+
+@query()
+def greedy_cosine(spark, d):
+    """K8-K11."""
+    s = _spectra(spark, d).join(_arrays(spark, d), "sid").select("sid", "precursor", F.col("peaks.mz").alias("mz"), F.col("peaks.it").alias("it"))
+    other = s.select(F.col("sid").alias("oid"), F.col("precursor").alias("mass"), F.col("mz").alias("omz"), F.col("it").alias("oit"))
+    pairs = bandjoin.absolute_join(s, other, "precursor", "mass", 0.02).where("sid < oid")
+    c = similarity.product_cosine(0.5)("mz", "it", "omz", "oit", F.col("precursor") - F.col("mass"))
+    return pairs.withColumn("c", c).select("sid", "oid", F.round("c.score", 6).alias("score"), "c.matches")
+
+
+_SQL_FP = "fp AS (SELECT vec_id, label, [CAST(x > 0 AS INT) FOR x IN embedding] AS b FROM embeddings)"
+_SQL_TANI = "CAST(list_sum([a.b[i] * c.b[i] FOR i IN range(1, 65)]) AS DOUBLE)"
+
+
+@query(f"""WITH {_SQL_FP}, p AS (SELECT a.vec_id AS q, c.vec_id AS vec_id, {_SQL_TANI} AS x, list_sum(a.b) AS na, list_sum(c.b) AS nc FROM fp a JOIN fp c ON a.label = c.label AND a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+ s AS (SELECT q, vec_id, round(x / (na + nc - x + 1e-9), 6) AS score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s)
+ SELECT q, vec_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def fp_tanimoto_topk(spark, d):
+    """Each query's class holds its candidates."""
+    e = _t(spark, d, "embeddings").select("vec_id", "label", _words("embedding").alias("fp"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", F.col("fp").alias("qfp"))
+    s = q.join(e, "label").where("q <> vec_id").select("q", "vec_id", F.round(similarity.tanimoto(F.col("qfp"), F.col("fp")), 6).alias("score"))
+    return rank.top_k(s, ["q"], [F.desc("score"), F.asc("vec_id")], 5)
+
+
+@query(f"""WITH {_SQL_FP}, p AS (SELECT a.vec_id AS q, c.vec_id AS vec_id, list_sum([e.embedding[i] * c.b[i] FOR i IN range(1, 65)]) AS z, list_sum(c.b) AS n FROM fp a JOIN fp c ON a.label = c.label AND a.vec_id <> c.vec_id JOIN embeddings e ON e.vec_id = a.vec_id WHERE a.vec_id % 50 = 0)
+ SELECT q, vec_id, round(z / sqrt(greatest(n, 1)), 3) + 0.0 AS score FROM p""")
+def logit_dot(spark, d):
+    """K16, R18."""
+    e = _t(spark, d, "embeddings")
+    bits = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+    c = e.select("vec_id", "label", bits.alias("bits"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", F.col("embedding").cast("array<double>").alias("z"))
+    return q.join(c, "label").where("q <> vec_id").select("q", "vec_id", (F.round(similarity.logit_score(F.col("bits"), F.col("z")), 3) + 0.0).alias("score"))
+
+
+@query("""SELECT a.vec_id AS q, c.vec_id AS vec_id, round(list_sum([CAST(a.embedding[i] AS DOUBLE) * c.embedding[i] FOR i IN range(1, 65)]) / sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN a.embedding]) * list_sum([CAST(x AS DOUBLE) * x FOR x IN c.embedding])), 4) AS score
+ FROM embeddings a JOIN embeddings c ON a.label = c.label AND a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0""")
+def embedding_cosine(spark, d):
+    """K13, K17."""
+    e = _t(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", F.col("embedding").alias("qe"))
+    return q.join(e, "label").where("q <> vec_id").select("q", "vec_id", F.round(similarity.cosine(F.col("qe"), F.col("embedding")), 4).alias("score"))
+
+
+@query("""WITH b AS (SELECT i, CAST(sum(CAST(embedding[i] > 0 AS INT)) AS BIGINT) AS n FROM embeddings, range(1, 65) AS r(i) GROUP BY i), t AS (SELECT count(*) AS all_n FROM embeddings), w AS (SELECT i, n, ln(1 + 1 / (CAST(n AS DOUBLE) / all_n + 1e-4)) AS w FROM b, t)
+ SELECT CAST(i - 1 AS INTEGER) AS bit, n, round(pow(w / avg(w) OVER (), 2), 6) AS weight FROM w""")
+def bit_idf(spark, d):
+    """K14, K15, A13."""
+    e = _t(spark, d, "embeddings")
+    bits = e.select(F.posexplode("embedding").alias("bit", "x")).groupBy("bit").agg(F.count_if(F.col("x") > 0).alias("n"), F.count("*").alias("all_n"))
+    w = bits.withColumn("w", F.ln(1 + 1 / (F.col("n") / F.col("all_n") + 1e-4)))
+    return w.select("bit", "n", F.round(F.pow(F.col("w") / F.avg("w").over(Window.partitionBy(F.lit(1))), F.lit(2.0)), 6).alias("weight"))
+
+
+_SQL_LISTS = """a AS (SELECT o_orderpriority AS g, o_custkey AS key, row_number() OVER (PARTITION BY o_orderpriority ORDER BY max(o_totalprice) DESC, o_custkey) AS rank FROM orders GROUP BY 1, 2),
+ b AS (SELECT o_orderpriority AS g, o_custkey AS key, row_number() OVER (PARTITION BY o_orderpriority ORDER BY count(*) DESC, o_custkey) AS rank FROM orders GROUP BY 1, 2)"""
+
+
+def _lists(spark, d):
+    o = _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("g"), F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("v"), F.count("*").alias("n"))
+    return rank.top_k(o, ["g"], [F.desc("v"), F.asc("key")], 40), rank.top_k(o, ["g"], [F.desc("n"), F.asc("key")], 40)
+
+
+@query(f"""WITH {_SQL_LISTS}, u AS (SELECT g, key, 0 AS src, rank, 1.0 / (3 + rank) AS s FROM a WHERE rank <= 40 UNION ALL SELECT g, key, 1, rank, 0.5 / (3 + rank) FROM b WHERE rank <= 40),
+ f AS (SELECT g, key, sum(s) AS score, min(src * 1000 + rank) AS first FROM u GROUP BY g, key), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(score, 12) DESC, first, key) AS rank FROM f)
+ SELECT g, key, round(CAST(score AS DOUBLE), 9) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 25""")
+def rrf_fusion(spark, d):
+    """R2, W13."""
+    a, b = _lists(spark, d)
+    return fuse.rrf([(a, 1.0), (b, 0.5)], "g", "key", 3.0, 25).select("g", "key", F.round("score", 9).alias("score"), "rank")
+
+
+@query()
+def slot_merge(spark, d):
+    """Held against the step-by-step merge in tests."""
+    a, b = _lists(spark, d)
+    return fuse.slot_merge(a.where("rank <= 20"), b, "g", "key", [3, 7, 11], 25)
+
+
+@query(f"""WITH {_SQL_LISTS}, u AS (SELECT g, key, 0 AS src, rank AS r FROM a WHERE rank <= 5 UNION ALL SELECT g, key, 1, rank FROM b WHERE rank <= 40), f AS (SELECT *, row_number() OVER (PARTITION BY g, key ORDER BY src, r) AS n FROM u),
+ r AS (SELECT g, key, src, row_number() OVER (PARTITION BY g ORDER BY src, r, key) AS rank FROM f WHERE n = 1) SELECT g, key, CAST(src AS INTEGER) AS src, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 25""")
+def backfill_fill(spark, d):
+    """T11, T12, L2, L5, L7."""
+    a, b = _lists(spark, d)
+    return fuse.backfill([a.where("rank <= 5"), b], "g", "key", 25)
+
+
+@query(f"WITH {_SQL_LISTS} SELECT g, key, CAST(row_number() OVER (PARTITION BY g ORDER BY CAST(key % 7 = 0 AS INT) DESC, rank, key) AS INTEGER) AS rank FROM a WHERE rank <= 40")
+def rank1_shield(spark, d):
+    """T8."""
+    a, _ = _lists(spark, d)
+    return fuse.pin_leader(a, "g", F.col("key") % 7 == 0, "key").select("g", "key", "rank")
+
+
+@query(f"WITH {_SQL_LISTS} SELECT g, string_agg(CAST(key AS VARCHAR), ';' ORDER BY rank) AS items FROM a WHERE rank <= 40 GROUP BY g")
+def list_sink(spark, d):
+    """Joined, split, joined again."""
+    a, _ = _lists(spark, d)
+    return fuse.joined_list(fuse.split_list(fuse.joined_list(a, "g", "key"), "g", "items", "key"), "g", "key")
+
+
+@query(f"""WITH {_SQL_POOL}, w AS (SELECT pid, key, (row_number() OVER (PARTITION BY key ORDER BY mass DESC, pid) - 1) / greatest(count(*) OVER (PARTITION BY key) - 1, 1) AS rn,
+ CASE WHEN stddev_pop(mass) OVER (PARTITION BY key) > 1e-9 THEN (mass - avg(mass) OVER (PARTITION BY key)) / stddev_pop(mass) OVER (PARTITION BY key) ELSE 0 END AS z, mass - max(mass) OVER (PARTITION BY key) AS gap FROM po)
+ SELECT pid, round(rn, 6) AS rn, round(z, 5) AS z, round(gap, 5) AS gap FROM w""")
+def rank_features(spark, d):
+    """W1, W5-W9."""
+    p = _pool(spark, d)
+    cols = [rank.ordinal_rank_norm(["key"], [F.desc("mass"), F.asc("pid")]), rank.z_score(["key"], "mass", 0), rank.relative_to_best(["key"], "mass")]
+    return p.select("pid", F.round(cols[0], 6).alias("rn"), F.round(cols[1], 5).alias("z"), F.round(cols[2], 5).alias("gap"))
+
+
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, (rank() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_linenumber) - 1 + (count(*) OVER (PARTITION BY l_partkey, l_quantity, l_linenumber) - 1) / 2) / greatest(count(*) OVER (PARTITION BY l_partkey) - 1, 1) AS r FROM lineitem)
+ SELECT l_partkey, l_quantity, l_linenumber, round(r, 6) AS r FROM w""")
+def two_tier_rank(spark, d):
+    """W2-W4."""
+    li = _t(spark, d, "lineitem")
+    return li.select("l_partkey", "l_quantity", "l_linenumber", F.round(rank.average_rank_norm(["l_partkey"], "l_quantity", ["l_linenumber"]), 6).alias("r"))
+
+
+@query(f"""WITH {_SQL_POOL}, k AS (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY mass DESC, pid) AS n FROM po) SELECT source, key, pid, CAST(row_number() OVER (PARTITION BY source ORDER BY mass DESC, pid) AS INTEGER) AS rank FROM k WHERE n = 1""")
+def keep_first_dedup(spark, d):
+    """L2, L8, R10."""
+    return rank.keep_first(_pool(spark, d), ["source"], "key", [F.desc("mass"), F.asc("pid")]).select("source", "key", "pid", "rank")
+
+
+@query(f"WITH {_SQL_POOL}, k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source, mass, pid) AS n FROM po) SELECT key, pid, source FROM k WHERE n = 1")
+def source_priority_dedup(spark, d):
+    """L1, L3, L4, J17."""
+    return rank.first_by(_pool(spark, d), ["key"], [F.asc("source"), F.asc("mass"), F.asc("pid")]).select("key", "pid", "source")
+
+
+@query("""WITH h AS (SELECT doc_id, sha256('v' || text) AS digest FROM documents WHERE text IS NOT NULL) SELECT min(doc_id) AS doc_id, digest FROM h GROUP BY digest""")
+def content_hash_dedup(spark, d):
+    """L6, S22."""
+    return split.content_dedup(_t(spark, d, "documents").where("text is not null"), ["text"], "doc_id").select("doc_id", "digest")
+
+
+@query("""SELECT l_partkey, round(max(l_discount), 6) AS best, round(avg(l_discount), 6) AS mean, round(coalesce(stddev_pop(l_discount), 0), 6) AS sd, count(*) FILTER (l_discount > 0.05) AS strong, round(max(l_discount) + 0.1 * avg(l_discount) + 0.02 * least(count(*), 5) + 1e-9, 6) AS composite,
+ median(l_quantity) AS mid FROM lineitem GROUP BY l_partkey""")
+def evidence_agg(spark, d):
+    """G7-G9, A5."""
+    x = F.col("l_discount")
+    return _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.max(x), 6).alias("best"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("sd"), F.count_if(x > 0.05).alias("strong"), F.round(F.max(x) + 0.1 * F.avg(x) + 0.02 * F.least(F.count("*"), F.lit(5)) + 1e-9, 6).alias("composite"), F.median("l_quantity").alias("mid"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS n FROM lineitem) SELECT l_partkey, max(l_quantity) AS top, round(avg(l_quantity), 6) AS mean3 FROM r WHERE n <= 3 GROUP BY l_partkey""")
+def top3_mean(spark, d):
+    """A9."""
+    out = linkage.top_three_mean(_t(spark, d, "lineitem"), ["l_partkey"], "l_quantity", "l_orderkey")
+    return out.select("l_partkey", "top", F.round("mean3", 6).alias("mean3"))
+
+
+@query(f"WITH {_SQL_POOL}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY mass DESC, pid) AS n FROM po) SELECT pid, key, round(mass, 6) AS mass FROM r WHERE n = 1")
+def mutual_best(spark, d):
+    """A14, A15, G10."""
+    return linkage.exclusive(_pool(spark, d), "pid", "key", "mass").select("pid", "key", F.round("mass", 6).alias("mass"))
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderstatus) AS k FROM c) SELECT o_custkey, o_orderstatus, n FROM r WHERE k = 1""")
+def mode_majority(spark, d):
+    """A8, G5."""
+    c = _t(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
+    return rank.first_by(c, ["o_custkey"], [F.desc("n"), F.asc("o_orderstatus")])
+
+
+@query(f"""WITH {_SQL_FP}, e AS (SELECT a.vec_id AS src, c.vec_id AS dst, {_SQL_TANI} / (list_sum(a.b) + list_sum(c.b) - {_SQL_TANI} + 1e-9) AS w FROM fp a JOIN fp c ON a.label = c.label AND a.vec_id <> c.vec_id)
+ SELECT src, dst, round(w, 6) AS w FROM e WHERE w >= 0.45""")
+def network_edges(spark, d):
+    """J22."""
+    e = _t(spark, d, "embeddings").select("vec_id", "label", _words("embedding").alias("fp"))
+    out = network.edges(e, "vec_id", "label", lambda a, b: similarity.tanimoto(F.col(f"{a}.fp"), F.col(f"{b}.fp")), 0.45)
+    return out.select("src", "dst", F.round("w", 6).alias("w"))
+
+
+@query()
+def neighbor_propagation(spark, d):
+    """Lists of vectors' own classes, reranked by neighbours."""
+    e = _t(spark, d, "embeddings").select("vec_id", "label", _words("embedding").alias("fp"))
+    graph = network.edges(e, "vec_id", "label", lambda a, b: similarity.tanimoto(F.col(f"{a}.fp"), F.col(f"{b}.fp")), 0.5)
+    c = e.select(F.col("vec_id").alias("key"), F.col("label").alias("l2"), F.col("fp").alias("features"))
+    lists = e.join(c, F.col("l2") == (F.col("label") + 1) % 10).withColumn("s", similarity.tanimoto(F.col("fp"), F.col("features")))
+    lists = rank.top_k(lists, ["vec_id"], [F.desc(F.round("s", 9)), F.asc("key")], 10).select("vec_id", "key", "rank", "features")
+    support = network.propagate(graph, lists, "vec_id", similarity.tanimoto)
+    out = network.rerank(lists, support, "vec_id", 0.5, F.col("vec_id") % 2 == 0)
+    return out.select("vec_id", "key", "rank", F.round("support", 6).alias("support"))
+
+
+@query("""WITH k AS (SELECT doc_id, source, lang, unnest(list_distinct(string_split(lower(regexp_replace(substr(coalesce(text, ''), 1, 40), '[^A-Za-z0-9]+', ' ', 'g')), ' '))) AS t FROM documents),
+ p AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS n FROM k WHERE length(t) >= 8) SELECT DISTINCT a.doc_id AS lid, b.doc_id AS rid FROM k a JOIN p b ON a.t = b.t AND b.n <= 20 AND (a.lang = b.lang OR a.lang IS NULL OR b.lang IS NULL) WHERE a.doc_id <> b.doc_id""")
+def blocking_join_capped(spark, d):
+    """Names are the first 40 characters."""
+    core = F.lower(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), "[^A-Za-z0-9]+", " "))
+    tokens = F.filter(F.array_distinct(F.split(core, " ")), lambda t: F.length(t) >= 8)
+    docs = _t(spark, d, "documents").select("doc_id", "lang", F.transform(tokens, lambda t: F.struct(F.lit("token").alias("kind"), t.alias("value"))).alias("keys"))
+    left, right = docs.withColumnsRenamed({"doc_id": "lid", "lang": "ll"}), docs.withColumnsRenamed({"doc_id": "rid", "lang": "rl"})
+    same = (F.col("ll") == F.col("rl")) | F.col("ll").isNull() | F.col("rl").isNull()
+    return linkage.block(left, right, "keys", "lid", "rid", {"token": 20}, same & (F.col("lid") != F.col("rid")))
+
+
+@query(f"""WITH {_SQL_LISTS}, t AS (SELECT o_orderpriority AS g, min(o_custkey) FILTER (o_totalprice > 400000) AS key FROM orders GROUP BY 1), h AS (SELECT t.g, min(a.rank) AS hit FROM t LEFT JOIN a ON a.g = t.g AND a.key = t.key AND a.rank <= 40 GROUP BY t.g)
+ SELECT count(*) AS n, round(avg(CASE WHEN hit <= 25 THEN 1.0 / hit ELSE 0 END), 6) AS mrr, avg(CASE WHEN hit <= 1 THEN 1.0 ELSE 0 END) AS recall_1, avg(CASE WHEN hit <= 25 THEN 1.0 ELSE 0 END) AS recall_k FROM h""")
+def mrr_recall(spark, d):
+    """A16, A18."""
+    a, _ = _lists(spark, d)
+    truth = _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("g")).agg(F.min(F.when(F.col("o_totalprice") > 400000, F.col("o_custkey"))).alias("key"))
+    m = rank.retrieval_metrics(rank.hit_ranks(truth, a, "g", "key"), 25)
+    return m.select("n", F.round("mrr", 6).alias("mrr"), "recall_1", "recall_k")
+
+
+@query("""WITH m AS (SELECT o_custkey, o_totalprice, o_orderkey, o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS t FROM orders), b AS (SELECT *, max(CASE WHEN t THEN o_totalprice END) OVER (PARTITION BY o_custkey) AS p FROM m)
+ SELECT o_custkey, 1 + count(*) FILTER (NOT t AND o_totalprice >= p) AS rank FROM b GROUP BY o_custkey""")
+def pessimistic_rank(spark, d):
+    """A17."""
+    o = _t(spark, d, "orders").withColumn("t", F.col("o_orderkey") == F.min("o_orderkey").over(Window.partitionBy("o_custkey")))
+    return rank.pessimistic_rank(o, ["o_custkey"], "t", "o_totalprice")
+
+
+@query("""WITH p AS (SELECT (l.doc_id % 100) / 100.0 AS p, CAST(l.quality AS DOUBLE) AS y FROM labels l), b AS (SELECT CAST(floor(p * 10) AS INTEGER) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM p GROUP BY 1)
+ SELECT bin, n, round(CAST(mp AS DOUBLE), 6) AS mean_p, round(my, 6) AS mean_y FROM b""")
+def calibration_ece(spark, d):
+    """A19."""
+    rows = _t(spark, d, "labels").select(((F.col("doc_id") % 100) / 100.0).alias("p"), F.col("quality").cast("double").alias("y"))
+    return rank.calibration_error(rows, "p", "y").select("bin", "n", F.round("mean_p", 6).alias("mean_p"), F.round("mean_y", 6).alias("mean_y"))
+
+
+@query("SELECT lang, bool_and(source IN ('src1', 'src2')) AS held FROM documents GROUP BY lang")
+def library_split(spark, d):
+    """V2, V3, A7."""
+    return split.group_split(_t(spark, d, "documents"), "lang", "source", ["src1", "src2"], "all")
+
+
+@query("""WITH k AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders), r AS (SELECT o_custkey, row_number() OVER (ORDER BY sha256('s1' || o_custkey)) AS n, count(*) OVER () AS c FROM k)
+ SELECT o_custkey, n <= greatest(2, floor(c * 0.15)) AS held FROM r""")
+def hash_split(spark, d):
+    """V1, V4, V6."""
+    return split.hash_holdout(_t(spark, d, "orders"), "o_custkey", 0.15, "s1")
+
+
+@query("""WITH k AS (SELECT c_custkey FROM customer), t AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders)
+ SELECT c_custkey, CASE WHEN c_custkey IN (SELECT k FROM t) THEN 1 WHEN c_custkey IN (SELECT k FROM b) THEN 2 ELSE 3 END AS novelty FROM k""")
+def novelty_class(spark, d):
+    """V5, J20, J21."""
+    o = _t(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return split.novelty(_t(spark, d, "customer"), o.where("o_orderstatus = 'F'"), o, "c_custkey")
+
+
+@query("""SELECT count(*) AS n, count(text) AS has_text, count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources, median(n_chars) AS mid, max(n_chars) AS most FROM documents""")
+def profile_nulls(spark, d):
+    """A6, A20, G11."""
+    return _t(spark, d, "documents").agg(F.count("*").alias("n"), F.count("text").alias("has_text"), F.count_distinct("lang").alias("langs"), F.count_distinct("source").alias("sources"), F.median("n_chars").alias("mid"), F.max("n_chars").alias("most"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS k FROM events GROUP BY ALL")
+def json_fields(spark, d):
+    """F10, F4, S11."""
+    e = _t(spark, d, "events").withColumn("p", F.from_json("props", "k int"))
+    return e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k"))
+
+
+@query(f"""WITH {_SQL_SPECTRA}, a AS (SELECT sid, precursor, ['[M+H]+', '[M+Na]+', '[2M-H]-', '[M+2H]2+', '?'][1 + sid % 5] AS adduct FROM sp)
+ SELECT sid, round(CASE adduct WHEN '[M+H]+' THEN precursor - 1.0072764521 WHEN '[M+Na]+' THEN precursor - 22.9892207010 WHEN '[2M-H]-' THEN (precursor + 1.0072764521) / 2 WHEN '[M+2H]2+' THEN precursor * 2 - 2.0145529041 END, 6) AS mass FROM a""")
+def neutral_masses(spark, d):
+    """F1."""
+    names = F.array(*[F.lit(x) for x in ("[M+H]+", "[M+Na]+", "[2M-H]-", "[M+2H]2+", "?")])
+    s = _spectra(spark, d).withColumn("adduct", F.element_at(names, (1 + F.col("sid") % 5).cast("int")))
+    return s.select("sid", F.round(chem.neutral_mass(F.col("precursor"), F.col("adduct")), 6).alias("mass"))
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+@query()
+def id_signature(spark, d):
+    """S24, S25."""
+    return tables.signature(_t(spark, d, "documents"), "doc_id")
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Monoisotopic masses and the electron's. Fixed values.
 MASS = {"C": 12.0, "H": 1.00782503207, "N": 14.0030740048, "O": 15.9949146196, "P": 30.97376163, "S": 31.97207100, "F": 18.99840322, "Cl": 34.96885268, "Br": 78.9183371, "I": 126.904473, "Na": 22.9897692809, "K": 38.96370668, "Si": 27.9769265325, "B": 11.0093054, "Se": 79.9165213}
@@ -179,7 +180,7 @@ def hill_formula(elements: list[str], hydrogens: list[int]) -> str:
     return "".join(e + (str(counts[e]) if counts[e] > 1 else "") for e in order)
 
 
-@F.pandas_udf("formula string, mass double")
+@F.pandas_udf(T.StructType([T.StructField("formula", T.StringType()), T.StructField("mass", T.DoubleType())]))
 def smiles_formula(smiles: pd.Series) -> pd.DataFrame:
     """Formula and monoisotopic mass of SMILES; null if unreadable."""
     out = []
@@ -218,7 +219,7 @@ def fragments(elements: list[str], hydrogens: list[int], bonds: list[tuple], bre
     return found
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def fragment_masses(smiles: pd.Series) -> pd.Series:
     """Ascending component masses of up to two bond breaks; null if unreadable."""
     out = []

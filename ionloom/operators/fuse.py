@@ -108,5 +108,5 @@ def joined_list(df: DataFrame, group: str, key: str, sep: str = ";") -> DataFram
 
 def split_list(df: DataFrame, group: str, column: str, key: str, sep: str = ";") -> DataFrame:
     """The reverse: (group, key, rank), blanks dropped."""
-    items = F.filter(F.transform(F.split(column, sep), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(column, sep), lambda x: F.trim(x)), lambda x: x != "")
     return df.select(group, F.posexplode(items).alias("p", key)).select(group, key, (F.col("p") + 1).alias("rank"))

@@ -18,7 +18,7 @@ def block_keys(name: Column, number: Column | None = None, generic: list[str] =
     """(kind, value) keys of a record: core name, alias parts, sorted tokens, tokens run together, telling tokens, number with first token."""
     core = core_name(name)
     tokens = F.filter(F.split(core, " "), lambda t: t != "")
-    parts = F.transform(F.split(F.lower(F.coalesce(name, F.lit(""))), _ALIAS), core_name)
+    parts = F.transform(F.split(F.lower(F.coalesce(name, F.lit(""))), _ALIAS), lambda p: core_name(p))
     together = F.regexp_replace(core, " ", "")
     key = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
     telling = F.filter(F.array_distinct(tokens), lambda t: (F.length(t) >= least) & ~t.isin(list(generic) or [""]))

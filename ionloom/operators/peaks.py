@@ -18,6 +18,11 @@ def make(mz: Column, it: Column) -> Column:
     return F.array_sort(good)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value evaluated once: what a lambda takes from outside it is else evaluated for each element."""
+    return F.element_at(F.transform(F.array(value), lambda v: f(v)), F.lit(1))
+
+
 def _map(peaks: Column, f) -> Column:
     return F.transform(peaks, lambda p: F.struct(p["mz"].alias("mz"), f(p).alias("it")))
 
@@ -35,23 +40,20 @@ def cut_precursor(peaks: Column, precursor: Column, buffer: float) -> Column:
 
 
 def base_normalise(peaks: Column) -> Column:
-    top = top_intensity(peaks)
-    return F.when(top > 0, _map(peaks, lambda p: p["it"] / top)).otherwise(peaks)
+    return let(peaks, lambda x: let(top_intensity(x), lambda top: F.when(top > 0, _map(x, lambda p: p["it"] / top)).otherwise(x)))
 
 
 def sum_normalise(peaks: Column) -> Column:
-    s = total(peaks)
-    return F.when(s > 0, _map(peaks, lambda p: p["it"] / s)).otherwise(peaks)
+    return let(peaks, lambda x: let(total(x), lambda s: F.when(s > 0, _map(x, lambda p: p["it"] / s)).otherwise(x)))
 
 
 def unit_normalise(peaks: Column) -> Column:
-    norm = F.sqrt(F.aggregate(peaks, F.lit(0.0), lambda a, p: a + p["it"] * p["it"]))
-    return F.when(norm > 0, _map(peaks, lambda p: p["it"] / norm)).otherwise(peaks)
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, p: a + p["it"] * p["it"]))
+    return let(peaks, lambda x: let(norm(x), lambda n: F.when(n > 0, _map(x, lambda p: p["it"] / n)).otherwise(x)))
 
 
 def floor_relative(peaks: Column, share: float) -> Column:
-    top = top_intensity(peaks)
-    return F.filter(peaks, lambda p: p["it"] >= share * top)
+    return let(peaks, lambda x: let(top_intensity(x), lambda top: F.filter(x, lambda p: p["it"] >= share * top)))
 
 
 def strongest(peaks: Column, k: int) -> Column:
@@ -67,10 +69,8 @@ def powered(peaks: Column, kind: str) -> Column:
 
 def require(peaks: Column, least: int, raw_top: Column | None = None, raw_least: float = 0.0) -> Column:
     """The peaks, or none if there are fewer than `least` or the raw base peak is too low."""
-    ok = F.size(peaks) >= least
-    if raw_top is not None:
-        ok = ok & (raw_top.isNull() | (raw_top >= raw_least))
-    return F.when(ok, peaks).otherwise(F.array().cast(PEAKS))
+    high = F.lit(True) if raw_top is None else raw_top.isNull() | (raw_top >= raw_least)
+    return let(peaks, lambda x: F.when((F.size(x) >= least) & high, x).otherwise(F.array().cast(PEAKS)))
 
 
 def drop_isotopes(peaks: Column, tol: float) -> Column:
@@ -90,9 +90,8 @@ def entropy(peaks: Column) -> Column:
 
 def entropy_weighted(peaks: Column) -> Column:
     """Sum-normalised; below an entropy of 3, intensities are raised to 0.25 + 0.25 S and normalised anew."""
-    even = sum_normalise(peaks)
-    s = entropy(even)
-    return F.when(s < 3, sum_normalise(_map(even, lambda p: F.pow(p["it"], 0.25 + 0.25 * s)))).otherwise(even)
+    sharp = lambda x, s: sum_normalise(_map(x, lambda p: F.pow(p["it"], 0.25 + 0.25 * s)))
+    return let(sum_normalise(peaks), lambda x: let(entropy(x), lambda s: F.when(s < 3, sharp(x, s)).otherwise(x)))
 
 
 def clean(peaks: Column, floor: float = 0.002, k: int = 256, power: float = 1.0) -> Column:
@@ -120,6 +119,10 @@ def neutral_losses(peaks: Column, precursor: Column) -> Column:
 
 def merge_close(peaks: Column, tol: float) -> Column:
     """Of two adjacent peaks closer than tol the weaker goes, of equal ones the first; each is compared with its original neighbours."""
+    return let(peaks, lambda x: _merged(x, tol))
+
+
+def _merged(peaks: Column, tol: float) -> Column:
     n = F.size(peaks)
 
     def keep(p, i):
