@@ -32,6 +32,8 @@ K, THRESHOLD = 4, Fraction(85, 100)
 ROUNDS, WAVES = 3, 3
 #: Nodes of a region that one step of the exhaustive join holds at most, twice.
 BLOCK = 2048
+#: Region rows of one cluster that go to one task, and pairs that a task remembers.
+TOGETHER, REMEMBERED = 1024, 500_000
 #: Bits of the filter that tells which nodes' sets are needed; its size doesn't depend on the input.
 FILTER_BITS = 1 << 23
 #: Counts in a node's sketch.
@@ -181,8 +183,8 @@ def _allowed(i, j, c, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
 _FIELDS = ("key", "bi", "bj", "block", "node", "comp", "n", "pivot", "d")
 
 
-def _pairs_of(groups: pa.Table, t: Fraction) -> pa.RecordBatch:
-    """Allowed pairs within the groups (key, bi, bj), which are whole and sorted."""
+def _pairs_of(groups: pa.Table, t: Fraction) -> np.ndarray:
+    """Allowed pairs (x, y, apart) within the groups (key, bi, bj), which are whole and sorted."""
     c = {f: groups[f].to_numpy() for f in _FIELDS}
     c["sketch"] = np.frombuffer(b"".join(groups["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
     n = len(c["key"])
@@ -190,33 +192,32 @@ def _pairs_of(groups: pa.Table, t: Fraction) -> pa.RecordBatch:
     start[1:] = (c["key"][1:] != c["key"][:-1]) | (c["bi"][1:] != c["bi"][:-1]) | (c["bj"][1:] != c["bj"][:-1])
     first = np.flatnonzero(start)
     end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
-    smaller: dict[int, frozenset] = {}
-
-    def less(at: int) -> frozenset:
-        if at not in smaller:
-            smaller[at] = frozenset(groups["less"][at].as_py())
-        return smaller[at]
-
-    out, i, step = [], np.arange(n), 1
+    out, i, step = [np.zeros((0, 3), np.int64)], np.arange(n), 1
     while True:
         i = i[i + step < end[i]]
         if not len(i):
             break
         keep, gap = _allowed(i, i + step, c, t)
-        for at, apart in zip(i[keep].tolist(), gap[keep].tolist(), strict=True):
-            # a pair is taken in the first of its common regions only
-            if less(at).isdisjoint(less(at + step)):
-                a, b = int(c["node"][at]), int(c["node"][at + step])
-                out.append((max(a, b), min(a, b), apart))
+        a, b = c["node"][i[keep]], c["node"][i[keep] + step]
+        out.append(np.stack([np.maximum(a, b), np.minimum(a, b), gap[keep]], 1))
         step += 1
-    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["x", "y", "apart"])
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def _pair_rows(t: Fraction):
-    """Pairs from rows sorted by (key, bi, bj); a group that a batch cuts is held until its end comes."""
+    """Pairs from rows in which groups (key, bi, bj) stand together; a group that a batch cuts is held until its end comes. A pair met before isn't repeated while it is remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        seen: set[tuple[int, int]] = set()
+
+        def fresh(groups: pa.Table) -> pa.RecordBatch:
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            rows = [r for r in _pairs_of(groups, t).tolist() if (r[0], r[1]) not in seen]
+            seen.update((r[0], r[1]) for r in rows)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["x", "y", "apart"])
+
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             held = rows if held is None else pa.concat_tables([held, rows])
@@ -226,26 +227,28 @@ def _pair_rows(t: Fraction):
             same = np.logical_and.reduce([held[f].to_numpy() == v for f, v in zip(("key", "bi", "bj"), last, strict=True)])
             whole = int(np.argmax(same))
             if whole:
-                yield _pairs_of(held.slice(0, whole), t)
+                yield fresh(held.slice(0, whole))
                 held = held.slice(whole)
         if held is not None and len(held):
-            yield _pairs_of(held, t)
+            yield fresh(held)
 
     return run
 
 
 def plausible(rest: DataFrame, about: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (x, y, apart) in one region of (key, node, comp) that may be linked and lie in different components. about: (node, n, sketch, pivot, d)."""
+    """The pairs (x, y, apart) in one region of (key, node, comp, first) that may be linked and lie in different components. about: (node, n, sketch, pivot, d)."""
     whole = Window.partitionBy("key")
-    before = Window.partitionBy("node").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    rest = rest.withColumn("less", F.collect_list("key").over(before))
+    # regions of one cluster go to one task, where pairs that share many are made once; large clusters are spread over several
+    sizes = rest.groupBy("first").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    rest = rest.join(sizes, "first").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("parts")))
     place = (F.row_number().over(whole.orderBy("node")) - 1).alias("place")
-    rows = rest.select("key", "node", "comp", "less", place, F.count("*").over(whole).alias("many"))
+    rows = rest.select("key", "node", "comp", "first", "salt", place, F.count("*").over(whole).alias("many"))
     rows = rows.withColumns({"block": F.floor(F.col("place") / BLOCK).cast("int"), "last": F.floor((F.col("many") - 1) / BLOCK).cast("int")})
     rows = rows.join(about, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     rows = rows.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other"), "pivot": F.coalesce("pivot", F.lit(0)), "d": F.coalesce("d", F.lit(float("nan")))})
-    rows = rows.select(*_FIELDS, "sketch", "less").repartition(F.col("key"), F.col("bi"), F.col("bj")).sortWithinPartitions("key", "bi", "bj")
-    return rows.mapInArrow(_pair_rows(t), "x long, y long, apart int")
+    order = ["first", "salt", "key", "bi", "bj"]
+    rows = rows.repartition("first", "salt", "bi", "bj").sortWithinPartitions(*order).select(*_FIELDS, "sketch")
+    return rows.mapInArrow(_pair_rows(t), "x long, y long, apart long").distinct()
 
 
 def measure(pairs: DataFrame, sets: DataFrame, t: Fraction, paths: list[str]) -> DataFrame:
@@ -312,7 +315,7 @@ def jaccard_nodes(docs: DataFrame, k: int = K, t: Fraction = THRESHOLD) -> tuple
             both = measured.select(F.col("x").alias("node"), F.col("y").alias("pivot"), gap.alias("d")).union(measured.select(F.col("y").alias("node"), F.col("x").alias("pivot"), gap.alias("d")))
             places = cut(both.groupBy("node").agg(F.min_by(F.struct("pivot", "d"), F.struct("d", "pivot")).alias("p")).select("node", "p.pivot", "p.d"), "jaccard-places", paths)
         comps = _joined(measured, comps)
-    pairs = cut(plausible(state.select("key", "node", "comp"), about.join(places, "node", "left"), t), "jaccard-plausible", paths)
+    pairs = cut(plausible(state.select("key", "node", "comp", "first"), about.join(places, "node", "left"), t), "jaccard-plausible", paths)
     # two components need one link only: the likeliest pairs come first, the others if they still part components
     for wave in range(WAVES + 1):
         for side in "xy":
