@@ -29,7 +29,7 @@ from .common import byte_view, chunks, cut, mix, remove, shingle_sets, small_bat
 from .graph import components
 
 K, THRESHOLD = 4, Fraction(85, 100)
-ROUNDS, WAVES = 3, 3
+ROUNDS, WAVES = 3, 1
 #: Nodes of a region that one step of the exhaustive join holds at most, twice.
 BLOCK = 2048
 #: Region rows of one cluster that go to one task, and pairs that a task remembers.
@@ -321,6 +321,8 @@ def jaccard_nodes(docs: DataFrame, k: int = K, t: Fraction = THRESHOLD) -> tuple
         for side in "xy":
             pairs = pairs.join(comps.select(F.col("node").alias(side), F.col("comp").alias("c" + side)), side, "left").withColumn("c" + side, F.coalesce("c" + side, side))
         pairs = pairs.where("cx <> cy")
+        if pairs.isEmpty():
+            break
         chosen = pairs
         if wave < WAVES:
             between = (F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b"))
