@@ -11,7 +11,8 @@ most regions with, of those of another component); a link joins their components
 component needs no more work. After ROUNDS rounds the rest of the regions are joined exhaustively, in blocks of bounded
 size: nodes of different components are paired if their sizes, the triangle inequality (where both know their distance to
 a common pivot) and the L1 distance of two count sketches (at most the symmetric difference) allow a link, and measured.
-So no link between components is lost.
+So no link between components is lost. Before that, in NEAREST waves, each node is only measured against the one of the
+nodes it could be paired with whose sketch is nearest: dense groups become one component without all their pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .common import byte_view, chunks, cut, mix, remove, shingle_sets, small_bat
 from .graph import components
 
 K, THRESHOLD = 4, Fraction(85, 100)
-ROUNDS, WAVES = 3, 1
+ROUNDS, NEAREST, WAVES = 1, 2, 1
 #: Nodes of a region that one step of the exhaustive join holds at most, twice.
 BLOCK = 2048
 #: Region rows of one cluster that go to one task, and pairs that a task remembers.
@@ -204,18 +205,38 @@ def _pairs_of(groups: pa.Table, t: Fraction) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0)
 
 
-def _pair_rows(t: Fraction):
-    """Pairs from rows in which groups (key, bi, bj) stand together; a group that a batch cuts is held until its end comes. A pair met before isn't repeated while it is remembered."""
+def _nearest(pairs: np.ndarray, best: dict[int, int]) -> list[list[int]]:
+    """Of pairs (x, y, apart) those that are the nearest of x or of y, and nearer than in best, which is brought up to date."""
+    node, row = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.tile(np.arange(len(pairs)), 2)
+    order = np.lexsort((row, pairs[row, 2], node))
+    node, row = node[order], row[order]
+    new = np.ones(len(node), bool)
+    new[1:] = node[1:] != node[:-1]
+    chosen = set()
+    for n, r, apart in zip(node[new].tolist(), row[new].tolist(), pairs[row[new], 2].tolist(), strict=True):
+        if apart < best.get(n, apart + 1):
+            best[n] = apart
+            chosen.add(r)
+    return pairs[sorted(chosen)].tolist()
+
+
+def _pair_rows(t: Fraction, nearest: bool):
+    """Pairs from rows in which groups (key, bi, bj) stand together; a group that a batch cuts is held until its end comes. A pair met before isn't repeated while it is remembered. nearest: only the nearest pairs of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         seen: set[tuple[int, int]] = set()
+        best: dict[int, int] = {}
 
         def fresh(groups: pa.Table) -> pa.RecordBatch:
-            if len(seen) > REMEMBERED:
+            if len(seen) + len(best) > REMEMBERED:
                 seen.clear()
-            rows = [r for r in _pairs_of(groups, t).tolist() if (r[0], r[1]) not in seen]
-            seen.update((r[0], r[1]) for r in rows)
+                best.clear()
+            if nearest:
+                rows = _nearest(_pairs_of(groups, t), best)
+            else:
+                rows = [r for r in _pairs_of(groups, t).tolist() if (r[0], r[1]) not in seen]
+                seen.update((r[0], r[1]) for r in rows)
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["x", "y", "apart"])
 
         for batch in batches:
@@ -235,8 +256,8 @@ def _pair_rows(t: Fraction):
     return run
 
 
-def plausible(rest: DataFrame, about: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (x, y, apart) in one region of (key, node, comp, first) that may be linked and lie in different components. about: (node, n, sketch, pivot, d)."""
+def plausible(rest: DataFrame, about: DataFrame, t: Fraction, nearest: bool = False) -> DataFrame:
+    """The pairs (x, y, apart) in one region of (key, node, comp, first) that may be linked and lie in different components. about: (node, n, sketch, pivot, d). nearest: one pair for each node that has any."""
     whole = Window.partitionBy("key")
     # regions of one cluster go to one task, where pairs that share many are made once; large clusters are spread over several
     sizes = rest.groupBy("first").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
@@ -248,7 +269,10 @@ def plausible(rest: DataFrame, about: DataFrame, t: Fraction) -> DataFrame:
     rows = rows.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other"), "pivot": F.coalesce("pivot", F.lit(0)), "d": F.coalesce("d", F.lit(float("nan")))})
     order = ["first", "salt", "key", "bi", "bj"]
     rows = rows.repartition("first", "salt", "bi", "bj").sortWithinPartitions(*order).select(*_FIELDS, "sketch")
-    return rows.mapInArrow(_pair_rows(t), "x long, y long, apart long").distinct()
+    pairs = rows.mapInArrow(_pair_rows(t, nearest), "x long, y long, apart long")
+    if nearest:
+        pairs = pairs.select(F.explode(F.array("x", "y")).alias("node"), F.struct("apart", "x", "y").alias("p")).groupBy("node").agg(F.min("p").alias("p")).select("p.x", "p.y", "p.apart")
+    return pairs.distinct()
 
 
 def measure(pairs: DataFrame, sets: DataFrame, t: Fraction, paths: list[str]) -> DataFrame:
@@ -261,6 +285,21 @@ def measure(pairs: DataFrame, sets: DataFrame, t: Fraction, paths: list[str]) ->
     return cut(out.withColumn("linked", F.col("common") * t.denominator >= union * t.numerator), "jaccard-pairs", paths)
 
 
+def _with_pivots(state: DataFrame, about: DataFrame, turn: int, t: Fraction) -> DataFrame:
+    """(x, y) of nodes and their nearest pivots. Pivots of a region: of its least and of its largest component one node, the same in as many regions as possible."""
+    whole = Window.partitionBy("key")
+    order = F.xxhash64("node", F.lit(turn))
+    state = state.withColumns({e: F.min_by(F.when(F.col("comp") == F.col(e), F.col("node")), F.when(F.col("comp") == F.col(e), order)).over(whole) for e in ("first", "last")} | {"own": F.col("comp") == F.col("first")})
+    pivot = F.when(F.col("own"), F.col("last")).otherwise(F.col("first"))
+    votes = state.select(F.col("node").alias("x"), pivot.alias("y")).groupBy("x", "y").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("x").agg(F.max(F.struct("votes", F.bitwise_not("y").alias("not"))).alias("best"))
+    pairs = best.select("x", F.bitwise_not(F.col("best.not")).alias("y"))
+    for side in "xy":
+        pairs = pairs.join(about.select(F.col("node").alias(side), F.col("n").alias("n" + side)), side)
+    pairs = pairs.where(F.least("nx", "ny") * t.denominator >= F.greatest("nx", "ny") * t.numerator)
+    return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+
+
 def _filter_bits(nodes: DataFrame) -> np.ndarray:
     """A bit set of FILTER_BITS bits: at most FILTER_BITS / 64 rows come to the driver."""
     slot = F.expr(f"pmod(node, {FILTER_BITS}L)")
@@ -293,23 +332,17 @@ def jaccard_nodes(docs: DataFrame, k: int = K, t: Fraction = THRESHOLD) -> tuple
 
     comps = None
     places = None
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS + NEAREST + 1):
         state = shared.select("key", "node").withColumn("comp", F.col("node")) if comps is None else shared.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         state = state.withColumns({"first": F.min("comp").over(whole), "last": F.max("comp").over(whole)}).where("first < last")
         state = cut(state, "jaccard-open", paths)
-        if turn == ROUNDS:
+        if turn == ROUNDS + NEAREST:
             break
-        # pivots of a region: of its least and of its largest component one node, the same in as many regions as possible
-        order = F.xxhash64("node", F.lit(turn))
-        state = state.withColumns({e: F.min_by(F.when(F.col("comp") == F.col(e), F.col("node")), F.when(F.col("comp") == F.col(e), order)).over(whole) for e in ("first", "last")} | {"own": F.col("comp") == F.col("first")})
-        pivot = F.when(F.col("own"), F.col("last")).otherwise(F.col("first"))
-        votes = state.select(F.col("node").alias("x"), pivot.alias("y")).groupBy("x", "y").agg(F.count("*").alias("votes"))
-        best = votes.groupBy("x").agg(F.max(F.struct("votes", F.bitwise_not("y").alias("not"))).alias("best"))
-        pairs = best.select("x", F.bitwise_not(F.col("best.not")).alias("y"))
-        for side in "xy":
-            pairs = pairs.join(about.select(F.col("node").alias(side), F.col("n").alias("n" + side)), side)
-        pairs = pairs.where(F.least("nx", "ny") * t.denominator >= F.greatest("nx", "ny") * t.numerator).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-        measured = measure(pairs, sets, t, paths)
+        if turn < ROUNDS:
+            pairs = _with_pivots(state, about, turn, t)
+        else:
+            pairs = plausible(state, about.join(places, "node", "left"), t, nearest=True)
+        measured = measure(pairs.select("x", "y"), sets, t, paths)
         if places is None:
             gap = 1 - F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
             both = measured.select(F.col("x").alias("node"), F.col("y").alias("pivot"), gap.alias("d")).union(measured.select(F.col("y").alias("node"), F.col("x").alias("pivot"), gap.alias("d")))
