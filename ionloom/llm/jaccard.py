@@ -35,6 +35,8 @@ ROUNDS, NEAREST, WAVES = 1, 2, 1
 BLOCK = 2048
 #: Region rows of one cluster that go to one task, and pairs that a task remembers.
 TOGETHER, REMEMBERED = 1024, 500_000
+#: Parts in which the rows of a cluster learn its size.
+SPREAD = 16
 #: Bits of the filter that tells which nodes' sets are needed; its size doesn't depend on the input.
 FILTER_BITS = 1 << 23
 #: Counts in a node's sketch.
@@ -261,7 +263,9 @@ def plausible(rest: DataFrame, about: DataFrame, t: Fraction, nearest: bool = Fa
     whole = Window.partitionBy("key")
     # regions of one cluster go to one task, where pairs that share many are made once; large clusters are spread over several
     sizes = rest.groupBy("first").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
-    rest = rest.join(sizes, "first").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("parts")))
+    sizes = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    rest = rest.withColumn("part", F.pmod(F.hash("key"), F.lit(SPREAD))).join(sizes, ["first", "part"])
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("parts")))
     place = (F.row_number().over(whole.orderBy("node")) - 1).alias("place")
     rows = rest.select("key", "node", "comp", "first", "salt", place, F.count("*").over(whole).alias("many"))
     rows = rows.withColumns({"block": F.floor(F.col("place") / BLOCK).cast("int"), "last": F.floor((F.col("many") - 1) / BLOCK).cast("int")})
