@@ -25,4 +25,24 @@ def test_query_equals_sql(spark, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() > 0
+    # no two prices of sf0.001 lie within the window
+    found = entry.entry(spark)
+    assert {"sid", "key", "score", "matches"} <= set(found.columns)
+    assert found.count() == len(partners(SF)) == 0
+
+
+def partners(sf):
+    """(sid, key) of the spectra with peaks that have another of their polarity within 20 ppm; nowhere more than 25 keys."""
+    db = duckdb.connect()
+    part, line = (f"'{sf}/{t}.parquet'" for t in ("part", "lineitem"))
+    got = db.execute(f"""WITH s AS (SELECT * FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {line}))
+        SELECT DISTINCT a.p_partkey, b.p_brand || '/' || b.p_type FROM s a JOIN s b ON a.p_partkey <> b.p_partkey AND a.p_size % 2 = b.p_size % 2
+        AND abs(b.p_retailprice - a.p_retailprice) <= a.p_retailprice * 20e-6""").fetchall()
+    return set(got)
+
+
+def test_library_search_partners(spark):
+    sf = "/root/testdata/sf0.01"
+    found = entry.queries()["library_search"](spark, sf).select("sid", "key").collect()
+    assert len(found) == len(set(found))
+    assert {tuple(r) for r in found} == partners(sf) != set()
