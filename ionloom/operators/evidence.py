@@ -1,0 +1,107 @@
+"""Evidence of candidates gathered over spectra: weights, two-level maxima, analog features, group statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .rank import average_rank_norm, first_by, z_score
+
+
+def spectrum_weights(df: DataFrame, mol: str, weight: Column, n_peaks: str, name: str = "w") -> DataFrame:
+    """weight * sqrt(peaks) as a share of its molecule's sum; equal shares where that is 0."""
+    w = Window.partitionBy(mol)
+    raw = weight * F.sqrt(F.greatest(F.col(n_peaks), F.lit(0)))
+    out = df.withColumn("_raw", raw)
+    total = F.sum("_raw").over(w)
+    return out.withColumn(name, F.when(total > 0, F.col("_raw") / total).otherwise(1 / F.count("*").over(w))).drop("_raw")
+
+
+def margin_weights(scores: DataFrame, mol: str, spectrum: str, score: str, temperature: float = 0.5) -> DataFrame:
+    """(mol, spectrum, margin_w): softmax over a molecule's spectra of (best - median score) / temperature."""
+    each = scores.groupBy(mol, spectrum).agg((F.max(score) - F.median(score)).alias("_m"))
+    w = Window.partitionBy(mol)
+    raw = F.exp((F.col("_m") - F.max("_m").over(w)) / temperature)
+    return each.withColumn("_e", raw).withColumn("margin_w", F.col("_e") / F.sum("_e").over(w)).drop("_m", "_e")
+
+
+def fuse_spectra(scores: DataFrame, weights: DataFrame, mol: str, spectrum: str, candidate: str, score: str, names: list[str]) -> DataFrame:
+    """One weighted sum of scores per (mol, candidate) and weight column; a candidate that a spectrum lacks adds nothing there."""
+    rows = scores.join(weights.select(mol, spectrum, *names), [mol, spectrum])
+    return rows.groupBy(mol, candidate).agg(*[F.sum(F.col(score) * F.col(n)).alias(n) for n in names])
+
+
+def scatter(hits: DataFrame, mol: str, spectrum: str, structure: str, score: str, n_spectra: DataFrame) -> DataFrame:
+    """(mol, structure, best, mean, hits): a structure's best score in each spectrum, then its maximum and its mean over all
+    spectra of the molecule (0 where it has none). n_spectra is (mol, n_spectra). Both levels combine before they shuffle."""
+    per = hits.groupBy(mol, spectrum, structure).agg(F.max(score).alias("_s"))
+    out = per.groupBy(mol, structure).agg(F.max("_s").alias("best"), F.sum("_s").alias("_sum"), F.count("*").alias("hits"))
+    return out.join(n_spectra, mol).withColumn("mean", F.col("_sum") / F.col("n_spectra")).select(mol, structure, "best", "mean", "hits")
+
+
+def with_evidence(candidates: DataFrame, evidence: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+    """Left join; a candidate without evidence gets 0."""
+    return candidates.join(evidence.select(*on, *columns), on, "left").na.fill(0, columns)
+
+
+def aligned(frames: list[DataFrame], key: list[str]) -> DataFrame:
+    """Frames of the same keys side by side; RuntimeError at run time for a key that one of them lacks."""
+    out = frames[0].withColumn("_0", F.lit(True))
+    for i, f in enumerate(frames[1:], 1):
+        out = out.join(f.withColumn(f"_{i}", F.lit(True)), key, "full_outer")
+    marks = [f"_{i}" for i in range(len(frames))]
+    whole = F.lit(True)
+    for m in marks:
+        whole = whole & F.col(m).isNotNull()
+    fail = F.raise_error(F.lit("frames hold different keys")).cast("boolean")
+    return out.where(F.when(whole, True).otherwise(fail)).drop(*marks)
+
+
+def analog_features(pairs: DataFrame, mol: str, candidate: str, tanimoto: str, similarity: str) -> DataFrame:
+    """Of a candidate's analogs: the best t s^3, t s, t, t s^6, t to the most similar one, and the s-weighted mean of t."""
+    t, s = F.col(tanimoto), F.col(similarity)
+    best = lambda c, n: F.max(c).alias(n)
+    top = F.max(F.struct(s, t)).getField(tanimoto)
+    mean = F.when(F.sum(s) > 0, F.sum(t * s) / F.sum(s)).otherwise(0.0)
+    return pairs.groupBy(mol, candidate).agg(best(t * F.pow(s, F.lit(3.0)), "ts3"), best(t * s, "ts"), best(t, "t"), best(t * F.pow(s, F.lit(6.0)), "ts6"), top.alias("t_top"), mean.alias("t_mean"))
+
+
+def confidence_features(df: DataFrame, mol: str, formula: str, score: str) -> DataFrame:
+    """Statistics of each candidate in its (mol, formula) group: size, share of mol, gap to the best, z (ddof 1), average-tie rank,
+    lead over the second (of the group)."""
+    g, m = Window.partitionBy(mol, formula), Window.partitionBy(mol)
+    ordered = g.orderBy(F.desc(score))
+    second = F.nth_value(score, 2).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    size = F.count("*").over(g)
+    lead = F.when(size > 1, F.max(score).over(g) - second).otherwise(0.0)
+    return df.withColumns({"size": size, "share": size / F.count("*").over(m), "gap": F.col(score) - F.max(score).over(g), "z": z_score([mol, formula], score, 1), "rank_avg": average_rank_norm([mol, formula], score), "lead": lead})
+
+
+def weighted_vectors(df: DataFrame, group: str, vector: str, weight: Column) -> DataFrame:
+    """(group, i, mean): the weighted mean of vectors, element by element."""
+    rows = df.select(group, weight.alias("_w"), F.posexplode(vector).alias("i", "_x"))
+    out = rows.groupBy(group, "i").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("mean"))
+    return out
+
+
+def safe_corr(a: str, b: str) -> Column:
+    """Correlation of a group; 0 where either side hardly varies."""
+    flat = (F.stddev_pop(a) <= 1e-9) | (F.stddev_pop(b) <= 1e-9)
+    return F.when(flat | (F.count("*") < 2), 0.0).otherwise(F.corr(a, b))
+
+
+def reference_tiers(matches: DataFrame, query: str, gold: tuple[float, int] = (0.825, 4), silver: tuple[float, int] = (0.72, 3)) -> DataFrame:
+    """(query, key, score, matches, tier): the best match of at least silver's peaks, ties to the smaller key, and the tier it reaches.
+
+    matches: (query, key, score, matches), over single and pooled spectra alike.
+    """
+    fit = matches.where(F.col("matches") >= silver[1])
+    best = first_by(fit.select(query, "key", "score", "matches"), [query], [F.desc("score"), F.asc("key"), F.desc("matches")])
+    tier = F.when((F.col("score") >= gold[0]) & (F.col("matches") >= gold[1]), "gold").when(F.col("score") >= silver[0], "silver").otherwise("none")
+    return best.withColumn("tier", tier)
+
+
+def library_max(pairs: DataFrame, mol: str, score: str, linked: Column) -> DataFrame:
+    """(mol, library_max): the best similarity to library rows that the pool holds."""
+    return pairs.where(linked).groupBy(mol).agg(F.max(score).alias("library_max"))

@@ -110,3 +110,122 @@ def split_list(df: DataFrame, group: str, column: str, key: str, sep: str = ";")
     """The reverse: (group, key, rank), blanks dropped."""
     items = F.filter(F.transform(F.split(column, sep), lambda x: F.trim(x)), lambda x: x != "")
     return df.select(group, F.posexplode(items).alias("p", key)).select(group, key, (F.col("p") + 1).alias("rank"))
+
+
+def gated_slots(df: DataFrame, base: str, variants: str, filler: str, slots: Column, n: int, name: str = "items") -> DataFrame:
+    """A list of n distinct items from three ordered arrays: the places in `slots` (an array; empty shuts the gate) take the next
+    variant, the others the next base item; then whatever is left in order base, variants, filler. An item already placed is passed
+    over in its source and doesn't use up the place.
+    """
+
+    def place(out, at):
+        free = lambda c: F.try_element_at(F.filter(c, lambda x: x.isNotNull() & ~F.array_contains(out, x)), F.lit(1))
+        first = F.when(F.array_contains(slots, at), free(F.col(variants)))
+        return F.concat(out, F.array_compact(F.array(F.coalesce(first, free(F.col(base)), free(F.col(variants)), free(F.col(filler))))))
+
+    kind = df.schema[base].dataType
+    return df.withColumn(name, F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array().cast(kind), place))
+
+
+def group_rerank(df: DataFrame, group: str, formula: str, base: str, scores: list[tuple[str, float]], key: str) -> DataFrame:
+    """Within each formula the items with any score are reordered by z(base) + sum of lam z(score) among their own places; the others keep theirs.
+
+    A missing score adds 0; so does one that hardly varies.
+    """
+    has = F.lit(False)
+    for c, _ in scores:
+        has = has | F.col(c).isNotNull()
+    rows = df.withColumn("_has", has)
+    w = Window.partitionBy(group, formula, "_has")
+
+    def z(c):
+        sd = F.stddev_pop(c).over(w)
+        return F.coalesce(F.when(sd > 1e-9, (F.col(c) - F.avg(c).over(w)) / sd), F.lit(0.0))
+
+    value = z(base)
+    for c, lam in scores:
+        value = value + lam * z(c)
+    rows = rows.withColumn("_v", F.round(value, 12))
+    scored = rows.where("_has").withColumn("_i", F.row_number().over(Window.partitionBy(group, formula).orderBy(F.desc("_v"), "rank", key)))
+    places = rows.where("_has").select(F.col(group).alias("_g"), F.col(formula).alias("_f"), F.col("rank").alias("_to"), F.row_number().over(Window.partitionBy(group, formula).orderBy("rank", key)).alias("_j"))
+    on = scored[group].eqNullSafe(places["_g"]) & scored[formula].eqNullSafe(places["_f"]) & (F.col("_i") == F.col("_j"))
+    moved = scored.join(places, on).withColumn("rank", F.col("_to")).select(*df.columns)
+    return moved.unionByName(rows.where("not _has").select(*df.columns))
+
+
+def forward_margin(df: DataFrame, group: str, formula: str, proposed: str, scores: list[str]) -> DataFrame:
+    """Proposed items with margin: the least, over models, of their score minus the best base score of the same formula; null if a model has no such pair."""
+    w = Window.partitionBy(group, formula)
+    gaps = [F.col(c) - F.max(F.when(~F.col(proposed), F.col(c))).over(w) for c in scores]
+    known = F.lit(True)
+    for g in gaps:
+        known = known & g.isNotNull()
+    least = gaps[0] if len(gaps) == 1 else F.least(*gaps)
+    return df.withColumn("margin", F.when(known, least)).where(proposed)
+
+
+def slot_choice(relative: Column, margin: Column, library: Column, relative_least: float, margin_least: float, library_hold: float, bold: list[int], gentle: list[int]) -> Column:
+    """The slots that variants may take: none where the library match holds, the bold ones where either evidence is strong, else the gentle ones."""
+    lists = [F.array(*[F.lit(s) for s in x]).cast("array<int>") for x in ([], bold, gentle)]
+    strong = F.coalesce(relative > relative_least, F.lit(False)) | F.coalesce(margin > margin_least, F.lit(False))
+    return F.when(F.coalesce(library, F.lit(0.0)) >= library_hold, lists[0]).when(strong, lists[1]).otherwise(lists[2])
+
+
+def injected(items: DataFrame, gate: DataFrame, group: str, key: str, score: str, n: int, library_hold: float, margin: float | None = None) -> DataFrame:
+    """The n best new items of groups whose library_max (of gate; missing is 0) is below the hold, each key once; with a margin, only those within it of the best."""
+    rows = items.join(gate.select(group, "library_max"), group, "left").where(F.coalesce("library_max", F.lit(0.0)) < library_hold).drop("library_max")
+    if margin is not None:
+        rows = rows.withColumn("_b", F.max(score).over(Window.partitionBy(group))).where(F.col(score) >= F.col("_b") - margin).drop("_b")
+    return keep_first(rows, [group], key, [F.desc(score), F.asc(key)], "drop").where(F.col("rank") <= n).withColumn("injected", F.lit(True))
+
+
+def score_mode(mode: str, public: Column, ours: Column, library: Column, hold: float, injected: Column, bias: float, spread: Column) -> Column:
+    """The score under a mode: public, public_free (public unless the library match holds, then ours), ours, or blend (their sum); injected items lose bias * spread."""
+    held = F.coalesce(library >= hold, F.lit(False))
+    value = {"public": public, "public_free": F.when(held, ours).otherwise(public), "ours": ours, "blend": public + ours}[mode]
+    return value - bias * spread * injected.cast("int")
+
+
+def documented_prior(base: Column, neural: Column, popularity: Column, spectral: Column, product: Column, weights: tuple[float, float, float] = (0.1, 0.1, 0.1)) -> Column:
+    """1 / (3 + base rank) + 0.75 / (3 + neural rank) and the weighted popularity (of 20), spectral and natural-product evidence."""
+    return 1 / (3 + base) + 0.75 / (3 + neural) + weights[0] * popularity / 20 + weights[1] * spectral + weights[2] * product
+
+
+def rerank_tail(df: DataFrame, group: str, value: Column, key: str, last: int = 25) -> DataFrame:
+    """Ranks 2 to `last` by value, ties by rank; rank 1 and what follows `last` stay."""
+    rows = df.withColumn("_v", F.round(value, 12)).withColumn("_t", F.col("rank").between(2, last))
+    w = Window.partitionBy(group, "_t").orderBy(F.desc("_v"), "rank", key)
+    return rows.withColumn("rank", F.when(F.col("_t"), 1 + F.row_number().over(w)).otherwise(F.col("rank"))).drop("_v", "_t")
+
+
+def channels(terms: list[tuple[Column, float, bool]], least: float = 1e-4) -> Column:
+    """Weighted sum of channels (value, weight, logarithmic); logarithmic ones are floored."""
+    out = F.lit(0.0)
+    for value, weight, log in terms:
+        out = out + weight * (F.ln(F.greatest(value, F.lit(least))) if log else value)
+    return out
+
+
+def ensemble_table(a: tuple[str, str], b: tuple[str, str], c: tuple[str, str], group: str | None, df: DataFrame) -> DataFrame:
+    """Three (score, available) models as z-scores: 0.50 / 0.25 / 0.25 if all are there, the mean of two, the one, or 0. A missing score counts 0 in its z."""
+    w = Window.partitionBy(group if group else F.lit(1))
+
+    def z(c):
+        x = F.coalesce(F.col(c), F.lit(0.0))
+        sd = F.stddev_pop(x).over(w)
+        return F.when(sd > 1e-9, (x - F.avg(x).over(w)) / sd).otherwise(0.0)
+
+    zs, oks = zip(*[(z(s), F.coalesce(F.col(ok), F.lit(False))) for s, ok in (a, b, c)], strict=True)
+    n = sum((ok.cast("int") for ok in oks), F.lit(0))
+    held = sum((F.when(ok, v).otherwise(0.0) for v, ok in zip(zs, oks, strict=True)), F.lit(0.0))
+    return df.withColumn("score", F.when(n == 3, 0.5 * zs[0] + 0.25 * zs[1] + 0.25 * zs[2]).when(n > 0, held / n).otherwise(0.0))
+
+
+def promote(df: DataFrame, tiers: DataFrame, group: str, key: str, protected: str) -> DataFrame:
+    """A gold reference goes to rank 1, a silver one to rank 2, the other items move down; protected groups take gold at rank 2.
+
+    tiers: (group, key, tier, protected). A key that the list lacks is added.
+    """
+    item = tiers.where("tier in ('gold', 'silver')").select(group, key, F.when((F.col("tier") == "gold") & ~F.col(protected), 0.5).otherwise(1.5).alias("r"))
+    rest = df.join(item.select(group, key), [group, key], "left_anti").select(group, key, F.col("rank").cast("double").alias("r"))
+    return rest.unionByName(item).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("r", key))).drop("r")

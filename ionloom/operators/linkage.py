@@ -52,3 +52,15 @@ def top_three_mean(df: DataFrame, group: list[str], value: str, order: str) -> D
     """(group, top, mean3): the maximum and the mean of the three largest values."""
     w = Window.partitionBy(*group).orderBy(F.desc(value), order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n <= 3").groupBy(*group).agg(F.max(value).alias("top"), F.avg(value).alias("mean3"))
+
+
+def gated_links(pairs: DataFrame, left_id: str, right_id: str, source: str, score: str, thresholds: dict[str, float], singleton: float) -> DataFrame:
+    """Pairs at or above their source's threshold; a left record with one such pair keeps it only from the singleton threshold on; then exclusive claims.
+
+    A source without threshold has no pairs.
+    """
+    least = None
+    for name, t in thresholds.items():
+        least = (F if least is None else least).when(F.col(source) == name, t)
+    fit = pairs.where(F.col(score) >= least).withColumn("_c", F.count("*").over(Window.partitionBy(left_id)))
+    return exclusive(fit.where((F.col("_c") > 1) | (F.col(score) >= singleton)).drop("_c"), left_id, right_id, score)

@@ -174,3 +174,39 @@ def ce_weight(ce: Column) -> Column:
     """Information weight of collision energies (array): stepped ones 1.40, else by the range of the first, 30 if unknown."""
     e = F.coalesce(F.try_element_at(ce, F.lit(1)), F.lit(30.0))
     return F.when(F.size(ce) > 1, 1.40).when(e.between(30, 45), 1.25).when(e.between(50, 70), 1.0).when(e.between(10, 25), 0.75).otherwise(1.0)
+
+
+def tensor(peaks: Column, precursor: Column, n: int) -> Column:
+    """n rows (mz / 1000, sqrt(it), log(1 + 100 it) / log 101, loss / 1000) of base-normalised peaks; zeros pad."""
+    row = lambda p: F.array(p["mz"] / 1000, F.sqrt(p["it"]), F.log1p(100 * p["it"]) / F.log1p(F.lit(100.0)), (precursor - p["mz"]) / 1000)
+    rows = F.transform(F.slice(peaks, 1, n), row)
+    return F.concat(rows, F.array_repeat(F.array(*[F.lit(0.0)] * 4), F.greatest(F.lit(0), n - F.size(peaks))))
+
+
+def metadata(precursor: Column, energy: Column, polarity: Column, adduct: Column) -> Column:
+    """(precursor / 1000, energy cut to 0..500 / 100, energy known, polarity); an unknown polarity is that of the adduct's sign."""
+    sign = F.coalesce(polarity, F.when(adduct.endswith("-"), -1).when(adduct.endswith("+"), 1).otherwise(0))
+    known = energy.isNotNull()
+    e = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(500.0), energy)), F.lit(0.0)) / 100
+    return F.array((precursor / 1000).cast("double"), e.cast("double"), known.cast("double"), sign.cast("double"))
+
+
+def jittered(peaks: Column, seed: int, spread: float = 0.08) -> Column:
+    """Intensities times exp(spread * normal), base-normalised. The noise is Box-Muller over hashes of peak and seed, so a retried task repeats it."""
+    u = lambda p, k: (F.pmod(F.xxhash64(p["mz"], p["it"], F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 1) / float(1 << 30)
+    return base_normalise(_map(peaks, lambda p: p["it"] * F.exp(spread * F.sqrt(-2 * F.ln(u(p, 0))) * F.cos(6.283185307179586 * u(p, 1)))))
+
+
+def surrogates(df: DataFrame, polarity: str, adduct: str, precursor: str, peaks: str, margin: float = 0.5) -> DataFrame:
+    """Positive spectra of ammonium and water-loss adducts as if protonated: ammonia's mass goes from the precursor of the former, peaks beyond the precursor by more than margin go, and so do spectra left without peaks."""
+    rows = df.where((F.col(polarity) > 0) & F.col(adduct).isin("[M+NH4]+", "[M-H2O+H]+", "[M-2H2O+H]+"))
+    rows = rows.withColumn(precursor, F.when(F.col(adduct) == "[M+NH4]+", F.col(precursor) - 17.026549).otherwise(F.col(precursor))).withColumn(adduct, F.lit("[M+H]+"))
+    return rows.withColumn(peaks, cut_precursor(F.col(peaks), F.col(precursor), margin)).where(F.size(peaks) > 0)
+
+
+def extend(items: DataFrame, extra: DataFrame, key: str, mode: str) -> DataFrame:
+    """items and extra together: all of extra, or (gap) only the keys that items lack."""
+    if mode not in ("gap", "all"):
+        raise ValueError(mode)
+    more = extra if mode == "all" else extra.join(items.select(key).distinct(), key, "left_anti").select(*extra.columns)
+    return items.unionByName(more)
