@@ -402,16 +402,16 @@ def neighbor_propagation(spark, d):
     return out.select("vec_id", "key", "rank", F.round("support", 6).alias("support"))
 
 
-@query("""WITH k AS (SELECT doc_id, source, lang, unnest(list_distinct(string_split(lower(regexp_replace(substr(coalesce(text, ''), 1, 40), '[^A-Za-z0-9]+', ' ', 'g')), ' '))) AS t FROM documents),
- p AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS n FROM k WHERE length(t) >= 8) SELECT DISTINCT a.doc_id AS lid, b.doc_id AS rid FROM k a JOIN p b ON a.t = b.t AND b.n <= 20 AND (a.lang = b.lang OR a.lang IS NULL OR b.lang IS NULL) WHERE a.doc_id <> b.doc_id""")
+@query("""WITH r AS (SELECT p_partkey AS id, p_type, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS core FROM part),
+ k AS (SELECT id, p_type, 'core' AS kind, core AS value FROM r UNION ALL SELECT DISTINCT id, p_type, 'token', t FROM (SELECT id, p_type, unnest(string_split(core, ' ')) AS t FROM r) WHERE length(t) >= 5 AND t <> 'brand'),
+ p AS (SELECT *, row_number() OVER (PARTITION BY kind, value ORDER BY id) AS n FROM k) SELECT DISTINCT a.id AS lid, b.id AS rid FROM k a JOIN p b ON a.kind = b.kind AND a.value = b.value AND b.n <= CASE a.kind WHEN 'core' THEN 200 ELSE 20 END WHERE a.id <> b.id AND a.p_type = b.p_type""")
 def blocking_join_capped(spark, d):
-    """Names are the first 40 characters."""
-    core = F.lower(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), "[^A-Za-z0-9]+", " "))
-    tokens = F.filter(F.array_distinct(F.split(core, " ")), lambda t: F.length(t) >= 8)
-    docs = _t(spark, d, "documents").select("doc_id", "lang", F.transform(tokens, lambda t: F.struct(F.lit("token").alias("kind"), t.alias("value"))).alias("keys"))
-    left, right = docs.withColumnsRenamed({"doc_id": "lid", "lang": "ll"}), docs.withColumnsRenamed({"doc_id": "rid", "lang": "rl"})
-    same = (F.col("ll") == F.col("rl")) | F.col("ll").isNull() | F.col("rl").isNull()
-    return linkage.block(left, right, "keys", "lid", "rid", {"token": 20}, same & (F.col("lid") != F.col("rid")))
+    """Parts by name and brand; posting caps are the operator's meaning."""
+    keys = linkage.block_keys(F.concat_ws(" ", "p_name", "p_brand"), generic=["brand"])
+    keys = F.filter(keys, lambda k: k["kind"].isin("core", "token"))
+    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_type", keys.alias("keys"))
+    left, right = rows.withColumnsRenamed({"id": "lid", "p_type": "lt"}), rows.withColumnsRenamed({"id": "rid", "p_type": "rt"})
+    return linkage.block(left, right, "keys", "lid", "rid", {"core": 200, "token": 20}, (F.col("lt") == F.col("rt")) & (F.col("lid") != F.col("rid")))
 
 
 @query(f"""WITH {_SQL_LISTS}, t AS (SELECT o_orderpriority AS g, min(o_custkey) FILTER (o_totalprice > 400000) AS key FROM orders GROUP BY 1), h AS (SELECT t.g, min(a.rank) AS hit FROM t LEFT JOIN a ON a.g = t.g AND a.key = t.key AND a.rank <= 40 GROUP BY t.g)

@@ -187,7 +187,7 @@ def metadata(precursor: Column, energy: Column, polarity: Column, adduct: Column
     """(precursor / 1000, energy cut to 0..500 / 100, energy known, polarity); an unknown polarity is that of the adduct's sign."""
     sign = F.coalesce(polarity, F.when(adduct.endswith("-"), -1).when(adduct.endswith("+"), 1).otherwise(0))
     known = energy.isNotNull()
-    e = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(500.0), energy)), F.lit(0.0)) / 100
+    e = F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(500.0), energy))).otherwise(0.0) / 100
     return F.array((precursor / 1000).cast("double"), e.cast("double"), known.cast("double"), sign.cast("double"))
 
 
