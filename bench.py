@@ -6,10 +6,11 @@ import time
 
 from pyspark.sql import SparkSession
 
+from ionloom import catalog_evidence  # noqa: F401 - registers queries
 from ionloom.catalog import queries
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-HEADLINE = ["library_search", "ppm_band_join", "adaptive_window", "interval_union", "filter_chain", "entropy_weighting", "bin_spectrum", "merge_close_peaks", "entropy_similarity", "greedy_cosine", "fp_tanimoto_topk", "rrf_fusion", "slot_merge", "rank_features", "network_edges", "evidence_agg"]
+HEADLINE = ["library_search", "ppm_band_join", "adaptive_window", "interval_union", "filter_chain", "entropy_weighting", "bin_spectrum", "merge_close_peaks", "entropy_similarity", "greedy_cosine", "fp_tanimoto_topk", "rrf_fusion", "slot_merge", "rank_features", "network_edges", "evidence_agg", "spectral_fusion", "evidence_scatter", "formula_rerank", "explained_levels", "weight_grid", "reference_tiers"]
 
 
 def main() -> None:

@@ -176,7 +176,7 @@ def reference_tiers(spark, d):
     """Neighbours in mass by nearest-peak cosine, tiers, and the promoted lists."""
     s = _spectra(spark, d).join(_arrays(spark, d), "sid").select("sid", "precursor", "pol", "mol", F.col("peaks.mz").alias("mz"), F.col("peaks.it").alias("it"))
     lib = s.select(F.col("sid").alias("key"), F.col("precursor").alias("mass"), "pol", F.col("mz").alias("rmz"), F.col("it").alias("rit"))
-    pairs = bandjoin.ppm_join(s, lib, "precursor", "mass", 400.0, ["pol"]).where("sid <> key").withColumn("c", similarity.nearest_cosine(2.0)("mz", "it", "rmz", "rit"))
+    pairs = bandjoin.ppm_join(s, lib, "precursor", "mass", 6.0, ["pol"]).where("sid <> key").withColumn("c", similarity.nearest_cosine(2.0)("mz", "it", "rmz", "rit"))
     m = pairs.select("sid", "key", F.round("c.score", 9).alias("score"), "c.matches")
     tiers = evidence.reference_tiers(m, "sid", (0.5, 4), (0.3, 3))
     top = evidence.library_max(m, "sid", "score", F.col("key") % 2 == 0)
@@ -293,12 +293,12 @@ def linkage_gates(spark, d):
     return linkage.gated_links(p, "l", "r", "src", "s", {"1-URGENT": 0.3, "5-LOW": 0.6}, 0.8).select("l", "r", F.round("s", 6).alias("s"))
 
 
-@query(f"""WITH {_SQL_RANKED} SELECT g, key, round(s / 500000 + (key % 10) / 10 - CASE WHEN key % 6 = 0 THEN 0.5 * coalesce(stddev_pop(s / 500000) OVER (PARTITION BY g), 0) ELSE 0 END, 6) AS blend, round(CASE WHEN s / 500000 >= 0.85 THEN (key % 10) / 10 ELSE s / 500000 END, 6) AS free FROM a0""")
+@query(f"""WITH {_SQL_RANKED} SELECT g, key, round(s / 500000 + (key % 10) / 10 - CASE WHEN key % 6 = 0 THEN 0.5 * coalesce(stddev_pop(s / 500000) OVER (PARTITION BY g), 0) ELSE 0 END, 9) AS blend, round(CASE WHEN s / 500000 >= 0.85 THEN (key % 10) / 10 ELSE s / 500000 END, 9) AS free FROM a0""")
 def score_modes(spark, d):
     """M10."""
     x, y, sd = F.col("s") / 500000, F.col("key") % 10 / 10, F.stddev_pop(F.col("s") / 500000).over(Window.partitionBy("g"))
     marked = F.col("key") % 6 == 0
-    return _ranked(spark, d).select("g", "key", F.round(fuse.score_mode("blend", x, y, x, 0.85, marked, 0.5, sd), 6).alias("blend"), F.round(fuse.score_mode("public_free", x, y, x, 0.85, marked, 0.0, F.lit(0.0)), 6).alias("free"))
+    return _ranked(spark, d).select("g", "key", F.round(fuse.score_mode("blend", x, y, x, 0.85, marked, 0.5, sd), 9).alias("blend"), F.round(fuse.score_mode("public_free", x, y, x, 0.85, marked, 0.0, F.lit(0.0)), 9).alias("free"))
 
 
 def _training(spark, d):
