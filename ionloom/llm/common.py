@@ -114,9 +114,15 @@ def chunks(offsets: np.ndarray, most: int = _MAX):
 
 def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, lower: np.ndarray = _LOWER):
     """Words between bytes marked in `space`, lower-cased by table: (row of each word, hash of each word)."""
+    row, hashes, _ = stems_of(data, offsets, 0, space, lower)
+    return row, hashes
+
+
+def stems_of(data: np.ndarray, offsets: np.ndarray, size: int, space: np.ndarray = _SPACE, lower: np.ndarray = _LOWER):
+    """As words_of, and the hash of each word's first `size` characters (of the whole word if it is shorter; none for size 0)."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     data = lower[data]
     gap = space[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
@@ -131,8 +137,13 @@ def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE,
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
         np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return np.searchsorted(offsets[1:], starts, "right"), hashes
+        span = lambda stops: mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+        hashes = span(ends)
+        stems = hashes[:0]
+        if size:
+            heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), np.full(size, n))
+            stems = span(np.minimum(ends, heads[np.searchsorted(heads, starts) + size]))
+    return np.searchsorted(offsets[1:], starts, "right"), hashes, stems
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):

@@ -1,8 +1,9 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-Tokens are hashed to BUCKETS ids. A token's log-odds of toxic against other labelled text use a Dirichlet prior with a
-part proportional to its frequency in all documents, and are shrunk by their standard error; a drift makes the mean
-negative, as segment statistics ask. A linear scan finds every maximal scoring segment of a text (disjoint segments no
+Tokens are hashed to BUCKETS ids, and their stems (the first STEM characters) to as many more. Log-odds of toxic against
+other labelled text use a Dirichlet prior with a part proportional to the frequency in all documents, and are shrunk by
+their standard error; a token scores by the stronger of its own and its stem's, so rare forms of a word lean on the others.
+A drift makes the mean negative, as segment statistics ask. A linear scan finds every maximal scoring segment of a text (disjoint segments no
 extension or shortening improves). The best segments of clean texts have an exponential tail, so a text of n tokens holds
 E = K n exp(-lambda S) segments of score S by chance; lambda and K come from clean texts that took no part in the log-odds.
 The evidence -log10(E) of a text's significant segments is mapped to a probability by a logistic curve fitted to the labels
@@ -19,9 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, chunks, crc_mod, cut, small_batches, table, words_of
+from .common import byte_view, chunks, crc_mod, cut, small_batches, stems_of, table
 
 BUCKETS = 1 << 19
+#: Characters of a stem, as truncating stemmers take.
+STEM = 5
 #: The classifier is fitted on at most so many labelled rows, the first by a hash of their id. The prior counts all documents.
 LABELLED = 50_000
 PRIOR, FLOOR = 200.0, 0.5
@@ -36,32 +39,33 @@ _SEP = np.ones(256, bool)
 _SEP[48:58] = _SEP[65:91] = _SEP[97:123] = _SEP[128:] = False
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, id) of each token: runs of ASCII letters, digits and other scripts, A-Z lower-cased."""
-    row, h = words_of(data, offsets, _SEP)
-    return row, (h % _U(BUCKETS)).astype(np.int64)
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, id of the stem) of each token: runs of ASCII letters, digits and other scripts, A-Z lower-cased."""
+    row, h, stem = stems_of(data, offsets, STEM, _SEP)
+    return row, (h % _U(BUCKETS)).astype(np.int64), (stem % _U(BUCKETS)).astype(np.int64) + BUCKETS
 
 
 def _pieces(column: pa.Array):
     data, offsets = byte_view(column)
     for i, j in chunks(offsets):
         part = offsets[i : j + 1]
-        row, token = tokens(data[part[0] : part[-1]], part - part[0])
+        row, *token = tokens(data[part[0] : part[-1]], part - part[0])
         ends = np.cumsum(np.bincount(row, minlength=j - i))
         yield i, j, token, ends
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each token id in all texts, and in those labelled clean (0) and toxic (1); 2 and 3 are the same of the calibrating fold."""
-    total = np.zeros((5, BUCKETS), np.int64)
+    """Occurrences of each token and stem id in all texts, and in those labelled clean (0) and toxic (1); 2 and 3 are the same of the calibrating fold."""
+    total = np.zeros((5, 2 * BUCKETS), np.int64)
     for batch in batches:
         label = batch.column(1).fill_null(-1).to_numpy()
         for i, j, token, ends in _pieces(batch.column(0)):
             each = np.repeat(label[i:j], np.diff(ends, prepend=0))
-            total[4] += np.bincount(token, minlength=BUCKETS)
-            for x in range(4):
-                if (each == x).any():
-                    total[x] += np.bincount(token[each == x], minlength=BUCKETS)
+            for ids in token:
+                total[4] += np.bincount(ids, minlength=2 * BUCKETS)
+                for x in range(4):
+                    if (each == x).any():
+                        total[x] += np.bincount(ids[each == x], minlength=2 * BUCKETS)
     t = np.flatnonzero(total[4])
     for i in range(0, len(t), 100_000):
         x = t[i : i + 100_000]
@@ -79,12 +83,18 @@ def log_odds(n: str, y0: Column, y1: Column, total: float, all0: float, all1: fl
 
 
 def _array(t: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Weights by token id: log-odds less the drift; any other token has the drift alone."""
-    out = np.full(BUCKETS, -DRIFT, np.float32)
-    out[t] = np.clip(value - DRIFT, -4, 6)
+    """Log-odds by id; 0 for any other."""
+    out = np.zeros(2 * BUCKETS, np.float32)
+    out[t] = value
     return out
 
 
+def weigh(weights: np.ndarray, token: list[np.ndarray]) -> np.ndarray:
+    """The stronger of each token's and its stem's log-odds, less the drift."""
+    own, stem = weights[token[0]], weights[token[1]]
+    return np.clip(np.where(np.abs(stem) > np.abs(own), stem, own) - DRIFT, -4, 6)
+
+
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, sum) in linear time. Only tokens of positive score start steps; equal sums keep the earlier segment whole."""
     before = np.concatenate([[0.0], np.cumsum(score, dtype=np.float64)])
@@ -121,10 +131,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> dict:
     names = ["n", "n0", "n1", "n2", "n3"]
     counts = joined.mapInArrow(_count, "t int, n long, n0 long, n1 long, n2 long, n3 long").groupBy("t").agg(*[F.sum(c).alias(c) for c in names])
     counts = cut(counts, "toxicity-counts")
-    n, y0, y1, z0, z1 = (float(x or 0) for x in counts.agg(*[F.sum(c) for c in names]).first())
+    n, y0, y1, z0, z1 = (float(x or 0) for x in counts.where(F.col("t") < BUCKETS).agg(*[F.sum(c) for c in names]).first())
     final = log_odds("n", F.col("n0") + F.col("n2"), F.col("n1") + F.col("n3"), n, y0 + z0, y1 + z1)
     trial = log_odds("n", F.col("n0"), F.col("n1"), n, y0, y1)
-    known = counts.select("t", final.cast("float").alias("final"), trial.cast("float").alias("trial")).where("final <> 0 or trial <> 0").toPandas()  # at most BUCKETS rows
+    known = counts.select("t", final.cast("float").alias("final"), trial.cast("float").alias("trial")).where("final <> 0 or trial <> 0").toPandas()  # at most 2 * BUCKETS rows
     t = known["t"].to_numpy(np.int64)
     model = {"weights": _array(t, known["final"].to_numpy()), "lambda": 1.0, "k": 1e-4, "slope": 0.0, "cut": 0.0}
     shared = spark.sparkContext.broadcast(_array(t, known["trial"].to_numpy()))
@@ -133,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> dict:
         for batch in batches:
             lengths, sums = [], []
             for _, _, token, ends in _pieces(batch.column(0)):
-                s = shared.value[token]
+                s = weigh(shared.value, token)
                 for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
                     lengths.append(int(b - a))
                     sums.append([x[2] for x in segments(s[a:b])])
@@ -202,7 +212,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             scores, passages = [], []
             for _, _, token, ends in _pieces(batch.column(at)):
-                s = m["weights"][token]
+                s = weigh(m["weights"], token)
                 for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
                     n = int(b - a)
                     found = segments(s[a:b])
