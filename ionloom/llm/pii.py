@@ -1,13 +1,18 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the words around them.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. A protected entity is a value of these. From the
-whole corpus the operator estimates how strongly a word reveals an entity: with N word occurrences, n(t) of term t,
-n(e) of words near entity e and n(e, t) of t near e, the disclosed share of the entity's information is
+whole corpus the operator estimates how strongly a word reveals an entity: with N word occurrences outside base spans, n(t)
+of term t, n(e) of words in texts that hold entity e and n(e, t) of t in these, p(e) = n(e) / N and
 
-    PMI(e; t) / IC(e) = log(n(e, t) N / (n(e) n(t))) / log(N / n(e)).
+    p(e | t) = (n(e, t) + PRIOR p(e)) / (n(t) + PRIOR),
 
-A term near e whose share reaches `generalise` is replaced by a class name, at `remove` it is dropped. Terms need
-`support` different texts, so a word that happens to stand once beside a number reveals nothing. DataFrame functions only.
+the disclosed share of the entity's information is
+
+    PMI(e; t) / IC(e) = log(p(e | t) / p(e)) / log(1 / p(e)).
+
+A term whose share for some entity reaches `generalise` is replaced by a class name, at `remove` it is dropped, wherever it
+stands in any text. PRIOR occurrences at the corpus's own rate smooth the share, so few occurrences reveal less than many
+and no number of texts is asked for. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, maybe_broadcast, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Equal to the contract's patterns, but they begin only where a match can begin and never give characters back, so long runs cost linear time and no stack.
@@ -30,9 +35,9 @@ _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Code points on either side of an entity in which its context is sought.
-REACH = 60
-SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+#: Occurrences at the corpus's own rate that are added to those of a term.
+PRIOR = 1.0
+GENERALISE, REMOVE = 0.8, 0.95
 _SPAN = "array<struct<kind:int,s:int,e:int,value:string>>"
 
 
@@ -73,7 +78,7 @@ def _kept(matches: Column, kind: int) -> Column:
     return F.transform(valid, lambda m: F.struct(F.lit(kind).alias("kind"), m["s"].alias("s"), m["e"].alias("e"), F.lower(m["value"]).alias("value")))
 
 
-def _of_kind(spans: str, kind: int) -> Column:
+def _of_kind(spans: str | Column, kind: int) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
@@ -93,64 +98,98 @@ def _label(spans: Column, kinds=(*KINDS, "term", "removed")) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["s"].cast("string"), s["e"].cast("string"))), ",")
 
 
-def _context(texts: DataFrame) -> DataFrame:
-    """(text_id, entity, term, s, e): words within REACH code points of each base span of (text_id, text, base), outside all base spans.
+def _plain(text: Column, base: Column) -> Column:
+    """The text with its base spans blanked, so that places stay."""
+    ordered = F.array_sort(F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    A word cut by the edge of the reach is left out.
-    """
-    rows = texts.select("text_id", "text", "base", F.explode("base").alias("b"))
-    before = F.greatest(F.col("b.s") - REACH, F.lit(0))
-    after = F.col("b.e")
-    sides = F.array(
-        F.struct(before.alias("at"), F.substring("text", before + 1, F.col("b.s") - before).alias("part"), (before > 0).alias("left"), F.lit(False).alias("right")),
-        F.struct(after.alias("at"), F.substring("text", after + 1, F.lit(REACH)).alias("part"), F.lit(False).alias("left"), (after + REACH < F.length("text")).alias("right")),
-    )
-    entity = F.concat(F.col("b.kind").cast("string"), F.lit(":"), F.col("b.value"))
-    rows = rows.select("text_id", "base", entity.alias("entity"), F.explode(sides).alias("side")).select("text_id", "base", "entity", "side.*")
-    words = rows.select("text_id", "base", "entity", "at", "left", "right", F.length("part").alias("size"), F.explode(_matches(F.col("part"), _WORD)).alias("w"))
-    words = words.where(~(F.col("left") & (F.col("w.s") == 0)) & ~(F.col("right") & (F.col("w.e") == F.col("size"))))
-    words = words.select("text_id", "base", "entity", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.s")).alias("s"), (F.col("at") + F.col("w.e")).alias("e"))
-    inside = F.exists("base", lambda b: (b["s"] < F.col("e")) & (b["e"] > F.col("s")))
-    return words.where(~inside).drop("base").distinct()
-
-
-def disclosures(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """(text_id, entity, term, s, e) of all contexts, and (entity, term, share) of all pairs with support.
-
-    docs has text. Counts weigh each row of docs, repeated ones too; support counts different texts. Both results are
-    written to the shared folder, where the sums are also cut.
+    def step(acc, x):
+        at = acc["at"]
+        gap = F.substring(text, at + 1, F.greatest(x["s"] - at, F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], at), F.lit(0)))
+        return F.struct(F.greatest(at, x["e"]).alias("at"), F.concat(acc["out"], F.array(gap, blank)).alias("out"))
+
+    blanked = F.aggregate(ordered, start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), ""))
+    return F.when(F.size(base) > 0, blanked).otherwise(text)
+
+
+def _terms(plain: Column) -> Column:
+    return F.filter(F.split(F.lower(plain), _GAP), lambda t: t != "")
+
+
+def _places(plain: Column, hits: Column) -> Column:
+    """Spans of the words of plain that are in hits (term, kind), by start, in code points."""
+    words, gaps = F.regexp_extract_all(plain, F.lit(_WORD), F.lit(0)), F.split(plain, _WORD, -1)
+    kinds = [(kind, F.transform(_of_kind(hits, kind), lambda h: h["term"])) for kind in (4, 5)]
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("w"), F.lower(w).alias("term")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def step(acc, p):
+        s = acc["at"] + p["g"]
+        e = s + p["w"]
+        out = acc["out"]
+        for kind, terms in kinds:
+            span = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), p["term"].alias("value"))
+            out = F.when(F.array_contains(terms, p["term"]), F.concat(acc["out"], F.array(span))).otherwise(out)
+        return F.struct(e.alias("at"), out.alias("out"))
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+
+def _with_plain(docs: DataFrame) -> DataFrame:
+    """(text, base, plain) of every row of docs that has a text."""
+    rows = docs.where("text is not null").select("text").withColumn("base", base_spans(F.col("text")))
+    return rows.withColumn("plain", _plain(F.col("text"), F.col("base")))
+
+
+def disclosures(docs: DataFrame, prior: float = PRIOR, least: float = GENERALISE) -> DataFrame:
+    """(entity, term, share) of all pairs with a share of `least` or more.
+
+    docs has text. Counts weigh each row of docs, repeated ones too. A pair is made only if the counts of its term and
+    entity leave the share within reach: a text's entities are filtered for each of its terms before they become rows. The
+    sums are cut into the shared folder.
     """
-    rows = docs.select("text").withColumn("base", base_spans(F.col("text"))).where("size(base) > 0")
-    texts = rows.groupBy(F.sha2("text", 256).alias("text_id"), "text").agg(F.count("*").alias("copies"), F.first("base").alias("base"))
-    context = cut(_context(texts), "pii-context")
-    copies = texts.select("text_id", "copies")
-    near = context.join(copies, "text_id")
-    pairs = near.groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.countDistinct("text_id").alias("texts")).where(F.col("texts") >= support)
-    entities = near.groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    vocabulary = docs.select(F.explode(F.split(F.lower("text"), _GAP)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    vocabulary = cut(vocabulary.where("term <> ''"), "pii-vocabulary")
-    total = vocabulary.agg(F.sum("n_t")).first()[0] or 0
-    shares = pairs.join(entities, "entity").join(vocabulary, "term")
-    n = F.lit(float(total))
-    share = F.ln(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / F.ln(n / F.col("n_e"))
-    return context, shares.select("entity", "term", F.when(F.col("n_e") < n, F.least(share, F.lit(1.0))).alias("share"))
-
-
-def term_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    rows = _with_plain(docs)
+    vocabulary = rows.select(F.explode(_terms(F.col("plain"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    vocabulary = cut(vocabulary, "pii-vocabulary")
+    n = F.lit(float(vocabulary.agg(F.sum("n_t")).first()[0] or 0))
+    entity = lambda b: F.concat(b["kind"].cast("string"), F.lit(":"), b["value"])
+    texts = rows.where("size(base) > 0").select(F.sha2("text", 256).alias("text_id"), F.array_distinct(F.transform("base", entity)).alias("entities"), "plain")
+    texts = texts.groupBy("text_id").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("plain").alias("plain"))
+    texts = cut(texts, "pii-texts")
+    holds = texts.select("text_id", F.explode("entities").alias("entity"), (F.size(_terms(F.col("plain"))) * F.col("copies")).alias("n"))
+    entities = holds.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where((F.col("n_e") > 0) & (F.col("n_e") < n))
+    held = holds.select("text_id", "entity").join(entities, "entity")
+    held = held.groupBy("text_id").agg(F.collect_list(F.struct("entity", (F.col("n_e") / n).alias("p_e"), "n_e", "texts")).alias("held"))
+    words = texts.select("text_id", "copies", F.explode(_terms(F.col("plain"))).alias("term"))
+    words = words.groupBy("text_id", "term").agg(F.sum("copies").alias("n_et")).join(vocabulary, "term").join(held, "text_id")
+
+    def within_reach(e):
+        most = F.when(e["texts"] == 1, F.col("n_et")).otherwise(F.least(e["n_e"], F.col("n_t")))
+        return most + prior * e["p_e"] >= (F.col("n_t") + prior) * F.pow(e["p_e"], F.lit(1 - least)) * (1 - 1e-9)
+
+    pairs = words.select("term", "n_t", "n_et", F.explode(F.filter("held", within_reach)).alias("e"))
+    pairs = pairs.groupBy("e.entity", "term").agg(F.sum("n_et").alias("n_et"), F.first("n_t").alias("n_t"), F.first("e.p_e").alias("p_e"))
+    share = F.ln((F.col("n_et") + prior * F.col("p_e")) / (F.col("n_t") + prior) / F.col("p_e")) / -F.ln("p_e")
+    return pairs.select("entity", "term", F.least(share, F.lit(1.0)).alias("share")).where(F.col("share") >= least)
+
+
+def term_spans(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(text_id, terms): the spans of disclosing terms of each text that has some, by start. kind 4 is generalised, 5 removed."""
-    context, shares = disclosures(docs, support)
-    hit = context.join(shares.where(F.col("share") >= generalise), ["entity", "term"])
-    hit = hit.groupBy("text_id", "s", "e").agg(F.max("share").alias("share"), F.min("term").alias("value"))
-    kind = F.when(F.col("share") >= remove, 5).otherwise(4)
-    span = F.struct(kind.alias("kind"), "s", "e", "value")
-    return hit.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("s", span.alias("span")))).alias("spans")).select("text_id", F.transform("spans", lambda x: x["span"]).cast(_SPAN).alias("terms"))
+    shares = disclosures(docs, prior, generalise).groupBy("term").agg(F.max("share").alias("share"))
+    hits = cut(shares.select("term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind")), "pii-terms")
+    rows = _with_plain(docs).select(F.sha2("text", 256).alias("text_id"), "plain")
+    found = rows.select("text_id", F.explode(F.array_distinct(_terms(F.col("plain")))).alias("term")).join(maybe_broadcast(hits), "term")
+    found = found.groupBy("text_id").agg(F.collect_set(F.struct("term", "kind")).alias("hits"))
+    placed = rows.join(found, "text_id").groupBy("text_id").agg(F.first("plain").alias("plain"), F.first("hits").alias("hits"))
+    return placed.select("text_id", _places(F.col("plain"), F.col("hits")).alias("terms"))
 
 
 def find(docs: DataFrame, **thresholds) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) for every row. Null texts are empty; repeated rows stay; other columns are ignored."""
     docs = docs.select("doc_id", "text")
     rows = docs.withColumn("base", base_spans(F.col("text")))
-    rows = rows.select("doc_id", "base", F.when(F.size("base") > 0, F.sha2("text", 256)).alias("text_id"))
+    rows = rows.select("doc_id", "base", F.sha2("text", 256).alias("text_id"))
     found = rows.join(term_spans(docs, **thresholds), "text_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_SPAN)))
     counts = [F.size(_of_kind("base", i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     by_kind = F.concat("base", _of_kind("terms", 4), _of_kind("terms", 5))
@@ -160,15 +199,12 @@ def find(docs: DataFrame, **thresholds) -> DataFrame:
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """docs with personal data replaced in text by <EMAIL>, <IP>, <CARD>, <PHONE> or <TERM>, removed terms dropped, and n_chars counted anew.
 
-    Overlapping base spans are replaced together, under the name of the first. Texts without base spans and all other
-    columns stay as they are.
+    Overlapping base spans are replaced together, under the name of the first. Texts without base spans and disclosing
+    terms and all other columns stay as they are.
     """
     columns = docs.columns
-    rows = docs.withColumn("_base", base_spans(F.col("text"))).withColumn("_hit", F.size("_base") > 0)
-    clean = rows.where(~F.col("_hit")).select(*columns)
-    dirty = rows.where("_hit").withColumn("_id", F.sha2("text", 256))
-    terms = term_spans(docs.select("text"), **thresholds).select(F.col("text_id").alias("_id"), F.col("terms").alias("_terms"))
-    dirty = dirty.join(terms, "_id", "left")
+    terms = cut(term_spans(docs.select("text"), **thresholds).select(F.col("text_id").alias("_id"), F.col("terms").alias("_terms")), "pii-spans")
+    rows = docs.withColumn("_id", F.sha2("text", 256)).join(terms, "_id", "left").withColumn("_base", base_spans(F.col("text")))
     spans = F.concat("_base", F.coalesce("_terms", F.array().cast(_SPAN)))
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
     masks = F.array(*[F.lit(f"<{k.upper()}>") for k in (*KINDS, "term")], F.lit(""))
@@ -183,11 +219,11 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     def close(acc):
         return F.array_join(F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, F.length("text")))), "")
 
-    text = F.aggregate(ordered, start, step, close)
-    dirty = dirty.withColumn("_new", text).drop("text").withColumnRenamed("_new", "text")
+    hit = (F.size("_base") > 0) | F.col("_terms").isNotNull()
+    rows = rows.withColumn("_hit", hit).withColumn("_new", F.when(F.col("_hit"), F.aggregate(ordered, start, step, close)).otherwise(F.col("text")))
     if "n_chars" in columns:
-        dirty = dirty.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(dirty.select(*columns))
+        rows = rows.withColumn("n_chars", F.when(F.col("_hit"), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.drop("text").withColumnRenamed("_new", "text").select(*columns)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,16 @@ def test_pii_base_spans_and_terms(spark):
     assert "Zorblatt" not in clean[8] and "<EMAIL>" in clean[8] and clean[13] == "nothing here" and clean[4] is None
 
 
+def test_pii_terms_in_whole_texts_and_other_texts(spark):
+    fill = " ".join(f"w{j}" for j in range(60))
+    texts = [fill] * 100 + [f"Quixel {fill} jo@x.org {fill} quixel", f"{fill} Quixel {fill}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert [got[i].n_term for i in (0, 100, 101)] == [0, 2, 1]
+    assert clean[100] == f"<TERM> {fill} <EMAIL> {fill} <TERM>" and clean[101] == f"{fill} <TERM> {fill}" and clean[0] == fill
+
+
 def test_decontamination_by_both_joins(spark, monkeypatch):
     w = " ".join(f"w{i}" for i in range(14))
     docs = spark.createDataFrame([(1, "x " + w.upper() + " y"), (1, "x " + w.upper() + " y"), (2, "Hi!"), (3, None), (4, ""), (None, w[:20]), (5, "É hi é")], "doc_id long, text string").withColumn("n_hit", F.lit(9))
