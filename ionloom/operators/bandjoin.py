@@ -74,10 +74,17 @@ def in_intervals(df: DataFrame, intervals: DataFrame, value: str, width: float)
 
 
 def nearest_values(df: DataFrame, key: str, value: str, group: str, k: int) -> DataFrame:
-    """(key, other, rank): for each row the k rows of its group that are nearest in value, ties to the smaller key. Neighbours are among k before and k after in value order."""
-    w = Window.partitionBy(group).orderBy(value, key)
-    item = F.struct(F.col(key).alias("k"), F.col(value).alias("v"))
-    near = F.concat(F.collect_list(item).over(w.rowsBetween(-k, -1)), F.collect_list(item).over(w.rowsBetween(1, k)))
-    rows = df.select(key, value, near.alias("_n")).select(key, value, F.explode("_n").alias("n"))
-    rows = rows.select(key, F.col("n.k").alias("other"), F.abs(F.col("n.v") - F.col(value)).alias("gap"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("gap", "other"))).where(F.col("rank") <= k)
+    """(key, other, rank): for each row the k rows of its group that are nearest in value, ties to the smaller key.
+
+    Neighbours are among the k + 1 smallest keys of the row's own value and of each of the k distinct values before and
+    after it. Rows without a value or group have none and are none.
+    """
+    rows = df.select(key, value, group).where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group, value).orderBy(key))).where(F.col("_r") <= k + 1)
+    values = first.groupBy(group, value).agg(F.collect_list(key).alias("_k"))
+    w = Window.partitionBy(group).orderBy(value).rowsBetween(-k, k)
+    values = values.withColumn("_n", F.collect_list(F.struct(F.col(value).alias("v"), "_k")).over(w)).drop("_k")
+    gaps = F.flatten(F.transform("_n", lambda n: F.transform(n["_k"], lambda o: F.struct(F.abs(n["v"] - F.col(value)).alias("gap"), o.alias("other")))))
+    near = F.slice(F.array_sort(F.filter(gaps, lambda g: g["other"] != F.col(key))), 1, k)
+    rows = rows.join(values, [group, value]).select(key, F.posexplode(near).alias("rank", "n"))
+    return rows.select(key, F.col("n.other").alias("other"), F.col("n.gap").alias("gap"), (F.col("rank") + 1).alias("rank"))

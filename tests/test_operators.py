@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionloom.functions import chem
-from ionloom.operators import fuse, network, peaks, similarity
+from ionloom.operators import bandjoin, fuse, network, peaks, similarity
 
 
 def _p(spark, mz, it):
@@ -72,3 +72,14 @@ def test_network_rerank_keeps_protected_leader(spark):
     out = network.rerank(lists, support, "node", 5.0, F.col("node") == 1).collect()
     first = {r.node: r.key for r in out if r["rank"] == 1}
     assert first == {1: 1, 2: 5} and len(out) == 10
+
+
+def test_nearest_values_with_many_ties(spark):
+    rng = random.Random(3)
+    rows = [(i, float(v), g) for i, (v, g) in enumerate([(5, "a")] * 10 + [(rng.randrange(6), "b") for _ in range(40)] + [(1, "c")], 1)]
+    got = {(r.key, r.rank): r.other for r in bandjoin.nearest_values(spark.createDataFrame(rows, "key long, v double, g string"), "key", "v", "g", 3).collect()}
+    want = {}
+    for key, v, g in rows:
+        near = sorted((abs(v - w), other) for other, w, h in rows if h == g and other != key)[:3]
+        want |= {(key, n): other for n, (_, other) in enumerate(near, 1)}
+    assert got == want and [got[10, n] for n in (1, 2, 3)] == [1, 2, 3]
