@@ -9,14 +9,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import crc_mod, table
+from .common import crc_mod, cut, table
 
 #: Verdict, host, path prefix. Fixed values of the contract.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Symbols that URLs are mapped to; with the end marker they bound the model at 39 ** 3 = 59,319 rows.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0/.:-_?=&%#~"
-ORDER = 2
+#: The longest context of a character. The model holds every gram of ORDER + 1 characters of the corpus, so it grows with it.
+ORDER = 5
+#: What pads the front of a URL and what ends it.
+PAD, END = "\x02", "\x03"
+#: Grams that are at least one in HOT of all occurrences are broadcast, HOT of them at most; the others are joined by shuffle.
+HOT = 20_000
 BINS = 400
 
 
@@ -39,52 +43,48 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return name, verdict
 
 
-def symbols(url: Column) -> Column:
-    """The URL in ALPHABET: lower case, digits as 0, anything else as ~."""
-    text = F.lower(F.coalesce(url, F.lit("")))
-    text = F.regexp_replace(text, "[0-9]", "0")
-    return F.regexp_replace(text, r"[^a-z0/.:\-_?=&%#]", "~")
-
-
 def _grams(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """One row for each symbol and the end marker `$`, with its context of up to ORDER symbols (`^` pads)."""
-    rows = rows.withColumn("_s", F.concat(F.lit("^" * ORDER), "_sym", F.lit("$")))
-    return rows.select(*keep, F.explode(F.expr(f"transform(sequence(1, length(_s) - {ORDER}), i -> substring(_s, i, {ORDER + 1}))")).alias("gram"))
+    """One row for each character of _sym and the end, after its context of ORDER characters."""
+    chars = F.filter(F.split(F.concat(F.lit(PAD * ORDER), "_sym", F.lit(END)), ""), lambda c: c != "")
+    rows = rows.select(*keep, chars.alias("_c"))
+    return rows.select(*keep, F.explode(F.expr(f"transform(sequence(1, size(_c) - {ORDER}), i -> array_join(slice(_c, i, {ORDER + 1}), ''))")).alias("gram"))
 
 
-def fit(labelled: DataFrame) -> DataFrame:
-    """(gram, ratio): log p_accept - log p_reject of a gram's last symbol after the others.
+def fit(rows: DataFrame) -> DataFrame:
+    """(gram, n, ratio): occurrences, and log p_accept - log p_reject of a gram's last character after the others.
 
-    labelled has _sym and accept (boolean). Witten-Bell smoothing: an order trusts its own counts by n / (n + t), t the
-    number of distinct symbols seen after the context, and leaves the rest to the next shorter one; below order 0 all
-    symbols are alike. Grams seen under one label only still get both probabilities. All tables here are bounded by the
-    alphabet.
+    rows has _sym and accept (boolean); rows with a null there teach nothing, but their grams get a ratio too. Witten-Bell
+    smoothing: an order trusts its own counts by n / (n + t), t the number of distinct characters seen after the context,
+    and leaves the rest to the next shorter one, all of it where the context is unseen; below order 0 all characters are
+    alike. Each order is a table of distinct grams; a key of its joins and windows has as many rows as there are characters.
     """
-    counts = _grams(labelled, ["accept"]).groupBy("gram").agg(F.count_if("accept").alias("a"), F.count_if(~F.col("accept")).alias("r"))
-    size = len(ALPHABET) + 1
-    probs = counts.withColumns({"pa": F.lit(1.0 / size), "pr": F.lit(1.0 / size)})
+    counts = _grams(rows, ["accept"]).groupBy("gram").agg(F.count("*").alias("n"), F.count_if("accept").alias("na"), F.count_if(~F.col("accept")).alias("nr"))
+    counts = cut(counts, "url-grams")
+    probs = None
     for order in range(ORDER + 1):
-        key = F.substring("gram", ORDER + 1 - order, order + 1)
-        own = counts.groupBy(key.alias("k")).agg(F.sum("a").alias("na"), F.sum("r").alias("nr"))
-        context = own.groupBy(F.substring("k", 1, order).alias("c")).agg(F.sum("na").alias("ta"), F.sum("nr").alias("tr"), F.count_if(F.col("na") > 0).alias("da"), F.count_if(F.col("nr") > 0).alias("dr"))
-        probs = probs.withColumns({"k": key, "c": F.substring("gram", ORDER + 1 - order, order)}).join(F.broadcast(own), "k").join(F.broadcast(context), "c")
+        own = counts.groupBy(F.substring("gram", ORDER + 1 - order, order + 1).alias("k")).agg(*[F.sum(x).alias(x) for x in ("n", "na", "nr")])
+        w = Window.partitionBy(F.substring("k", 1, order))
+        seen = {f"t{x}": F.sum(f"n{x}").over(w) for x in "ar"} | {f"d{x}": F.count_if(F.col(f"n{x}") > 0).over(w) for x in "ar"}
+        if probs is None:
+            own = own.withColumns({**seen, "pa": 1 / (F.count("*").over(w) + 1), "pr": 1 / (F.count("*").over(w) + 1)})
+        else:
+            own = own.withColumns(seen).withColumn("s", F.substring("k", 2, order)).join(probs.select(F.col("k").alias("s"), "pa", "pr"), "s")
         for x in "ar":
             total = F.col("t" + x) + F.col("d" + x)
-            probs = probs.withColumn("p" + x, F.when(total > 0, (F.col("n" + x) + F.col("d" + x) * F.col("p" + x)) / total).otherwise(F.col("p" + x)))
-        probs = probs.select("gram", "pa", "pr")
-    return probs.select("gram", (F.ln("pa") - F.ln("pr")).alias("ratio"))
+            own = own.withColumn("p" + x, F.when(total > 0, (F.col("n" + x) + F.col("d" + x) * F.col("p" + x)) / total).otherwise(F.col("p" + x)))
+        probs = own.select("k", "n", "pa", "pr")
+    return probs.select(F.col("k").alias("gram"), "n", (F.ln("pa") - F.ln("pr")).alias("ratio"))
 
 
-def score(rows: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and the mean log ratio over a URL's symbols and end; a gram that the model lacks counts as 0. The model is bounded by the alphabet, so it is broadcast.
-
-    Rows are folded by (keep, symbols) while they are summed and unfolded after it, so repeated rows stay.
-    """
-    grams = _grams(rows, [*keep, "_sym"]).join(F.broadcast(model), "gram", "left")
-    length = F.length("_sym") + 1
-    out = grams.groupBy(*keep, "_sym").agg(F.sum(F.coalesce("ratio", F.lit(0.0))).alias("_sum"), F.count("*").alias("_n"))
-    copies = (F.col("_n") / length).cast("int")
-    return out.withColumn("score", F.col("_sum") / F.col("_n")).select(*keep, "score", F.explode(F.sequence(F.lit(1), copies)).alias("_copy")).drop("_copy")
+def score(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """(_id, score): the mean log ratio over the characters and the end of each distinct _sym; model has all of their grams."""
+    total = model.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * HOT >= total
+    grams = _grams(rows.select("_id", "_sym").distinct(), ["_id"]).join(F.broadcast(model.where(often).select("gram", "ratio")), "gram", "left")
+    sums = lambda x: x.groupBy("_id").agg(F.sum("ratio").alias("x"), F.count("*").alias("m"))
+    rest = grams.where("ratio is null").select("_id", "gram").join(model.where(~often).select("gram", "ratio"), "gram")
+    both = sums(grams.where("ratio is not null")).union(sums(rest)).groupBy("_id").agg(F.sum("x").alias("x"), F.sum("m").alias("m"))
+    return both.select("_id", F.round(F.col("x") / F.col("m"), 9).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -112,12 +112,12 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = split_url(F.col("url"))
     rows = rows.withColumns({"host": host, "path": path})
     name, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": name, "decided": verdict, "_sym": symbols(F.col("url"))})
-    labelled = rows.where("decided is not null").select("_sym", (F.col("decided") == "allow").alias("accept"))
-    fold = crc_mod("_sym", 5)
-    model = fit(labelled.where(fold != 0))
-    threshold = calibrate(score(labelled.where(fold == 0), model, ["accept"]))
-    out = score(rows, model, ["page_id", "host", "path", "rule", "decided"])
+    rows = rows.withColumns({"rule": name, "decided": verdict, "_sym": F.coalesce("url", F.lit(""))}).withColumn("_id", F.md5("_sym"))
+    accept, held = F.col("decided") == "allow", crc_mod("_sym", 5) == 0
+    model = cut(fit(rows.select("_sym", F.when(~held, accept).alias("accept"))), "url-model")
+    scores = cut(score(rows, model), "url-scores")
+    out = rows.join(scores, "_id")
+    threshold = calibrate(out.where(F.col("decided").isNotNull() & held).select("score", accept.alias("accept")))
     return out.select("page_id", "host", "path", "rule", F.coalesce("decided", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")
 
 

@@ -102,6 +102,15 @@ def test_url_rules_and_model(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_model_keeps_digits_scripts_and_context(spark):
+    urls = [f"http://h{i}.org/v{i}-2x" for i in range(200)] + [f"http://h{i}.com/de/v{i}-1x" for i in range(200)]
+    urls += [f"http://h{i}.org/{i}/мир" for i in range(200)] + [f"http://h{i}.com/de/{i}/日本語" for i in range(200)]
+    ask = ["http://h7.net/v7-2x", "http://h7.net/v7-1x", "http://h7.net/7/мир", "http://h7.net/7/日本語"]
+    pages = spark.createDataFrame(list(enumerate(urls + ask)), "page_id long, url string")
+    by = {r.page_id: r.score for r in urlfilter.judge(pages).collect()}
+    assert by[800] > by[801] and by[802] > by[803] and len(by) == 804
+
+
 def _components(docs):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
