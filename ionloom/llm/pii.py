@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, table
+from .common import BROADCAST_ROWS, cut, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Equal to the contract's patterns, but they begin only where a match can begin and never give characters back, so long runs cost linear time and no stack.
@@ -38,6 +38,8 @@ _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Occurrences at the corpus's own rate that are added to those of a term.
 PRIOR = 1.0
 GENERALISE, REMOVE = 0.8, 0.95
+#: Bits of the sieve for each hit, and its largest size (16 MB).
+SIEVE_BITS, SIEVE_MOST = 16, 1 << 27
 _SPAN = "array<struct<kind:int,s:int,e:int,value:string>>"
 
 
@@ -117,10 +119,9 @@ def _terms(plain: Column) -> Column:
     return F.filter(F.split(F.lower(plain), _GAP), lambda t: t != "")
 
 
-def _places(plain: Column, hits: Column) -> Column:
-    """Spans of the words of plain that are in hits (term, kind), by start, in code points."""
+def _places(plain: Column, general: Column, removed: Column) -> Column:
+    """Spans of the words of plain that are in one of the two arrays of terms, by start, in code points."""
     words, gaps = F.regexp_extract_all(plain, F.lit(_WORD), F.lit(0)), F.split(plain, _WORD, -1)
-    kinds = [(kind, F.transform(_of_kind(hits, kind), lambda h: h["term"])) for kind in (4, 5)]
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("w"), F.lower(w).alias("term")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
@@ -128,7 +129,7 @@ def _places(plain: Column, hits: Column) -> Column:
         s = acc["at"] + p["g"]
         e = s + p["w"]
         out = acc["out"]
-        for kind, terms in kinds:
+        for kind, terms in ((4, general), (5, removed)):
             span = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), p["term"].alias("value"))
             out = F.when(F.array_contains(terms, p["term"]), F.concat(acc["out"], F.array(span))).otherwise(out)
         return F.struct(e.alias("at"), out.alias("out"))
@@ -174,15 +175,32 @@ def disclosures(docs: DataFrame, prior: float = PRIOR, least: float = GENERALISE
     return pairs.select("entity", "term", F.least(share, F.lit(1.0)).alias("share")).where(F.col("share") >= least)
 
 
+def _sieve(rows: DataFrame, hits: DataFrame, n: int) -> DataFrame:
+    """Rows whose term's hash is that of one of n hits, or falls on the same bit. No row with a hit is lost; the join that follows is exact.
+
+    The bits are broadcast in blocks of 512 words of 64, so that only rows that can be hits are shuffled.
+    """
+    bits = min(SIEVE_MOST, max(1 << 15, 1 << (SIEVE_BITS * n - 1).bit_length()))
+    at = F.pmod(F.xxhash64("term"), F.lit(bits))
+    none = rows.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("mask"))
+    mask = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    words = hits.select(at.alias("at")).select(F.shiftright("at", 6).alias("w"), mask.alias("mask")).union(none).groupBy("w").agg(F.bit_or("mask").alias("mask"))
+    blocks = words.groupBy(F.shiftright("w", 9).alias("_block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "mask"))), lambda x: x["mask"]).alias("_words"))
+    rows = rows.withColumn("_at", at).withColumn("_block", F.shiftright("_at", 15)).join(F.broadcast(blocks), "_block")
+    return rows.where(F.expr("getbit(element_at(_words, cast((shiftright(_at, 6) & 511) + 1 as int)), cast(_at & 63 as int)) = 1")).drop("_at", "_block", "_words")
+
+
 def term_spans(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(text_id, terms): the spans of disclosing terms of each text that has some, by start. kind 4 is generalised, 5 removed."""
     shares = disclosures(docs, prior, generalise).groupBy("term").agg(F.max("share").alias("share"))
     hits = cut(shares.select("term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind")), "pii-terms")
     rows = _with_plain(docs).select(F.sha2("text", 256).alias("text_id"), "plain")
-    found = rows.select("text_id", F.explode(F.array_distinct(_terms(F.col("plain")))).alias("term")).join(maybe_broadcast(hits), "term")
-    found = found.groupBy("text_id").agg(F.collect_set(F.struct("term", "kind")).alias("hits"))
-    placed = rows.join(found, "text_id").groupBy("text_id").agg(F.first("plain").alias("plain"), F.first("hits").alias("hits"))
-    return placed.select("text_id", _places(F.col("plain"), F.col("hits")).alias("terms"))
+    found = rows.select("text_id", F.explode(F.array_distinct(_terms(F.col("plain")))).alias("term"))
+    n = hits.count()
+    found = found.join(F.broadcast(hits), "term") if n <= BROADCAST_ROWS else _sieve(found, hits, n).join(hits, "term")
+    found = found.groupBy("text_id").agg(*[F.collect_set(F.when(F.col("kind") == kind, F.col("term"))).alias(f"t{kind}") for kind in (4, 5)])
+    placed = rows.join(found, "text_id").groupBy("text_id").agg(F.first("plain").alias("plain"), F.first("t4").alias("t4"), F.first("t5").alias("t5"))
+    return placed.select("text_id", _places(F.col("plain"), F.col("t4"), F.col("t5")).alias("terms"))
 
 
 def find(docs: DataFrame, **thresholds) -> DataFrame:

@@ -78,6 +78,16 @@ def test_pii_terms_in_whole_texts_and_other_texts(spark):
     assert clean[100] == f"<TERM> {fill} <EMAIL> {fill} <TERM>" and clean[101] == f"{fill} <TERM> {fill}" and clean[0] == fill
 
 
+def test_pii_terms_by_both_joins(spark, monkeypatch):
+    texts = [f"zorb{i} wrote jo{i}@x.org of zorb{i} {'plain words ' * 20}" for i in range(60)] + [f"zorb{i} alone" for i in range(60)] + ["plain words"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(pii.find(docs).collect())
+    called, sieve = [], pii._sieve
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(pii, "_sieve", lambda *a: called.append(1) or sieve(*a))
+    assert sorted(pii.find(docs).collect()) == want and called and sum(r.n_term > 0 for r in want) >= 60
+
+
 def test_decontamination_by_both_joins(spark, monkeypatch):
     w = " ".join(f"w{i}" for i in range(14))
     docs = spark.createDataFrame([(1, "x " + w.upper() + " y"), (1, "x " + w.upper() + " y"), (2, "Hi!"), (3, None), (4, ""), (None, w[:20]), (5, "É hi é")], "doc_id long, text string").withColumn("n_hit", F.lit(9))
