@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, remove
 
 
 def _stars(both: DataFrame, large: bool) -> DataFrame:
@@ -27,14 +27,15 @@ def _settled(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, comp) of every node of (u, v), comp its component's smallest node. An empty table gives an empty one."""
-    edges = cut(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "cc")
+    edges = cut(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "cc", paths := [])
     for _ in range(rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _stars(both, True).where("a <> b")
         large = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        edges = cut(_stars(large, False).where("a <> b").distinct(), "cc")
+        edges = cut(_stars(large, False).where("a <> b").distinct(), "cc", paths)
         if _settled(edges):
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    remove(edges.sparkSession, paths[:-1])
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
