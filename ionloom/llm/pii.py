@@ -38,8 +38,8 @@ _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Occurrences at the corpus's own rate that are added to those of a term.
 PRIOR = 1.0
 GENERALISE, REMOVE = 0.8, 0.95
-#: Bits of the sieve for each hit, and its largest size (16 MB).
-SIEVE_BITS, SIEVE_MOST = 16, 1 << 27
+#: Bits of a sieve for each key, hash functions, and its largest size (16 MB).
+SIEVE_BITS, SIEVE_HASHES, SIEVE_MOST = 16, 2, 1 << 27
 _SPAN = "array<struct<kind:int,s:int,e:int,value:string>>"
 
 
@@ -155,7 +155,7 @@ def disclosures(docs: DataFrame, prior: float = PRIOR, least: float = GENERALISE
     vocabulary = cut(vocabulary, "pii-vocabulary")
     n = F.lit(float(vocabulary.agg(F.sum("n_t")).first()[0] or 0))
     entity = lambda b: F.concat(b["kind"].cast("string"), F.lit(":"), b["value"])
-    texts = rows.where("size(base) > 0").select(F.sha2("text", 256).alias("text_id"), F.array_distinct(F.transform("base", entity)).alias("entities"), "plain")
+    texts = rows.where("size(base) > 0").select(_text_id().alias("text_id"), F.array_distinct(F.transform("base", entity)).alias("entities"), "plain")
     texts = texts.groupBy("text_id").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("plain").alias("plain"))
     texts = cut(texts, "pii-texts")
     holds = texts.select("text_id", F.explode("entities").alias("entity"), (F.size(_terms(F.col("plain"))) * F.col("copies")).alias("n"))
@@ -175,73 +175,87 @@ def disclosures(docs: DataFrame, prior: float = PRIOR, least: float = GENERALISE
     return pairs.select("entity", "term", F.least(share, F.lit(1.0)).alias("share")).where(F.col("share") >= least)
 
 
-def _sieve(rows: DataFrame, hits: DataFrame, n: int) -> DataFrame:
-    """Rows whose term's hash is that of one of n hits, or falls on the same bit. No row with a hit is lost; the join that follows is exact.
-
-    The bits are broadcast in blocks of 512 words of 64, so that only rows that can be hits are shuffled.
-    """
+def _sieve(rows: DataFrame, column: str, keys: DataFrame, n: int) -> DataFrame:
+    """rows with _may: false only where the column is none of n keys. The bits are broadcast in blocks of 512 words of 64; a join that is exact follows, for rows that may match."""
     bits = min(SIEVE_MOST, max(1 << 15, 1 << (SIEVE_BITS * n - 1).bit_length()))
-    at = F.pmod(F.xxhash64("term"), F.lit(bits))
+    at = lambda i: F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits))
     none = rows.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("mask"))
     mask = F.expr("shiftleft(1L, cast(at & 63 as int))")
-    words = hits.select(at.alias("at")).select(F.shiftright("at", 6).alias("w"), mask.alias("mask")).union(none).groupBy("w").agg(F.bit_or("mask").alias("mask"))
+    words = keys.select(F.explode(F.array(*map(at, range(SIEVE_HASHES)))).alias("at")).select(F.shiftright("at", 6).alias("w"), mask.alias("mask")).union(none).groupBy("w").agg(F.bit_or("mask").alias("mask"))
     blocks = words.groupBy(F.shiftright("w", 9).alias("_block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "mask"))), lambda x: x["mask"]).alias("_words"))
-    rows = rows.withColumn("_at", at).withColumn("_block", F.shiftright("_at", 15)).join(F.broadcast(blocks), "_block")
-    return rows.where(F.expr("getbit(element_at(_words, cast((shiftright(_at, 6) & 511) + 1 as int)), cast(_at & 63 as int)) = 1")).drop("_at", "_block", "_words")
+    rows = rows.withColumn("_may", F.lit(True))
+    for i in range(SIEVE_HASHES):
+        rows = rows.withColumn("_at", at(i)).withColumn("_block", F.shiftright("_at", 15)).join(F.broadcast(blocks), "_block")
+        rows = rows.withColumn("_may", F.col("_may") & F.expr("getbit(element_at(_words, cast((shiftright(_at, 6) & 511) + 1 as int)), cast(_at & 63 as int)) = 1")).drop("_at", "_block", "_words")
+    return rows
+
 
+def _text_id() -> Column:
+    """A text's id, of 128 bits."""
+    return F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
 
-def term_spans(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(text_id, terms): the spans of disclosing terms of each text that has some, by start. kind 4 is generalised, 5 removed."""
+
+def term_lists(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(text_hash, general, removed): the disclosing terms of the texts that have some, by the 64-bit hash of the text. Texts of one hash share a list of the terms of either, which changes neither: a term is disclosing in every text."""
     shares = disclosures(docs, prior, generalise).groupBy("term").agg(F.max("share").alias("share"))
     hits = cut(shares.select("term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind")), "pii-terms")
-    rows = _with_plain(docs).select(F.sha2("text", 256).alias("text_id"), "plain")
-    found = rows.select("text_id", F.explode(F.array_distinct(_terms(F.col("plain")))).alias("term"))
     n = hits.count()
-    found = found.join(F.broadcast(hits), "term") if n <= BROADCAST_ROWS else _sieve(found, hits, n).join(hits, "term")
-    found = found.groupBy("text_id").agg(*[F.collect_set(F.when(F.col("kind") == kind, F.col("term"))).alias(f"t{kind}") for kind in (4, 5)])
-    placed = rows.join(found, "text_id").groupBy("text_id").agg(F.first("plain").alias("plain"), F.first("t4").alias("t4"), F.first("t5").alias("t5"))
-    return placed.select("text_id", _places(F.col("plain"), F.col("t4"), F.col("t5")).alias("terms"))
+    rows = _with_plain(docs).select(F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(_terms(F.col("plain")))).alias("term"))
+    found = _sieve(rows, "term", hits, n).where("_may").drop("_may").join(F.broadcast(hits) if n <= BROADCAST_ROWS else hits, "term")
+    lists = [F.collect_set(F.when(F.col("kind") == kind, F.col("term"))).alias(name) for kind, name in ((4, "general"), (5, "removed"))]
+    return cut(found.groupBy("text_hash").agg(*lists), "pii-lists")
+
+
+def with_spans(docs: DataFrame, **thresholds) -> DataFrame:
+    """(row, base, terms) of every row of docs, which is a struct in row: base spans and those of disclosing terms. Only texts that may hold such terms are shuffled."""
+    lists = term_lists(docs.select("text"), **thresholds)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("text_hash"))
+    rows = _sieve(rows, "text_hash", lists, lists.count())
+    none = F.array().cast("array<string>")
+    clean = rows.where(~F.col("_may")).withColumns({"general": none, "removed": none})
+    rest = rows.where("_may").join(lists, "text_hash", "left").withColumns({c: F.coalesce(c, none) for c in ("general", "removed")})
+    columns, text = ("row", "general", "removed"), F.col("row.text")
+    found = clean.select(*columns).union(rest.select(*columns)).withColumn("base", base_spans(text))
+    some = F.size("general") + F.size("removed") > 0
+    terms = F.when(some, _places(_plain(text, F.col("base")), F.col("general"), F.col("removed")))
+    return found.select("row", "base", F.coalesce(terms, F.array().cast(_SPAN)).alias("terms"))
 
 
 def find(docs: DataFrame, **thresholds) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) for every row. Null texts are empty; repeated rows stay; other columns are ignored."""
-    docs = docs.select("doc_id", "text")
-    rows = docs.withColumn("base", base_spans(F.col("text")))
-    rows = rows.select("doc_id", "base", F.sha2("text", 256).alias("text_id"))
-    found = rows.join(term_spans(docs, **thresholds), "text_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_SPAN)))
+    found = with_spans(docs.select("doc_id", "text"), **thresholds)
     counts = [F.size(_of_kind("base", i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     by_kind = F.concat("base", _of_kind("terms", 4), _of_kind("terms", 5))
-    return found.select("doc_id", *counts, F.sha2(_label(F.col("base")), 256).alias("base_sha256"), _label(by_kind).alias("spans"), F.size("terms").cast("long").alias("n_term"))
+    return found.select("row.doc_id", *counts, F.sha2(_label(F.col("base")), 256).alias("base_sha256"), _label(by_kind).alias("spans"), F.size("terms").cast("long").alias("n_term"))
 
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """docs with personal data replaced in text by <EMAIL>, <IP>, <CARD>, <PHONE> or <TERM>, removed terms dropped, and n_chars counted anew.
 
     Overlapping base spans are replaced together, under the name of the first. Texts without base spans and disclosing
-    terms and all other columns stay as they are.
+    terms and all other columns stay as they are, whatever their names.
     """
-    columns = docs.columns
-    terms = cut(term_spans(docs.select("text"), **thresholds).select(F.col("text_id").alias("_id"), F.col("terms").alias("_terms")), "pii-spans")
-    rows = docs.withColumn("_id", F.sha2("text", 256)).join(terms, "_id", "left").withColumn("_base", base_spans(F.col("text")))
-    spans = F.concat("_base", F.coalesce("_terms", F.array().cast(_SPAN)))
+    rows = with_spans(docs, **thresholds)
+    text, spans = F.col("row.text"), F.concat("base", "terms")
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
     masks = F.array(*[F.lit(f"<{k.upper()}>") for k in (*KINDS, "term")], F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
         end, at = -x["e"], acc["at"]
-        gap = F.substring(F.col("text"), at + 1, F.greatest(x["s"] - at, F.lit(0)))
+        gap = F.substring(text, at + 1, F.greatest(x["s"] - at, F.lit(0)))
         new = F.when(x["s"] >= at, F.concat(acc["out"], F.array(gap, F.element_at(masks, x["kind"] + 1)))).otherwise(acc["out"])
         return F.struct(F.greatest(at, end).alias("at"), new.alias("out"))
 
     def close(acc):
-        return F.array_join(F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, F.length("text")))), "")
-
-    hit = (F.size("_base") > 0) | F.col("_terms").isNotNull()
-    rows = rows.withColumn("_hit", hit).withColumn("_new", F.when(F.col("_hit"), F.aggregate(ordered, start, step, close)).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_hit"), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.drop("text").withColumnRenamed("_new", "text").select(*columns)
+        return F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "")
+
+    hit = F.size("base") + F.size("terms") > 0
+    rows = rows.select("row", F.when(hit, F.aggregate(ordered, start, step, close)).otherwise(text).alias("new"), hit.alias("hit"))
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("hit"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return rows.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
