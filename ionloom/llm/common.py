@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,10 +14,12 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """A new path in the folder named by spark.checkpoint.dir. Without that setting there is none that a cluster shares; on a local master Spark's own folder serves."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), "ionloom-checkpoints")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/ionloom-checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -39,6 +39,17 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def hide(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns renamed so that none clashes with a helper column, and the new name of each."""
+    names = {c: f"own column {i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def shown(names: dict[str, str]) -> list[Column]:
+    """The columns that hide() renamed, under their own names."""
+    return [F.col(f"`{new}`").alias(c) for c, new in names.items()]
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the Arrow batches that carry whole texts to Python."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

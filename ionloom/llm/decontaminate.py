@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, table
+from .common import BROADCAST_ROWS, hide, shown, table
 
 WINDOW = 10
 #: What separates words once upper-case letters are kept apart: ASCII other than letters and digits.
@@ -82,16 +82,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     Null texts have no words. Null item ids count as an item without a name and are left out of n_items. An empty
     benchmark hits nothing.
     """
-    taken = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated"}
-    docs = docs.drop(*taken)
+    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     hits = contaminated_words(docs.select("text"), benchmark, size)
     n_hit = hits.select("text_id", "pos").distinct().groupBy("text_id").agg(F.count("*").alias("n_hit"))
     items = hits.select("text_id", F.col("item_id").cast("string").alias("i")).distinct().groupBy("text_id").agg(F.array_sort(F.collect_set("i")).alias("items"))
-    found = n_hit.join(items, "text_id")
-    rows = docs.withColumns({"_id": F.sha2("text", 256), "n_words": F.size(words(F.col("text"))).cast("long")})
-    out = rows.join(found, rows["_id"] == found["text_id"], "left")
+    rows, names = hide(docs)
+    text = F.col(f"`{names['text']}`")
+    out = rows.withColumns({"text_id": _text_id(text), "n_words": F.size(words(text)).cast("long")}).join(n_hit.join(items, "text_id"), "text_id", "left")
     return out.select(
-        *docs.columns,
+        *shown(names),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
@@ -100,14 +99,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     )
 
 
+def _text_id(text: Column) -> Column:
+    """SHA-256 of a text; of null texts, which hold no window, one in many values, so that they don't meet in one task."""
+    return F.coalesce(F.sha2(text, 256), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no window of any item, with their own columns."""
+    """The documents that hold no window of any item, with their own columns, whatever their names."""
     hits = contaminated_words(docs.select("text"), benchmark).select("text_id").distinct()
-    kept = docs.withColumn("_id", F.coalesce(F.sha2("text", 256), F.lit(""))).join(hits.withColumnRenamed("text_id", "_id"), "_id", "left_anti")
-    return kept.select(*docs.columns)
+    rows, names = hide(docs)
+    return rows.withColumn("text_id", _text_id(F.col(f"`{names['text']}`"))).join(hits, "text_id", "left_anti").select(*shown(names))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contamination of all documents by all benchmark items, windows of 10 words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
 

@@ -414,11 +414,6 @@ def _with_comps(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _joined(new: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Components with new links (u, v) added."""
-    return components(new if comps is None else comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).where("u <> v").union(new))
-
-
 def _unfinished(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Rows of the groups that hold more than one component, with comp."""
     return _open(_with_comps(rows, comps), "gid", "comp")
@@ -429,32 +424,32 @@ def link_groups(shared: DataFrame, sets: DataFrame, t: Fraction, caps: tuple[int
     whole = {"bi": F.lit(0), "bj": F.lit(0), "block": F.lit(0)}
     rows = shared.select(F.col("bundle").alias("gid"), "node").distinct().join(sets.select("node", "n"), "node")
     rows = cut(rows.join(_weights(rows, *caps), "gid"), "jaccard-groups", paths)
-    comps = _joined(join_groups(_with_comps(rows.where("parts = 1"), None).withColumns(whole), sets, t), None)
+    links = join_groups(_with_comps(rows.where("parts = 1"), None).withColumns(whole), sets, t)
     large = rows.where("parts > 1")
     if large.isEmpty():
-        return comps
+        return components(links)
     # what is near a few pivots of the bundle becomes one component before its cells are joined
     about = large.select("gid", "many", "parts").distinct()
-    comps = _joined(split_groups(large.select("gid", "node", "n"), about, sets, t, SPLITS, paths)[1], comps)
-    large = about.select(F.col("gid").alias("bundle"))
-    rows = shared.join(large, "bundle", "left_semi").select(F.col("key").alias("gid"), "node").join(sets.select("node", "n"), "node").withColumn("was", F.lit(None).cast("long"))
+    near = split_groups(large.select("gid", "node", "n"), about, sets, t, SPLITS, paths)[1]
+    rows = shared.join(about.select(F.col("gid").alias("bundle")), "bundle", "left_semi").select(F.col("key").alias("gid"), "node")
+    rows = rows.join(sets.select("node", "n"), "node").withColumn("was", F.lit(None).cast("long"))
     for level in range(SPLITS + 1):
+        links = cut(links.union(near), "jaccard-links", paths)
+        comps = components(links)
         rows = cut(_unfinished(rows, comps).select("gid", "node", "n", "was", "comp"), "jaccard-groups", paths)
         about = cut(_weights(rows, *caps), "jaccard-weights", paths)
-        fits = rows.join(about.where("parts = 1"), "gid", "left_semi")
-        links = join_groups(fits.withColumns(whole), sets, t)
+        links = links.union(join_groups(rows.join(about.where("parts = 1"), "gid", "left_semi").withColumns(whole), sets, t))
+        rest = rows.join(about.where("parts > 1"), "gid")
         # a region that kept most of its group's nodes isn't worth another split
         past = (F.col("was").isNotNull() & (F.col("many") > GAIN * F.col("was"))) | F.lit(level == SPLITS)
-        rest = rows.join(about.where("parts > 1"), "gid")
         blocks = rest.where(past).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         blocks = blocks.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
         links = links.union(join_groups(blocks, sets, t))
         rest = cut(rest.where(~past).select("gid", "node", "n"), "jaccard-groups", paths)
         if rest.isEmpty():
-            return _joined(links, comps)
-        rows, more = split_groups(rest, about, sets, t, level, paths)
-        comps = _joined(links.union(more), comps)
-    return comps
+            break
+        rows, near = split_groups(rest, about, sets, t, level, paths)
+    return components(links)
 
 
 # ---------------------------------------------------------------- the operator

@@ -1,12 +1,14 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
 Training counts byte 4-grams (of letters, words apart) per language over all labelled rows. A gram belongs to every
-language in which it is at least SHARE as frequent as where it is most frequent. One Bloom filter per language holds its
+language in which it is at least SHARE as frequent as where it is most frequent and has at least one in MEMBERS of all
+occurrences, so a filter holds MEMBERS grams at most, whatever the corpus. One Bloom filter per language holds its
 grams; the filters are stored bit-sliced: slot i of the table is a mask with bit l set if slot i of language l's filter
 is, so HASHES look-ups and an AND give all languages that contain a gram. A text's score for a language is the number of
 its grams found there, corrected for the false positives expected from that filter's fill.
 
-The table has SLOTS masks of 64 languages each; it is broadcast, and its size doesn't depend on the input.
+The table has SLOTS masks of 64 languages each; it is broadcast, and its size doesn't depend on the input. Labels are the
+LANGS most frequent values of lang.
 """
 
 from __future__ import annotations
@@ -19,14 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, chunks, crc_mod, mix, small_batches, table
+from .common import byte_view, chunks, crc_mod, cut, hide, mix, remove, shown, small_batches, table
 
-GRAMS = 1 << 18
 SLOTS = 1 << 21
 HASHES = 3
 SHARE = 0.35
 #: A gram needs so many occurrences in training to enter a filter.
-LEAST = 3
+LEAST, MEMBERS = 3, 400_000
+#: Distinct labels that are learnt at most.
+LANGS = 1024
+#: Counts that a task holds before it hands them on.
+HELD = 1 << 20
 LANGS_PER_WORD = 64
 _U = np.uint64
 _FOLD = np.full(256, 32, np.uint8)
@@ -36,7 +41,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, gram id below GRAMS) of each byte 4-gram; everything but letters and bytes of other scripts is a space, and runs of spaces are one."""
+    """(row, the four bytes as a number) of each byte 4-gram; everything but letters and bytes of other scripts is a space, and runs of spaces are one."""
     n = len(data)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     text = _FOLD[data]
@@ -48,11 +53,11 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     four = text[:-3] | (text[1:-2] << 8) | (text[2:-1] << 16) | (text[3:] << 24)
     same = rows[:-3] == rows[3:]
     four, rows = four[same], rows[:-3][same]
-    return rows, ((four * np.uint32(2654435761)) >> np.uint32(32 - 18)).astype(np.int64)
+    return rows, four.astype(np.int64)
 
 
 def slots(gram: np.ndarray) -> np.ndarray:
-    """The HASHES slots of each gram id, as rows."""
+    """The HASHES slots of each gram, as rows."""
     h = mix(gram.astype(np.uint64) + _U(0x1234567))
     step = (h >> _U(40)) | _U(1)
     with np.errstate(over="ignore"):
@@ -63,7 +68,11 @@ def _counts(langs: list[str]):
     order = {x: i for i, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), GRAMS), np.int64)
+        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array(keys & 0xFFFFFFFF), pa.array(sums)], ["l", "g", "n"])
+
         for batch in batches:
             lang = np.array([order.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
             data, offsets = byte_view(batch.column(0))
@@ -71,32 +80,46 @@ def _counts(langs: list[str]):
                 part = offsets[i : j + 1]
                 row, g = grams(data[part[0] : part[-1]], part - part[0])
                 own = lang[i:j][row]
-                total += np.bincount((own * GRAMS + g)[own >= 0], minlength=total.size).reshape(total.shape)
-        for x in range(len(langs)):
-            g = np.flatnonzero(total[x])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), x, np.int32)), pa.array(g.astype(np.int32)), pa.array(total[x][g])], ["l", "g", "n"])
+                new, n = np.unique(((own << 32) | g)[own >= 0], return_counts=True)
+                keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                total = np.zeros(len(keys), np.int64)
+                np.add.at(total, where, np.concatenate([sums, n]))
+                sums = total
+                if len(keys) > HELD:
+                    yield out()
+                    keys, sums = keys[:0], sums[:0]
+        yield out()
 
     return run
 
 
+def _member_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, word, bit) of grams g of languages l: the places that a filter's gram sets."""
+    for batch in batches:
+        g, lang = (batch.column(i).to_numpy().astype(np.int64) for i in range(2))
+        slot = slots(g).ravel()
+        bit = (_U(1) << (lang % LANGS_PER_WORD).astype(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(np.tile(lang // LANGS_PER_WORD, HASHES).astype(np.int32)), pa.array(np.tile(bit, HASHES))], ["slot", "word", "bit"])
+
+
 def train(labelled: DataFrame) -> dict:
     """The model of (text, lang): langs, table (SLOTS masks for each 64 languages) and the false positive rate of each language."""
     small_batches(labelled.sparkSession)
     labelled = labelled.select("text", "lang").where("text is not null and lang is not null")
-    langs = sorted(r.lang for r in labelled.select("lang").distinct().collect())
+    langs = sorted(r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
     width = max(1, -(-len(langs) // LANGS_PER_WORD))
     masks = np.zeros((SLOTS, width), np.uint64)
     if langs:
-        counts = labelled.mapInArrow(_counts(langs), "l int, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+        counts = labelled.mapInArrow(_counts(langs), "l int, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+        counts = cut(counts, "language-grams", paths := [])
         sums = counts.groupBy("l").agg(F.sum("n").alias("all"))
         rate = counts.join(F.broadcast(sums), "l").withColumn("rate", F.col("n") / F.col("all"))  # a row for each language
         best = rate.groupBy("g").agg(F.max("rate").alias("best"), F.sum("n").alias("seen"), F.collect_list(F.struct("l", "rate")).alias("each"))
-        member = best.where(F.col("seen") >= LEAST).select("g", F.explode("each").alias("e"), "best").where(F.col("e.rate") >= SHARE * F.col("best"))
-        found = member.select("g", F.col("e.l").alias("l")).toPandas()  # at most GRAMS rows for each language
-        lang = found["l"].to_numpy(np.int64)
-        bit = _U(1) << (lang % LANGS_PER_WORD).astype(np.uint64)
-        for s in slots(found["g"].to_numpy(np.int64)):
-            np.bitwise_or.at(masks, (s, lang // LANGS_PER_WORD), bit)
+        member = best.where(F.col("seen") >= LEAST).select("g", F.explode("each").alias("e"), "best")
+        member = member.where((F.col("e.rate") >= SHARE * F.col("best")) & (F.col("e.rate") * MEMBERS >= 1)).select("g", F.col("e.l").alias("l"))
+        bits = member.mapInArrow(_member_bits, "slot int, word int, bit long").groupBy("slot", "word").agg(F.bit_or("bit").alias("bit")).toPandas()  # at most SLOTS rows for each 64 languages
+        masks[bits["slot"].to_numpy(), bits["word"].to_numpy()] = bits["bit"].to_numpy(np.int64).view(np.uint64)
+        remove(labelled.sparkSession, paths)
     fill = np.array([np.count_nonzero((masks[:, i // LANGS_PER_WORD] >> _U(i % LANGS_PER_WORD)) & _U(1)) / SLOTS for i in range(len(langs))])
     return {"langs": langs, "masks": masks, "false": fill**HASHES}
 
@@ -137,33 +160,39 @@ def predict(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]:
     return names, np.clip(np.array(scores), 0.0, 1.0)
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with lang_pred and score. A text that is null or has no letter is `und` with score 0; one with letters but no known gram gets the first language with score 0. Columns of those names are replaced."""
+def _with_language(docs: DataFrame, model: dict, text: str, lang: str, score: str) -> DataFrame:
+    """docs with the language and the score of the column text, under these names."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("lang_pred", "score")
     shared = spark.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = predict(shared.value, batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang, score])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
+def identify(docs: DataFrame, model: dict) -> DataFrame:
+    """docs with lang_pred and score. A text that is null or has no letter is `und` with score 0; one with letters but no known gram gets the first language with score 0. Of languages with equal counts the first in order wins. Repeated rows stay. Columns of those names are replaced."""
+    return _with_language(docs.drop("lang_pred", "score"), model, "text", "lang_pred", "score")
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents of a language: those judged `und` go (null texts and texts without letters). The columns of docs.
+    """The documents of a language: those judged `und` go (null texts and texts without letters). The columns of docs, whatever their names.
 
     The model learns from the documents with a lang.
     """
-    out = identify(docs, train(docs))
-    return out.where("lang_pred <> 'und'").select(*docs.columns)
+    rows, names = hide(docs)
+    out = _with_language(rows, train(docs), names["text"], "lang found", "score found")
+    return out.where("`lang found` <> 'und'").select(*shown(names))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify over all documents, learnt from those whose remainder isn't 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = crc_mod("doc_id", 4) == 2
     model = train(docs.where(~held))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, table
+from .common import hide, maybe_broadcast, shown, table
 
 SEED = "mix-1"
 #: Target weights are the source sizes to this power: 1 keeps the mix, 0 makes all sources equal.
@@ -61,19 +61,22 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, total: float |
     The rates are broadcast if there are few sources.
     """
     docs = docs.drop("copy", "shuffle_key")
-    rates = _table(target_rates(docs, weights, total, flatten)).withColumnRenamed("source", "_source")
-    who = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    rows = docs.withColumn("_who", who).join(maybe_broadcast(rates), F.col("source").eqNullSafe(F.col("_source")))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda a, i: a + F.size(F.filter("cdf", lambda c: c <= uniform(seed, F.col("_who"), i))))
-    rows = rows.withColumn("_n", count).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), "_who", F.col("copy").cast("string")))
-    return rows.select(*docs.columns, "copy", key.alias("shuffle_key"))
+    rates = _table(target_rates(docs, weights, total, flatten)).withColumnRenamed("source", "rated")
+    rows, names = hide(docs)
+    own = {c: F.col(f"`{names[c]}`") for c in ("doc_id", "source", "text")}
+    who = F.coalesce(own["doc_id"].cast("string"), F.md5(F.coalesce(own["text"], F.lit(""))))
+    rows = rows.withColumn("who", who).join(maybe_broadcast(rates), own["source"].eqNullSafe(F.col("rated")))
+    # each draw is hashed once, then compared with the distribution
+    drawn = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda i: uniform(seed, F.col("who"), i))
+    count = F.aggregate(F.col("drawn"), F.lit(0), lambda a, x: a + F.size(F.filter("cdf", lambda c: c <= x)))
+    rows = rows.withColumn("drawn", drawn).withColumn("n", count).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), "who", F.col("copy").cast("string")))
+    return rows.select(*shown(names), "copy", key.alias("shuffle_key"))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
     """A global shuffle: rows go to partitions by their key and are sorted by it there."""
-    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,8 +315,38 @@ def test_token_rollup_is_idempotent(spark, tmp_path):
         r.commit("0", first)
 
 
+def test_token_rollup_keeps_every_row_and_compacts(spark, tmp_path, monkeypatch):
+    """Rows without id and repeated ids all count; stored ledgers change nothing; against a dictionary."""
+    monkeypatch.setattr(tokencounts, "COMPACT", 3)
+    rng, r, live = np.random.default_rng(4), tokencounts.Rollup(spark, f"file://{tmp_path}/r"), {}
+    for batch in range(8):
+        rows = [(str(rng.choice(["insert", "revise", "delete"])), int(i) if i else None, "t", str(rng.choice(["a", "b"])), None, int(rng.integers(0, 9))) for i in rng.integers(0, 7, 5)]
+        for doc in {x[1] for x in rows}:
+            own = [x for x in rows if x[1] == doc]
+            last = max(tokencounts._ORDER.index(x[0]) for x in own)
+            live[doc] = [] if last == 2 else [x for x in own if tokencounts._ORDER.index(x[0]) == last]
+        changes = spark.createDataFrame([*rows, (None, 1, "t", "a", "x", 99), ("other", 1, "t", "a", "x", 99)], "op string, doc_id long, tokenizer string, source string, lang string, tokens long").withColumns({"rank": F.lit(9), "docs": F.lit(9)})
+        assert r.commit(f"{batch:03}", changes)
+        want = {s: (sum(x[3] == s for v in live.values() for x in v), sum(x[5] for v in live.values() for x in v if x[3] == s)) for s in "ab"}
+        assert {x.source: (x.docs, x.tokens) for x in r.totals().collect()} == {s: v for s, v in want.items() if v[0]}
+    assert r._with("whole_ledger") == ["002", "005"]
+
+
+def test_token_counts_query_against_brute_force(spark):
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    with open(f"{tokencounts.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        encode = tokencounts._encoder("x", f.read(), tokencounts.PATTERN).encode_ordinary
+    docs["first"] = docs.groupby("text").doc_id.transform("min")
+    docs = docs[docs.doc_id == docs["first"]]
+    docs["tokens"] = [len(encode(re.sub(r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "", t))) for t in docs.text]
+    want = docs.groupby(["source", "lang"]).tokens.agg(["count", "sum"])
+    got = {(r.source, r.lang): (r.docs, r.tokens) for r in tokencounts.op2_token_counts(spark, SF).collect()}
+    assert got == {k: tuple(v) for k, v in want.iterrows()}
+
+
 def test_token_counts_of_pieces(spark, monkeypatch):
-    encode = tokencounts._encoder(tokencounts.TOKENIZERS, "byte_bpe_50k").encode_ordinary
+    with open(f"{tokencounts.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        encode = tokencounts._encoder("x", f.read(), tokencounts.PATTERN).encode_ordinary
     text = "The quick brown fox, isn't it?  Née 12 34. " * 40
     whole = len(encode(text))
     monkeypatch.setattr(tokencounts, "PIECE", 50)
@@ -333,6 +363,45 @@ def test_mixing_rates_and_copies(spark):
     assert mixing.replicate(docs.limit(0)).count() == 0
 
 
+HELPERS = "text_id row _may _id _base _terms _hit _new items w words n n_t n_e pos key hot salt least most node comp gid u v draws cdf drawn who rated lang_pred label t g l rank docs tokens counts at e x plain copies held hash _s payload_digest first body record_id".split()
+
+
+def _odd_rows():
+    """Nulls, an empty, a very long and a wide text, repeated rows, ties."""
+    long = "lorem ipsum dolor sit amet " * 40_000
+    return [(1, "a b c d e", "en", "s", 9), (1, "a b c d e", "en", "s", 9), (2, "a b c d e", "de", None, None), (None, "a b c d e f", None, "s", 1), (3, None, None, None, None), (4, "", "en", "s", 0), (5, long, "la", "s", len(long)), (6, "x@y.zz é 😀 " * 3, "en", "s", 33), (7, "  ", None, "s", 2)]
+
+
+ON_DOCUMENTS = {
+    "tokens": lambda d, b: tokencounts.with_tokens(d),
+    "pii": lambda d, b: pii.sanitise(d),
+    "contamination": lambda d, b: decontaminate.contamination(d, b),
+    "decontaminate": lambda d, b: decontaminate.decontaminate(d, b),
+    "mixing": lambda d, b: mixing.shuffled(mixing.replicate(d)),
+    "jaccard": lambda d, b: jaccard.keep_one(d),
+    "language": lambda d, b: langid.keep_identified(d),
+    "identify": lambda d, b: langid.identify(d, langid.train(d)),
+    "toxicity": lambda d, b: toxicity.score(d, toxicity.fit(d, d.select("doc_id", F.lit(1).alias("toxic")))),
+}
+#: Rows of the odd table that each leaves; None where that is drawn.
+LEFT = {"tokens": 9, "pii": 9, "contamination": 9, "decontaminate": 5, "mixing": None, "jaccard": 8, "language": 6, "identify": 9, "toxicity": 9}
+
+
+@pytest.mark.parametrize("name", list(ON_DOCUMENTS))
+def test_odd_rows_and_clashing_columns(spark, name):
+    """Columns named like helpers come back as they were, from odd rows as from an empty table."""
+    docs = spark.createDataFrame(_odd_rows(), DOC).withColumns({c: F.lit(f"own {c}") for c in HELPERS})
+    bench = spark.createDataFrame([(1, "A b c D e"), (2, None), (None, "q")], "item_id long, text string").withColumns({c: F.lit(1) for c in ("w", "s", "body", "key")})
+    added = {"contamination": {"items_sha256"}, "tokens": {"tokens"}, "identify": {"lang_pred"}}.get(name, set())
+    run = ON_DOCUMENTS[name]
+    out = run(docs, bench)
+    got = out.collect()
+    assert LEFT[name] is None or len(got) == LEFT[name]
+    same = [c for c in HELPERS if c not in added]
+    assert {tuple(r[c] for c in same) for r in got} <= {tuple(f"own {c}" for c in same)} and set(docs.columns) - {"text"} <= set(out.columns)
+    assert run(docs.limit(0), bench.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("module", [warc, decontaminate, topk, mixing])
 def test_queries_equal_sql(spark, module):
     db = duckdb.connect()
@@ -345,15 +414,38 @@ def test_queries_equal_sql(spark, module):
         assert key(got) == key(want)
 
 
+def _poisson_copies(docs):
+    """Copies of each document by the definition: a Poisson number of its source's mean, inverted at a hash of its id."""
+    size = docs.text.str.len().groupby(docs.source).sum()
+    mean = size**mixing.FLATTEN / (size**mixing.FLATTEN).sum() * size.sum() / size
+    out = {}
+    for d, s in zip(docs.doc_id, docs.source, strict=True):
+        u = int(hashlib.md5(f"{mixing.SEED}|{d}|1".encode()).hexdigest()[:13], 16) / 2**52
+        p = total = math.exp(-mean[s])
+        n = 0
+        while total <= u:
+            n += 1
+            p *= mean[s] / n
+            total += p
+        out[d] = n
+    return {d: n for d, n in out.items() if n}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r.doc_id: r.text for r in docs.collect()}
     out = docs
-    for name, stage in corpus_pipeline.STAGES[:3]:
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        old = out
         out = spark.createDataFrame(stage(spark, out, SF).toPandas(), docs.schema)
         assert out.columns == docs.columns, name
+    old = sorted((r.doc_id, r.text) for r in old.collect())
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(d, t) for (d, _), t in zip(old, _masked([t for _, t in old]), strict=True)]
+    assert all(r.n_chars == len(r.text) for r in out.collect())
+    mixed = corpus_pipeline.STAGES[4][1](spark, out, SF).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in mixed} == _poisson_copies(out.toPandas())
     kept = {r.doc_id for r in out.collect()}
     bench = decontaminate.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))
     bad = {r.doc_id for r in bench.where("contaminated").collect()}
