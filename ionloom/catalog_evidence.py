@@ -110,12 +110,12 @@ def gated_slots(spark, d):
     a, b = _lists(spark, d)
     packed = [x.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda r: r["key"]).alias(n)) for x, n in ((a.where("rank <= 20"), "base"), (b.where("rank <= 10"), "variants"), (b, "filler"))]
     rows = packed[0].join(packed[1], "g").join(packed[2], "g")
-    slots = fuse.slot_choice(F.length("g") / 10, F.lit(None).cast("double"), F.when(F.col("g") == "1-URGENT", 0.9), 0.5, 0.0, 0.85, [2, 4, 5, 6], [9, 12])
+    slots = fuse.slot_choice(F.col("g") % 10 / 10, F.lit(None).cast("double"), F.when(F.col("g") % 5 == 0, 0.9), 0.5, 0.0, 0.85, [2, 4, 5, 6], [9, 12])
     out = fuse.gated_slots(rows.withColumn("slots", slots), "base", "variants", "filler", F.col("slots"), 25)
     return out.select("g", F.posexplode("items").alias("p", "key")).select("g", (F.col("p") + 1).alias("rank"), "key")
 
 
-@query(f"""WITH {_SQL_LISTS}, l AS (SELECT g, max(key) AS key FROM a WHERE rank <= 40 GROUP BY g), u AS (SELECT g, key, rank AS r FROM a WHERE rank <= 40 AND (g, key) NOT IN (SELECT g, key FROM l) UNION ALL SELECT g, key, 1.5 FROM l), i AS (SELECT g, key, row_number() OVER (PARTITION BY g ORDER BY r, key) AS rank FROM u),
+@query(f"""WITH {_SQL_LISTS}, l AS (SELECT g, max(key) AS key FROM a GROUP BY g), u AS (SELECT g, key, rank AS r FROM a WHERE (g, key) NOT IN (SELECT g, key FROM l) UNION ALL SELECT g, key, 1.5 FROM l), i AS (SELECT g, key, row_number() OVER (PARTITION BY g ORDER BY r, key) AS rank FROM u),
  h AS (SELECT *, max(CASE WHEN rank = 2 AND key % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY g) AS s FROM i) SELECT g, key, CAST(CASE WHEN s = 1 AND rank <= 2 THEN 3 - rank ELSE rank END AS INTEGER) AS rank FROM h""")
 def insert_and_swap(spark, d):
     """The largest key goes to rank 2, then an even one there to rank 1."""
@@ -355,7 +355,7 @@ def weight_grid(spark, d):
 
 @query(f"""WITH {_SQL_SPECTRA} SELECT sid, precursor FROM sp WHERE precursor >= 920 AND precursor <= 960 AND adduct IN ('Brand#1', 'Brand#2') AND pol = 1""")
 def pushed_scan(spark, d):
-    """Range, membership and equality reach the Parquet scan."""
+    """Range, membership and equality reach the Parquet scan."""
     p = _t(spark, d, "part").where("p_retailprice >= 920 and p_retailprice <= 960 and p_brand in ('Brand#1', 'Brand#2') and p_size % 2 = 1")
     return p.select(F.col("p_partkey").alias("sid"), F.col("p_retailprice").alias("precursor"))
 

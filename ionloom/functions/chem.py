@@ -108,6 +108,13 @@ def collision_energy(text: Column, default: float = 25.0) -> Column:
     return F.when(F.size(numbers) > 0, F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x) / F.size(numbers)).otherwise(F.lit(default))
 
 
+def energy_class(text: Column) -> Column:
+    """stepped for several energies in a text, low (to 25), mid (to 45) or high for one, unknown for none."""
+    numbers = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    one = collision_energy(text)
+    return F.when(F.size(numbers) > 1, "stepped").when(F.size(numbers) == 0, "unknown").when(one <= 25, "low").when(one <= 45, "mid").otherwise("high")
+
+
 _VALENCE = {"B": 3, "C": 4, "N": 3, "O": 2, "P": 3, "S": 2, "F": 1, "Cl": 1, "Br": 1, "I": 1}
 _ATOM = re.compile(r"\[(\d*)([A-Z][a-z]?|[bcnops])(@*)(H\d*)?([+-]\d*|[+]+|[-]+)?(?::\d+)?\]|(Cl|Br|[BCNOPSFI]|[bcnops])")
 

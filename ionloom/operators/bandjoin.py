@@ -61,8 +61,16 @@ def union_intervals(df: DataFrame, lo: str, hi: str, group: list[str] | None = N
     rows = df.where(F.col(lo) <= F.col(hi)).select(*group, F.col(lo).alias("lo"), F.col(hi).alias("hi"))
     if group:
         return merged(rows, group)
-    rows = merged(rows.withColumn("_r", F.floor(F.log2(F.greatest(F.abs("lo"), F.lit(1.0))) * 64)), ["_r"]).drop("_r")
-    return merged(rows.withColumn("_r", F.lit(0)), ["_r"]).drop("_r")
+    # ranges ascend with lo; there are at most 64 for each doubling, so what is known of a range (its end, its islands) is a small table
+    rows = merged(rows.withColumn("_r", F.signum("lo") * F.floor(F.log2(F.greatest(F.abs("lo"), F.lit(1.0))) * 64)), ["_r"])
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("_r").agg(F.max("hi").alias("_e")).withColumn("_e", F.max("_e").over(before))
+    own = Window.partitionBy("_r").orderBy("lo", "hi")
+    past = F.max("hi").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(F.broadcast(ends), "_r").withColumn("_new", F.when(F.col("lo") <= F.greatest("_e", past), 0).otherwise(1))
+    starts = rows.groupBy("_r").agg(F.sum("_new").alias("_s")).withColumn("_s", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    island = F.col("_s") + F.sum("_new").over(own)
+    return rows.join(F.broadcast(starts), "_r").withColumn("_i", island).groupBy("_i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_i")
 
 
 def in_intervals(df: DataFrame, intervals: DataFrame, value: str, width: float) -> DataFrame:
@@ -88,3 +96,14 @@ def nearest_values(df: DataFrame, key: str, value: str, group: str, k: int) -> D
     near = F.slice(F.array_sort(F.filter(gaps, lambda g: g["other"] != F.col(key))), 1, k)
     rows = rows.join(values, [group, value]).select(key, F.posexplode(near).alias("rank", "n"))
     return rows.select(key, F.col("n.other").alias("other"), F.col("n.gap").alias("gap"), (F.col("rank") + 1).alias("rank"))
+
+
+def block_join(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, per_query: int = 256, per_row: int = 16_384) -> DataFrame:
+    """Every query of a stated set with every row, as an equi-join of blocks: a task meets at most about per_query queries and per_row rows."""
+    n = F.greatest(F.lit(1), F.lit(-(-queries.count() // per_query)))
+    m = F.greatest(F.lit(1), F.lit(-(-rows.count() // per_row)))
+    block = lambda c, k: F.pmod(F.xxhash64(c), k)
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k.cast("long") - 1))
+    left = queries.withColumn("_q", block(query_id, n)).withColumn("_r", every(m))
+    right = rows.withColumn("_r", block(row_id, m)).withColumn("_q", every(n))
+    return left.join(right, ["_q", "_r"]).drop("_q", "_r")

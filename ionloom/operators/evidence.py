@@ -105,3 +105,18 @@ def reference_tiers(matches: DataFrame, query: str, gold: tuple[float, int] = (0
 def library_max(pairs: DataFrame, mol: str, score: str, linked: Column) -> DataFrame:
     """(mol, library_max): the best similarity to library rows that the pool holds."""
     return pairs.where(linked).groupBy(mol).agg(F.max(score).alias("library_max"))
+
+
+def complementarity(sets: DataFrame, mol: str, spectrum: str, bins: str) -> DataFrame:
+    """(mol, spectra, complementarity, pairs, jaccard) of molecules with two spectra or more: size of the union over the mean size, and the mean Jaccard index of all pairs.
+
+    Pairs that share nothing add 0 to that mean, so only pairs that share a bin are joined, on (mol, bin).
+    """
+    sizes = sets.groupBy(mol).agg(F.count("*").alias("spectra"), F.avg(F.size(bins)).alias("_mean")).where("spectra > 1")
+    each = sets.select(mol, spectrum, F.size(bins).alias("_n"), F.explode(bins).alias("_bin"))
+    union = each.groupBy(mol).agg(F.count_distinct("_bin").alias("_union"))
+    other = each.select(mol, "_bin", F.col(spectrum).alias("_o"), F.col("_n").alias("_m"))
+    both = each.join(other, [mol, "_bin"]).where(F.col(spectrum) < F.col("_o")).groupBy(mol, spectrum, "_o", "_n", "_m").agg(F.count("*").alias("_both"))
+    shared = both.groupBy(mol).agg(F.sum(F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).alias("_sum"))
+    rows = sizes.join(union, mol).join(shared, mol, "left").withColumn("pairs", (F.col("spectra") * (F.col("spectra") - 1) / 2).cast("long"))
+    return rows.select(mol, "spectra", (F.col("_union") / F.col("_mean")).alias("complementarity"), "pairs", (F.coalesce("_sum", F.lit(0.0)) / F.col("pairs")).alias("jaccard"))

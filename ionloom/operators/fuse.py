@@ -229,3 +229,40 @@ def promote(df: DataFrame, tiers: DataFrame, group: str, key: str, protected: st
     item = tiers.where("tier in ('gold', 'silver')").select(group, key, F.when((F.col("tier") == "gold") & ~F.col(protected), 0.5).otherwise(1.5).alias("r"))
     rest = df.join(item.select(group, key), [group, key], "left_anti").select(group, key, F.col("rank").cast("double").alias("r"))
     return rest.unionByName(item).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("r", key))).drop("r")
+
+
+def gated_weight(library: Column, gate: float, weight: float, gated: float | None) -> Column:
+    """A rerank weight: another one (if given) for molecules whose best library similarity reaches the gate."""
+    return F.lit(weight) if gated is None else F.when(library >= gate, gated).otherwise(F.lit(weight))
+
+
+def fragment_mode(library: Column, gate: float, covered: Column) -> Column:
+    """Whether fragment scores rerank a molecule: off above the gate, with the forward scores (all) where there are some, alone (gap) where not."""
+    return F.when(library >= gate, "off").when(F.coalesce(covered, F.lit(False)), "all").otherwise("gap")
+
+
+def normalised(lists: DataFrame, ids: DataFrame, group: str, column: str, n: int, default: str) -> DataFrame:
+    """For every id its list joined by `;`: trimmed, without blanks and nan, at most n items; the default where nothing is left."""
+    items = F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: (x != "") & (x != "nan"))
+    rows = ids.join(lists, group, "left").select(group, F.slice(items, 1, n).alias("_a"))
+    return rows.select(group, F.when(F.size("_a") == 0, default).otherwise(F.array_join("_a", ";")).alias(column))
+
+
+def repaired(lists: DataFrame, spare: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """Lists without repeated keys, filled to n from the spare ones; reclaimed: places freed in the group's list, whole: whether it reached n."""
+    freed = lists.groupBy(group).agg((F.count(key) - F.count_distinct(key)).alias("reclaimed"))
+    out = backfill([lists, spare], group, key, n).join(freed, group)
+    return out.withColumn("whole", F.max("rank").over(Window.partitionBy(group)) == n)
+
+
+def final_list(base: DataFrame, engine: DataFrame, scores: DataFrame, leaders: DataFrame, group: str, key: str, heads: tuple[int, int], alpha: float, lam: float, hold: float, n: int) -> DataFrame:
+    """The whole fusion of a molecule's lists: RRF of the heads of both, rerank within formulas by fragment scores, the library leader pinned if its similarity holds, backfill from base.
+
+    base and engine are (group, key, rank), scores (group, key, formula, frag), leaders (group, key, lib).
+    """
+    fused = rrf([(base.where(F.col("rank") <= heads[0]), 1.0), (engine.where(F.col("rank") <= heads[1]), alpha)], group, key)
+    scored = fused.join(scores, [group, key]).select(group, key, "rank", "formula", "score", "frag")
+    ranked = group_rerank(scored, group, "formula", "score", [("frag", lam)], key).select(group, key, "rank")
+    marked = ranked.join(leaders.select(group, key, (F.col("lib") >= hold).alias("_lead")), [group, key], "left")
+    pinned = pin_leader(marked, group, F.coalesce("_lead", F.lit(False)), key).select(group, key, "rank")
+    return backfill([pinned, base], group, key, n)

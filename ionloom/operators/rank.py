@@ -84,3 +84,54 @@ def calibration_error(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFram
     rows = df.where((F.col(p) >= 0) & (F.col(p) < 1)).withColumn("bin", F.floor(F.col(p) * bins).cast("int"))
     out = rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
     return out.withColumn("gap", F.abs(F.col("mean_p") - F.col("mean_y")))
+
+
+def first_of_best(group: list[str], best: str, value: str, order: str) -> Column:
+    """A value of the group's row that is best in another column, the first of equals."""
+    return F.first(value).over(_by(group).orderBy(F.desc(best), F.asc(order)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
+def relative_triple(group: list[str], value: str, order: str, name: str) -> dict[str, Column]:
+    """A value, its ordinal rank from 0 to 1, and its distance from the group's best."""
+    return {name: F.col(value).cast("double"), f"{name}_rank": ordinal_rank_norm(group, [F.desc(value), F.asc(order)]), f"{name}_gap": relative_to_best(group, value).cast("double")}
+
+
+def ranker_features(df: DataFrame, group: list[str], order: str, library: str, raw: str, bits: str, fragment: str, analogs: dict[str, str]) -> DataFrame:
+    """The 31 features of a candidate within its group, beside the columns of df.
+
+    library, raw and fragment are scores, bits the number of a candidate's on-bits; analogs names the columns that hold ap,
+    a1, best, top, mean and top_sim. Leaders and agreements are those of the first of equal candidates in order.
+    """
+    w = _by(group)
+    ap = analogs["ap"]
+    rows = df.withColumn("_len", F.col(raw) / F.sqrt(F.greatest(F.col(bits), F.lit(1)))).withColumn("_mr", ordinal_rank_norm(group, [F.desc(raw), F.asc(order)]))
+    lib, near = relative_triple(group, library, order, "lib"), relative_triple(group, ap, order, "ap")
+    frag = relative_triple(group, fragment, order, "frag")
+    flat = F.stddev_pop(library).over(w) <= 1e-9
+    agree = lambda best: F.when(F.max(best).over(w) > 0, 1 - first_of_best(group, best, "_mr", order)).otherwise(0.0)
+    out = lib | {"lib_max": F.max(library).over(w).cast("double"), "lib_hit": (F.col(library) > 0).cast("double")}
+    out |= near | {"ap_max": F.max(ap).over(w).cast("double")}
+    out |= {name: F.col(analogs[name]).cast("double") for name in ("a1", "best", "top", "mean", "top_sim")}
+    out |= {"log_n": F.ln(F.count("*").over(w))}
+    out |= {"raw_z": z_score(group, raw, 0), "raw_rank": F.col("_mr"), "raw_gap": relative_to_best(group, raw), "len_z": z_score(group, "_len", 0), "len_rank": ordinal_rank_norm(group, [F.desc("_len"), F.asc(order)]), "raw_lead": (F.col(raw) == F.max(raw).over(w)).cast("double")}
+    out |= frag | {"frag_z": z_score(group, fragment, 0)}
+    out |= {"lib_agree": F.col(library) * (1 - F.col("_mr")), "ap_agree": F.col(ap) * (1 - F.col("_mr")), "agree": agree(library), "agree_ap": agree(ap)}
+    out |= {"agree_lib": agree(library) * F.max(library).over(w), "lib_corr": F.when(flat, 0.0).otherwise(F.coalesce(F.corr(F.col(library), -F.col("_mr")).over(w), F.lit(0.0)))}
+    return rows.select(*df.columns, *[c.alias(n) for n, c in out.items()])
+
+
+def order_free(df: DataFrame, group: list[str], sources: dict[str, tuple[str, int, bool]], tier: list[str] | None = None) -> DataFrame:
+    """Rank columns computed anew from the values they stand for: {rank: (value, sign, absolute)}, ties at their mean place."""
+    out = df
+    for name, (value, sign, absolute) in sources.items():
+        out = out.withColumn("_v", sign * (F.abs(value) if absolute else F.col(value)))
+        out = out.withColumn(name, average_rank_norm(group, "_v", tier)).drop("_v")
+    return out
+
+
+def stratified(hits: DataFrame, stratum: str, k: int) -> DataFrame:
+    """Retrieval metrics by stratum and, as stratum 0, of all; a truth that isn't listed is a retrieval failure, one listed beyond k a ranking failure."""
+    rows = hits.withColumn(stratum, F.explode(F.array(F.col(stratum), F.lit(0).cast(hits.schema[stratum].dataType))))
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    mrr = F.avg(F.when(F.col("hit") <= k, 1 / F.col("hit")).otherwise(0.0))
+    return rows.groupBy(stratum).agg(F.count("*").alias("n"), mrr.alias("mrr"), share(F.col("hit") <= 1).alias("recall_1"), share(F.col("hit") <= k).alias("recall_k"), share(F.col("hit").isNull()).alias("retrieval_failure"), share(F.col("hit") > k).alias("ranking_failure"))

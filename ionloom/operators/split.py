@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,20 +34,59 @@ def novelty(df: DataFrame, train: DataFrame, database: DataFrame, key: str) -> D
     return rows.select(key, F.when(F.col("_t").isNotNull(), 1).when(F.col("_d").isNotNull(), 2).otherwise(3).alias("novelty"))
 
 
-def content_dedup(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """One row per SHA-256 of the columns' content, the smallest in order; nulls equal each other."""
-    parts = [F.concat(F.when(F.col(c).isNull(), "n").otherwise("v"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
-    rows = df.withColumn("digest", F.sha2(F.concat_ws("\x1f", *parts), 256))
-    least = rows.groupBy("digest").agg(F.min(order).alias(order))
-    return rows.join(least, ["digest", order], "left_semi").dropDuplicates(["digest"])
+def content_dedup(df: DataFrame, columns: list[str], order: str, keep: list[str] | None = None) -> DataFrame:
+    """One row per SHA-256 of the columns' content, the smallest in order; nulls equal each other, and rows without an order come last.
+
+    Each part is preceded by its length, so that different contents never read the same. Of each row the columns `keep`
+    (by default all) and digest stay; only these are shuffled.
+    """
+    part = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    parts = [F.coalesce(part(F.col(c).cast("string")), F.lit("n")) for c in columns]
+    rows = df.withColumn("digest", F.sha2(F.concat(*parts), 256))
+    whole = F.struct(*[F.col(c) for c in (*(df.columns if keep is None else keep), "digest")])
+    first = rows.groupBy("digest").agg(F.min_by(whole, F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("by"))).alias("row"))
+    return first.select("row.*")
 
 
 def check_lists(lists: DataFrame, ids: DataFrame, group: str, key: str, n: int) -> DataFrame:
-    """(rule, broken): violations of the output contract of ranked lists."""
-    sizes = lists.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(key).alias("d"), F.count_if(F.col(key).isNull() | (F.trim(F.col(key).cast("string")) == "")).alias("blank"), F.max("rank").alias("last"))
-    rules = {"missing_id": ids.select(group).distinct().join(sizes, group, "left_anti"), "unknown_id": sizes.join(ids, group, "left_anti"), "too_long": sizes.where(F.col("n") > n), "duplicate_key": sizes.where("d < n - blank"), "blank_key": sizes.where("blank > 0"), "rank_gap": sizes.where("last <> n")}
-    out = None
-    for rule, rows in rules.items():
-        part = rows.agg(F.count("*").alias("broken")).select(F.lit(rule).alias("rule"), "broken")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(rule, broken): violations of the output contract of ranked lists, by one pass over lists and ids."""
+    blank = F.col(key).isNull() | (F.trim(F.col(key).cast("string")) == "")
+    sizes = lists.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(F.when(~blank, F.col(key))).alias("d"), F.count_if(blank).alias("blank"), F.max("rank").alias("last"))
+    rows = sizes.join(ids.select(group).distinct().withColumn("known", F.lit(True)), group, "full")
+    rules = {"missing_id": F.col("n").isNull(), "unknown_id": F.col("known").isNull(), "too_long": F.col("n") > n, "duplicate_key": F.col("d") < F.col("n") - F.col("blank"), "blank_key": F.col("blank") > 0, "rank_gap": F.col("last") != F.col("n")}
+    counts = rows.agg(*[F.count_if(broken).alias(rule) for rule, broken in rules.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("broken")) for rule in rules])).alias("x")).select("x.*")
+
+
+def audit(df: DataFrame, rules: list[tuple[str, Column]], content: list[str], order: str) -> DataFrame:
+    """(reason, n): rows by the first rule that rejects them; of the others all but the first of equal content are duplicates."""
+    reason = F.lit(None).cast("string")
+    for name, broken in reversed(rules):
+        reason = F.when(F.coalesce(broken, F.lit(False)), name).otherwise(reason)
+    rows = df.select(*content, order, reason.alias("reason"))
+    first = F.row_number().over(Window.partitionBy(*content).orderBy(order)) > 1
+    kept = rows.where("reason is null").withColumn("reason", F.when(first, "duplicate").otherwise("accepted"))
+    return rows.where("reason is not null").unionByName(kept).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def withhold(df: DataFrame, held: DataFrame, key: str, truth: str) -> DataFrame:
+    """df with held, and withheld for the true rows of held keys, which a simulation must not find."""
+    return df.join(held, key).withColumn("withheld", F.col("held") & F.col(truth))
+
+
+def candidate_sets(df: DataFrame, key: str, group: str, formula: str, mass: str, n: int) -> DataFrame:
+    """(key, item, rank, truth): each row itself, then n decoys of its group, those of its formula first, then by distance in mass.
+
+    The decoys of one formula are among the n nearest on either side there, those of another among the n nearest of the
+    group, so windows of 2 n + 1 neighbours suffice and no pairs of a group are made.
+    """
+    from .bandjoin import nearest_values
+
+    rows = df.select(key, group, formula, mass)
+    same = nearest_values(rows.withColumn("_g", F.concat_ws("\x1f", F.col(group).cast("string"), F.col(formula).cast("string"))), key, mass, "_g", n).select(key, "other", F.lit(0).alias("tier"), "gap")
+    # the nearest n of the group that have another formula are among its nearest 2 n unless decoys of its own formula fill these, and then they aren't needed
+    near = nearest_values(rows, key, mass, group, 2 * n).join(rows.select(F.col(key).alias("other"), F.col(formula).alias("_f")), "other").join(rows.select(key, formula), key)
+    near = near.where(~F.col("_f").eqNullSafe(F.col(formula))).select(key, "other", F.lit(1).alias("tier"), "gap")
+    decoys = same.unionByName(near).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("tier", "gap", "other"))).where(F.col("rank") <= n)
+    own = df.select(key, F.col(key).alias("item"), F.lit(0).alias("rank"), F.lit(True).alias("truth"))
+    return own.unionByName(decoys.select(key, F.col("other").alias("item"), "rank", F.lit(False).alias("truth")))

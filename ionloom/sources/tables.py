@@ -1,8 +1,14 @@
-"""Readers and sinks: column aliases, pushed filters, list files, content hashes."""
+"""Readers and sinks: column aliases, pushed filters, list files, arrays, stage dumps, content hashes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names under which a column may come, in order of preference.
@@ -56,3 +62,120 @@ def write_parts(df: DataFrame, path: str, part: str) -> bool:
         return False
     df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/part={part}")
     return True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder named by spark.checkpoint.dir. Without that setting there is none that a cluster shares; on a local master Spark's own folder serves."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/ionloom-checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def read_columns(spark: SparkSession, path: str, columns: dict[str, str], required: list[str] = (), sep: str = ",") -> DataFrame:
+    """The named columns (name to type) of a delimited file with a header; rows without a required one go. Others aren't parsed."""
+    rows = read(spark, path) if sep == "," and path.endswith(".csv") else spark.read.csv(path, header=True, sep=sep)
+    return rows.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()]).na.drop(subset=list(required))
+
+
+def read_short_rows(spark: SparkSession, path: str, columns: list[str], sep: str = "\t") -> DataFrame:
+    """Lines of a delimited text file without header as strings; fields that a short line lacks are empty, further ones are left out."""
+    lines = spark.read.text(path).select(F.split("value", sep, -1).alias("f"))
+    return lines.select(*[F.coalesce(F.try_element_at("f", F.lit(i + 1)), F.lit("")).alias(c) for i, c in enumerate(columns)])
+
+
+def write_lines(df: DataFrame, path: str, columns: list[Column], sep: str = "\t") -> None:
+    """A delimited text file without quoting; null is empty, arrays are joined by commas."""
+    kinds = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).schema
+    cells = [F.array_join(c.cast("array<string>"), ",") if k.dataType.typeName() == "array" else c.cast("string") for c, k in zip(columns, kinds, strict=True)]
+    df.select(F.concat_ws(sep, *[F.coalesce(c, F.lit("")) for c in cells]).alias("value")).write.mode("overwrite").text(path)
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Write df beside path and move it there when it is whole; readers see the old or the new table."""
+    spark = df.sparkSession
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(fresh)
+    fs, at = _fs(spark, path)
+    if fs.exists(at):
+        fs.rename(at, _fs(spark, old)[1])
+    if not fs.rename(_fs(spark, fresh)[1], at):
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(_fs(spark, old)[1], True)
+
+
+def dump_stage(df: DataFrame, path: str) -> DataFrame:
+    """A stage written as JSON lines and read back with its schema; if it is there already it is only read."""
+    spark = df.sparkSession
+    fs, at = _fs(spark, f"{path}/_SUCCESS")
+    if not fs.exists(at):
+        df.write.mode("overwrite").json(path)
+    return spark.read.schema(df.schema).json(path)
+
+
+def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at path, or an empty one of the schema if there is none: a stage whose input is missing has nothing to add."""
+    fs, at = _fs(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(at) else spark.createDataFrame([], schema)
+
+
+def discover(spark: SparkSession, root: str, name: str) -> str:
+    """The file or folder of that name below root with the shortest path, ties to the first in order; FileNotFoundError if there is none."""
+    fs, at = _fs(spark, root)
+    found, todo = [], [at]
+    while todo:
+        for x in fs.listStatus(todo.pop()):
+            if x.getPath().getName() == name:
+                found.append(x.getPath().toString())
+            elif x.isDirectory():
+                todo.append(x.getPath())
+    if not found:
+        raise FileNotFoundError(f"{name} below {root}")
+    return min(found, key=lambda x: (len(x), x))
+
+
+def save_array(spark: SparkSession, path: str, array: np.ndarray) -> None:
+    """A .npy artifact on any file system."""
+    out = io.BytesIO()
+    np.lib.format.write_array(out, np.ascontiguousarray(array), allow_pickle=False)
+    fs, at = _fs(spark, path)
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(out.getvalue()))
+    finally:
+        stream.close()
+
+
+def load_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, values) of the .npy artifacts at path (one or two dimensions), read by the executors in batches; one conversion, then Parquet serves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.lib.format.read_array(io.BytesIO(content), allow_pickle=False)
+                x = x.reshape(len(x), -1).astype(np.float64)
+                for i in range(0, len(x), 4096):
+                    part = x[i : i + 4096]
+                    values = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * x.shape[1]), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(i, i + len(part))), values], ["path", "row", "values"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, row long, values array<double>")
+
+
+def first_ids(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows of the first n distinct ids in order: a smoke subset."""
+    ids = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(n)
+    return df.join(F.broadcast(ids), key, "left_semi") if n <= 100_000 else df.join(ids, key, "left_semi")
+
+
+def capped(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """n rows at most, the first by SHA-256 of seed and key: a cap that doesn't depend on the order of files."""
+    return df.orderBy(F.sha2(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("~"))), 256), key).limit(n)
