@@ -6,13 +6,15 @@ of term t, n(e) of words in texts that hold entity e and n(e, t) of t in these,
 
     p(e | t) = (n(e, t) + PRIOR p(e)) / (n(t) + PRIOR),
 
-the disclosed share of the entity's information is
+so that of the entity's information IC(e) = -log2 p(e) a term discloses PMI(e; t) = log2(p(e | t) / p(e)) bits and leaves
 
-    PMI(e; t) / IC(e) = log(p(e | t) / p(e)) / log(1 / p(e)).
+    IC(e) - PMI(e; t) = -log2 p(e | t).
 
-A term whose share for some entity reaches `generalise` is replaced by a class name, at `remove` it is dropped, wherever it
-stands in any text. PRIOR occurrences at the corpus's own rate smooth the share, so few occurrences reveal less than many
-and no number of texts is asked for. DataFrame functions only.
+A term that leaves at most `generalise` bits of some entity is replaced by a class name, one that leaves at most `remove`
+bits is dropped, wherever it stands in any text. The thresholds are bits left, not shares PMI / IC: IC grows with the
+corpus, so at a fixed share ever weaker terms would count, down to words that hardly ever stand near the entity. PRIOR
+occurrences at the corpus's own rate smooth the estimate, so few occurrences reveal less than many and no number of texts
+is asked for. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Occurrences at the corpus's own rate that are added to those of a term.
-PRIOR = 1.0
-GENERALISE, REMOVE = 0.8, 0.95
+PRIOR = 2.0
+#: Bits of an entity that a term may leave: at 1 the entity is as likely as not where the term stands.
+GENERALISE, REMOVE = 1.0, 0.42
 #: Bits of a sieve for each key, hash functions, and its largest size (16 MB).
 SIEVE_BITS, SIEVE_HASHES, SIEVE_MOST = 16, 2, 1 << 27
 _SPAN = "array<struct<kind:int,s:int,e:int,value:string>>"
@@ -144,10 +147,10 @@ def _with_plain(docs: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, prior: float = PRIOR, least: float = GENERALISE) -> DataFrame:
-    """(entity, term, share) of all pairs with a share of `least` or more.
+    """(entity, term, left) of all pairs that leave `least` bits at most.
 
     docs has text. Counts weigh each row of docs, repeated ones too. A pair is made only if the counts of its term and
-    entity leave the share within reach: a text's entities are filtered for each of its terms before they become rows. The
+    entity allow that: a text's entities are filtered for each of its terms before they become rows. The
     sums are cut into the shared folder.
     """
     rows = _with_plain(docs)
@@ -167,12 +170,12 @@ def disclosures(docs: DataFrame, prior: float = PRIOR, least: float = GENERALISE
 
     def within_reach(e):
         most = F.when(e["texts"] == 1, F.col("n_et")).otherwise(F.least(e["n_e"], F.col("n_t")))
-        return most + prior * e["p_e"] >= (F.col("n_t") + prior) * F.pow(e["p_e"], F.lit(1 - least)) * (1 - 1e-9)
+        return most + prior * e["p_e"] >= (F.col("n_t") + prior) * 2.0**-least * (1 - 1e-9)
 
     pairs = words.select("term", "n_t", "n_et", F.explode(F.filter("held", within_reach)).alias("e"))
     pairs = pairs.groupBy("e.entity", "term").agg(F.sum("n_et").alias("n_et"), F.first("n_t").alias("n_t"), F.first("e.p_e").alias("p_e"))
-    share = F.ln((F.col("n_et") + prior * F.col("p_e")) / (F.col("n_t") + prior) / F.col("p_e")) / -F.ln("p_e")
-    return pairs.select("entity", "term", F.least(share, F.lit(1.0)).alias("share")).where(F.col("share") >= least)
+    left = -F.log2((F.col("n_et") + prior * F.col("p_e")) / (F.col("n_t") + prior))
+    return pairs.select("entity", "term", left.alias("left")).where(F.col("left") <= least)
 
 
 def _sieve(rows: DataFrame, column: str, keys: DataFrame, n: int) -> DataFrame:
@@ -197,8 +200,8 @@ def _text_id() -> Column:
 
 def term_lists(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(text_hash, general, removed): the disclosing terms of the texts that have some, by the 64-bit hash of the text. Texts of one hash share a list of the terms of either, which changes neither: a term is disclosing in every text."""
-    shares = disclosures(docs, prior, generalise).groupBy("term").agg(F.max("share").alias("share"))
-    hits = cut(shares.select("term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind")), "pii-terms")
+    left = disclosures(docs, prior, generalise).groupBy("term").agg(F.min("left").alias("left"))
+    hits = cut(left.select("term", F.when(F.col("left") <= remove, 5).otherwise(4).alias("kind")), "pii-terms")
     n = hits.count()
     rows = _with_plain(docs).select(F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(_terms(F.col("plain")))).alias("term"))
     found = _sieve(rows, "term", hits, n).where("_may").drop("_may").join(F.broadcast(hits) if n <= BROADCAST_ROWS else hits, "term")
@@ -259,6 +262,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find over all documents."""
     return find(table(spark, sf_dir, "documents"))
 
 
