@@ -1,8 +1,9 @@
 """Benchmark decontamination: a prefix-filtered containment join of documents with item-sized word windows.
 
-Containment of a window in a document stretch of its own length asks for all of its words, so its prefix is one word:
-the window's rarest in the corpus. Documents meet windows on that word only; a candidate must fit into the document
-(position and length bounds) and is then compared word by word. DataFrame functions only.
+Tokens are shingles of SHINGLE words (a shorter window is one shingle), ordered by how rare they are in the corpus.
+Containment of a window in a document stretch of its own length asks for all of its shingles, so its necessary prefix is
+one: the rarest. Documents meet windows on that shingle only; a candidate must fit into the document (position and length
+bounds) and is then compared word by word. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 
 from .common import BROADCAST_ROWS, hide, shown, table
 
-WINDOW = 10
+WINDOW, SHINGLE = 10, 3
 #: What separates words once upper-case letters are kept apart: ASCII other than letters and digits.
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,40 +37,56 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.select("item_id", "w", starts.alias("s")).select("item_id", folded(F.slice("w", F.col("s"), F.lit(size))).alias("body")).distinct()
 
 
-def _positions(docs: DataFrame) -> DataFrame:
-    """A row for each word of each document: (words, pos from 0, key). The key, lower-cased beyond A-Z, is equal wherever words folded by A-Z are."""
-    return docs.select("*", F.posexplode("words").alias("pos", "word")).withColumn("key", F.lower("word")).drop("word")
+def _shingles(size: int) -> Column:
+    """(pos from 0, key) of each shingle of that many words. The key, lower-cased beyond A-Z, is equal wherever words folded by A-Z are."""
+
+    def at(word, i):
+        after = [x for k in range(1, size) for x in (F.lit(" "), F.get("words", i + k))]
+        return F.struct(i.alias("pos"), F.lower(F.concat(word, *after)).alias("key"))
+
+    return F.filter(F.transform("words", at), lambda s: s["key"].isNotNull())
+
+
+def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """A row for each shingle of each document, of all the sizes that windows have."""
+    # the array is a column before it is exploded: exploding an expression would copy a document's words for each row
+    rows = docs.withColumn("every", F.concat(*[_shingles(k) for k in sizes])).withColumn("s", F.explode("every"))
+    return rows.select("*", "s.pos", "s.key").drop("s", "every")
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(text_id, pos, item_id) distinct: words of a text hit by a window of an item. text_id is the SHA-256 of the text, so copies are one.
 
-    The windows are broadcast if there are at most BROADCAST_ROWS; otherwise words and windows meet in shuffles, rare word by rare word.
+    The windows are broadcast if there are at most BROADCAST_ROWS with their items; otherwise shingles and windows meet in shuffles, by the rarest shingle of each window.
     """
     texts = docs.where("text is not null").select(F.sha2("text", 256).alias("text_id"), words(F.col("text")).alias("words"))
     bodies = windows(benchmark, size)
     distinct = bodies.select("body").distinct().withColumn("w", F.split("body", " ", -1))
-    n = distinct.limit(BROADCAST_ROWS + 1).count()
+    n = bodies.limit(BROADCAST_ROWS + 1).count()  # as many as distinct windows at least
     if not n:
         return texts.select("text_id", F.lit(0).alias("pos"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id")).where("false")
     small = n <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda x: x)
 
-    # how often each word of the benchmark occurs in the corpus
-    vocabulary = distinct.select(F.explode("w").alias("v")).select(F.lower("v").alias("key")).distinct()
-    counts = _positions(texts.select("words")).select("key").join(hint(vocabulary), "key").groupBy("key").count()
-    # the prefix: each window's rarest word, ties to the smaller word and the earlier place
-    each = distinct.select("body", F.size("w").alias("len"), F.posexplode("w").alias("at", "v")).withColumn("key", F.lower("v")).drop("v")
+    # the shingles of each window, all of one size, and how often each occurs in the corpus
+    each = distinct.select("body", F.size("w").alias("len"), F.col("w").alias("words"))
+    sizes = [k for k in range(1, SHINGLE + 1) if not each.where((F.col("len") == k) if k < SHINGLE else (F.col("len") >= k)).isEmpty()]
+    shingle = None
+    for k in sizes:
+        shingle = (F if shingle is None else shingle).when(F.least("len", F.lit(SHINGLE)) == k, _shingles(k))
+    each = each.select("body", "len", F.explode(shingle).alias("s")).select("body", "len", F.col("s.pos").alias("at"), "s.key")
+    counts = _positions(texts.select("words"), sizes).select("key").join(hint(each.select("key").distinct()), "key").groupBy("key").count()
+    # the prefix: each window's rarest shingle, ties to the smaller one and the earlier place
     each = each.join(counts, "key", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     prefix = each.groupBy("body", "len").agg(F.min(F.struct("count", "key", "at")).alias("least")).where("least.count > 0").select("body", "len", "least.key", "least.at")
 
     fits = (F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.col("len") <= F.col("n"))
     first = F.col("pos") - F.col("at")
     if small:
-        found = _positions(texts.withColumn("n", F.size("words"))).join(F.broadcast(prefix), "key").where(fits)
+        found = _positions(texts.withColumn("n", F.size("words")), sizes).join(F.broadcast(prefix), "key").where(fits)
         found = found.where(folded(F.slice("words", first + 1, F.col("len"))) == F.col("body")).select("text_id", first.alias("first"), "len", "body")
     else:
-        places = _positions(texts.withColumn("n", F.size("words"))).select("text_id", "n", "pos", "key")
+        places = _positions(texts.withColumn("n", F.size("words")), sizes).select("text_id", "n", "pos", "key")
         places = places.join(prefix, "key").where(fits).select("text_id", first.alias("first"), "len", "body").distinct()
         found = places.join(texts.dropDuplicates(["text_id"]), "text_id").where(folded(F.slice("words", F.col("first") + 1, F.col("len"))) == F.col("body")).drop("words")
     found = found.distinct().join(hint(bodies), "body")
