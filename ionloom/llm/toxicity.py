@@ -4,14 +4,16 @@ Tokens are hashed to BUCKETS ids, and their stems (the first STEM characters) to
 other labelled text use a Dirichlet prior with a part proportional to the frequency in all documents, and are shrunk by
 their standard error; a token scores by the stronger of its own and its stem's, so rare forms of a word lean on the others.
 A drift makes the mean negative, as segment statistics ask. A linear scan finds every maximal scoring segment of a text (disjoint segments no
-extension or shortening improves). The best segments of clean texts have an exponential tail, so a text of n tokens holds
-E = K n exp(-lambda S) segments of score S by chance; lambda and K come from clean texts that took no part in the log-odds.
+extension or shortening improves). By chance a text of n tokens holds E = K n exp(-lambda S) segments of score S, and its
+best segment stays below S with probability exp(-E); lambda and K are fitted to the best segments of clean texts that took
+no part in the log-odds, by maximum likelihood of that extreme-value distribution.
 The evidence -log10(E) of a text's significant segments is mapped to a probability by a logistic curve fitted to the labels
 of those texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,9 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> dict:
     toxic = fitted["label"].to_numpy() == 3
     clean = fitted[~toxic]
     if len(clean):
-        tail = np.array([x for each in clean["sums"] for x in each] + [1.0])
-        model["lambda"] = float(np.clip(1 / tail.mean(), 0.3, 3.0))
-        model["k"] = float(len(tail) / max(1, clean["length"].sum()))
+        best_sums = np.array([max(each, default=0.0) for each in clean["sums"]])
+        model["lambda"], model["k"] = extreme_value(best_sums, clean["length"].to_numpy(float))
     if toxic.any() and (~toxic).any():
         x = np.array([evidence(model, int(m), list(sums)) for m, sums in zip(fitted["length"], fitted["sums"], strict=True)])
         model["slope"], model["cut"] = _logistic(x, toxic)
@@ -166,6 +167,30 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> dict:
     return model
 
 
+def extreme_value(best: np.ndarray, length: np.ndarray) -> tuple[float, float]:
+    """lambda and K of P(best <= s) = exp(-K n exp(-lambda s)) by maximum likelihood; texts without a segment have a best of 0 and are censored there.
+
+    For a given lambda the best K is the number of segments over the sum of n exp(-lambda s), so one equation in lambda is
+    left, which falls in lambda; it is solved by halving. One segment of score 1 in a text of mean length is added, so that
+    both are defined without any segment.
+    """
+    n = np.append(length, max(1.0, length.mean() if len(length) else 1.0))
+    s = np.append(best, 1.0)
+    found = s > 0
+    many, mean = found.sum(), s[found].mean()
+
+    def excess(lam):
+        weight = n * np.exp(-lam * s)
+        return 1 / lam - mean + (weight @ s) / weight.sum()
+
+    low, high = 1e-3, 1e3
+    for _ in range(100):
+        middle = math.sqrt(low * high)
+        low, high = (middle, high) if excess(middle) > 0 else (low, middle)
+    lam = math.sqrt(low * high)
+    return lam, float(many / (n * np.exp(-lam * s)).sum())
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and centre of a one-variable logistic regression with a small ridge, by damped Newton steps."""
     scale = max(1e-9, float(x.std()))
@@ -199,7 +224,7 @@ def probability(model: dict, x: float) -> float:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with score (0 to 1) and passages: (first word, end word, sum) of each significant segment, by place. Empty and null texts have no segment and a low score. Columns of those names are replaced."""
+    """docs with score (0 to 1) and passages: (first word, end word, sum) of each significant segment, by place. Empty and null texts have no segment and a low score. Repeated rows stay, each with the same score. Columns of those names are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("score", "passages")
@@ -226,6 +251,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score over all documents, learnt from the labels whose remainder isn't 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1)
     out = score(docs, fit(docs, labels))
