@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 #: Rows below which a table of short rows may be broadcast; above it the join is shuffled.
 BROADCAST_ROWS = 100_000
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder named by spark.checkpoint.dir. Without that setting there is none that a cluster shares; on a local master Spark's own folder serves."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/ionloom-checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: A new path in the folder that the cluster shares.
+shared_dir = scratch
 
 
 def cut(df: DataFrame, name: str = "cut", paths: list[str] | None = None) -> DataFrame:

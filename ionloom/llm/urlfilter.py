@@ -122,6 +122,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge of all pages."""
     return judge(table(spark, sf_dir, "pages")).drop("score")
 
 

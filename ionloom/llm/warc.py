@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table
+from .common import maybe_broadcast, shared_dir, small_batches, table
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 32 << 20
@@ -208,7 +208,9 @@ def archive_pages(pages: DataFrame, least: int = 100) -> DataFrame:
     pages = pages.withColumn("payload_digest", F.sha2("payload", 256))
     large = F.length("payload") >= least
     first = pages.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    joined = pages.join(first, "payload_digest", "left")
+    # small payloads match nothing, whatever they share; each gets a key of its own kind, so that they don't meet in a few tasks
+    key = F.when(large, F.col("payload_digest")).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))
+    joined = pages.withColumn("key", key).join(maybe_broadcast(first.withColumnRenamed("payload_digest", "key")), "key", "left")
     again = large & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     return joined.select(urn("page_id").alias("record_id"), "target_uri", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, urn("first_id")).alias("refers_to"), "payload_digest", "payload")
