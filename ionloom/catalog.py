@@ -68,11 +68,17 @@ _SQL_SPECTRA = "sp AS (SELECT p_partkey AS sid, p_retailprice AS precursor, p_br
 _SQL_POOL = "po AS (SELECT o_orderkey AS pid, o_totalprice / 500 AS mass, o_custkey AS key, o_orderpriority AS source, o_orderstatus AS formula FROM orders)"
 
 
+def _with_peaks(pairs, spectra, a: str, b: str):
+    """Pairs of ids with the peaks of both: the bands are joined on ids alone, so arrays are shuffled once a pair."""
+    return pairs.join(spectra.select(F.col("sid").alias(a), "peaks"), a).join(spectra.select(F.col("sid").alias(b), F.col("peaks").alias("ref")), b)
+
+
 def flagship(spark: SparkSession, d: str, ppm: float = 20.0, k: int = 25) -> DataFrame:
     """Spectra against library spectra of their polarity within ppm: two-pointer cosine, the best per molecule, the 25 best."""
-    s = _spectra(spark, d).join(_arrays(spark, d), "sid").withColumn("peaks", peaks.unit_normalise(peaks.powered(F.col("peaks"), "sqrt")))
-    lib = s.select(F.col("sid").alias("lid"), F.col("precursor").alias("mass"), F.col("mol").alias("key"), "pol", F.col("peaks").alias("ref"))
-    pairs = bandjoin.ppm_join(s, lib, "precursor", "mass", ppm, ["pol"]).where("sid <> lid")
+    ids = _spectra(spark, d).select("sid", "precursor", "mol", "pol")
+    lib = ids.select(F.col("sid").alias("lid"), F.col("precursor").alias("mass"), F.col("mol").alias("key"), "pol")
+    pairs = bandjoin.ppm_join(ids, lib, "precursor", "mass", ppm, ["pol"]).where("sid <> lid").select("sid", "lid", "key")
+    pairs = _with_peaks(pairs, _arrays(spark, d).withColumn("peaks", peaks.unit_normalise(peaks.powered(F.col("peaks"), "sqrt"))), "sid", "lid")
     scored = pairs.withColumn("c", similarity.walk_cosine(F.col("peaks"), F.col("ref"), 0.5))
     best = scored.groupBy("sid", "key").agg(F.max(F.round("c.score", 6)).alias("score"), F.max("c.matches").alias("matches"))
     return rank.top_k(best, ["sid"], [F.desc("score"), F.asc("key")], k)
@@ -208,20 +214,24 @@ def isotope_filter(spark, d):
 @query()
 def entropy_similarity(spark, d):
     """K1-K5: neighbours in precursor."""
-    s = _spectra(spark, d).join(_arrays(spark, d), "sid").withColumn("peaks", peaks.clean(F.col("peaks"), k=32))
-    other = s.select(F.col("sid").alias("oid"), F.col("precursor").alias("mass"), F.col("peaks").alias("ref"))
-    pairs = bandjoin.absolute_join(s, other, "precursor", "mass", 0.02).where("sid < oid")
-    return pairs.select("sid", "oid", F.round(similarity.shifted_entropy_similarity(F.col("peaks"), F.col("ref"), 0.5, F.col("precursor") - F.col("mass")), 6).alias("score"))
+    pairs = _near_pairs(spark, d)
+    rows = _with_peaks(pairs, _arrays(spark, d).withColumn("peaks", peaks.clean(F.col("peaks"), k=32)), "sid", "oid")
+    return rows.select("sid", "oid", F.round(similarity.shifted_entropy_similarity(F.col("peaks"), F.col("ref"), 0.5, F.col("shift")), 6).alias("score"))
+
+
+def _near_pairs(spark, d):
+    """(sid, oid, shift) of spectra whose precursors differ by 0.02 at most, sid < oid."""
+    ids = _spectra(spark, d).select("sid", "precursor")
+    pairs = bandjoin.absolute_join(ids, ids.select(F.col("sid").alias("oid"), F.col("precursor").alias("mass")), "precursor", "mass", 0.02).where("sid < oid")
+    return pairs.select("sid", "oid", (F.col("precursor") - F.col("mass")).alias("shift"))
 
 
 @query()
 def greedy_cosine(spark, d):
     """K10, K11."""
-    s = _spectra(spark, d).join(_arrays(spark, d), "sid").select("sid", "precursor", F.col("peaks.mz").alias("mz"), F.col("peaks.it").alias("it"))
-    other = s.select(F.col("sid").alias("oid"), F.col("precursor").alias("mass"), F.col("mz").alias("omz"), F.col("it").alias("oit"))
-    pairs = bandjoin.absolute_join(s, other, "precursor", "mass", 0.02).where("sid < oid")
-    c = similarity.product_cosine(0.5)("mz", "it", "omz", "oit", F.col("precursor") - F.col("mass"))
-    return pairs.withColumn("c", c).select("sid", "oid", F.round("c.score", 6).alias("score"), "c.matches")
+    rows = _with_peaks(_near_pairs(spark, d), _arrays(spark, d), "sid", "oid")
+    c = similarity.product_cosine(0.5)("peaks.mz", "peaks.it", "ref.mz", "ref.it", "shift")
+    return rows.withColumn("c", c).select("sid", "oid", F.round("c.score", 6).alias("score"), "c.matches")
 
 
 _SQL_FP = "fp AS (SELECT vec_id, label, [CAST(x > 0 AS INT) FOR x IN embedding] AS b FROM embeddings)"

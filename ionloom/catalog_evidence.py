@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .catalog import _SQL_FP, _SQL_LISTS, _SQL_PEAKS, _SQL_POOL, _SQL_SPECTRA, _SQL_TANI, _arrays, _lists, _long, _peaks, _pool, _spectra, _t, _words, query
+from .catalog import _SQL_FP, _SQL_LISTS, _SQL_PEAKS, _SQL_POOL, _SQL_SPECTRA, _SQL_TANI, _arrays, _lists, _long, _peaks, _pool, _spectra, _t, _with_peaks, _words, query
 from .functions import chem
 from .operators import bandjoin, evidence, fuse, linkage, models, peaks, rank, similarity
 from .sources import tables
@@ -174,9 +174,9 @@ def adduct_surrogates(spark, d):
 @query()
 def reference_tiers(spark, d):
     """Neighbours in mass by nearest-peak cosine, tiers, and the promoted lists."""
-    s = _spectra(spark, d).join(_arrays(spark, d), "sid").select("sid", "precursor", "pol", "mol", F.col("peaks.mz").alias("mz"), F.col("peaks.it").alias("it"))
-    lib = s.select(F.col("sid").alias("key"), F.col("precursor").alias("mass"), "pol", F.col("mz").alias("rmz"), F.col("it").alias("rit"))
-    pairs = bandjoin.ppm_join(s, lib, "precursor", "mass", 6.0, ["pol"]).where("sid <> key").withColumn("c", similarity.nearest_cosine(2.0)("mz", "it", "rmz", "rit"))
+    ids = _spectra(spark, d).select("sid", "precursor", "pol")
+    near = bandjoin.ppm_join(ids, ids.select(F.col("sid").alias("key"), F.col("precursor").alias("mass"), "pol"), "precursor", "mass", 6.0, ["pol"]).where("sid <> key").select("sid", "key")
+    pairs = _with_peaks(near, _arrays(spark, d), "sid", "key").withColumn("c", similarity.nearest_cosine(2.0)("peaks.mz", "peaks.it", "ref.mz", "ref.it"))
     m = pairs.select("sid", "key", F.round("c.score", 9).alias("score"), "c.matches")
     tiers = evidence.reference_tiers(m, "sid", (0.5, 4), (0.3, 3))
     top = evidence.library_max(m, "sid", "score", F.col("key") % 2 == 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .catalog import _SQL_PEAKS, _SQL_POOL, _SQL_SPECTRA, _arrays, _peaks, _pool, _spectra, _t, query
+from .catalog import _SQL_PEAKS, _SQL_POOL, _SQL_SPECTRA, _arrays, _near_pairs, _peaks, _pool, _spectra, _t, _with_peaks, query
 from .functions import chem
 from .operators import bandjoin, evidence, fuse, rank, similarity, split
 
@@ -138,19 +138,12 @@ def variant_order(spark, d):
     return rank.top_k(scored, ["q"], [F.desc("score"), F.asc("vec_id")], 25).select("q", "vec_id", "rank")
 
 
-def _neighbours(spark, d):
-    s = _spectra(spark, d).join(_arrays(spark, d), "sid").select("sid", "precursor", F.col("peaks.mz").alias("mz"), F.col("peaks.it").alias("it"))
-    ids = s.select("sid", "precursor")
-    pairs = bandjoin.absolute_join(ids, ids.select(F.col("sid").alias("oid"), F.col("precursor").alias("mass")), "precursor", "mass", 0.02).where("sid < oid").select("sid", "oid", (F.col("precursor") - F.col("mass")).alias("shift"))
-    other = s.select(F.col("sid").alias("oid"), F.col("mz").alias("omz"), F.col("it").alias("oit"))
-    return pairs.join(s.drop("precursor"), "sid").join(other, "oid")
-
-
 @query()
 def modified_cosines(spark, d):
     """K8, K9: two-pass and best-shift cosines of neighbours in precursor, peaks of the second moved by 40; held against a step-by-step form in tests."""
     shift = F.col("shift") + 40
-    rows = _neighbours(spark, d).select("sid", "oid", similarity.two_pass_cosine(5.0)("mz", "it", "omz", "oit", shift).alias("a"), similarity.best_shift_cosine(5.0)("mz", "it", "omz", "oit", shift).alias("b"))
+    both = ("peaks.mz", "peaks.it", "ref.mz", "ref.it", shift)
+    rows = _with_peaks(_near_pairs(spark, d), _arrays(spark, d), "sid", "oid").select("sid", "oid", similarity.two_pass_cosine(5.0)(*both).alias("a"), similarity.best_shift_cosine(5.0)(*both).alias("b"))
     return rows.select("sid", "oid", F.round("a.score", 6).alias("two_pass"), F.col("a.matches").alias("two_pass_n"), F.round("b.score", 6).alias("best_shift"), F.col("b.matches").alias("best_shift_n"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -66,12 +67,12 @@ def write_parts(df: DataFrame, path: str, part: str) -> bool:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder named by spark.checkpoint.dir. Without that setting there is none that a cluster shares; on a local master Spark's own folder serves."""
+    """A new path in the folder named by spark.checkpoint.dir. Without that setting there is none that a cluster shares; on a local master, where driver and executors are one process, a temporary folder serves."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/ionloom-checkpoints"
+        root = f"file://{tempfile.gettempdir()}/ionloom"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
