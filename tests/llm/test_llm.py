@@ -206,6 +206,115 @@ def _components(docs):
     return {d: (len(sets[i]), least[find(i)] if sets[i] else d) for i, (d, _) in enumerate(docs)}
 
 
+def _url_scores(urls):
+    """Scores and verdicts of distinct URLs by the definition: Witten-Bell models of the labelled URLs that aren't kept out."""
+    sides, rule = {"allow": Counter(), "block": Counter()}, {}
+    grams = lambda u: [("\x02" * 5 + u + "\x03")[i : i + 6] for i in range(len(u) + 1)]
+    for u in urls:
+        m = re.match(r".*?://([^/?#]*)([^?#]*)", u)
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(h + p), -i, v) for i, (v, h, p) in enumerate(urlfilter.RULES) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule[u] = max(fits)[2] if fits else None
+        if rule[u] and zlib.crc32(u.encode()) % 5:
+            sides[rule[u]].update(grams(u))
+    alphabet = {g[-1] for u in urls for g in grams(u)}
+    count = {s: Counter() for s in sides}
+    for s, c in sides.items():
+        for g, n in c.items():
+            for k in range(6):
+                count[s][g[5 - k :]] += n
+
+    def p(side, gram, k):
+        if k < 0:
+            return 1 / (len(alphabet) + 1)
+        context = gram[5 - k : 5]
+        after = [count[side][context + x] for x in alphabet]
+        total = sum(after) + sum(n > 0 for n in after)
+        below = p(side, gram, k - 1)
+        return (count[side][gram[5 - k :]] + sum(n > 0 for n in after) * below) / total if total else below
+
+    score = {u: float(np.mean([math.log(p("allow", g, 5)) - math.log(p("block", g, 5)) for g in grams(u)])) for u in set(urls)}
+    return score, rule
+
+
+def test_url_model_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    part = lambda: "".join(rng.choice(list("abcé1"), int(rng.integers(1, 6))))
+    urls = [f"http://{part()}.{t}" for t in ("org/" + part() for _ in range(30))] + [f"http://{part()}.com/de/{part()}" for _ in range(30)] + [f"http://{part()}.net/{part()}" for _ in range(30)] + ["", "x"]
+    urls += urls[:3] + urls[60:62]
+    score, rule = _url_scores(urls)
+    held = [u for u in urls if rule[u] and zlib.crc32(u.encode()) % 5 == 0]
+    step = 2.0 / urlfilter.BINS
+    place = lambda u: min(max(math.floor(round(score[u], 9) / step), -urlfilter.BINS), urlfilter.BINS)
+    good, bad = [[place(u) for u in held if rule[u] == v] for v in ("allow", "block")]
+    assert good and bad
+    best = max((sum(b >= t for b in good) / len(good) + 1 - sum(b >= t for b in bad) / len(bad), -abs(t), t) for t in {*good, *bad})[2] * step
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        u = urls[r.page_id]
+        assert abs(r.score - score[u]) < 1e-7 and r.verdict == (rule[u] or ("allow" if round(score[u], 9) >= best else "block"))
+
+
+def test_a_very_long_url_ends(spark):
+    urls = [f"http://a{i}.org/x" for i in range(9)] + [f"http://a{i}.com/de/" for i in range(9)] + ["http://a.net/" + "xyz1" * 75_000]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(got) == 19 and len(max(r.path for r in got)) >= 2
+
+
+def _languages(rows, texts):
+    """Languages by the definition, with sets in place of filters."""
+    def grams(t):
+        b = re.sub(rb"[^a-z\x80-\xff]+", b" ", t.lower().encode() if t.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode()))
+        return [b[i : i + 4] for i in range(len(b) - 3)]
+
+    counts = defaultdict(Counter)
+    for t, lang in rows:
+        counts[lang].update(grams(t))
+    rate = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    best, seen = Counter(), Counter()
+    for x, c in counts.items():
+        seen.update(c)
+        for g in c:
+            best[g] = max(best[g], rate[x][g])
+    held = {x: {g for g in c if seen[g] >= langid.LEAST and rate[x][g] >= langid.SHARE * best[g] and rate[x][g] * langid.MEMBERS >= 1} for x, c in counts.items()}
+    return [max(sorted(held), key=lambda x: sum(g in held[x] for g in grams(t))) for t in texts]
+
+
+def test_languages_against_brute_force(spark):
+    docs = pd.read_parquet(f"{SF}/documents.parquet").dropna(subset=["text", "lang"])
+    learn = docs[[zlib.crc32(str(d).encode()) % 4 != 2 for d in docs.doc_id]]
+    want = dict(zip(docs.doc_id, _languages(list(zip(learn.text, learn.lang, strict=True)), docs.text), strict=True))
+    got = {r.doc_id: r for r in langid.op9_language_id(spark, SF).collect()}
+    assert np.mean([got[d].lang_pred == x for d, x in want.items()]) >= 0.99
+    held = [(got[d].lang_pred, x) for d, x in zip(docs.doc_id, docs.lang, strict=True) if got[d].held_out]
+    assert np.mean([a == b for a, b in held]) >= 0.98
+
+
+def test_toxicity_weights_and_extremes_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}x" for i in range(30)]
+    texts = [" ".join([*rng.choice(words, 30), *(["vile"] * (i % 5 == 0))]) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    n, y = Counter(w for t in texts for w in t.split()), [Counter(w for i, t in enumerate(texts) if (i % 5 == 0) == k for w in t.split()) for k in (False, True)]
+    for w in [*words, "vile"]:
+        _, own, _ = toxicity.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))
+        prior = toxicity.FLOOR + toxicity.PRIOR * n[w] / sum(n.values())
+        a0, a1 = y[0][w] + prior, y[1][w] + prior
+        raw = math.log(a1 / (sum(y[1].values()) + toxicity.PRIOR)) - math.log(a0 / (sum(y[0].values()) + toxicity.PRIOR))
+        want = math.copysign(max(0.0, abs(raw) - toxicity.SHRINK * math.sqrt(1 / a0 + 1 / a1)), raw)
+        assert abs(model["weights"][own[0]] - want) < 1e-5
+    best, length = np.where(rng.random(300) < 0.3, 0.0, rng.gumbel(1.0, 0.7, 300).clip(0.01)), rng.integers(5, 80, 300).astype(float)
+    s, m = np.append(best, 1.0), np.append(length, length.mean())
+
+    def likelihood(lam, k):
+        return ((s > 0) * (math.log(k) + np.log(m) + math.log(lam) - lam * s)).sum() - (k * m * np.exp(-lam * s)).sum()
+
+    lam, k = toxicity.extreme_value(best, length)
+    assert all(likelihood(lam, k) >= likelihood(lam * a, k * b) for a in (0.97, 1.0, 1.03) for b in (0.97, 1.0, 1.03))
+
+
 def _copies(rng, words, sizes, most_edits):
     """Texts in groups: a text of each size and copies of it with up to most_edits words replaced."""
     for size, copies in sizes:
@@ -407,7 +516,7 @@ def test_odd_rows_and_clashing_columns(spark, name):
     assert run(docs.limit(0), bench.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("module", [warc, decontaminate, topk, mixing])
+@pytest.mark.parametrize("module", [warc, decontaminate, topk, jaccard, mixing])
 def test_queries_equal_sql(spark, module):
     db = duckdb.connect()
     for t in ("documents", "pages", "embeddings", "benchmark", "labels"):
