@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,15 +24,22 @@ def _features(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_x").transform(df.na.fill(0.0, features))
 
 
+def _fitted(train: DataFrame, features: list[str], label: str, estimators: list) -> list:
+    """Models of one assembled table, which is kept while they are fitted."""
+    rows = _features(train, features).withColumn(label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return [e.fit(rows) for e in estimators]
+    finally:
+        rows.unpersist()
+
+
 def fit_boosted(train: DataFrame, features: list[str], label: str, weight: str, seeds: list[int], rounds: int = 20, depth: int = 4) -> list:
     """One boosted-tree model per seed."""
-    rows = _features(train, features).withColumn(label, F.col(label).cast("double"))
-    return [GBTClassifier(featuresCol="_x", labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=depth, seed=s, subsamplingRate=0.8).fit(rows) for s in seeds]
+    return _fitted(train, features, label, [GBTClassifier(featuresCol="_x", labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=depth, seed=s, subsamplingRate=0.8) for s in seeds])
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str, ridge: float = 1e-3):
-    rows = _features(train, features).withColumn(label, F.col(label).cast("double"))
-    return LogisticRegression(featuresCol="_x", labelCol=label, regParam=ridge, maxIter=50).fit(rows)
+    return _fitted(train, features, label, [LogisticRegression(featuresCol="_x", labelCol=label, regParam=ridge, maxIter=50)])[0]
 
 
 def predict(df: DataFrame, models: list, features: list[str], name: str = "p") -> DataFrame:
