@@ -346,10 +346,10 @@ def two_tier_rank(spark, d):
     return li.select("l_partkey", "l_quantity", "l_linenumber", F.round(rank.average_rank_norm(["l_partkey"], "l_quantity", ["l_linenumber"]), 6).alias("r"))
 
 
-@query(f"""WITH {_SQL_POOL}, k AS (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY mass DESC, pid) AS n FROM po) SELECT source, key, pid, CAST(row_number() OVER (PARTITION BY source ORDER BY mass DESC, pid) AS INTEGER) AS rank FROM k WHERE n = 1""")
+@query(f"""WITH {_SQL_POOL}, k AS (SELECT *, row_number() OVER (PARTITION BY key, source ORDER BY mass DESC, pid) AS n FROM po) SELECT source, key, pid, CAST(row_number() OVER (PARTITION BY key ORDER BY mass DESC, pid) AS INTEGER) AS rank FROM k WHERE n = 1""")
 def keep_first_dedup(spark, d):
     """L2."""
-    return rank.keep_first(_pool(spark, d), ["source"], "key", [F.desc("mass"), F.asc("pid")]).select("source", "key", "pid", "rank")
+    return rank.keep_first(_pool(spark, d), ["key"], "source", [F.desc("mass"), F.asc("pid")]).select("source", "key", "pid", "rank")
 
 
 @query(f"WITH {_SQL_POOL}, k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source, mass, pid) AS n FROM po) SELECT key, pid, source FROM k WHERE n = 1")

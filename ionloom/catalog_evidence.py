@@ -202,12 +202,12 @@ def filled_output(spark, d):
     return evidence.with_evidence(_t(spark, d, "customer").select("c_custkey"), side, ["c_custkey"], ["n"]).join(side.select("c_custkey", "first"), "c_custkey", "left").select("c_custkey", "n", F.coalesce("first", F.lit(-1)).alias("first"))
 
 
-@query("""WITH o AS (SELECT o_orderpriority AS g, o_orderkey AS key, o_totalprice AS a, o_custkey AS b FROM orders), r AS (SELECT g, key, a, (row_number() OVER (PARTITION BY g ORDER BY a DESC, key) - 1) / greatest(count(*) OVER (PARTITION BY g) - 1, 1) AS ra, (row_number() OVER (PARTITION BY g ORDER BY b DESC, key) - 1) / greatest(count(*) OVER (PARTITION BY g) - 1, 1) AS rb FROM o)
- SELECT g, key, round(0.7 * (1 - ra) + 0.3 * (1 - rb) + 1e-6 * a, 6) AS score FROM r""")
+@query("""WITH o AS (SELECT o_custkey AS g, o_orderkey AS key, o_totalprice AS a, o_orderkey * 7919 % 101 AS b FROM orders), r AS (SELECT g, key, a, (row_number() OVER (PARTITION BY g ORDER BY a DESC, key) - 1) / greatest(count(*) OVER (PARTITION BY g) - 1, 1) AS ra, (row_number() OVER (PARTITION BY g ORDER BY b DESC, key) - 1) / greatest(count(*) OVER (PARTITION BY g) - 1, 1) AS rb FROM o)
+ SELECT g, key, round(0.7 * (1 - ra) + 0.3 * (1 - rb) + 1e-6 * a, 9) AS score FROM r""")
 def two_ranker_blend(spark, d):
-    """R1, W10, W11."""
-    o = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("a"), F.col("o_custkey").alias("b"))
-    return fuse.blend(o, "g", "a", "b", 0.7, "key").select("g", "key", F.round("score", 6).alias("score"))
+    """R1."""
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("a"), (F.col("o_orderkey") * 7919 % 101).alias("b"))
+    return fuse.blend(o, "g", "a", "b", 0.7, "key").select("g", "key", F.round("score", 9).alias("score"))
 
 
 _SQL_RANKED = "a0 AS (SELECT o_custkey AS g, o_orderkey AS key, o_orderstatus AS f, o_totalprice AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)"
@@ -274,14 +274,14 @@ def five_channels(spark, d):
     return _ranked(spark, d).select("g", "key", F.round(fuse.channels(terms), 5).alias("score"))
 
 
-@query("""WITH o AS (SELECT o_orderkey AS key, coalesce(o_totalprice, 0) AS a, (o_custkey % 31)::DOUBLE AS b, (o_orderkey % 37)::DOUBLE AS c, o_orderkey % 2 = 0 AS oa, o_orderkey % 3 = 0 AS ob, o_orderkey % 5 = 0 AS oc, o_orderpriority AS g FROM orders),
- z AS (SELECT key, oa, ob, oc, (a - avg(a) OVER p) / stddev_pop(a) OVER p AS za, (b - avg(b) OVER p) / stddev_pop(b) OVER p AS zb, (c - avg(c) OVER p) / stddev_pop(c) OVER p AS zc FROM o WINDOW p AS (PARTITION BY g))
+@query("""WITH o AS (SELECT o_orderkey AS key, coalesce(o_totalprice, 0) AS a, (o_orderkey * 7 % 31)::DOUBLE AS b, (o_orderkey % 37)::DOUBLE AS c, o_orderkey % 2 = 0 AS oa, o_orderkey % 3 = 0 AS ob, o_orderkey % 5 = 0 AS oc, o_custkey AS g FROM orders),
+ z AS (SELECT key, oa, ob, oc, CASE WHEN stddev_pop(a) OVER p > 1e-9 THEN (a - avg(a) OVER p) / stddev_pop(a) OVER p ELSE 0 END AS za, CASE WHEN stddev_pop(b) OVER p > 1e-9 THEN (b - avg(b) OVER p) / stddev_pop(b) OVER p ELSE 0 END AS zb, CASE WHEN stddev_pop(c) OVER p > 1e-9 THEN (c - avg(c) OVER p) / stddev_pop(c) OVER p ELSE 0 END AS zc FROM o WINDOW p AS (PARTITION BY g))
  SELECT key, round(CASE WHEN oa AND ob AND oc THEN 0.5 * za + 0.25 * zb + 0.25 * zc WHEN oa AND ob THEN (za + zb) / 2 WHEN oa AND oc THEN (za + zc) / 2 WHEN ob AND oc THEN (zb + zc) / 2 WHEN oa THEN za WHEN ob THEN zb WHEN oc THEN zc ELSE 0 END, 5) + 0.0 AS score FROM z""")
 def masked_ensemble(spark, d):
     """R16."""
     o = _t(spark, d, "orders")
     k = F.col("o_orderkey")
-    rows = o.select(k.alias("key"), F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("a"), (F.col("o_custkey") % 31).cast("double").alias("b"), (k % 37).cast("double").alias("c"), (k % 2 == 0).alias("oa"), (k % 3 == 0).alias("ob"), (k % 5 == 0).alias("oc"))
+    rows = o.select(k.alias("key"), F.col("o_custkey").alias("g"), F.col("o_totalprice").alias("a"), (k * 7 % 31).cast("double").alias("b"), (k % 37).cast("double").alias("c"), (k % 2 == 0).alias("oa"), (k % 3 == 0).alias("ob"), (k % 5 == 0).alias("oc"))
     return fuse.ensemble_table(("a", "oa"), ("b", "ob"), ("c", "oc"), "g", rows).select("key", (F.round("score", 5) + 0.0).alias("score"))
 
 
