@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, table
+from .common import remove as remove_paths
 
 KINDS = ("email", "ip", "card", "phone")
 #: Equal to the contract's patterns, but they begin only where a match can begin and never give characters back, so long runs cost linear time and no stack.
@@ -146,21 +147,21 @@ def _with_plain(docs: DataFrame) -> DataFrame:
     return rows.withColumn("plain", _plain(F.col("text"), F.col("base")))
 
 
-def disclosures(docs: DataFrame, prior: float = PRIOR, least: float = GENERALISE) -> DataFrame:
+def disclosures(docs: DataFrame, prior: float = PRIOR, least: float = GENERALISE, paths: list[str] | None = None) -> DataFrame:
     """(entity, term, left) of all pairs that leave `least` bits at most.
 
     docs has text. Counts weigh each row of docs, repeated ones too. A pair is made only if the counts of its term and
     entity allow that: a text's entities are filtered for each of its terms before they become rows. The
-    sums are cut into the shared folder.
+    sums are cut into the shared folder, at paths that are added to paths.
     """
     rows = _with_plain(docs)
     vocabulary = rows.select(F.explode(_terms(F.col("plain"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    vocabulary = cut(vocabulary, "pii-vocabulary")
+    vocabulary = cut(vocabulary, "pii-vocabulary", paths)
     n = F.lit(float(vocabulary.agg(F.sum("n_t")).first()[0] or 0))
     entity = lambda b: F.concat(b["kind"].cast("string"), F.lit(":"), b["value"])
     texts = rows.where("size(base) > 0").select(_text_id().alias("text_id"), F.array_distinct(F.transform("base", entity)).alias("entities"), "plain")
     texts = texts.groupBy("text_id").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("plain").alias("plain"))
-    texts = cut(texts, "pii-texts")
+    texts = cut(texts, "pii-texts", paths)
     holds = texts.select("text_id", F.explode("entities").alias("entity"), (F.size(_terms(F.col("plain"))) * F.col("copies")).alias("n"))
     entities = holds.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where((F.col("n_e") > 0) & (F.col("n_e") < n))
     held = holds.select("text_id", "entity").join(entities, "entity")
@@ -200,13 +201,16 @@ def _text_id() -> Column:
 
 def term_lists(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(text_hash, general, removed): the disclosing terms of the texts that have some, by the 64-bit hash of the text. Texts of one hash share a list of the terms of either, which changes neither: a term is disclosing in every text."""
-    left = disclosures(docs, prior, generalise).groupBy("term").agg(F.min("left").alias("left"))
-    hits = cut(left.select("term", F.when(F.col("left") <= remove, 5).otherwise(4).alias("kind")), "pii-terms")
+    paths: list[str] = []
+    left = disclosures(docs, prior, generalise, paths).groupBy("term").agg(F.min("left").alias("left"))
+    hits = cut(left.select("term", F.when(F.col("left") <= remove, 5).otherwise(4).alias("kind")), "pii-terms", paths)
     n = hits.count()
     rows = _with_plain(docs).select(F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(_terms(F.col("plain")))).alias("term"))
     found = _sieve(rows, "term", hits, n).where("_may").drop("_may").join(F.broadcast(hits) if n <= BROADCAST_ROWS else hits, "term")
     lists = [F.collect_set(F.when(F.col("kind") == kind, F.col("term"))).alias(name) for kind, name in ((4, "general"), (5, "removed"))]
-    return cut(found.groupBy("text_hash").agg(*lists), "pii-lists")
+    out = cut(found.groupBy("text_hash").agg(*lists), "pii-lists")
+    remove_paths(docs.sparkSession, paths)
+    return out
 
 
 def with_spans(docs: DataFrame, **thresholds) -> DataFrame:

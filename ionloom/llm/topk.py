@@ -27,7 +27,7 @@ LEAF = 128
 #: Rows of a shard at most (of fewer rows altogether, one in SHARDS), and queries that one task asks a shard.
 SHARD_ROWS, SHARDS, ASKED = 65_536, 48, 50_000
 #: Centres at most, and the rows they are fitted on; where a vector goes decides the work only, not the result.
-CENTRES, SAMPLE, STEPS = 4096, 65_536, 3
+CENTRES, SAMPLE, STEPS = 4096, 16_384, 3
 #: Shards that a query meets up to the end of each round; the last round takes the others that its kth score allows.
 ROUNDS = (1, 4)
 _LONG = np.iinfo(np.int64)

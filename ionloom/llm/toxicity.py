@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, chunks, crc_mod, cut, small_batches, stems_of, table
+from .common import byte_view, chunks, crc_mod, cut, remove, small_batches, stems_of, table
 
 BUCKETS = 1 << 19
 #: Characters of a stem, as truncating stemmers take.
@@ -132,11 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> dict:
     joined = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id"), "left").select("text", "label")
     names = ["n", "n0", "n1", "n2", "n3"]
     counts = joined.mapInArrow(_count, "t int, n long, n0 long, n1 long, n2 long, n3 long").groupBy("t").agg(*[F.sum(c).alias(c) for c in names])
-    counts = cut(counts, "toxicity-counts")
+    counts = cut(counts, "toxicity-counts", paths := [])
     n, y0, y1, z0, z1 = (float(x or 0) for x in counts.where(F.col("t") < BUCKETS).agg(*[F.sum(c) for c in names]).first())
     final = log_odds("n", F.col("n0") + F.col("n2"), F.col("n1") + F.col("n3"), n, y0 + z0, y1 + z1)
     trial = log_odds("n", F.col("n0"), F.col("n1"), n, y0, y1)
     known = counts.select("t", final.cast("float").alias("final"), trial.cast("float").alias("trial")).where("final <> 0 or trial <> 0").toPandas()  # at most 2 * BUCKETS rows
+    remove(spark, paths)
     t = known["t"].to_numpy(np.int64)
     model = {"weights": _array(t, known["final"].to_numpy()), "lambda": 1.0, "k": 1e-4, "slope": 0.0, "cut": 0.0}
     shared = spark.sparkContext.broadcast(_array(t, known["trial"].to_numpy()))

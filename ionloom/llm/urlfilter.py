@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_mod, cut, table
+from .common import crc_mod, cut, remove, table
 
 #: Verdict, host, path prefix. Fixed values of the contract.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -50,16 +50,17 @@ def _grams(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.explode(F.expr(f"transform(sequence(1, size(_c) - {ORDER}), i -> array_join(slice(_c, i, {ORDER + 1}), ''))")).alias("gram"))
 
 
-def fit(rows: DataFrame) -> DataFrame:
+def fit(rows: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """(gram, n, ratio): occurrences, and log p_accept - log p_reject of a gram's last character after the others.
 
     rows has _sym and accept (boolean); rows with a null there teach nothing, but their grams get a ratio too. Witten-Bell
     smoothing: an order trusts its own counts by n / (n + t), t the number of distinct characters seen after the context,
     and leaves the rest to the next shorter one, all of it where the context is unseen; below order 0 all characters are
     alike. Each order is a table of distinct grams; a key of its joins and windows has as many rows as there are characters.
+    The counts are cut into the shared folder, at a path that is added to paths.
     """
     counts = _grams(rows, ["accept"]).groupBy("gram").agg(F.count("*").alias("n"), F.count_if("accept").alias("na"), F.count_if(~F.col("accept")).alias("nr"))
-    counts = cut(counts, "url-grams")
+    counts = cut(counts, "url-grams", paths)
     probs = None
     for order in range(ORDER + 1):
         own = counts.groupBy(F.substring("gram", ORDER + 1 - order, order + 1).alias("k")).agg(*[F.sum(x).alias(x) for x in ("n", "na", "nr")])
@@ -114,8 +115,10 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     name, verdict = match_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "decided": verdict, "_sym": F.coalesce("url", F.lit(""))}).withColumn("_id", F.md5("_sym"))
     accept, held = F.col("decided") == "allow", crc_mod("_sym", 5) == 0
-    model = cut(fit(rows.select("_sym", F.when(~held, accept).alias("accept"))), "url-model")
+    paths: list[str] = []
+    model = cut(fit(rows.select("_sym", F.when(~held, accept).alias("accept")), paths), "url-model", paths)
     scores = cut(score(rows, model), "url-scores")
+    remove(pages.sparkSession, paths)
     out = rows.join(scores, "_id")
     threshold = calibrate(out.where(F.col("decided").isNotNull() & held).select("score", accept.alias("accept")))
     return out.select("page_id", "host", "path", "rule", F.coalesce("decided", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")
