@@ -38,20 +38,23 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def _shingles(size: int) -> Column:
-    """(pos from 0, key) of each shingle of that many words. The key, lower-cased beyond A-Z, is equal wherever words folded by A-Z are."""
+    """(pos from 0, key) of each shingle of that many words. The key, lower-cased beyond A-Z, is equal wherever words folded by A-Z are.
 
-    def at(word, i):
-        after = [x for k in range(1, size) for x in (F.lit(" "), F.get("words", i + k))]
-        return F.struct(i.alias("pos"), F.lower(F.concat(word, *after)).alias("key"))
-
-    return F.filter(F.transform("words", at), lambda s: s["key"].isNotNull())
+    Words are zipped with themselves moved on by one place and more; a look-up of the array inside a lambda could be
+    evaluated anew for each word once the optimizer moves the expression.
+    """
+    joined = F.col("words")
+    for k in range(1, size):
+        joined = F.zip_with(joined, F.slice("words", F.lit(k + 1), F.greatest(F.size("words") - k, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(F.transform(joined, lambda w, i: F.struct(i.alias("pos"), F.lower(w).alias("key"))), lambda s: s["key"].isNotNull())
 
 
 def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """A row for each shingle of each document, of all the sizes that windows have."""
-    # the array is a column before it is exploded: exploding an expression would copy a document's words for each row
-    rows = docs.withColumn("every", F.concat(*[_shingles(k) for k in sizes])).withColumn("s", F.explode("every"))
-    return rows.select("*", "s.pos", "s.key").drop("s", "every")
+    # the array is a column before it is exploded, as exploding an expression would copy a document's words for each row; an
+    # outer explode, as the inner one brings a filter that evaluates the array twice
+    rows = docs.withColumn("every", F.concat(*[_shingles(k) for k in sizes])).withColumn("s", F.explode_outer("every"))
+    return rows.select("*", "s.pos", "s.key").where("key is not null").drop("s", "every")
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
