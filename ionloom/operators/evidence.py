@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .rank import average_rank_norm, first_by, z_score
+from .rank import average_rank_norm, correlation, first_by, z_score
 
 
 def spectrum_weights(df: DataFrame, mol: str, weight: Column, n_peaks: str, name: str = "w") -> DataFrame:
@@ -88,7 +88,7 @@ def weighted_vectors(df: DataFrame, group: str, vector: str, weight: Column) ->
 def safe_corr(a: str, b: str) -> Column:
     """Correlation of a group; 0 where either side hardly varies."""
     flat = (F.stddev_pop(a) <= 1e-9) | (F.stddev_pop(b) <= 1e-9)
-    return F.when(flat | (F.count("*") < 2), 0.0).otherwise(F.corr(a, b))
+    return F.when(flat | (F.count("*") < 2), 0.0).otherwise(correlation(a, b))
 
 
 def reference_tiers(matches: DataFrame, query: str, gold: tuple[float, int] = (0.825, 4), silver: tuple[float, int] = (0.72, 3)) -> DataFrame:

@@ -91,6 +91,15 @@ def first_of_best(group: list[str], best: str, value: str, order: str) -> Column
     return F.first(value).over(_by(group).orderBy(F.desc(best), F.asc(order)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
 
+def correlation(a: str, b: str, over=lambda c: c) -> Column:
+    """Pearson's correlation, null where either side is constant; `over` makes the aggregates those of a window.
+
+    F.corr divides by zero there under ANSI rules, and a guard around an aggregate can't hold it back: it is computed first.
+    """
+    spread = over(F.stddev_pop(a)) * over(F.stddev_pop(b))
+    return over(F.covar_pop(a, b)) / F.nullif(spread, F.lit(0.0))
+
+
 def relative_triple(group: list[str], value: str, order: str, name: str) -> dict[str, Column]:
     """A value, its ordinal rank from 0 to 1, and its distance from the group's best."""
     return {name: F.col(value).cast("double"), f"{name}_rank": ordinal_rank_norm(group, [F.desc(value), F.asc(order)]), f"{name}_gap": relative_to_best(group, value).cast("double")}
@@ -116,7 +125,7 @@ def ranker_features(df: DataFrame, group: list[str], order: str, library: str, r
     out |= {"raw_z": z_score(group, raw, 0), "raw_rank": F.col("_mr"), "raw_gap": relative_to_best(group, raw), "len_z": z_score(group, "_len", 0), "len_rank": ordinal_rank_norm(group, [F.desc("_len"), F.asc(order)]), "raw_lead": (F.col(raw) == F.max(raw).over(w)).cast("double")}
     out |= frag | {"frag_z": z_score(group, fragment, 0)}
     out |= {"lib_agree": F.col(library) * (1 - F.col("_mr")), "ap_agree": F.col(ap) * (1 - F.col("_mr")), "agree": agree(library), "agree_ap": agree(ap)}
-    out |= {"agree_lib": agree(library) * F.max(library).over(w), "lib_corr": F.when(flat, 0.0).otherwise(F.coalesce(F.corr(F.col(library), -F.col("_mr")).over(w), F.lit(0.0)))}
+    out |= {"agree_lib": agree(library) * F.max(library).over(w), "lib_corr": F.when(flat, 0.0).otherwise(F.coalesce(correlation(library, "_mr", lambda c: c.over(w)) * -1, F.lit(0.0)))}
     return rows.select(*df.columns, *[c.alias(n) for n, c in out.items()])
 
 

@@ -83,3 +83,15 @@ def test_nearest_values_with_many_ties(spark):
         near = sorted((abs(v - w), other) for other, w, h in rows if h == g and other != key)[:3]
         want |= {(key, n): other for n, (_, other) in enumerate(near, 1)}
     assert got == want and [got[10, n] for n in (1, 2, 3)] == [1, 2, 3]
+
+
+def test_correlation_of_constant_groups(spark):
+    from ionloom.operators import evidence, rank
+
+    rows = [("flat", 1, 2.0, 1.0), ("flat", 2, 2.0, 3.0), ("up", 1, 1.0, 2.0), ("up", 2, 2.0, 4.0), ("one", 1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, k int, a double, b double")
+    got = {r.g: r.r for r in df.groupBy("g").agg(evidence.safe_corr("a", "b").alias("r")).collect()}
+    assert got["flat"] == 0 and got["one"] == 0 and abs(got["up"] - 1) < 1e-12
+    names = {n: "b" for n in ("ap", "a1", "best", "top", "mean", "top_sim")}
+    features = rank.ranker_features(df.withColumn("bits", F.lit(4)), ["g"], "k", "a", "b", "bits", "b", names)
+    assert {(r.g, r.k): round(r.lib_corr, 9) for r in features.collect()} == {("flat", 1): 0, ("flat", 2): 0, ("up", 1): 1, ("up", 2): 1, ("one", 1): 0}
