@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, langid, mixing, pii, sharding, tokencounts, topk, toxicity, urlfilter, warc
+from . import conversations, decontaminate, jaccard, langid, mixing, pii, sharding, tokencounts, topk, toxicity, urlfilter, warc
 
-_MODULES = (warc, tokencounts, pii, decontaminate, urlfilter, mixing, topk, jaccard, langid, toxicity, sharding)
+_MODULES = (warc, tokencounts, pii, decontaminate, urlfilter, mixing, topk, jaccard, langid, toxicity, conversations, sharding)
 
 
 def queries() -> dict[str, Callable]:
