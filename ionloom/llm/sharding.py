@@ -144,10 +144,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, law: str = "b
     histogram(rows, _BINS).write.mode("overwrite").parquet(f"{path}/cells")
     run = ranked(on_curve(rows, _BINS, spark.read.parquet(f"{path}/cells")), ["curve", "text_crc32", names["doc_id"], "size"], paths)
     out = cut_runs(run, shards, law)
-    at = F.struct("size", "slot", *[F.col(f"`{b} coordinate`").alias(k) for k, b in zip(DIMENSIONS, _BINS, strict=True)]).alias("curve_place")
+    at = F.struct("size", "slot", *[F.col(f"`{b} coordinate`").alias(f"{k}_at") for k, b in zip(DIMENSIONS, _BINS, strict=True)]).alias("curve_place")
     kept = {c: n for c, n in names.items() if c not in ("shard", "curve_place")}
     out.select(*shown(kept), at, "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/rows")
-    ranges = [f(F.col(f"curve_place.{k}")).alias(f"{k}_{n}") for k in DIMENSIONS for n, f in (("min", F.min), ("max", F.max))]
+    ranges = [f(F.col(f"curve_place.{k}_at")).alias(f"{k}_{n}") for k in DIMENSIONS for n, f in (("min", F.min), ("max", F.max))]
     stored = spark.read.parquet(f"{path}/rows").select("shard", "curve_place")
     stored.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("curve_place.size").alias("bytes"), F.max("curve_place.slot").alias("last_slot"), *ranges).write.mode("overwrite").parquet(f"{path}/manifest")
     remove(spark, paths)
