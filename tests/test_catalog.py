@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import duckdb
 import pytest
 
@@ -8,10 +10,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SQL = [n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline"]
 
 
-def rows(pdf):
+def rows(names, tuples):
     """Rows by column name; floats to six significant digits for the order only."""
-    columns = sorted(pdf.columns)
-    plain = [tuple(None if v is None else float(v) if isinstance(v, float) else str(v) for v in r) for r in pdf[columns].itertuples(index=False, name=None)]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    plain = [tuple(None if r[i] is None else float(r[i]) if isinstance(r[i], (float, Decimal)) else str(r[i]) for i in order) for r in tuples]
     return sorted(plain, key=lambda r: tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r))
 
 
@@ -25,14 +27,16 @@ NEAR = ["library_search", "entropy_similarity", "greedy_cosine", "modified_cosin
 
 @pytest.mark.parametrize("name", SQL)
 def test_query_equals_sql(spark, name, sf="/root/testdata/sf0.01"):
-    got = entry.queries()[name](spark, sf).toPandas()
+    df = entry.queries()[name](spark, sf)
+    got = [tuple(r) for r in df.collect()]
     db = duckdb.connect()
     for t in TABLES:
         db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     assert name not in NEAR or len(got)
-    want = db.execute(entry.oracle_sql()[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert same(rows(got), rows(want))
+    found = db.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    assert sorted(df.columns) == sorted(names)
+    assert same(rows(df.columns, got), rows(names, found.fetchall()))
 
 
 def test_entry(spark):
