@@ -71,8 +71,8 @@ def overwrite(rows: DataFrame, path: str, *partitions: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
-def admit(documents: DataFrame, batch: int, output: str, config: dict) -> None:
-    """Judge one batch and write what it admits and its audit."""
+def admit(documents: DataFrame, batch: int, output: str, config: dict) -> int:
+    """Judge one batch, write what it admits and its audit, and return the number of rows read."""
     spark = documents.sparkSession
     rows = judged(documents, config["min_words"], config["holdout"], config["seed"])
     earlier = stored(spark, output)[0].where(F.col("batch") < batch).select("content")
@@ -88,6 +88,7 @@ def admit(documents: DataFrame, batch: int, output: str, config: dict) -> None:
     audit = spark.createDataFrame([(k, n, batch) for k, n in found.items()], AUDIT)
     overwrite(audit.coalesce(1), f"{output}/audit", "batch")
     log.info("batch %d: read %d rows, wrote %d: %s", batch, found["read"], sum(kept.values()), found)
+    return found["read"]
 
 
 def prepare(spark: SparkSession, documents: str, output: str, checkpoint: str, config: dict | None = None) -> DataFrame:
@@ -98,10 +99,11 @@ def prepare(spark: SparkSession, documents: str, output: str, checkpoint: str, c
     reader = spark.readStream.schema(DOCUMENTS)
     if config["files_per_batch"]:
         reader = reader.option("maxFilesPerTrigger", config["files_per_batch"])
-    stream = reader.parquet(documents).writeStream.foreachBatch(lambda rows, batch: admit(rows, batch, output, config))
+    taken: list[int] = []
+    stream = reader.parquet(documents).writeStream.foreachBatch(lambda rows, batch: taken.append(admit(rows, batch, output, config)))
     stream = stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
-    log.info("took %d rows in %d batches from %s", sum(p["numInputRows"] for p in stream.recentProgress), len([p for p in stream.recentProgress if p["numInputRows"]]), documents)
+    log.info("took %d rows in %d batches from %s", sum(taken), len(taken), documents)
     rows, audit = stored(spark, output)
     return rows.withColumn("kind", F.lit("row")).unionByName(audit.withColumn("kind", F.lit("audit")), allowMissingColumns=True)
 
