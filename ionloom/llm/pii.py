@@ -1,20 +1,31 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the words around them.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. A protected entity is a value of these. From the
-whole corpus the operator estimates how strongly a word reveals an entity: with N word occurrences outside base spans, n(t)
-of term t, n(e) of words in texts that hold entity e and n(e, t) of t in these, p(e) = n(e) / N and
+whole corpus the operator estimates how strongly a word reveals an entity. In a text d that holds entities, term t weighs
 
-    p(e | t) = (n(e, t) + PRIOR p(e)) / (n(t) + PRIOR),
+    w(d, t) = tf(d, t) (1 - x(d)) + BESIDE b(d, t),
+
+with b 1 if t stands within REACH words of a base span and x(d) the share of d's words that stand in no other text. So a
+name seen once beside an address counts, while a text in a language or of parts of which the corpus has nothing else isn't
+taken to reveal its one address by every word: where all words are new, a new word tells little. In a text without
+entities t weighs tf. With n(t) the weight of t in all texts, n(e, t) in those that hold entity e, p(e) the share of all word
+occurrences that stand in texts with e,
+
+    p(e | t) = n(e, t) / (n(t) + PRIOR),
 
 so that of the entity's information IC(e) = -log2 p(e) a term discloses PMI(e; t) = log2(p(e | t) / p(e)) bits and leaves
 
     IC(e) - PMI(e; t) = -log2 p(e | t).
 
-A term that leaves at most `generalise` bits of some entity is replaced by a class name, one that leaves at most `remove`
-bits is dropped, wherever it stands in any text. The thresholds are bits left, not shares PMI / IC: IC grows with the
+A term that discloses something of an entity (PMI > 0) and leaves at most `generalise` bits is replaced by a class name, one
+that leaves at most `remove` bits is dropped, wherever it stands in any text. The thresholds are bits left, not shares PMI / IC: IC grows with the
 corpus, so at a fixed share ever weaker terms would count, down to words that hardly ever stand near the entity. PRIOR
-occurrences at the corpus's own rate smooth the estimate, so few occurrences reveal less than many and no number of texts
-is asked for. DataFrame functions only.
+occurrences elsewhere are taken to be unseen, so few occurrences reveal less than many and no number of texts is asked for.
+DataFrame functions only.
+
+Work in a text is n log n in its length: places come from scans of lengths, never from arrays that grow one by one, pieces of
+a text are cut from short blocks, and terms are looked up by halving. Entities that stand in the same texts disclose alike and are
+one class, so a text's terms don't meet each of its addresses.
 """
 
 from __future__ import annotations
@@ -38,12 +49,21 @@ _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Occurrences at the corpus's own rate that are added to those of a term.
+#: Occurrences elsewhere that are added to those of a term.
 PRIOR = 2.0
+#: Weight of standing beside a base span, and how many words away that is.
+BESIDE, REACH = 2.0, 5
+#: Characters of the blocks that pieces of a text are cut from.
+BLOCK = 512
+#: Marks the first place of a blanked base span.
+_MARK = "\x01"
 #: Bits of an entity that a term may leave: at 1 the entity is as likely as not where the term stands.
 GENERALISE, REMOVE = 1.0, 0.42
 #: Bits of a sieve for each key, hash functions, and its largest size (16 MB).
 SIEVE_BITS, SIEVE_HASHES, SIEVE_MOST = 16, 2, 1 << 27
+#: Tasks that the copies of one text are dealt over.
+SALT = 16
+_HITS = "array<struct<term:string,kind:int>>"
 _SPAN = "array<struct<kind:int,s:int,e:int,value:string>>"
 
 
@@ -65,18 +85,60 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with value computed once: inside, it is a variable."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _scan(values: Column, op) -> Column:
+    """What op makes of each value and all before it, by doubling."""
+
+    def run(v):
+        strides = F.filter(F.array(*[F.lit(1 << k) for k in range(30)]), lambda k: k < F.size(v))
+        return F.aggregate(strides, v, lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= k, op(F.get(acc, i - k), x)).otherwise(x)))
+
+    return _let(values, run)
+
+
+def _sums(values: Column) -> Column:
+    return _scan(values, lambda a, b: a + b)
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _piece(blocks: Column, a: Column, b: Column) -> Column:
+    """The code points from a to b (exclusive) of a text in blocks; empty if there are none."""
+    first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+    joined = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.when(b > a, F.substring(joined, a - first * BLOCK + 1, b - a)).otherwise("")
+
+
+def _rewritten(text: Column, spans: Column, new) -> Column:
+    """text with each span replaced by new(span, place up to which the text is written before it); spans are sorted structs with s and e."""
+
+    def run(x):
+        ends = _scan(F.transform(x["spans"], lambda p: p["e"]), lambda a, b: F.greatest(a, b))
+
+        def write(y):
+            before = lambda i: F.coalesce(F.get(y["ends"], i - 1), F.lit(0))
+            parts = F.transform(y["spans"], lambda p, i: F.concat(_piece(y["blocks"], before(i), p["s"]), new(p, before(i))))
+            return F.concat(F.array_join(parts, ""), _piece(y["blocks"], before(F.size(y["ends"])), y["n"]))
+
+        return _let(F.struct(ends.alias("ends"), x["spans"].alias("spans"), x["blocks"].alias("blocks"), x["n"].alias("n")), write)
+
+    return _let(F.struct(spans.alias("spans"), _blocks(text).alias("blocks"), F.length(text).alias("n")), run)
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as (s, e, value), in code points. What stands between two matches is what split leaves."""
-    values, rests = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(rests, F.lit(1), F.size(values)), values, lambda r, v: F.struct(r.alias("r"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,value:string>>").alias("out"))
 
-    def step(acc, p):
-        s = acc["at"] + F.length(p["r"])
-        e = s + F.length(p["v"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), p["v"].alias("value")))).alias("out"))
+    def run(m):
+        lengths = F.zip_with(F.slice(m["rests"], F.lit(1), F.size(m["values"])), m["values"], lambda r, v: F.length(r) + F.length(v))
+        return F.zip_with(_sums(lengths), m["values"], lambda e, v: F.struct((e - F.length(v)).alias("s"), e.alias("e"), v.alias("value")))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("rests")), run)
 
 
 def _kept(matches: Column, kind: int) -> Column:
@@ -105,40 +167,51 @@ def _label(spans: Column, kinds=(*KINDS, "term", "removed")) -> Column:
 
 
 def _plain(text: Column, base: Column) -> Column:
-    """The text with its base spans blanked, so that places stay."""
+    """The text with its base spans blanked, so that places stay; a mark stands at the start of each."""
+    unmarked = F.translate(text, _MARK, " ")
     ordered = F.array_sort(F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc, x):
-        at = acc["at"]
-        gap = F.substring(text, at + 1, F.greatest(x["s"] - at, F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], at), F.lit(0)))
-        return F.struct(F.greatest(at, x["e"]).alias("at"), F.concat(acc["out"], F.array(gap, blank)).alias("out"))
+    def blank(x, at):
+        n = x["e"] - F.greatest(x["s"], at)
+        return F.when(n > 0, F.concat(F.lit(_MARK), F.repeat(F.lit(" "), n - 1))).otherwise("")
 
-    blanked = F.aggregate(ordered, start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), ""))
-    return F.when(F.size(base) > 0, blanked).otherwise(text)
+    return F.when(F.size(base) > 0, _rewritten(unmarked, ordered, blank)).otherwise(unmarked)
 
 
 def _terms(plain: Column) -> Column:
     return F.filter(F.split(F.lower(plain), _GAP), lambda t: t != "")
 
 
-def _places(plain: Column, general: Column, removed: Column) -> Column:
-    """Spans of the words of plain that are in one of the two arrays of terms, by start, in code points."""
-    words, gaps = F.regexp_extract_all(plain, F.lit(_WORD), F.lit(0)), F.split(plain, _WORD, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("w"), F.lower(w).alias("term")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+def _beside(plain: Column) -> Column:
+    """The distinct terms within REACH words of a base span of plain."""
+
+    def run(parts):
+        def near(p, i):
+            after, before = F.when(i > 0, F.slice(p, 1, REACH)), F.when(i < F.size(parts) - 1, F.slice(p, F.greatest(F.size(p) - REACH + 1, F.lit(1)), REACH))
+            return F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in (after, before)])
+
+        return F.array_distinct(F.flatten(F.transform(parts, near)))
+
+    return _let(F.transform(F.split(plain, _MARK, -1), _terms), run)
 
-    def step(acc, p):
-        s = acc["at"] + p["g"]
-        e = s + p["w"]
-        out = acc["out"]
-        for kind, terms in ((4, general), (5, removed)):
-            span = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), p["term"].alias("value"))
-            out = F.when(F.array_contains(terms, p["term"]), F.concat(acc["out"], F.array(span))).otherwise(out)
-        return F.struct(e.alias("at"), out.alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def _found(terms: Column, word: Column) -> Column:
+    """The place (from 0) of word in sorted terms, by halving, or null."""
+    strides = F.filter(F.array(*[F.lit(1 << k) for k in range(29, -1, -1)]), lambda k: k <= F.size(terms))
+    last = F.aggregate(strides, F.lit(0), lambda p, k: F.when((p + k <= F.size(terms)) & (F.get(terms, p + k - 1) <= word), p + k).otherwise(p))
+    return _let(last, lambda p: F.when(F.get(terms, p - 1) == word, p - 1))
+
+
+def _places(plain: Column, hits: Column) -> Column:
+    """Spans of the words of plain that are in hits, an array of (term, kind) in order of term; by start, in code points."""
+
+    def run(m):
+        lengths = F.zip_with(F.slice(m["gaps"], F.lit(1), F.size(m["words"])), m["words"], lambda g, w: F.length(g) + F.length(w))
+        kind = lambda w: F.get(m["kinds"], _found(m["terms"], w))
+        spans = F.zip_with(_sums(lengths), m["words"], lambda e, w: F.struct(kind(F.lower(w)).alias("kind"), (e - F.length(w)).alias("s"), e.alias("e"), F.lower(w).alias("value")))
+        return F.filter(spans, lambda x: x["kind"].isNotNull())
+
+    return _let(F.struct(F.regexp_extract_all(plain, F.lit(_WORD), F.lit(0)).alias("words"), F.split(plain, _WORD, -1).alias("gaps"), F.transform(hits, lambda h: h["term"]).alias("terms"), F.transform(hits, lambda h: h["kind"]).alias("kinds")), run)
 
 
 def _with_plain(docs: DataFrame) -> DataFrame:
@@ -148,35 +221,57 @@ def _with_plain(docs: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, prior: float = PRIOR, least: float = GENERALISE, paths: list[str] | None = None) -> DataFrame:
-    """(entity, term, left) of all pairs that leave `least` bits at most.
+    """(entity, term, left) of pairs that leave `least` bits at most.
 
-    docs has text. Counts weigh each row of docs, repeated ones too. A pair is made only if the counts of its term and
-    entity allow that: a text's entities are filtered for each of its terms before they become rows. The
-    sums are cut into the shared folder, at paths that are added to paths.
+    docs has text. Counts weigh each row of docs, repeated ones too. Entities that stand in the same texts are named by
+    the smallest. A term that stands in one text with entities only is paired with the rarest of these, of which it
+    discloses most. The sums are cut into the shared folder, at paths that are added to paths.
     """
     rows = _with_plain(docs)
     vocabulary = rows.select(F.explode(_terms(F.col("plain"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     vocabulary = cut(vocabulary, "pii-vocabulary", paths)
-    n = F.lit(float(vocabulary.agg(F.sum("n_t")).first()[0] or 0))
+    n = float(vocabulary.agg(F.sum("n_t")).first()[0] or 0)
     entity = lambda b: F.concat(b["kind"].cast("string"), F.lit(":"), b["value"])
     texts = rows.where("size(base) > 0").select(_text_id().alias("text_id"), F.array_distinct(F.transform("base", entity)).alias("entities"), "plain")
     texts = texts.groupBy("text_id").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("plain").alias("plain"))
-    texts = cut(texts, "pii-texts", paths)
-    holds = texts.select("text_id", F.explode("entities").alias("entity"), (F.size(_terms(F.col("plain"))) * F.col("copies")).alias("n"))
-    entities = holds.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where((F.col("n_e") > 0) & (F.col("n_e") < n))
+    texts = cut(texts.select("text_id", "copies", "entities", _terms(F.col("plain")).alias("terms"), _beside(F.col("plain")).alias("beside")), "pii-texts", paths)
+
+    # entities by the texts that hold them
+    holds = texts.select("text_id", F.explode("entities").alias("entity"), (F.size("terms") * F.col("copies")).alias("n"))
+    same = ["texts", "a", "b"]
+    entities = holds.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts"), F.bit_xor("text_id.a").alias("a"), F.bit_xor("text_id.b").alias("b")).where((F.col("n_e") > 0) & (F.col("n_e") < n))
+    entities = cut(entities.withColumn("p_e", F.col("n_e") / n), "pii-entities", paths)
     held = holds.select("text_id", "entity").join(entities, "entity")
-    held = held.groupBy("text_id").agg(F.collect_list(F.struct("entity", (F.col("n_e") / n).alias("p_e"), "n_e", "texts")).alias("held"))
-    words = texts.select("text_id", "copies", F.explode(_terms(F.col("plain"))).alias("term"))
-    words = words.groupBy("text_id", "term").agg(F.sum("copies").alias("n_et")).join(vocabulary, "term").join(held, "text_id")
+    held = held.groupBy("text_id").agg(F.sort_array(F.collect_set(F.struct("p_e", *same))).alias("held"))
+
+    # each term of a text with entities: its occurrences, and whether it stands beside one
+    terms = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("near"))), F.transform("beside", lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("near"))))
+    words = texts.select("text_id", "copies", F.explode(terms).alias("t")).select("text_id", "copies", "t.*").groupBy("text_id", "copies", "term").agg(F.sum("tf").alias("tf"), F.sum("near").alias("near"))
+    words = cut(words, "pii-words", paths)
+    inside = words.groupBy("term").agg(F.sum(F.col("copies") * F.col("tf")).alias("m"), F.sum(F.col("copies") * F.col("near")).alias("beside"), F.count("*").alias("texts"), F.first("text_id").alias("own"))
+    inside = cut(inside.join(vocabulary, "term").withColumn("outside", F.col("n_t") - F.col("m")), "pii-inside", paths)
+    new = inside.where("texts = 1 AND outside = 0").groupBy(F.col("own").alias("text_id")).agg(F.sum("m").alias("new"))
+    share = texts.select("text_id", (F.size("terms") * F.col("copies")).alias("all")).join(new, "text_id", "left")
+    share = share.select("text_id", (1 - F.coalesce("new", F.lit(0)) / F.greatest("all", F.lit(1))).alias("known"))
+
+    # terms that could disclose any entity if all their weight inside were one entity's
+    most = F.col("m") + BESIDE * F.col("beside")
+    likely = inside.where(most >= (F.col("outside") + most + prior) * 2.0**-least * (1 - 1e-9)).select("term", "outside")
+    weight = F.col("copies") * (F.col("tf") * F.col("known") + BESIDE * F.col("near"))
+    words = words.join(likely, "term").join(share, "text_id").select("text_id", "term", "outside", weight.alias("w"))
+    sums = words.groupBy("term").agg(F.sum("w").alias("w_t"), F.count("*").alias("k"))
+    words = words.join(sums, "term").withColumn("n_t", F.col("outside") + F.col("w_t")).join(held, "text_id")
 
     def within_reach(e):
-        most = F.when(e["texts"] == 1, F.col("n_et")).otherwise(F.least(e["n_e"], F.col("n_t")))
-        return most + prior * e["p_e"] >= (F.col("n_t") + prior) * 2.0**-least * (1 - 1e-9)
+        most = F.when(e["texts"] == 1, F.col("w")).otherwise(F.col("w_t")) / (F.col("n_t") + prior) * (1 + 1e-9)
+        return (most >= 2.0**-least) & (most > e["p_e"])
 
-    pairs = words.select("term", "n_t", "n_et", F.explode(F.filter("held", within_reach)).alias("e"))
-    pairs = pairs.groupBy("e.entity", "term").agg(F.sum("n_et").alias("n_et"), F.first("n_t").alias("n_t"), F.first("e.p_e").alias("p_e"))
-    left = -F.log2((F.col("n_et") + prior * F.col("p_e")) / (F.col("n_t") + prior))
-    return pairs.select("entity", "term", left.alias("left")).where(F.col("left") <= least)
+    own = F.when(F.col("k") == 1, F.slice("held", 1, 1)).otherwise(F.col("held"))
+    pairs = words.select("term", "n_t", "w", F.explode(F.filter(own, within_reach)).alias("e"))
+    pairs = pairs.groupBy(*[f"e.{c}" for c in same], "term").agg(F.sum("w").alias("n_et"), F.first("n_t").alias("n_t"), F.first("e.p_e").alias("p_e"))
+    share = F.col("n_et") / (F.col("n_t") + prior)
+    names = entities.groupBy(*same).agg(F.min("entity").alias("entity"))
+    return pairs.where((share > F.col("p_e")) & (share > 0)).withColumn("left", -F.log2(share)).where(F.col("left") <= least).join(names, same).select("entity", "term", "left")
 
 
 def _sieve(rows: DataFrame, column: str, keys: DataFrame, n: int) -> DataFrame:
@@ -200,31 +295,29 @@ def _text_id() -> Column:
 
 
 def term_lists(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(text_hash, general, removed): the disclosing terms of the texts that have some, by the 64-bit hash of the text. Texts of one hash share a list of the terms of either, which changes neither: a term is disclosing in every text."""
+    """(text_hash, hits): the disclosing terms, with their kinds, of the texts that have some, by the 64-bit hash of the text. Texts of one hash share a list of the terms of either, which changes neither: a term is disclosing in every text."""
     paths: list[str] = []
     left = disclosures(docs, prior, generalise, paths).groupBy("term").agg(F.min("left").alias("left"))
     hits = cut(left.select("term", F.when(F.col("left") <= remove, 5).otherwise(4).alias("kind")), "pii-terms", paths)
     n = hits.count()
     rows = _with_plain(docs).select(F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(_terms(F.col("plain")))).alias("term"))
     found = _sieve(rows, "term", hits, n).where("_may").drop("_may").join(F.broadcast(hits) if n <= BROADCAST_ROWS else hits, "term")
-    lists = [F.collect_set(F.when(F.col("kind") == kind, F.col("term"))).alias(name) for kind, name in ((4, "general"), (5, "removed"))]
-    out = cut(found.groupBy("text_hash").agg(*lists), "pii-lists")
+    out = cut(found.groupBy("text_hash").agg(F.sort_array(F.collect_set(F.struct("term", "kind"))).alias("hits")), "pii-lists")
     remove_paths(docs.sparkSession, paths)
     return out
 
 
 def with_spans(docs: DataFrame, **thresholds) -> DataFrame:
-    """(row, base, terms) of every row of docs, which is a struct in row: base spans and those of disclosing terms. Only texts that may hold such terms are shuffled."""
+    """(row, base, terms) of every row of docs, which is a struct in row: base spans and those of disclosing terms. Only texts that may hold such terms are shuffled; copies of one text are dealt over SALT tasks."""
     lists = term_lists(docs.select("text"), **thresholds)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("text_hash"))
     rows = _sieve(rows, "text_hash", lists, lists.count())
-    none = F.array().cast("array<string>")
-    clean = rows.where(~F.col("_may")).withColumns({"general": none, "removed": none})
-    rest = rows.where("_may").join(lists, "text_hash", "left").withColumns({c: F.coalesce(c, none) for c in ("general", "removed")})
-    columns, text = ("row", "general", "removed"), F.col("row.text")
-    found = clean.select(*columns).union(rest.select(*columns)).withColumn("base", base_spans(text))
-    some = F.size("general") + F.size("removed") > 0
-    terms = F.when(some, _places(_plain(text, F.col("base")), F.col("general"), F.col("removed")))
+    clean = rows.where(~F.col("_may")).withColumn("hits", F.array().cast(_HITS))
+    dealt = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rest = rows.where("_may").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")).join(dealt, ["text_hash", "_salt"], "left")
+    rest = rest.withColumn("hits", F.coalesce("hits", F.array().cast(_HITS)))
+    found = clean.select("row", "hits").union(rest.select("row", "hits")).withColumn("base", base_spans(F.col("row.text")))
+    terms = F.when(F.size("hits") > 0, _places(_plain(F.col("row.text"), F.col("base")), F.col("hits")))
     return found.select("row", "base", F.coalesce(terms, F.array().cast(_SPAN)).alias("terms"))
 
 
@@ -245,20 +338,11 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     rows = with_spans(docs, **thresholds)
     text, spans = F.col("row.text"), F.concat("base", "terms")
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
+    ordered = F.transform(ordered, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind")))
     masks = F.array(*[F.lit(f"<{k.upper()}>") for k in (*KINDS, "term")], F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, x):
-        end, at = -x["e"], acc["at"]
-        gap = F.substring(text, at + 1, F.greatest(x["s"] - at, F.lit(0)))
-        new = F.when(x["s"] >= at, F.concat(acc["out"], F.array(gap, F.element_at(masks, x["kind"] + 1)))).otherwise(acc["out"])
-        return F.struct(F.greatest(at, end).alias("at"), new.alias("out"))
-
-    def close(acc):
-        return F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "")
-
+    new = _rewritten(text, ordered, lambda x, at: F.when(x["s"] >= at, F.element_at(masks, x["kind"] + 1)).otherwise(""))
     hit = F.size("base") + F.size("terms") > 0
-    rows = rows.select("row", F.when(hit, F.aggregate(ordered, start, step, close)).otherwise(text).alias("new"), hit.alias("hit"))
+    rows = rows.select("row", F.when(hit, new).otherwise(text).alias("new"), hit.alias("hit"))
     own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("new")}
     if "n_chars" in own:
         own["n_chars"] = F.when(F.col("hit"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -89,18 +90,37 @@ def _plain(text):
 def _masked(texts):
     """The texts sanitised by the definition: terms of the module docstring, overlapping spans under the name of the first."""
     words = [re.findall("[0-9A-Za-z\x80-\U0010ffff]+", _plain(t)) for t in texts]
+    lists = [[x.lower() for x in w] for w in words]
+    own = [{(x.split(":")[0], t[int(x.split(":")[1]) : int(x.split(":")[2])].lower()) for x in base(t)} for t in texts]
+    in_texts = defaultdict(set)
+    for t, w in zip(texts, lists, strict=True):
+        for x in w:
+            in_texts[x].add(t)
     n_t, n_e, n_et = Counter(), Counter(), Counter()
-    for t, w in zip(texts, words, strict=True):
-        own = {(x.split(":")[0], t[int(x.split(":")[1]) : int(x.split(":")[2])].lower()) for x in base(t)}
-        n_t.update(x.lower() for x in w)
-        for e in own:
+    for t, w, es in zip(texts, lists, own, strict=True):
+        weight = Counter(w)
+        if es:
+            new = sum(len(in_texts[x]) == 1 for x in w) / max(1, len(w))
+            near = set()
+            for a, b in ((int(x.split(":")[1]), int(x.split(":")[2])) for x in base(t)):
+                cut = _plain(t)
+                marked = "".join("\x01" if any(int(s.split(":")[1]) <= i < int(s.split(":")[2]) for s in base(t)) else c for i, c in enumerate(t))
+                before, after = marked[:a].split("\x01")[-1], marked[b:].split("\x01")[0]
+                find = lambda p: [x.lower() for x in re.findall("[0-9A-Za-z\x80-\U0010ffff]+", p)]
+                near |= {*find(before)[-pii.REACH :], *find(after)[: pii.REACH]}
+                assert len(cut) == len(t)
+            weight = Counter({x: k * (1 - new) + pii.BESIDE * (x in near) for x, k in weight.items()})
+        for x, k in weight.items():
+            n_t[x] += k
+        for e in es:
             n_e[e] += len(w)
-            n_et.update((e, x.lower()) for x in w)
-    n, left = sum(n_t.values()), defaultdict(lambda: math.inf)
+            for x, k in weight.items():
+                n_et[e, x] += k
+    n, left = sum(map(len, lists)), defaultdict(lambda: math.inf)
     for (e, x), both in n_et.items():
-        p = n_e[e] / n
-        if 0 < p < 1:
-            left[x] = min(left[x], -math.log2((both + pii.PRIOR * p) / (n_t[x] + pii.PRIOR)))
+        share = both / (n_t[x] + pii.PRIOR)
+        if 0 < n_e[e] / n < min(1, share):
+            left[x] = min(left[x], -math.log2(share))
     out = []
     for t in texts:
         plain = _plain(t)
@@ -139,6 +159,23 @@ def test_pii_sanitises_as_the_definition_says(spark):
     assert pii.sanitise(docs.limit(0)).count() == 0 and pii.find(docs.limit(0)).count() == 0
 
 
+def test_pii_of_very_long_texts(spark):
+    many = " ".join(f"user{i}@host{i % 977}.org" for i in range(50_000))
+    strange = " ".join(f"q{i % 24_000}z" for i in range(100_000)) + " lone@x.org " + " ".join(f"q{i % 24_000}z" for i in range(100_000))
+    docs = spark.createDataFrame([(1, many), (2, strange), (3, "plain words here " * 150_000), (4, "Xanthippe Quuxley wrote from a@b.org")], "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert got[1].n_email == 50_000 and got[1].base_sha256 == hashlib.sha256(",".join(base(many)).encode()).hexdigest()
+    assert got[3].n_term == 0
+    # all words of text 2 are new to the corpus, so newness tells nothing: only what stands beside the address goes
+    assert got[2].n_email == 1 and 0 < got[2].n_term <= 10 * 10
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[1] == " ".join(["<EMAIL>"] * 50_000)
+    assert "lone@x.org" not in clean[2] and clean[2].count("<TERM>") == got[2].n_term
+    assert "Xanthippe" not in clean[4] and "Quuxley" not in clean[4] and "a@b.org" not in clean[4]
+    assert time.monotonic() - began < 120
+
+
 def test_pii_terms_by_both_joins(spark, monkeypatch):
     texts = [f"zorb{i} wrote jo{i}@x.org of zorb{i} zorb{i} zorb{i} {'plain words ' * 20}" for i in range(60)] + [f"zorb{i} alone" for i in range(60)] + ["plain words"] * 50
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
