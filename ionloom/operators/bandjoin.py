@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .peaks import let
+
 
 def _bucket_join(left: DataFrame, right: DataFrame, lo: Column, hi: Column, value: str, bucket, on: list[str], how: str) -> DataFrame:
     """Rows of left (with bounds lo, hi) and right whose value lies within, both ends included."""
@@ -107,3 +109,52 @@ def block_join(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str,
     left = queries.withColumn("_q", block(query_id, n)).withColumn("_r", every(m))
     right = rows.withColumn("_r", block(row_id, m)).withColumn("_q", every(n))
     return left.join(right, ["_q", "_r"]).drop("_q", "_r")
+
+
+def _range_of(bounds: list[float], value: Column) -> Column:
+    """The number of bounds (ascending) at or below value, by halving; null for a null."""
+    strides = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
+
+    def search(at: Column) -> Column:
+        step = lambda n, k: F.when((n + k <= F.size(at)) & (F.get(at, n + k - 1) <= value), n + k).otherwise(n)
+        return F.aggregate(strides, F.lit(0), step)
+
+    found = let(F.array(*[F.lit(float(b)) for b in bounds]), search) if bounds else F.lit(0)
+    return F.when(value.isNotNull(), found)
+
+
+def dealt(left: DataFrame, right: DataFrame, lo: Column, hi: Column, value: str, left_key: str, right_key: str, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """left with _lo, _hi and right, both with the cell (_r, _x, _y) in which they meet: _r is a range of values of about equal many rows of right, and a
+    range with more than its share of either side is a grid of blocks, rows dealt to them by a hash of their keys. Each pair that may match meets in exactly one cell."""
+    right = right.where(F.col(value).isNotNull())
+    probabilities = [i / ranges for i in range(1, ranges)]
+    # a sketch of the values, whatever their number; it steers the work, not the result
+    bounds = sorted(set(right.approxQuantile(value, probabilities, 0.25 / ranges))) if ranges > 1 else []
+    right = right.withColumn("_r", _range_of(bounds, F.col(value)))
+    left = left.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
+    left = left.withColumn("_r", F.explode(F.sequence(_range_of(bounds, F.col("_lo")), _range_of(bounds, F.col("_hi")))))
+    # rows of each range: ranges are few, so this is a small table
+    sizes = left.groupBy("_r").agg(F.count("*").alias("_nl")).join(right.groupBy("_r").agg(F.count("*").alias("_nr")), "_r")
+    total = sizes.agg(F.sum("_nl").alias("l"), F.sum("_nr").alias("r")).first()
+    blocks = lambda n, every: F.greatest(F.lit(1), F.ceil(F.col(n) * ranges / (2.0 * max(1, every or 0)))).cast("int")
+    grid = F.broadcast(sizes.select("_r", blocks("_nl", total["l"]).alias("_ml"), blocks("_nr", total["r"]).alias("_mr")))
+    own = lambda key, m: F.pmod(F.xxhash64(key), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    left = left.join(grid, "_r").withColumn("_x", own(left_key, "_ml")).withColumn("_y", every("_mr")).drop("_ml", "_mr")
+    right = right.join(grid, "_r").withColumn("_y", own(right_key, "_mr")).withColumn("_x", every("_ml")).drop("_ml", "_mr")
+    return left, right
+
+
+def ranged_join(left: DataFrame, right: DataFrame, lo: Column, hi: Column, value: str, left_key: str, right_key: str, ranges: int | None = None, on: list[str] | None = None) -> DataFrame:
+    """Pairs with lo <= value <= hi, as bounds_join, for values of any density: ranges follow the distribution of right's values, only rows of left whose band crosses a bound
+    are copied, and a value that many rows share is split by the rows' keys. Keys tell rows apart; a session's shuffle partitions times 8 ranges unless given."""
+    on = list(on or [])
+    ranges = ranges or 8 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.withColumnsRenamed({c: f"_l_{c}" for c in on})
+    a, b = dealt(left, right, lo, hi, value, left_key, right_key, ranges)
+    b = b.withColumnsRenamed({"_r": "_r2", "_x": "_x2", "_y": "_y2"})
+    cond = (F.col("_r") == F.col("_r2")) & (F.col("_x") == F.col("_x2")) & (F.col("_y") == F.col("_y2"))
+    for c in on:
+        cond = cond & (F.col(f"_l_{c}") == F.col(c))
+    cond = cond & (b[value] >= a["_lo"]) & (b[value] <= a["_hi"])
+    return a.join(b, cond).drop("_r", "_x", "_y", "_r2", "_x2", "_y2", "_lo", "_hi", *[f"_l_{c}" for c in on])
