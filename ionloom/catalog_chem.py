@@ -1,115 +1,120 @@
-"""Registered queries over structures, formulas and isotope evidence. No table of the driver holds structures, so a small one stands here; the SQL states what they are known to give."""
+"""Registered queries over structures, formulas and isotope evidence.
+
+No table of the driver holds structures, so each part is one: a chain of 1 + p_size % 8 carbons with one of eight ends (by p_partkey), of which the
+last can't be read. That gives 64 structures at most; what needs a graph is computed once for each and joined to the parts. Their formulas,
+groups, pieces and masses follow by rule, which is what the SQL states.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _arrays, _spectra, _t, query
+from .catalog import _SQL_PEAKS, _arrays, _spectra, _t, query
 from .functions import chem, isomers, isotopes
 from .operators import peaks, similarity
 
-#: SMILES with formula, functional groups and the number of atoms; the last can't be read.
-STRUCTURES = [
-    ("CCO", "C2H6O", ["hydroxyl"]),
-    ("OCC", "C2H6O", ["hydroxyl"]),
-    ("CC(=O)C", "C3H6O", ["carbonyl"]),
-    ("Cc1ccccc1O", "C7H8O", ["hydroxyl"]),
-    ("CN1C=NC2=C1C(=O)N(C(=O)N2C)C", "C8H10N4O2", ["carbonyl"]),
-    ("OC(=O)c1ccc(Cl)cc1", "C7H5ClO2", ["carbonyl", "carboxyl", "hydroxyl"]),
-    ("c1ccc2c(c1)cc[nH]2", "C8H7N", []),
-    ("CCCc1ccccc1", "C9H12", []),
-    ("c1ccccc1-c1ccccc1", "C12H10", []),
-    ("CC(=O)Oc1ccccc1C(=O)O", "C9H8O4", ["carbonyl", "carboxyl", "hydroxyl"]),
-    ("NCC(=O)O", "C2H5NO2", ["amine", "carbonyl", "carboxyl", "hydroxyl"]),
-    ("COc1ccccc1", "C7H8O", ["methoxy"]),
-    ("C(", None, None),
+#: Ends of the chain of n carbons: SMILES, the same structure written from that end, element counts in n, and functional groups.
+ENDS = [
+    ("O", "O{}", {"C": "n", "H": "2 * n + 2", "O": "1"}, "hydroxyl"),
+    ("N", "N{}", {"C": "n", "H": "2 * n + 3", "N": "1"}, "amine"),
+    ("C(=O)O", "OC(=O){}", {"C": "n + 1", "H": "2 * n + 2", "O": "2"}, "carbonyl,carboxyl,hydroxyl"),
+    ("Cl", "Cl{}", {"C": "n", "H": "2 * n + 1", "Cl": "1"}, ""),
+    ("c1ccccc1", "c1ccccc1{}", {"C": "n + 6", "H": "2 * n + 6"}, ""),
+    ("OC", "CO{}", {"C": "n + 1", "H": "2 * n + 4", "O": "1"}, "methoxy"),
+    ("C(=O)C", "CC(=O){}", {"C": "n + 2", "H": "2 * n + 4", "O": "1"}, "carbonyl"),
+    ("C(", "C(", None, None),
 ]
 _COUNTS = ("C", "H", "N", "O", "Cl")
 
 
-def _structures(spark):
-    return spark.createDataFrame([(s,) for s, _, _ in STRUCTURES], "smiles string")
-
-
-def _text(value) -> str:
-    return "NULL" if value is None else f"'{value}'"
+def _structures(spark, d):
+    """(sid, n, g, smiles, other): a part's structure, written from either end."""
+    end = lambda at: F.element_at(F.array(*[F.lit(e[at]) for e in ENDS]), (F.col("sid") % 8 + 1).cast("int"))
+    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("sid"), (1 + F.col("p_size") % 8).alias("n"), (F.col("p_partkey") % 8).cast("int").alias("g"))
+    chain = F.repeat(F.lit("C"), F.col("n"))
+    return rows.withColumns({"smiles": F.concat(chain, end(0)), "other": F.replace(end(1), F.lit("{}"), chain)})
 
 
-_SQL_STRUCTURES = "st AS (SELECT * FROM (VALUES " + ", ".join(f"({_text(s)}, {_text(f)}, {_text(None if g is None else ','.join(g))})" for s, f, g in STRUCTURES) + ") AS t(smiles, formula, groups))"
+def _once(rows, *columns):
+    """What needs a graph, once for each of the 64 structures at most, joined to the parts."""
+    made = rows.select("smiles", "other").distinct().select("smiles", *columns)
+    return rows.join(F.broadcast(made), "smiles")
 
 
-def _sql_count(element: str) -> str:
-    return f"coalesce(CASE regexp_extract(formula || ' ', '{element}([0-9]*)[^a-z0-9]', 1) WHEN '' THEN CASE WHEN regexp_matches(formula || ' ', '{element}[^a-z0-9]') THEN 1 ELSE 0 END ELSE CAST(regexp_extract(formula || ' ', '{element}([0-9]*)[^a-z0-9]', 1) AS INTEGER) END, 0)"
+def _end(at) -> str:
+    return "CASE g " + " ".join(f"WHEN {i} THEN {at(e)}" for i, e in enumerate(ENDS) if e[2] is not None) + " END"
 
 
+_SQL_STRUCTURES = f"""pt AS (SELECT p_partkey AS sid, 1 + p_size % 8 AS n, CAST(p_partkey % 8 AS INTEGER) AS g FROM part),
+ ct AS (SELECT *, repeat('C', CAST(n AS INTEGER)) || ['{"', '".join(e[0] for e in ENDS)}'][g + 1] AS smiles, {", ".join(f"{_end(lambda e, x=x: e[2].get(x, '0'))} AS n_{x.lower()}" for x in _COUNTS)}, {_end(lambda e: f"'{e[3]}'")} AS groups FROM pt),
+ st AS (SELECT *, CASE WHEN g < 7 THEN {" || ".join(f"CASE n_{x.lower()} WHEN 0 THEN '' WHEN 1 THEN '{x}' ELSE '{x}' || n_{x.lower()} END" for x in ("C", "H", "Cl", "N", "O"))} END AS formula FROM ct)"""
 _SQL_MASS = " + ".join(f"{chem.MASS[e]} * n_{e.lower()}" for e in _COUNTS)
 
 
-@query(f"""WITH {_SQL_STRUCTURES}, c AS (SELECT smiles, formula, groups, {", ".join(f"{_sql_count(e)} AS n_{e.lower()}" for e in _COUNTS)} FROM st)
- SELECT smiles, formula, groups, {", ".join(f"CAST(n_{e.lower()} AS INTEGER) AS n_{e.lower()}" for e in _COUNTS)}, round(CASE WHEN formula IS NOT NULL THEN {_SQL_MASS} END, 4) AS mass FROM c""")
+@query(f"""WITH {_SQL_STRUCTURES} SELECT sid, smiles, formula, groups, {", ".join(f"CAST(coalesce(n_{e.lower()}, 0) AS INTEGER) AS n_{e.lower()}" for e in _COUNTS)}, round(CAST(CASE WHEN formula IS NOT NULL THEN {_SQL_MASS} END AS DOUBLE), 4) AS mass FROM st""")
 def structure_formulas(spark, d):
     """Formula, element counts, exact mass and functional groups of structures."""
-    rows = _structures(spark).select("smiles", chem.smiles_formula("smiles").alias("f"), F.array_join(isomers.functional_groups("smiles"), ",").alias("groups"))
+    rows = _once(_structures(spark, d), chem.smiles_formula("smiles").alias("f"), F.array_join(isomers.functional_groups("smiles"), ",").alias("groups"))
     formula = F.col("f.formula")
     mass = F.when(formula.isNotNull() & (F.abs(F.col("f.mass") - chem.formula_mass(formula)) < 1e-6), F.col("f.mass"))
-    return rows.select("smiles", formula.alias("formula"), "groups", *[chem.element_count(formula, e).alias(f"n_{e.lower()}") for e in _COUNTS], F.round(mass, 4).alias("mass"))
+    return rows.select("sid", "smiles", formula.alias("formula"), "groups", *[chem.element_count(formula, e).alias(f"n_{e.lower()}") for e in _COUNTS], F.round(mass, 4).alias("mass"))
 
 
-@query(f"WITH {_SQL_STRUCTURES} SELECT a.smiles AS a, b.smiles AS b, a.smiles IN ('CCO', 'OCC') AND b.smiles IN ('CCO', 'OCC') AS same_key, a.smiles IN ('CCO', 'OCC') AND b.smiles IN ('CCO', 'OCC') AS same_bits FROM st a JOIN st b ON a.smiles < b.smiles WHERE a.formula IS NOT NULL AND b.formula IS NOT NULL")
+@query(f"WITH {_SQL_STRUCTURES} SELECT sid, TRUE AS same_key, TRUE AS same_bits, CAST(0 AS BIGINT) AS others FROM st WHERE g < 7")
 def structure_identity(spark, d):
-    """Graph keys and circular fingerprints tell all structures apart but those written in two ways."""
-    rows = _structures(spark).select("smiles", isomers.graph_key("smiles").alias("key"), isomers.fingerprint("smiles").alias("bits")).where("key is not null")
-    other = rows.toDF("b", "kb", "bb")
-    return rows.join(F.broadcast(other), F.col("smiles") < F.col("b")).select(F.col("smiles").alias("a"), "b", (F.col("key") == F.col("kb")).alias("same_key"), (F.col("bits") == F.col("bb")).alias("same_bits"))
+    """Graph keys and circular fingerprints don't depend on the way a structure is written, and no two structures share a key."""
+    keys = [isomers.graph_key("smiles").alias("key"), isomers.graph_key("other").alias("key2"), isomers.fingerprint("smiles").alias("bits"), isomers.fingerprint("other").alias("bits2")]
+    rows = _once(_structures(spark, d), *keys).where("key is not null")
+    sharing = rows.select("smiles", "key").distinct().groupBy("key").agg((F.count("*") - 1).alias("others"))
+    return rows.join(F.broadcast(sharing), "key").select("sid", (F.col("key") == F.col("key2")).alias("same_key"), (F.col("bits") == F.col("bits2")).alias("same_bits"), "others")
 
 
-#: Chains of atoms with their hydrogens: every piece of at most two cuts is a run of atoms.
-CHAINS = {"CCO": [("C", 3), ("C", 2), ("O", 1)], "CCCN": [("C", 3), ("C", 2), ("C", 2), ("N", 2)], "CO": [("C", 3), ("O", 1)], "CCOC": [("C", 3), ("C", 2), ("O", 0), ("C", 3)]}
-_SQL_CHAINS = "ch AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', [{', '.join(repr(chem.MASS[e] + h * chem.MASS['H']) for e, h in atoms)}])" for s, atoms in CHAINS.items()) + ") AS t(smiles, w))"
+#: Ends that are atoms of the chain, with their hydrogens: every piece of at most two cuts is a run of atoms.
+_CHAIN_ENDS = {0: [("O", 1)], 1: [("N", 2)], 5: [("O", 0), ("C", 3)]}
+_weight = lambda e, h: chem.MASS[e] + h * chem.MASS["H"]
+_SQL_CHAINS = f"""{_SQL_STRUCTURES}, ch AS (SELECT DISTINCT smiles, list_concat(list_concat([CAST({_weight("C", 3)!r} AS DOUBLE)], [CAST({_weight("C", 2)!r} AS DOUBLE) FOR i IN range(n - 1)]), CASE g {" ".join(f"WHEN {g} THEN [{', '.join(f'CAST({_weight(e, h)!r} AS DOUBLE)' for e, h in atoms)}]" for g, atoms in _CHAIN_ENDS.items())} END) AS w FROM st WHERE g IN (0, 1, 5)),
+ ci AS (SELECT smiles, w, unnest(range(1, len(w) + 1)) AS i FROM ch), cj AS (SELECT smiles, w, i, unnest(range(i, len(w) + 1)) AS j FROM ci), cr AS (SELECT smiles, list_sum(list_slice(w, i, j)) AS mass, CAST(i > 1 AS INTEGER) + CAST(j < len(w) AS INTEGER) AS level FROM cj)"""
 
 
-@query(f"""WITH {_SQL_CHAINS}, i AS (SELECT smiles, w, unnest(range(1, len(w) + 1)) AS i FROM ch), r AS (SELECT smiles, w, i, unnest(range(i, len(w) + 1)) AS j FROM i)
- SELECT smiles, round(list_sum(list_slice(w, i, j)), 2) AS mass, CAST(min(CAST(i > 1 AS INTEGER) + CAST(j < len(w) AS INTEGER)) AS INTEGER) AS level, TRUE AS within_two FROM r GROUP BY smiles, mass""")
+@query(f"""WITH {_SQL_CHAINS}, x AS (SELECT smiles, round(mass, 2) AS mass, CAST(min(level) AS INTEGER) AS level FROM cr GROUP BY smiles, round(mass, 2)) SELECT sid, x.mass, x.level, TRUE AS within_two FROM st JOIN x USING (smiles)""")
 def structure_fragments(spark, d):
     """Masses of the pieces of chains and the bonds broken for each."""
-    rows = spark.createDataFrame([(s,) for s in CHAINS], "smiles string").select("smiles", isomers.fragment_levels("smiles").alias("levels"), chem.fragment_masses("smiles").alias("two"))
-    rows = rows.select("smiles", "two", F.explode("levels").alias("x"))
-    return rows.groupBy("smiles", F.round("x.mass", 2).alias("mass")).agg(F.min("x.level").alias("level"), F.bool_or(F.array_contains("two", F.col("x.mass"))).alias("within_two"))
-
-
-#: Peaks of a spectrum: pieces of the first chain as protonated ions, and one that is none. Levels 0, 1 and 2 weigh 1, 0.8 and 0.5.
-_ION = [(46.04186 + chem.PROTON, 1.0), (31.01839 + chem.PROTON, 0.49), (14.01565 + chem.PROTON, 0.25), (60.0, 0.16)]
+    rows = _once(_structures(spark, d).where(F.col("g").isin(*_CHAIN_ENDS)), isomers.fragment_levels("smiles").alias("levels"), chem.fragment_masses("smiles").alias("two"))
+    rows = rows.select("sid", "two", F.explode("levels").alias("x"))
+    return rows.groupBy("sid", F.round("x.mass", 2).alias("mass")).agg(F.min("x.level").alias("level"), F.bool_or(F.array_contains("two", F.col("x.mass"))).alias("within_two"))
 
 
-@query("""WITH e AS (SELECT (1.0 * sqrt(1.0) + 0.8 * sqrt(0.49) + 0.5 * sqrt(0.25)) / (sqrt(1.0) + sqrt(0.49) + sqrt(0.25) + sqrt(0.16)) AS s)
- SELECT smiles, CASE smiles WHEN 'CCO' THEN round(s, 5) WHEN 'OCC' THEN round(s, 5) END AS score FROM e, (VALUES ('CCO'), ('OCC'), ('C(')) AS t(smiles)""")
+@query(f"""WITH {_SQL_PEAKS}, {_SQL_CHAINS}, lv AS (SELECT smiles, mass, min(level) AS level FROM cr GROUP BY smiles, mass),
+ p AS (SELECT pk.sid, st.smiles, pk.it, coalesce(max(CASE level WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.5 END), 0) AS w FROM pk JOIN st ON st.sid = pk.sid AND g IN (0, 1, 5) LEFT JOIN lv ON lv.smiles = st.smiles AND abs(pk.mz - {chem.PROTON} - lv.mass) <= 5 GROUP BY pk.sid, st.smiles, pk.mz, pk.it)
+ SELECT sid, round(sum(sqrt(it) * w) / sum(sqrt(it)) + 1e-9, 5) AS score FROM p GROUP BY sid""")
 def fragment_scores(spark, d):
-    """Spectra explained by the levelled pieces of a structure; null for one that can't be read."""
-    rows = spark.createDataFrame([(s,) for s in ("CCO", "OCC", "C(")], "smiles string").withColumn("levels", isomers.fragment_levels("smiles"))
-    spectrum = F.array(*[F.struct(F.lit(mz).alias("mz"), F.lit(it).alias("it")) for mz, it in _ION])
+    """Spectra explained by the levelled pieces of their structures as protonated ions."""
+    rows = _once(_structures(spark, d).where(F.col("g").isin(*_CHAIN_ENDS)), isomers.fragment_levels("smiles").alias("levels"))
+    rows = rows.join(_arrays(spark, d), "sid")
     level = lambda n: F.transform(F.filter("levels", lambda x: x["level"] == n), lambda x: x["mass"])
-    score = similarity.explained_levels(spectrum, [(level(0), 1.0), (level(1), 0.8), (level(2), 0.5)], [chem.PROTON], 0.001)
-    return rows.select("smiles", F.round(score, 5).alias("score"))
+    score = similarity.explained_levels(F.col("peaks"), [(level(0), 1.0), (level(1), 0.8), (level(2), 0.5)], [chem.PROTON], 5.0)
+    return rows.select("sid", F.round(score + 1e-9, 5).alias("score"))
 
 
-#: Both sides of the acyclic single bonds that weigh 40 or more, and the whole.
-_SIDES = [("CCO", [46.042]), ("CCCN", [59.074, 43.055, 44.05]), ("CCCc1ccccc1", [120.094, 43.055, 77.039, 91.055, 105.07]), ("c1ccccc1", [])]
-
-
-@query("SELECT * FROM (VALUES ('CCO', TRUE), ('CCCN', TRUE), ('CCCc1ccccc1', TRUE), ('c1ccccc1', TRUE)) AS t(smiles, present)")
+@query(f"""WITH {_SQL_CHAINS}, s AS (SELECT DISTINCT smiles, round(mass, 2) AS mass FROM cr WHERE level <= 1 AND mass >= 40) SELECT sid, s.mass, TRUE AS present FROM st JOIN s USING (smiles)""")
 def simple_cleavages(spark, d):
-    """The sides of acyclic single bonds are among the listed masses."""
-    rows = spark.createDataFrame(_SIDES, "smiles string, known array<double>").withColumn("m", isomers.cleavage_masses("smiles"))
-    return rows.select("smiles", F.forall("known", lambda k: F.exists(F.col("m"), lambda x: F.abs(x - k) < 0.002)).alias("present"))
-
-
-@query(f"WITH {_SQL_STRUCTURES} SELECT smiles, formula, TRUE AS same_formula, TRUE AS new_keys, TRUE AS distinct_keys FROM st WHERE smiles IN ('CCCc1ccccc1', 'Cc1ccccc1O', 'CC(=O)C', 'COc1ccccc1')")
+    """Both sides of the single bonds of chains, from 40 on, and the whole."""
+    rows = _once(_structures(spark, d).where(F.col("g").isin(*_CHAIN_ENDS)), isomers.cleavage_masses("smiles").alias("m"))
+    tail = F.element_at(F.create_map(*[x for g, atoms in _CHAIN_ENDS.items() for x in (F.lit(g), F.array(*[F.lit(_weight(e, h)) for e, h in atoms]))]), F.col("g"))
+    rows = rows.withColumn("w", F.concat(F.array(F.lit(_weight("C", 3))), F.array_repeat(F.lit(_weight("C", 2)), F.col("n") - 1), tail))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    sides = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array(total(F.slice("w", F.lit(1), i)), total(F.slice("w", i, F.size("w"))))))
+    rows = rows.select("sid", "m", F.explode(sides).alias("side")).where("side >= 40")
+    found = F.exists("m", lambda x: F.abs(x - F.col("side")) < 0.002)
+    return rows.groupBy("sid", F.round("side", 2).alias("mass")).agg(F.bool_and(found).alias("present"))
+
+
+@query(f"WITH {_SQL_STRUCTURES} SELECT sid, formula, TRUE AS same_formula, TRUE AS new_keys, TRUE AS distinct_keys, g = 6 OR g = 4 AND n >= 3 OR g = 0 AND n >= 3 AS moved FROM st WHERE g IN (0, 4, 6)")
 def isomer_generator(spark, d):
-    """Isomers of a structure have its formula and new, distinct keys; only structures that have any are listed."""
-    rows = _structures(spark).where(F.col("smiles").isin("CCCc1ccccc1", "Cc1ccccc1O", "CC(=O)C", "COc1ccccc1"))
-    rows = rows.select("smiles", chem.smiles_formula("smiles")["formula"].alias("formula"), isomers.graph_key("smiles").alias("key"), isomers.isomer_lists(20)("smiles", F.array().cast("array<string>")).alias("made")).where("size(made) > 0")
+    """Isomers of a structure have its formula and new, distinct keys; moved: whether there are some."""
+    rows = _once(_structures(spark, d).where(F.col("g").isin(0, 4, 6)), chem.smiles_formula("smiles")["formula"].alias("formula"), isomers.graph_key("smiles").alias("key"), isomers.isomer_lists(20)("smiles", F.array().cast("array<string>")).alias("made"))
     keys = F.transform("made", lambda x: x["key"])
-    return rows.select("smiles", "formula", F.forall("made", lambda x: x["formula"] == F.col("formula")).alias("same_formula"), (~F.array_contains(keys, F.col("key"))).alias("new_keys"), (F.size(F.array_distinct(keys)) == F.size(keys)).alias("distinct_keys"))
+    return rows.select("sid", "formula", F.forall("made", lambda x: x["formula"] == F.col("formula")).alias("same_formula"), (~F.array_contains(keys, F.col("key"))).alias("new_keys"), (F.size(F.array_distinct(keys)) == F.size(keys)).alias("distinct_keys"), (F.size("made") > 0).alias("moved"))
 
 
 _SQL_FORMULA = "fo AS (SELECT p_partkey AS sid, 1 + p_size AS c, 2 + p_size % 9 AS h, p_partkey % 5 AS n, p_partkey % 7 AS o, p_partkey % 2 AS s, p_partkey % 3 AS cl, CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS br FROM part)"
@@ -131,28 +136,32 @@ def isotope_theory(spark, d):
     return rows.select("sid", F.round("r.m1", 6).alias("m1"), F.round("r.m2", 6).alias("m2"), F.round(chem.formula_mass(F.col("formula")), 4).alias("mass"))
 
 
-#: Spectra: name, mz, intensity, precursor.
-_ISOTOPES = [
-    ("chlorine", [100.0, 150.0, 200.0, 201.997, 250.0], [0.2, 0.15, 1.0, 0.32, 0.05], 250.0),
-    ("bromine", [100.0, 150.0, 200.0, 201.998, 250.0], [0.2, 0.15, 1.0, 0.98, 0.05], 250.0),
-    ("carbon", [150.0, 151.003355, 300.0], [1.0, 0.108, 0.1], 300.0),
-    ("water", [100.0, 200.0, 281.989, 300.0], [0.1, 0.3, 0.8, 1.0], 300.0),
-    ("none", [100.0], [1.0], 300.0),
-]
+#: Spectra that show something, by the name of what they show: m/z above the part's size, intensities, precursor above the size.
+_ISOTOPES = {
+    "chlorine": ([100.0, 150.0, 200.0, 201.997, 250.0], [0.2, 0.15, 1.0, 0.32, 0.05], 250.0),
+    "bromine": ([100.0, 150.0, 200.0, 201.998, 250.0], [0.2, 0.15, 1.0, 0.98, 0.05], 250.0),
+    "carbon": ([150.0, 151.003355, 300.0], [1.0, 0.108, 0.1], 300.0),
+    "water": ([100.0, 200.0, 281.989, 300.0], [0.1, 0.3, 0.8, 1.0], 300.0),
+    "none": ([100.0], [1.0], 300.0),
+}
+_NAMES = list(_ISOTOPES)
 
 
-@query(f"""SELECT name, name = 'chlorine' AS chlorine, name = 'bromine' AS bromine, FALSE AS sulfur, CASE name WHEN 'carbon' THEN round(0.108 / {chem.C13}, 6) END AS carbons, CASE name WHEN 'water' THEN 'H2O' ELSE '' END AS losses,
+@query(f"""WITH r AS (SELECT p_partkey AS sid, ['{"', '".join(_NAMES)}'][1 + p_partkey % 5] AS name FROM part)
+ SELECT sid, name, name = 'chlorine' AS chlorine, name = 'bromine' AS bromine, FALSE AS sulfur, CASE name WHEN 'carbon' THEN round(0.108 / {chem.C13}, 6) END AS carbons, CASE name WHEN 'water' THEN 'H2O' ELSE '' END AS losses,
  CAST(CASE name WHEN 'chlorine' THEN 1e-4 WHEN 'bromine' THEN 1e-4 ELSE 1 END AS DOUBLE) AS halogen, CAST(CASE name WHEN 'carbon' THEN round(greatest(1e-4, exp(-pow(0.108 / {chem.C13} - 6, 2) / 18)), 6) ELSE 1 END AS DOUBLE) AS carbon_fit,
- CAST(CASE name WHEN 'water' THEN 1.15 ELSE 1 END AS DOUBLE) AS plausible FROM (VALUES ('chlorine'), ('bromine'), ('carbon'), ('water'), ('none')) AS t(name)""")
+ CAST(CASE name WHEN 'water' THEN 1.15 ELSE 1 END AS DOUBLE) AS plausible FROM r""")
 def isotope_evidence(spark, d):
-    """element doublets, carbon estimates and neutral losses of spectra, and how a benzene with a hydroxyl group fits them."""
-    rows = spark.createDataFrame(_ISOTOPES, "name string, mz array<double>, it array<double>, p double").withColumn("x", peaks.make(F.col("mz"), F.col("it")))
+    """element doublets, carbon estimates and neutral losses of the parts' spectra, and how a benzene with a hydroxyl group fits them."""
+    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("sid"), F.element_at(F.array(*map(F.lit, _NAMES)), (1 + F.col("p_partkey") % 5).cast("int")).alias("name"), F.col("p_size").cast("double").alias("by"))
+    of = lambda at: F.element_at(F.create_map(*[x for k, v in _ISOTOPES.items() for x in (F.lit(k), F.array(*map(F.lit, v[at])) if at < 2 else F.lit(v[at]))]), F.col("name"))
+    rows = rows.withColumns({"x": peaks.make(F.transform(of(0), lambda m: m + F.col("by")), of(1)), "p": of(2) + F.col("by")})
     has = {e: isotopes.has_element(F.col("x"), F.col("p"), e) for e in ("Cl", "Br", "S")}
     rows = rows.withColumns({**has, "e": isotopes.carbon_estimates(F.col("x")), "lost": chem.losses(F.col("x"), F.col("p"))})
     formula = F.lit("C6H6O")
     found = F.map_from_arrays("lost", F.transform("lost", lambda x: F.lit(1.0)))
     plausible = isotopes.plausibility(found, F.array(F.lit("hydroxyl")), {"H2O": "hydroxyl"})
-    return rows.select("name", F.col("Cl").alias("chlorine"), F.col("Br").alias("bromine"), F.col("S").alias("sulfur"), F.round(F.try_element_at("e", F.lit(1)), 6).alias("carbons"), F.array_join("lost", ",").alias("losses"), isotopes.halogen_consistency(formula, F.col("Cl"), F.col("Br")).alias("halogen"), F.round(isotopes.carbon_consistency(formula, F.col("e")), 6).alias("carbon_fit"), F.round(plausible, 6).alias("plausible"))
+    return rows.select("sid", "name", F.col("Cl").alias("chlorine"), F.col("Br").alias("bromine"), F.col("S").alias("sulfur"), F.round(F.try_element_at("e", F.lit(1)), 6).alias("carbons"), F.array_join("lost", ",").alias("losses"), isotopes.halogen_consistency(formula, F.col("Cl"), F.col("Br")).alias("halogen"), F.round(isotopes.carbon_consistency(formula, F.col("e")), 6).alias("carbon_fit"), F.round(plausible, 6).alias("plausible"))
 
 
 @query("""WITH pk AS (SELECT l_partkey AS sid, l_extendedprice / 100 AS mz, max(l_quantity) AS it FROM lineitem GROUP BY ALL), t AS (SELECT sid, max(it) AS top FROM pk GROUP BY sid), s AS (SELECT p_partkey AS sid, p_retailprice AS p FROM part),

@@ -59,12 +59,16 @@ def resumed_batches(spark, d):
     return rows.join(F.broadcast(spark.createDataFrame(done, "part string, written boolean, again boolean")), "part").withColumn("verified", F.lit(same))
 
 
-@query("SELECT CAST(i AS BIGINT) AS row, CAST(3 * i AS DOUBLE) AS a, CAST(3 * i + 1 AS DOUBLE) AS b, CAST(3 * i + 2 AS DOUBLE) AS c FROM range(5000) AS t(i)")
+@query("""WITH c AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) AS r(i) GROUP BY label, i)
+ SELECT label, CAST(i - 1 AS INTEGER) AS i, round(x, 5) + 0.0 AS mean FROM c""")
 def loaded_array(spark, d):
-    """An array artifact as rows."""
+    """The mean vectors of the classes as an array artifact, one row for each class, and read back as rows."""
     path = tables.scratch(spark, "array") + ".npy"
-    tables.save_array(spark, path, np.arange(15_000).reshape(5000, 3))
-    return tables.load_arrays(spark, path).select("row", *[F.col("values")[i].alias(c) for i, c in enumerate("abc")])
+    means = _t(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    rows = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("label").collect()  # a row for each class
+    tables.save_array(spark, path, np.array([[float(r.label), *[v.x for v in r.v]] for r in rows]))
+    loaded = tables.load_arrays(spark, path).select(F.col("values")[0].cast("int").alias("label"), F.posexplode(F.slice("values", 2, F.size("values") - 1)).alias("i", "x"))
+    return loaded.select("label", "i", (F.round("x", 5) + 0.0).alias("mean"))
 
 
 @query("SELECT o_custkey AS key, count(*) AS n, CAST(max(o_totalprice) AS DOUBLE) AS best FROM orders GROUP BY 1")
