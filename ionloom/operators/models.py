@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -102,3 +103,40 @@ def cross_validated(found: DataFrame, fold: str) -> DataFrame:
     others = (F.sum("mrr").over(w) - F.col("mrr")) / F.greatest(F.count("*").over(w) - 1, F.lit(1))
     rows = found.withColumn("train_mrr", F.round(others, 12))
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(fold).orderBy(F.desc("train_mrr"), "w"))).where("_n = 1").drop("_n")
+
+
+def newton_folds(df: DataFrame, features: list[str], label: str, fold: str, folds: int, steps: int = 8, ridge: float = 1e-3) -> list[list[float]]:
+    """For each fold the logistic regression (bias first) of all rows outside it, all folds together by Newton steps from 0: a step is one aggregate over df of
+    the gradients and Hessians of every fold, without a shuffle of rows. ridge weighs the squares of the weights (not of the bias), as a sum beside the log loss of all rows. Missing features are 0."""
+    x = [F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]]
+    rows = df.select(F.col(fold).alias("_k"), F.col(label).cast("double").alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(x)])
+    n, w = len(x), [[0.0] * len(x) for _ in range(folds)]
+    at = [F.col(f"_x{i}") for i in range(n)]
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    for _ in range(steps):
+        sums = []
+        for k in range(folds):
+            p = 1 / (1 + F.exp(-sum((at[i] * w[k][i] for i in range(1, n)), at[0] * w[k][0])))
+            own = lambda c, k=k: F.sum(F.when(F.col("_k") != k, c).otherwise(0.0))
+            sums += [own(at[i] * (F.col("_y") - p)).alias(f"g{k}_{i}") for i in range(n)] + [own(at[i] * at[j] * p * (1 - p)).alias(f"h{k}_{i}_{j}") for i, j in pairs]
+        found = rows.agg(*sums).first()
+        for k in range(folds):
+            g = np.array([(found[f"g{k}_{i}"] or 0.0) - (ridge * w[k][i] if i else 0.0) for i in range(n)])
+            h = np.zeros((n, n))
+            for i, j in pairs:
+                h[i, j] = h[j, i] = found[f"h{k}_{i}_{j}"] or 0.0
+            h += np.diag([1e-12] + [ridge] * (n - 1))
+            w[k] = (np.array(w[k]) + np.linalg.solve(h, g)).tolist()
+    return w
+
+
+def held_out_loss(df: DataFrame, features: list[str], label: str, fold: str, weights: list[list[float]]) -> DataFrame:
+    """(fold, n, loss): the mean log loss of each fold under the weights fitted without it."""
+    z = F.lit(None).cast("double")
+    for k, w in enumerate(weights):
+        own = F.lit(w[0])
+        for c, v in zip(features, w[1:], strict=True):
+            own = own + v * F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        z = F.when(F.col(fold) == k, own).otherwise(z)
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), 1 / (1 + F.exp(-z))))
+    return df.groupBy(fold).agg(F.count("*").alias("n"), (-F.avg(F.when(F.col(label) == 1, F.ln(p)).otherwise(F.ln(1 - p)))).alias("loss"))

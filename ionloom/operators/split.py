@@ -90,3 +90,31 @@ def candidate_sets(df: DataFrame, key: str, group: str, formula: str, mass: str,
     decoys = same.unionByName(near).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("tier", "gap", "other"))).where(F.col("rank") <= n)
     own = df.select(key, F.col(key).alias("item"), F.lit(0).alias("rank"), F.lit(True).alias("truth"))
     return own.unionByName(decoys.select(key, F.col("other").alias("item"), "rank", F.lit(False).alias("truth")))
+
+
+#: Ways to fill a depleted list: what is left of it; with decoys; with the pool in its own order; with the pool by score; everything by score.
+DEPLETED = ("truncated", "decoys", "unscored", "scored", "reranked")
+
+
+def depleted(df: DataFrame, group: str, key: str, truth: str, base: Column, pool: Column, score: str, share: float, seed: str, first: int = 5, n: int = 25) -> DataFrame:
+    """(strategy, group, rank): where the truth stands in each group under every strategy of DEPLETED, rank null if it doesn't, in one pass.
+
+    In a share of the groups, by a hash of seed and group, the truth is missing from the base list, of which the `first` items by base are left. `decoys` fills up
+    to n by pool without the truth, `unscored` by pool, `scored` by score, ties to the smaller key; `reranked` orders everything by score. Groups of other hashes keep the truth at its place.
+    """
+    w = Window.partitionBy(group)
+    held = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")), 256), 1, 13), 16, 10).cast("double") / float(2**52) < share
+    rows = df.select(group, key, F.col(truth).alias("_t"), F.col(score).alias("_s"), base.alias("_b"), pool.alias("_p"), held.alias("_h"))
+    # the base list without the truth where it is withheld
+    place = F.row_number().over(w.orderBy((F.col("_h") & F.col("_t")).cast("int"), "_b", key))
+    rows = rows.withColumn("_left", (place <= first) & ~(F.col("_h") & F.col("_t"))).withColumn("_b", place)
+    rows = rows.withColumn("strategy", F.explode(F.array(*map(F.lit, DEPLETED))))
+    by = F.col("strategy")
+    absent = F.col("_h") & F.col("_t") & by.isin("truncated", "decoys") | ~F.col("_left") & (by == "truncated")
+    rows = rows.where(~absent)
+    tier = F.when(by == "reranked", 0).when(F.col("_left"), 0).otherwise(1)
+    value = F.when(by == "reranked", -F.col("_s")).when(F.col("_left"), F.col("_b").cast("double")).when(by == "scored", -F.col("_s")).otherwise(F.col("_p").cast("double"))
+    rank = F.row_number().over(Window.partitionBy("strategy", group).orderBy(tier, value, key))
+    ranked = rows.withColumn("rank", rank).where(F.col("_t") & (F.col("rank") <= n)).groupBy("strategy", group).agg(F.min("rank").alias("rank"))
+    every = df.select(group).distinct().withColumn("strategy", F.explode(F.array(*map(F.lit, DEPLETED))))
+    return every.join(ranked, ["strategy", group], "left")
