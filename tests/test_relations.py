@@ -68,3 +68,116 @@ def test_band_edges_nulls_and_groups(spark):
     for ranges in (1, 2, 50):
         got = bandjoin.ranged_join(left, right, F.col("lo"), F.col("hi"), "v", "l", "r", ranges, ["g"]).select("l", "r").collect()
         assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (4, 5)]
+
+
+def spectra_of(spark, sets):
+    rows = [(k, g, [(b, float(1 + (b + k) % 3)) for b in sorted(bins)]) for k, g, bins in sets]
+    return spark.createDataFrame(rows, "id int, g string, v array<struct<bin:int,x:double>>")
+
+
+def test_index_of_bins_misses_no_edge(spark, monkeypatch):
+    from ionloom.operators import network
+
+    rng = random.Random(8)
+    sets = [(k, "ab"[k % 2], set(rng.sample(range(60), rng.randint(3, 20))) | ({1000, 1001} if k % 3 else set())) for k in range(160)]
+    sets += [(500 + k, "a", set(range(2000, 2012))) for k in range(30)]  # copies
+    df = spectra_of(spark, sets)
+    want = {}
+    for k, g, x in sets:
+        for m, h, y in sets:
+            if k != m and g == h and len(x & y) >= 6:
+                a, b = ({q: float(1 + (q + n) % 3) for q in z} for n, z in ((k, x), (m, y)))
+                w = sum(a[q] * b[q] for q in x & y) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+                if w >= 0.45:
+                    want[k, m] = (len(x & y), round(w, 9))
+    assert len(want) > 900
+    for block in (4096, 7):  # with long postings whole, and dealt over a grid of blocks
+        monkeypatch.setattr(network, "BLOCK", block)
+        got = {(r.src, r.dst): (r.common, round(r.w, 9)) for r in network.binned_edges(df, "id", "g", "v", 0.45, 6).collect()}
+        assert got == want
+    bins = df.withColumn("b", F.col("v.bin"))
+    for shared in (1, 3, 6):
+        found = {tuple(r) for r in network.candidates(bins, "id", "g", "b", 6, shared).collect()}
+        assert {p for p in want if p[0] < p[1]} <= found
+
+
+def test_few_pairs_are_candidates(spark):
+    """At the registered query's setting less than a twentieth of the pairs of an adduct are looked at."""
+    from ionloom import catalog
+    from ionloom.operators import network
+
+    sf = "/root/testdata/sf0.01"
+    v = catalog._peaks(spark, sf).groupBy("sid").agg(F.collect_set(F.floor(F.col("mz") / 2).cast("int")).alias("b")).join(catalog._spectra(spark, sf).select("sid", "adduct"), "sid")
+    pairs = v.groupBy("adduct").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    assert 0 < network.candidates(v, "sid", "adduct", "b", 6).count() < 0.05 * pairs
+
+
+def test_explained_levels_by_definition(spark):
+    from ionloom.operators import peaks, similarity
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        mz = sorted({round(rng.uniform(10, 60), 2) for _ in range(rng.randint(0, 12))})
+        masses = [[round(rng.uniform(10, 60), 2) for _ in range(rng.randint(0, 9))] for _ in range(2)]
+        rows.append((i, mz, [round(rng.uniform(1, 9), 2) for _ in mz], masses[0] + masses[0][:2], masses[1] if i else None))
+    df = spark.createDataFrame(rows, "i int, mz array<double>, it array<double>, a array<double>, b array<double>").withColumn("p", peaks.make(F.col("mz"), F.col("it")))
+    got = {r.i: r.s for r in df.select("i", similarity.explained_levels(F.col("p"), [(F.col("a"), 1.0), (F.col("b"), 0.5)], [1.0, -1.0], 0.5).alias("s")).collect()}
+    for i, mz, it, a, b in rows:
+        if b is None:
+            assert got[i] is None
+            continue
+        best = [max([w for masses, w in ((a, 1.0), (b, 0.5)) if any(abs(m - c - x) <= 0.5 for x in masses for c in (1.0, -1.0))], default=0.0) for m in mz]
+        whole = sum(x**0.5 for x in it)
+        assert abs(got[i] - (sum(w * x**0.5 for w, x in zip(best, it, strict=True)) / whole if whole else 0.0)) < 1e-9
+
+
+def test_trees_are_walked(spark):
+    from ionloom.operators import ensembles
+
+    trees = [(0, 1, "a", 0.5, None), (0, 2, None, None, 1.0), (0, 3, "b", 2.0, None), (0, 6, None, None, 10.0), (0, 7, None, None, 100.0), (1, 1, None, None, 0.25)]
+    table = spark.createDataFrame(trees, ensembles.TREES)
+    df = spark.createDataFrame([(0.5, 9.0), (0.6, 2.0), (0.6, 2.1), (None, None)], "a double, b double")
+    assert [r.score for r in ensembles.scores(df, table, ["b", "a"], base=1000.0).collect()] == [1001.25, 1010.25, 1100.25, 1001.25]
+    assert [r.score for r in ensembles.scores(df, table.limit(0), ["a"], base=2.0).collect()] == [2.0] * 4
+    with pytest.raises(ValueError):
+        ensembles.scores(df, table, ["a"])
+
+
+def test_grown_trees_lessen_the_error(spark):
+    from ionloom.operators import ensembles
+
+    df = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), (F.floor(F.col("id") / 20) % 2).cast("double").alias("b"), F.lit(3.0).alias("c"))
+    df = df.withColumn("y", F.when(F.col("a") > 9.5, 5.0).otherwise(1.0) + F.when(F.col("b") > 0, 0.5).otherwise(0.0))
+    trees, base = ensembles.boost(df, ["a", "b", "c"], "y", 3, 2, 1.0)
+    left = ensembles.scores(df, trees, ["a", "b", "c"], "f", base).select(F.max(F.abs(F.col("y") - F.col("f")))).first()[0]
+    assert left < 1e-6 and {r.feature for r in trees.collect()} <= {"a", "b", None}
+    assert len(ensembles.grow(df.withColumn("k", F.lit(1.0)), ["c"], "k", 2)) == 1  # nothing splits a constant
+
+
+def test_layers_keep_ids_without_values(spark):
+    from ionloom.operators import layers
+
+    ids = spark.createDataFrame([(1,), (2,)], "id int")
+    values = spark.createDataFrame([(1, 0, 2.0), (1, 9, 5.0)], "id int, i int, x double")
+    weights = spark.createDataFrame([(0, 0, 3.0), (0, 1, -1.0), (4, 1, 7.0)], "i int, o int, w double")
+    bias = spark.createDataFrame([(0, 0.5), (1, 0.25)], "o int, b double")
+    out = layers.linear(values, ids, weights, bias, "id")
+    assert {(r.id, r.i): r.x for r in out.collect()} == {(1, 0): 6.5, (1, 1): -1.75, (2, 0): 0.5, (2, 1): 0.25}
+    normed = {(r.id, r.i): round(r.x, 3) for r in layers.layer_norm(out, "id").collect()}
+    assert normed == {(1, 0): 1.0, (1, 1): -1.0, (2, 0): 1.0, (2, 1): -1.0}
+
+
+def test_newton_steps_end_at_the_optimum(spark):
+    import numpy as np
+
+    from ionloom.operators import models
+
+    rng = random.Random(6)
+    rows = [(i % 3, float(rng.random() < 0.3 + 0.4 * (i % 2)), float(i % 2), rng.random()) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, y double, a double, b double")
+    for k, w in enumerate(models.newton_folds(df, ["a", "b"], "y", "k", 3, ridge=0.5)):
+        x = np.array([[1.0, a, b] for f, _, a, b in rows if f != k])
+        y = np.array([y for f, y, _, _ in rows if f != k])
+        p = 1 / (1 + np.exp(-x @ np.array(w)))
+        assert np.abs(x.T @ (y - p) - 0.5 * np.array([0, *w[1:]])).max() < 1e-8
