@@ -89,10 +89,10 @@ def score(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def calibrate(scored: DataFrame) -> float:
-    """The threshold with the best balanced accuracy over (score, accept), from BINS + 2 counts; 0 if a label is missing."""
+    """The threshold with the best balanced accuracy over (score, accept), from counts in bins of 2 / BINS; 0 if a label is missing. A score is a mean of log ratios, whose size the log of the corpus bounds, so bins are few."""
     step = 2.0 / BINS
-    bins = scored.select(F.least(F.greatest(F.floor(F.col("score") / step), F.lit(-BINS)), F.lit(BINS)).alias("b"), "accept")
-    rows = bins.groupBy("b").agg(F.count_if("accept").alias("a"), F.count_if(~F.col("accept")).alias("r")).collect()  # at most 2 * BINS + 1 rows
+    bins = scored.select(F.floor(F.col("score") / step).alias("b"), "accept")
+    rows = bins.groupBy("b").agg(F.count_if("accept").alias("a"), F.count_if(~F.col("accept")).alias("r")).collect()  # a row for each bin
     accepts, rejects = sum(x.a for x in rows), sum(x.r for x in rows)
     if not accepts or not rejects:
         return 0.0

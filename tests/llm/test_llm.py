@@ -282,7 +282,7 @@ def test_url_model_against_brute_force(spark):
     score, rule = _url_scores(urls)
     held = [u for u in urls if rule[u] and zlib.crc32(u.encode()) % 5 == 0]
     step = 2.0 / urlfilter.BINS
-    place = lambda u: min(max(math.floor(round(score[u], 9) / step), -urlfilter.BINS), urlfilter.BINS)
+    place = lambda u: math.floor(round(score[u], 9) / step)
     good, bad = [[place(u) for u in held if rule[u] == v] for v in ("allow", "block")]
     assert good and bad
     best = max((sum(b >= t for b in good) / len(good) + 1 - sum(b >= t for b in bad) / len(bad), -abs(t), t) for t in {*good, *bad})[2] * step
