@@ -5,7 +5,7 @@ becomes signed deltas: minus what the ledger had, plus what the batch brings. A
 language and tokenizer version before they are stored, and totals are the sum of all batches' deltas. A batch is written
 below its own id and counts once its marker is there; committing an id again changes nothing. Every COMPACT batches a
 batch also stores the whole ledger and the totals up to itself, so that a commit reads no more than that and the batches
-since.
+since. Of what it reads only the rows of the batch's own documents are kept, grouped and shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, small_batches, table
+from .common import maybe_broadcast, shared_dir, small_batches, table
 
 TOKENIZERS = "/opt/tokenizers"
 #: How the byte-level tokenizers split a text before they merge. Fixed value of these vocabularies.
@@ -57,9 +57,12 @@ class Rollup:
             out = out.union(self.spark.read.schema(schema).parquet(f"{self.path}/{batch}/{what}").withColumn("at", F.lit(i)))
         return out
 
-    def ledger(self) -> DataFrame:
-        """(doc_id, tokenizer, counts): last counts of each document that any batch named, by source and language; none if it was deleted."""
+    def ledger(self, named: DataFrame | None = None) -> DataFrame:
+        """(doc_id, tokenizer, counts): last counts of each document that any batch named, by source and language; none if it was deleted. With named (doc_id, tokenizer) only these: the ledger is read, but no more of it is shuffled."""
         every = self._since("whole_ledger", "ledger", _LEDGER)
+        if named is not None:
+            same = F.col("e.doc_id").eqNullSafe(F.col("n.doc_id")) & F.col("e.tokenizer").eqNullSafe(F.col("n.tokenizer"))
+            every = every.alias("e").join(maybe_broadcast(named).alias("n"), same, "left_semi")
         return every.groupBy("doc_id", "tokenizer").agg(F.max_by("counts", "at").alias("counts"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
@@ -84,13 +87,12 @@ class Rollup:
         counts = F.transform(F.filter("x", lambda e: (e["rank"] == F.col("last")) & (F.col("last") < len(_ORDER))), lambda e: F.struct(e["source"].alias("source"), e["lang"].alias("lang"), e["docs"].alias("docs"), e["tokens"].alias("tokens")))
         new.select("doc_id", "tokenizer", counts.alias("counts")).write.mode("overwrite").parquet(f"{at}/ledger")
         new = self.spark.read.schema(_LEDGER).parquet(f"{at}/ledger")
-        old = self.ledger()
         same = F.col("n.doc_id").eqNullSafe(F.col("o.doc_id")) & F.col("n.tokenizer").eqNullSafe(F.col("o.tokenizer"))
-        gone = old.alias("o").join(new.alias("n"), same, "left_semi")
+        gone = self.ledger(new.select("doc_id", "tokenizer"))
         each = lambda rows, sign: rows.select("tokenizer", F.explode("counts").alias("c")).select("c.source", "c.lang", "tokenizer", (F.col("c.docs") * sign).alias("docs"), (F.col("c.tokens") * sign).alias("tokens"))
         deltas = self._sums(each(new, 1).union(each(gone, -1)))
         if (len(done) + 1) % COMPACT == 0:
-            kept = old.alias("o").join(new.alias("n"), same, "left_anti").select("doc_id", "tokenizer", "counts")
+            kept = self.ledger().alias("o").join(new.alias("n"), same, "left_anti").select("doc_id", "tokenizer", "counts")
             kept.union(new).where(F.size("counts") > 0).write.mode("overwrite").parquet(f"{at}/whole_ledger")
             self._sums(self._since("whole_totals", "deltas", _DELTAS).drop("at").union(deltas)).write.mode("overwrite").parquet(f"{at}/whole_totals")
         deltas.write.mode("overwrite").parquet(f"{at}/deltas")
