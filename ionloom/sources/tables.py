@@ -56,6 +56,13 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, what) of the files that two manifests don't agree on: missing, new or other (length or content)."""
+    both = before.toDF("path", "l", "h").join(after.toDF("path", "m", "i"), "path", "full")
+    what = F.when(F.col("i").isNull(), "missing").when(F.col("h").isNull(), "new").when((F.col("l") != F.col("m")) | (F.col("h") != F.col("i")), "other")
+    return both.select("path", what.alias("what")).where("what is not null")
+
+
 def write_parts(df: DataFrame, path: str, part: str) -> bool:
     """A resumable batch: written below path/part=<part> unless it is complete there."""
     spark = df.sparkSession
