@@ -352,6 +352,75 @@ def test_toxicity_weights_and_extremes_against_brute_force(spark):
     assert all(likelihood(lam, k) >= likelihood(lam * a, k * b) for a in (0.97, 1.0, 1.03) for b in (0.97, 1.0, 1.03))
 
 
+def _toxicity_by_definition(texts, labels, folds):
+    """Scores from counts of whole words and stems by name, all segments by search, and the two fits; labels and folds by place of the text."""
+    split = [re.findall("[0-9A-Za-z\x80-\U0010ffff]+", t or "") for t in texts]
+    words = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in ws] for ws in split]
+    forms = lambda w: (("own", w), ("stem", w[: toxicity.STEM]))
+    n, by = Counter(), {k: Counter() for k in range(4)}
+    total, sums = 0, Counter()
+    for i, ws in enumerate(words):
+        for w in ws:
+            n.update(forms(w))
+            total += 1
+            if i in labels:
+                by[labels[i] + folds[i]].update(forms(w))
+                sums[labels[i] + folds[i]] += 1
+
+    def odds(form, kinds):
+        all0, all1 = sum(sums[k] for k in kinds[0]), sum(sums[k] for k in kinds[1])
+        if not all0 or not all1:
+            return 0.0
+        prior = toxicity.FLOOR + toxicity.PRIOR * n[form] / total
+        a0, a1 = (sum(by[k][form] for k in own) + prior for own in kinds)
+        raw = math.log(a1 / (all1 + toxicity.PRIOR)) - math.log(a0 / (all0 + toxicity.PRIOR))
+        return math.copysign(max(0.0, abs(raw) - toxicity.SHRINK * math.sqrt(1 / a0 + 1 / a1)), raw)
+
+    def scored(ws, kinds):
+        each = [[odds(f, kinds) for f in forms(w)] for w in ws]
+        return [min(6.0, max(-4.0, (stem if abs(stem) > abs(own) else own) - toxicity.DRIFT)) for own, stem in each]
+
+    sums_of = lambda ws, kinds: [x[2] for x in _all_segments(scored(ws, kinds))]
+    trial, final = ((0,), (1,)), ((0, 2), (1, 3))
+    held = [i for i in labels if folds[i] == 2]
+    found = {i: sums_of(words[i], trial) for i in held}
+    clean = [i for i in held if labels[i] == 0]
+    model = {}
+    model["lambda"], model["k"] = toxicity.extreme_value(np.array([max(found[i], default=0.0) for i in clean]), np.array([float(len(words[i])) for i in clean]))
+
+    def evidence(length, each):
+        if not each or not length:
+            return -2.0
+        e = [(model["lambda"] * s - math.log(model["k"] * length)) / math.log(10) for s in each]
+        strong = [x for x in e if x >= -math.log10(toxicity.SIGNIFICANT)]
+        return min(30.0, max(-2.0, sum(strong) if strong else max(e)))
+
+    slope, centre = toxicity._logistic(np.array([evidence(len(words[i]), found[i]) for i in held]), np.array([labels[i] == 1 for i in held]))
+    return [1 / (1 + math.exp(-max(-30.0, min(30.0, slope * (evidence(len(ws), sums_of(ws, final)) - centre))))) for ws in words]
+
+
+def test_toxicity_scores_by_definition(spark):
+    rng = np.random.default_rng(21)
+    plain, bad = [f"wo{i}rd" for i in range(25)], ["vile", "vilest", "Vilely", "räudig", "awful"]
+    texts = []
+    for i in range(180):
+        t = rng.choice(plain, int(rng.integers(0, 30))).tolist()
+        if i % 4 == 0:
+            at = int(rng.integers(len(t) + 1))
+            t[at:at] = rng.choice(bad, int(rng.integers(1, 5))).tolist()
+        texts.append(", ".join(t))
+    texts += ["", None, texts[4], "Vile vile vile!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = {i: int(i % 4 == 0) for i in range(150)}
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    fold = F.when(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(toxicity.FOLDS)) == 0, 2).otherwise(0)
+    folds = {r.doc_id: r.f for r in table.select("doc_id", fold.alias("f")).collect()}
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, table)).collect()}
+    want = _toxicity_by_definition(texts, labels, folds)
+    assert all(abs(got[i] - p) < 1e-3 for i, p in enumerate(want))
+    assert max(want) > 0.9 and min(want) < 0.1
+
+
 def _copies(rng, words, sizes, most_edits):
     """Texts in groups: a text of each size and copies of it with up to most_edits words replaced."""
     for size, copies in sizes:
