@@ -7,7 +7,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ionloom import catalog, catalog_chem, catalog_evidence, catalog_io, catalog_scores  # noqa: F401 - register queries
+from ionloom import catalog, catalog_chem, catalog_evidence, catalog_io, catalog_relations, catalog_scores  # noqa: F401 - register queries
 from ionloom.catalog import _arrays, _spectra, _t, _words, queries
 from ionloom.operators import bandjoin, fuse, network, peaks, rank, similarity
 
@@ -17,6 +17,7 @@ HEADLINE = [
     "merge_close_peaks", "entropy_similarity", "greedy_cosine", "modified_cosines", "fp_tanimoto_topk", "profile_scores", "rrf_fusion", "slot_merge",
     "rank_features", "ranker_features", "final_fusion", "network_edges", "neighbor_propagation", "analog_features", "evidence_agg", "spectral_fusion",
     "evidence_scatter", "formula_rerank", "explained_levels", "weight_grid", "reference_tiers", "candidate_sets", "complementarity",
+    "peak_matches", "dense_band_join", "spectral_network", "network_forward", "tree_ensemble", "newton_logistic", "depleted_pools", "clustered_windows",
 ]
 
 
@@ -34,7 +35,8 @@ def rerank_400_by_25(spark, d):
     scored = rows.select("sid", "key", "features", fuse.channels(terms).alias("score"))
     lists = scored.withColumn("rank", F.row_number().over(rank.Window.partitionBy("sid").orderBy(F.desc("score"), "key")))
     cosine = lambda a, b: similarity.walk_cosine(F.col(f"{a}.unit"), F.col(f"{b}.unit"), 0.5)
-    graph = network.edges(spectra.select("sid", "unit", F.lit(0).alias("stratum")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "sid", "stratum", cosine, 0.3, 6)
+    network.NODES = 50  # 400 nodes as a grid of 64 cells
+    graph = network.edges(spectra.select("sid", "unit", F.lit(0).alias("stratum")), "sid", "stratum", cosine, 0.3, 6)
     support = network.propagate(graph, lists.select("sid", "key", "rank", "features"), "sid", similarity.tanimoto)
     return network.rerank(lists, support, "sid", 0.5, F.col("sid") % 2 == 0)
 

@@ -164,13 +164,26 @@ def isotope_evidence(spark, d):
     return rows.select("sid", "name", F.col("Cl").alias("chlorine"), F.col("Br").alias("bromine"), F.col("S").alias("sulfur"), F.round(F.try_element_at("e", F.lit(1)), 6).alias("carbons"), F.array_join("lost", ",").alias("losses"), isotopes.halogen_consistency(formula, F.col("Cl"), F.col("Br")).alias("halogen"), F.round(isotopes.carbon_consistency(formula, F.col("e")), 6).alias("carbon_fit"), F.round(plausible, 6).alias("plausible"))
 
 
-@query("""WITH pk AS (SELECT l_partkey AS sid, l_extendedprice / 100 AS mz, max(l_quantity) AS it FROM lineitem GROUP BY ALL), t AS (SELECT sid, max(it) AS top FROM pk GROUP BY sid), s AS (SELECT p_partkey AS sid, p_retailprice AS p FROM part),
- l AS (SELECT * FROM (VALUES ('H2O', 18.010565), ('NH3', 17.026549), ('CO', 27.994915), ('CO2', 43.989830)) AS x(name, m))
- SELECT sid, name FROM s JOIN t USING (sid), l WHERE EXISTS (SELECT 1 FROM pk WHERE pk.sid = s.sid AND abs(pk.mz - (s.p - l.m)) <= 0.015 AND pk.it >= 0.04 * t.top)""")
+@query(f"""WITH {_SQL_PEAKS}, t AS (SELECT sid, max(it) AS top FROM pk GROUP BY sid), s AS (SELECT p_partkey AS sid, p_retailprice AS p FROM part), l AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {m})" for k, m in chem.LOSSES.items())}) AS x(name, m))
+ SELECT sid, name FROM s JOIN t USING (sid), l WHERE p - m > 20 AND EXISTS (SELECT 1 FROM pk WHERE pk.sid = s.sid AND abs(pk.mz - (s.p - l.m)) <= 0.25 AND pk.it >= 0.04 * t.top)""")
 def neutral_loss_names(spark, d):
-    """four of the losses over all spectra."""
-    rows = _spectra(spark, d).join(_arrays(spark, d), "sid").select("sid", F.explode(chem.losses(F.col("peaks"), F.col("precursor"))).alias("name"))
-    return rows.where(F.col("name").isin("H2O", "NH3", "CO", "CO2"))
+    """all losses over all spectra."""
+    rows = _spectra(spark, d).join(_arrays(spark, d), "sid")
+    return rows.select("sid", F.explode(chem.losses(F.col("peaks"), F.col("precursor"), 0.25)).alias("name"))
+
+
+@query(r"""WITH t AS (SELECT event_id, ['[' || value || ', ' || event_id || ']', value || ';' || -event_id, '  ' || value, 'none', NULL, '["' || value || '", null, "x"]'][1 + event_id % 6] AS text FROM events),
+ n AS (SELECT event_id, list_transform(regexp_extract_all(coalesce(text, ''), '-?[0-9]+(\.[0-9]+)?'), lambda x: CAST(x AS DOUBLE)) AS x FROM t)
+ SELECT event_id, len(x) AS n, round(coalesce(x[1], 30.0), 6) AS first, round(coalesce(list_sum(x), 0), 4) AS total, round(coalesce(list_avg([abs(y) FOR y IN x]), 25.0), 6) AS energy FROM n""")
+def parsed_numbers(spark, d):
+    """numbers of a text in any of its forms (JSON, list, separated, plain), the first of them or a default, and the mean energy or a default."""
+    own = F.col("value").cast("string")
+    e, k = _t(spark, d, "events"), F.col("event_id").cast("string")
+    forms = [F.concat(F.lit("["), own, F.lit(", "), k, F.lit("]")), F.concat(own, F.lit(";"), (-F.col("event_id")).cast("string")), F.concat(F.lit("  "), own), F.lit("none"), F.lit(None).cast("string"), F.concat(F.lit('["'), own, F.lit('", null, "x"]'))]
+    rows = e.select("event_id", F.element_at(F.array(*forms), (1 + F.col("event_id") % 6).cast("int")).alias("text"))
+    rows = rows.withColumn("x", chem.numbers(F.col("text")))
+    total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
+    return rows.select("event_id", F.size("x").cast("long").alias("n"), F.round(chem.first_number(F.col("text")), 6).alias("first"), F.round(total, 4).alias("total"), F.round(chem.collision_energy(F.col("text")), 6).alias("energy"))
 
 
 @query("""WITH a AS (SELECT p_partkey AS sid, p_retailprice AS m, ['[M+H]+', '[M+Na]+', '[2M-H]-', '[M+2H]2+', '?'][1 + p_partkey % 5] AS adduct FROM part)

@@ -102,6 +102,16 @@ def _near(peaks: Column, mz: Column, tol: float, least: Column) -> Column:
     return F.exists(peaks, lambda p: (F.abs(p["mz"] - mz) <= tol) & (p["it"] >= least))
 
 
+def numbers(text: Column) -> Column:
+    """The numbers in a text, in order, whatever it is: a JSON array, a list in brackets, values with separators, or one value. Empty for none or null."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
+
+
+def first_number(text: Column, default: float = 30.0) -> Column:
+    """The first number in a text, or the default."""
+    return F.coalesce(F.get(numbers(text), F.lit(0)), F.lit(default))
+
+
 def collision_energy(text: Column, default: float = 25.0) -> Column:
     """Mean of the absolute numbers in a text such as "[20.0, 45.0]"; the default if there is none."""
     numbers = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda x: F.abs(x.cast("double")))

@@ -181,3 +181,43 @@ def test_newton_steps_end_at_the_optimum(spark):
         y = np.array([y for f, y, _, _ in rows if f != k])
         p = 1 / (1 + np.exp(-x @ np.array(w)))
         assert np.abs(x.T @ (y - p) - 0.5 * np.array([0, *w[1:]])).max() < 1e-8
+
+
+def test_large_strata_are_dealt(spark, monkeypatch):
+    from ionloom.operators import network
+
+    df = spark.range(300).select("id", (F.col("id") % 2).alias("g"), (F.col("id") % 29).cast("double").alias("v"))
+    score = lambda a, b: 1 / (1 + F.abs(F.col(f"{a}.v") - F.col(f"{b}.v")))
+    want = sorted(map(tuple, network.edges(df, "id", "g", score, 0.5).collect()))
+    monkeypatch.setattr(network, "NODES", 40)
+    assert sorted(map(tuple, network.edges(df, "id", "g", score, 0.5).collect())) == want and len(want) > 4000
+
+
+def test_clustered_layout(spark, tmp_path):
+    from ionloom.sources import clustered
+
+    df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 100.0).when(F.col("id") % 50 != 1, F.col("id") / 10.0).alias("v"))
+    path = str(tmp_path / "t")
+    clustered.write_clustered(df, path, "v", "id", 20)
+    bounds = spark.read.parquet(f"{path}/bounds")
+    assert bounds.agg(F.sum("n")).first()[0] == 5000 and bounds.count() >= 15
+    assert bounds.agg(F.max("n")).first()[0] < 1000  # a third of the rows has one value
+    windows = spark.createDataFrame([(20.0, 20.5), (20.4, 21.0), (400.0, 400.0), (-5.0, -4.0)], "lo double, hi double")
+    rows, share = clustered.read_windows(spark, path, "v", windows, 1.0)
+    want = df.where("v between 20 and 21 or v = 400")
+    assert sorted(r.id for r in rows.collect()) == sorted(r.id for r in want.collect()) and share <= 0.25
+    assert clustered.read_windows(spark, path, "v", windows.where("lo < 0"), 1.0)[0].count() == 0
+
+
+def test_changed_files_are_told(spark, tmp_path):
+    from ionloom.sources import tables
+
+    at = str(tmp_path / "t")
+    df = spark.range(10).withColumn("part", F.col("id") % 3)
+    df.write.partitionBy("part").parquet(at)
+    tables.manifest(spark, at).write.parquet(f"{at}-manifest")
+    before = spark.read.parquet(f"{at}-manifest")
+    assert before.count() and tables.changed(before, tables.manifest(spark, at)).isEmpty()
+    df.where("part = 1").drop("part").coalesce(1).write.mode("overwrite").parquet(f"{at}/part=1")
+    found = tables.changed(before, tables.manifest(spark, at)).collect()
+    assert {r.what for r in found} == {"missing", "new"} and all("part=1" in r.path for r in found)
