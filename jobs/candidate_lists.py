@@ -19,7 +19,7 @@ from __future__ import annotations
 import argparse
 import logging
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.operators import bandjoin, fuse, rank, split
@@ -82,10 +82,9 @@ def ranked(queries: DataFrame, candidates: DataFrame, popular: DataFrame, config
 def build(spark: SparkSession, queries: str, pool: str, output: str, config: dict | None = None) -> DataFrame:
     """Write candidates, lists and checks below output, and return them as they stand there, told apart by kind. ValueError if lists break their contract."""
     config = settings(config or {})
-    read = {"queries": Observation(), "pool": Observation()}
     asked = read_queries(spark, queries)
     rows = read_pool(spark, pool)
-    found = extract(asked.observe(read["queries"], F.count("*").alias("n")), rows.observe(read["pool"], F.count("*").alias("n")), config)
+    found = extract(asked, rows, config)
     found.repartitionByRange("mass").sortWithinPartitions("mass").write.mode("overwrite").partitionBy("block").parquet(f"{output}/candidates")
     candidates = spark.read.schema("pid long, key long, mass double, source string, block int").parquet(f"{output}/candidates")
     popular = rows.groupBy("key").agg(F.count("*").alias("count"))
@@ -94,7 +93,7 @@ def build(spark: SparkSession, queries: str, pool: str, output: str, config: dic
     lists = spark.read.schema("sid long, rank int, key long, score double, src int, pol int").parquet(f"{output}/lists")
     split.check_lists(lists, asked, "sid", "key", config["n"]).coalesce(1).write.mode("overwrite").parquet(f"{output}/checks")
     checks = spark.read.parquet(f"{output}/checks")
-    log.info("read %d queries and %d rows of the pool, wrote %d candidates and %d rows of lists", read["queries"].get["n"], read["pool"].get["n"], candidates.count(), lists.count())
+    log.info("read %d queries and %d rows of the pool, wrote %d candidates and %d rows of lists", asked.count(), rows.count(), candidates.count(), lists.count())
     if broken := {r.rule: r.broken for r in checks.where("broken > 0").collect()}:
         raise ValueError(f"lists break their contract: {broken}")
     parts = [x.withColumn("kind", F.lit(kind)) for kind, x in (("candidate", candidates), ("list", lists), ("check", checks))]
