@@ -407,7 +407,7 @@ def neighbor_propagation(spark, d):
     e = _t(spark, d, "embeddings").select("vec_id", "label", _words("embedding").alias("fp")).withColumn("size", similarity.popcount(F.col("fp")))
     graph = network.edges(e, "vec_id", "label", lambda a, b: similarity.tanimoto(F.col(f"{a}.fp"), F.col(f"{b}.fp")), 0.5, size="size")
     c = e.select(F.col("vec_id").alias("key"), F.col("label").alias("l2"), F.col("fp").alias("features"))
-    lists = e.join(c, F.col("l2") == (F.col("label") + 1) % 10).withColumn("s", similarity.tanimoto(F.col("fp"), F.col("features")))
+    lists = bandjoin.grid_join(e.withColumn("l2", (F.col("label") + 1) % 10), c, ["l2"], "vec_id", "key").withColumn("s", similarity.tanimoto(F.col("fp"), F.col("features")))
     lists = rank.top_k(lists, ["vec_id"], [F.desc(F.round("s", 9)), F.asc("key")], 10).select("vec_id", "key", "rank", "features")
     support = network.propagate(graph, lists, "vec_id", similarity.tanimoto)
     out = network.rerank(lists, support, "vec_id", 0.5, F.col("vec_id") % 2 == 0)

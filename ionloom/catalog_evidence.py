@@ -59,7 +59,7 @@ def analog_features(spark, d):
     """A4."""
     e = _t(spark, d, "embeddings").select("vec_id", "label", _words("embedding").alias("fp"))
     q = e.select(F.col("vec_id").alias("q"), "label", F.col("fp").alias("qfp"))
-    p = q.join(e, "label").where("q <> vec_id").select("q", F.lit(0).alias("mol"), similarity.tanimoto(F.col("qfp"), F.col("fp")).alias("tan"), (F.col("vec_id") % 97 / 97.0).alias("s"))
+    p = bandjoin.grid_join(q, e, ["label"], "q", "vec_id").where("q <> vec_id").select("q", F.lit(0).alias("mol"), similarity.tanimoto(F.col("qfp"), F.col("fp")).alias("tan"), (F.col("vec_id") % 97 / 97.0).alias("s"))
     out = evidence.analog_features(p, "mol", "q", "tan", "s")
     return out.select("q", *[F.round(c, 6).alias(c) for c in ("ts3", "ts", "t", "ts6", "t_mean")])
 

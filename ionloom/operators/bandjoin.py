@@ -158,3 +158,14 @@ def ranged_join(left: DataFrame, right: DataFrame, lo: Column, hi: Column, value
         cond = cond & (F.col(f"_l_{c}") == F.col(c))
     cond = cond & (b[value] >= a["_lo"]) & (b[value] <= a["_hi"])
     return a.join(b, cond).drop("_r", "_x", "_y", "_r2", "_x2", "_y2", "_lo", "_hi", *[f"_l_{c}" for c in on])
+
+
+def grid_join(left: DataFrame, right: DataFrame, on: list[str], left_key: str, right_key: str, rows: int = 1024) -> DataFrame:
+    """left and right joined on equal columns. A value that many rows have is a grid of blocks of about `rows` rows of each side, dealt by a hash of the keys, so that its pairs, all of which are made, spread over tasks."""
+    blocks = lambda side, name: side.groupBy(*on).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    sizes = blocks(left, "_ml").join(blocks(right, "_mr"), on)
+    own = lambda key, m: F.pmod(F.xxhash64(key), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    a = left.join(sizes, on).withColumn("_x", own(left_key, "_ml")).withColumn("_y", every("_mr")).drop("_ml", "_mr")
+    b = right.join(sizes, on).withColumn("_y", own(right_key, "_mr")).withColumn("_x", every("_ml")).drop("_ml", "_mr")
+    return a.join(b, [*on, "_x", "_y"]).drop("_x", "_y")

@@ -221,3 +221,11 @@ def test_changed_files_are_told(spark, tmp_path):
     df.where("part = 1").drop("part").coalesce(1).write.mode("overwrite").parquet(f"{at}/part=1")
     found = tables.changed(before, tables.manifest(spark, at)).collect()
     assert {r.what for r in found} == {"missing", "new"} and all("part=1" in r.path for r in found)
+
+
+def test_grid_join_makes_every_pair_once(spark):
+    a = spark.range(200).select(F.col("id").alias("x"), F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 5).alias("g"))
+    b = spark.range(90).select(F.col("id").alias("y"), (F.col("id") % 2).alias("g"))
+    want = sorted(map(tuple, a.join(b, "g").select("x", "y").collect()))
+    for rows in (7, 1024):
+        assert sorted(map(tuple, bandjoin.grid_join(a, b, ["g"], "x", "y", rows).select("x", "y").collect())) == want
