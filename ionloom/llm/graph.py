@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, remove
+from .common import cut, hub_join, remove
 
 
 def _stars(both: DataFrame, large: bool) -> DataFrame:
     """One half-round on (u, v) pairs: neighbours of u (all larger ones, or all smaller ones and u) move to u's least neighbour."""
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    joined = hub_join(both, least, "u")
     if large:
         return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     down = joined.where("v < u")

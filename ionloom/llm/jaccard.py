@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_view, chunks, cut, mix, remove, shingle_sets, small_batches, table
+from .common import byte_view, chunks, cut, hub_join, mix, remove, shingle_sets, small_batches, table
 from .graph import components
 
 K, THRESHOLD = 4, Fraction(85, 100)
@@ -483,9 +483,10 @@ def near_duplicates(docs: DataFrame, k: int = K, t: Fraction = THRESHOLD, **caps
     """
     rows, comps = jaccard_nodes(docs, k, t, **caps)
     filled = rows.where("node is not null")
-    nodes = filled.groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    nodes = filled.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = nodes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    out = filled.join(nodes.join(least, "comp").select("node", "component_id"), "node").select("doc_id", "n_shingles", "component_id")
+    # a node is a text and all its copies, which may be a third of all rows
+    out = hub_join(filled, nodes.join(least, "comp").select("node", "n", "component_id"), "node").select("doc_id", "n_shingles", "component_id")
     return out.union(rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 

@@ -1,0 +1,35 @@
+"""Graphs and copies whose rows of one key are joined in place give what a shuffled join gives."""
+
+import random
+
+from ionloom.llm import common, graph, jaccard
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    rng = random.Random(1)
+    pairs = [(0, i) for i in range(1, 60)] + [(1000 + i, 1001 + i) for i in range(25)] + [(rng.randrange(2000, 2040), rng.randrange(2000, 2040)) for _ in range(30)] + [(5, 5)]
+    edges = spark.createDataFrame(pairs + pairs[:9], "u long, v long")
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    want = {x: min(y for y in linked if find(y) == find(x)) for x in linked}
+    for hub in (common.HUB, 3):
+        monkeypatch.setattr(common, "HUB", hub)
+        assert {r.node: r.comp for r in graph.components(edges).collect()} == want
+
+
+def test_many_copies_are_joined_in_place(spark, monkeypatch):
+    texts = ["a b c d e f g h i j k l m n o p"] * 40 + ["q r s t u v w x y z"] * 3 + ["one two three four five six", None, ""] + [f"own {i} text {i} of {i} words {i}" for i in range(20)]
+    docs = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted(map(tuple, jaccard.near_duplicates(docs).collect()))
+    monkeypatch.setattr(common, "HUB", 5)
+    assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == want
+    assert sum(c == 61 for _, _, c in want) == 40
