@@ -7,7 +7,7 @@ features by name. Growing takes two aggregates a level over all rows, whatever t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 TREES = "tree int, node int, feature string, threshold double, value double"
@@ -49,6 +49,28 @@ def scores(df: DataFrame, trees: DataFrame, features: list[str], name: str = "sc
     return rows.withColumn(name, F.aggregate("trees", F.lit(float(base)), lambda s, t: s + leaf(t))).drop("_x", "_one", "trees")
 
 
+def saved_trees(spark: SparkSession, path: str, features: list[str]) -> DataFrame:
+    """The table of a boosted model of pyspark.ml that was saved at path, its features named in their order; leaf values have the trees' weights. Of a classifier the
+    probability is the sigmoid of twice the score. Only splits at thresholds are known; ValueError for one by categories."""
+    weights = {r["_1"]: r["_3"] for r in spark.read.parquet(f"{path}/treesMetadata").select("_1", "_3").collect()}
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").limit(MOST + 1).collect()
+    if len(nodes) > MOST:
+        raise ValueError(f"more than {MOST} nodes")
+    found = {(r["treeID"], r["id"]): r for r in nodes}
+    rows, todo = [], [(tree, 0, 1) for tree in sorted(weights)]
+    while todo:
+        tree, own, place = todo.pop()
+        r = found[tree, own]
+        if r["leftChild"] < 0:
+            rows.append((tree, place, None, None, weights[tree] * r["prediction"]))
+            continue
+        if r["split"]["numCategories"] >= 0:
+            raise ValueError("splits by categories aren't known")
+        rows.append((tree, place, features[r["split"]["featureIndex"]], float(r["split"]["leftCategoriesOrThreshold"][0]), None))
+        todo += [(tree, r["leftChild"], 2 * place), (tree, r["rightChild"], 2 * place + 1)]
+    return spark.createDataFrame(rows, TREES)
+
+
 def grow(df: DataFrame, features: list[str], target: str, depth: int, tree: int = 0, rate: float = 1.0) -> list[tuple]:
     """The rows of one tree: each node is split at the mean of the feature that lessens the squared error most (ties to the first feature by name), a node that no feature splits is a
     leaf, and a leaf's value is rate times the mean target. Thresholds and gains are rounded to nine digits."""

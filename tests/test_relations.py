@@ -229,3 +229,15 @@ def test_grid_join_makes_every_pair_once(spark):
     want = sorted(map(tuple, a.join(b, "g").select("x", "y").collect()))
     for rows in (7, 1024):
         assert sorted(map(tuple, bandjoin.grid_join(a, b, ["g"], "x", "y", rows).select("x", "y").collect())) == want
+
+
+def test_saved_boosters_as_tables(spark, tmp_path):
+    from ionloom.operators import ensembles, models
+
+    df = spark.range(500).selectExpr("cast(id % 23 as double) a", "cast(id % 7 as double) b", "cast((id % 23 > 9) != (id % 7 > 4) as double) y", "1.0D w")
+    model = models.fit_boosted(df, ["a", "b"], "y", "w", [1], rounds=4, depth=3)
+    model[0].write().save(str(tmp_path / "m"))
+    trees = ensembles.saved_trees(spark, str(tmp_path / "m"), ["a", "b"])
+    rows = ensembles.scores(models.predict(df, model, ["a", "b"]), trees, ["b", "a"], "s")
+    assert trees.select("tree").distinct().count() == 4
+    assert rows.select(F.max(F.abs(1 / (1 + F.exp(-2 * F.col("s"))) - F.col("p")))).first()[0] < 1e-9
