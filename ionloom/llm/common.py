@@ -55,18 +55,6 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-#: Rows of one key from which on they are joined where they are.
-HUB = 100_000
-
-
-def hub_join(rows: DataFrame, found: DataFrame, key: str, count: str = "n") -> DataFrame:
-    """rows joined with found, which has one row for each key and the number of rows of that key in `count`, which goes. Keys of more than HUB rows, of which there are
-    at most as many as HUB fits into the number of rows, are broadcast, so that their rows stay dealt; the others are shuffled."""
-    often = F.broadcast(found.where(F.col(count) > HUB).drop(count))
-    rest = rows.join(often.select(key), key, "left_anti").join(found.where(F.col(count) <= HUB).drop(count), key)
-    return rows.join(often, key).unionByName(rest)
-
-
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))
