@@ -17,7 +17,6 @@ HEADLINE = [
     "merge_close_peaks", "entropy_similarity", "greedy_cosine", "modified_cosines", "fp_tanimoto_topk", "profile_scores", "rrf_fusion", "slot_merge",
     "rank_features", "ranker_features", "final_fusion", "network_edges", "neighbor_propagation", "analog_features", "evidence_agg", "spectral_fusion",
     "evidence_scatter", "formula_rerank", "explained_levels", "weight_grid", "reference_tiers", "candidate_sets", "complementarity",
-    "peak_matches", "dense_band_join", "spectral_network", "network_forward", "tree_ensemble", "newton_logistic", "depleted_pools", "clustered_windows",
 ]
 
 
