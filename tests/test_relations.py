@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +242,21 @@ def test_saved_boosters_as_tables(spark, tmp_path):
     rows = ensembles.scores(models.predict(df, model, ["a", "b"]), trees, ["b", "a"], "s")
     assert trees.select("tree").distinct().count() == 4
     assert rows.select(F.max(F.abs(1 / (1 + F.exp(-2 * F.col("s"))) - F.col("p")))).first()[0] < 1e-9
+
+
+def test_block_scores_meet_every_other_row_once(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((60, 8)).round(3)
+    vectors[40:] = vectors[7]  # a large group of copies
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(60, None)], "i long, v array<double>").repartition(5)
+    asked = rows.where("i % 7 = 0").withColumnRenamed("i", "q")
+    score = lambda a, b: {"s": a @ b.T}
+    want = {(q, i): vectors[q] @ vectors[i] for q in range(0, 60, 7) for i in range(60) if q != i}
+    for sizes in ((512, 8192), (3, 7)):
+        got = {(r.q, r.i): r.s for r in bandjoin.block_scores(asked, rows, "q", "i", "v", score, ["s"], None, *sizes).collect()}
+        assert {k for k, v in got.items() if v is None} == {(q, 60) for q in range(0, 60, 7)}
+        assert {k: pytest.approx(v) for k, v in want.items()} == {k: v for k, v in got.items() if v is not None}
+        led = bandjoin.block_scores(asked, rows, "q", "i", "v", score, ["s"], (4, 0.1), *sizes).withColumn("s", F.round("s", 1))
+        best = {q: sorted((-round(float(v), 1), i) for (p, i), v in want.items() if p == q)[:4] for q in range(0, 60, 7)}
+        found = {q: sorted((-r.s, r.i) for r in led.where(f"q = {q}").collect())[:4] for q in best}
+        assert found == best
