@@ -260,3 +260,14 @@ def test_block_scores_meet_every_other_row_once(spark):
         best = {q: sorted((-round(float(v), 1), i) for (p, i), v in want.items() if p == q)[:4] for q in range(0, 60, 7)}
         found = {q: sorted((-r.s, r.i) for r in led.where(f"q = {q}").collect())[:4] for q in best}
         assert found == best
+
+
+def test_copies_are_scored_once_and_lose_no_pair(spark):
+    rows = [(i, 500.0, [1.0, 2.0]) for i in range(30)] + [(i, 500.0 + i % 3 * 0.015, [float(i)]) for i in range(30, 40)] + [(40, 700.0, [1.0])]
+    df = spark.createDataFrame(rows, "sid long, m double, p array<double>").repartition(6)
+    classes, members = bandjoin.in_classes(df, "sid", ["m", "p"])
+    assert (classes.count(), members.count()) == (12, 41)
+    pairs = bandjoin.class_pairs(classes, "m", F.col("m") - 0.02, F.col("m") + 0.02).where("rep < r_last").select("rep", "r_rep")
+    assert pairs.where("rep = 0 and r_rep = 0").count() == 1
+    got = sorted(map(tuple, bandjoin.expanded(pairs, members, "sid", "oid").select("sid", "oid").collect()))
+    assert got == sorted((a, b) for a, x, _ in rows for b, y, _ in rows if a < b and x - 0.02 <= y <= x + 0.02)
