@@ -271,3 +271,43 @@ def test_copies_are_scored_once_and_lose_no_pair(spark):
     assert pairs.where("rep = 0 and r_rep = 0").count() == 1
     got = sorted(map(tuple, bandjoin.expanded(pairs, members, "sid", "oid").select("sid", "oid").collect()))
     assert got == sorted((a, b) for a, x, _ in rows for b, y, _ in rows if a < b and x - 0.02 <= y <= x + 0.02)
+
+
+def test_adaptive_join_counts_each_target_once(spark):
+    rng = random.Random(4)
+    masses = [(i, 500 * (1 + rng.uniform(-700, 700) * 1e-6)) for i in range(30)]
+    queries = [(i, 500.0 + i % 3 * 0.02) for i in range(9)]
+    left, right = spark.createDataFrame(queries, "q long, t double"), spark.createDataFrame(masses, "i long, m double")
+    found = bandjoin.adaptive_join(left, right, "t", "m", [50, 200, 600], 3, "q")
+    inside = lambda t, p: {i for i, m in masses if t * (1 - p * 1e-6) <= m <= t * (1 + p * 1e-6)}
+    tier = lambda t: next((p for p in (50, 200) if len(inside(t, p)) >= 3), 600)
+    assert {(r.q, r.i, r.tier) for r in found.collect()} == {(q, i, float(tier(t))) for q, t in queries for i in inside(t, tier(t))}
+    # pairs aren't sorted by query: the only window is over the queries
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")
+
+
+def test_complementarity_over_blocks_equals_brute_force(spark, monkeypatch):
+    from ionloom.operators import evidence
+
+    monkeypatch.setattr(evidence, "SPECTRA", 4)
+    rng = random.Random(3)
+    sets = [(m, 100 * m + i, rng.sample(range(20), rng.randint(1, 8))) for m in range(3) for i in range(1 + 10 * m)]
+    got = {r.m: r for r in evidence.complementarity(spark.createDataFrame(sets, "m long, s long, b array<int>"), "m", "s", "b").collect()}
+    assert set(got) == {1, 2}
+    for m, r in got.items():
+        own = [set(b) for k, _, b in sets if k == m]
+        pairs = [len(a & b) / len(a | b) for i, a in enumerate(own) for b in own[:i]]
+        assert (r.spectra, r.pairs) == (len(own), len(pairs))
+        assert r.jaccard == pytest.approx(sum(pairs) / len(pairs))
+        assert r.complementarity == pytest.approx(len(set().union(*own)) / (sum(map(len, own)) / len(own)))
+
+
+def test_blocking_never_broadcasts_exploded_keys(spark):
+    from ionloom.operators import linkage
+
+    df = spark.createDataFrame([(1, "ann b"), (2, "ann c")], "i long, n string")
+    side = lambda c: df.select(F.col("i").alias(c), linkage.block_keys(F.col("n"), least=3).alias("keys"))
+    out = linkage.block(side("l"), side("r"), "keys", "l", "r", {"token": 5}, F.col("l") != F.col("r"))
+    assert sorted(map(tuple, out.collect())) == [(1, 2), (2, 1)]
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
