@@ -36,7 +36,8 @@ def block(left: DataFrame, right: DataFrame, keys: str, left_id: str, right_id:
         limit = F.when(F.col("_k.kind") == kind, n).otherwise(limit)
     posts = posts.where(F.col("_n") <= F.coalesce(limit, F.col("_n"))).drop("_n", keys)
     asked = left.select(*left.columns, F.explode(keys).alias("_k")).drop(keys)
-    pairs = asked.join(posts, "_k")
+    # exploded keys are many times what Spark takes their table to be, so they are never broadcast
+    pairs = asked.join(posts.hint("merge"), "_k")
     if residual is not None:
         pairs = pairs.where(residual)
     return pairs.select(left_id, right_id).distinct()
