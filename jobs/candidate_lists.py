@@ -66,13 +66,18 @@ def extract(queries: DataFrame, pool: DataFrame, config: dict) -> DataFrame:
 
 
 def ranked(queries: DataFrame, candidates: DataFrame, popular: DataFrame, config: dict) -> DataFrame:
-    """(sid, rank, key, score, src) of each query: its n best keys by closeness in mass and popularity, then the most frequent keys of the pool."""
+    """(sid, rank, key, score, src) of each query: its n best keys by closeness in mass and popularity, then the most frequent keys of the pool.
+
+    Queries of one precursor have one list, which is made once.
+    """
     w = _width(config)
-    met = bandjoin.bounds_join(queries, candidates.select("key", "mass"), F.col("precursor") - w, F.col("precursor") + w, "mass", 4 * config["least_width"])
+    known = candidates.select("key", "mass").join(popular, "key")
+    met = bandjoin.bounds_join(queries.select("precursor").distinct(), known, F.col("precursor") - w, F.col("precursor") + w, "mass", 4 * config["least_width"])
     error = (F.col("mass") / F.col("precursor") - 1) * 1e6 / config["sigma_ppm"]
-    near = met.groupBy("sid", "key").agg(F.max(F.exp(-0.5 * error * error)).alias("near"))
-    scored = near.join(popular, "key").withColumn("score", F.round(F.col("near") + config["popularity"] * F.log1p("count"), 6))
-    best = rank.top_k(scored, ["sid"], [F.desc("score"), F.asc("key")], config["n"])
+    near = met.groupBy("precursor", "key", "count").agg(F.max(F.exp(-0.5 * error * error)).alias("near"))
+    scored = near.withColumn("score", F.round(F.col("near") + config["popularity"] * F.log1p("count"), 6))
+    best = rank.top_k(scored, ["precursor"], [F.desc("score"), F.asc("key")], config["n"]).select("precursor", "key", "score", "rank")
+    best = queries.select("sid", "precursor").join(best, "precursor").drop("precursor")
     frequent = [r.key for r in popular.orderBy(F.desc("count"), "key").limit(config["n"]).collect()]  # n keys
     filler = queries.select("sid", F.posexplode(F.array(*map(F.lit, frequent)).cast("array<bigint>")).alias("rank", "key"))
     lists = fuse.backfill([best, filler], "sid", "key", config["n"])

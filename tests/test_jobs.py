@@ -114,3 +114,17 @@ def test_command_line(tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     assert "jobs.prepare_training took 200 rows in 1 batches" in done.stderr
     assert list((tmp_path / "out" / "rows").glob("split=train/batch=0/*.parquet"))
+
+
+def test_queries_of_one_precursor_share_pairs(spark):
+    queries = spark.createDataFrame([(i, 500.0, 0) for i in range(40)] + [(40, 600.0, 0)], "sid long, precursor double, pol int")
+    found = spark.createDataFrame([(7, 500.01), (8, 499.99), (9, 600.0)], "key long, mass double")
+    popular = spark.createDataFrame([(7, 3), (8, 1), (9, 1)], "key long, count long")
+    out = candidate_lists.ranked(queries, found, popular, candidate_lists.settings({"n": 2}))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.sid, []).append((r["rank"], r.key, r.src))
+    assert all(sorted(got[i]) == [(1, 7, 0), (2, 8, 0)] for i in range(40))
+    assert sorted(got[40]) == [(1, 9, 0), (2, 7, 1)]
+    # the band join is over precursors, of which there are two
+    assert "Aggregate [precursor" in out._jdf.queryExecution().optimizedPlan().toString()
