@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .catalog import _SQL_FP, _SQL_LISTS, _SQL_PEAKS, _SQL_POOL, _SQL_SPECTRA, _SQL_TANI, _arrays, _lists, _long, _peaks, _pool, _spectra, _t, _with_peaks, _words, query
+from .catalog import _SQL_FP, _SQL_LISTS, _SQL_PEAKS, _SQL_POOL, _SQL_SPECTRA, _SQL_TANI, _arrays, _lists, _long, _peaks, _pool, _spectra, _t, _with_peaks, query
 from .functions import chem
 from .operators import bandjoin, evidence, fuse, linkage, models, peaks, rank, similarity
 from .sources import tables
@@ -57,10 +57,8 @@ def evidence_scatter(spark, d):
  SELECT q, round(max(t * pow(s, 3)), 6) AS ts3, round(max(t * s), 6) AS ts, round(max(t), 6) AS t, round(max(t * pow(s, 6)), 6) AS ts6, round(sum(t * s) / sum(s), 6) AS t_mean FROM p GROUP BY q""")
 def analog_features(spark, d):
     """A4."""
-    e = _t(spark, d, "embeddings").select("vec_id", "label", _words("embedding").alias("fp"))
-    q = e.select(F.col("vec_id").alias("q"), "label", F.col("fp").alias("qfp"))
-    p = bandjoin.grid_join(q, e, ["label"], "q", "vec_id").where("q <> vec_id").select("q", F.lit(0).alias("mol"), similarity.tanimoto(F.col("qfp"), F.col("fp")).alias("tan"), (F.col("vec_id") % 97 / 97.0).alias("s"))
-    out = evidence.analog_features(p, "mol", "q", "tan", "s")
+    e = _t(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x > 0).alias("bits"), (F.col("vec_id") % 97 / 97.0).alias("s"))
+    out = evidence.analogs_by_blocks(e, "vec_id", "label", "bits", "s").withColumnRenamed("vec_id", "q")
     return out.select("q", *[F.round(c, 6).alias(c) for c in ("ts3", "ts", "t", "ts6", "t_mean")])
 
 

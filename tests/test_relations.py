@@ -311,3 +311,17 @@ def test_blocking_never_broadcasts_exploded_keys(spark):
     out = linkage.block(side("l"), side("r"), "keys", "l", "r", {"token": 5}, F.col("l") != F.col("r"))
     assert sorted(map(tuple, out.collect())) == [(1, 2), (2, 1)]
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_analogs_over_blocks_equal_pairs(spark, monkeypatch):
+    from ionloom.operators import evidence
+
+    monkeypatch.setattr(evidence, "ANALOGS", 5)
+    rng = random.Random(8)
+    rows = [(i, i % 3, [rng.random() < 0.5 for _ in range(16)], i % 7 / 7) for i in range(40)] + [(40, 9, [True] * 16, 0.5)]
+    got = {r.i: r for r in evidence.analogs_by_blocks(spark.createDataFrame(rows, "i long, g int, b array<boolean>, s double"), "i", "g", "b", "s").collect()}
+    assert set(got) == set(range(40))
+    for i, g, a, _ in rows[:40]:
+        near = [(sum(x & y for x, y in zip(a, b, strict=True)) / (sum(x | y for x, y in zip(a, b, strict=True)) + 1e-9), s) for j, h, b, s in rows if h == g and j != i]
+        want = [max(t * s**3 for t, s in near), max(t * s for t, s in near), max(t for t, _ in near), max(t * s**6 for t, s in near), sum(t * s for t, s in near) / sum(s for _, s in near)]
+        assert [got[i].ts3, got[i].ts, got[i].t, got[i].ts6, got[i].t_mean] == [pytest.approx(x) for x in want]
