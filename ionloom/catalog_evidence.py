@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .catalog import _SQL_FP, _SQL_LISTS, _SQL_PEAKS, _SQL_POOL, _SQL_SPECTRA, _SQL_TANI, _arrays, _lists, _long, _peaks, _pool, _spectra, _t, _with_peaks, query
+from .catalog import _SQL_FP, _SQL_LISTS, _SQL_PEAKS, _SQL_POOL, _SQL_SPECTRA, _SQL_TANI, _arrays, _lists, _long, _peaks, _pool, _spectra, _t, query
 from .functions import chem
 from .operators import bandjoin, evidence, fuse, linkage, models, peaks, rank, similarity
 from .sources import tables
@@ -172,9 +172,12 @@ def adduct_surrogates(spark, d):
 @query()
 def reference_tiers(spark, d):
     """Neighbours in mass by nearest-peak cosine, tiers, and the promoted lists."""
-    ids = _spectra(spark, d).select("sid", "precursor", "pol")
-    near = bandjoin.ppm_join(ids, ids.select(F.col("sid").alias("key"), F.col("precursor").alias("mass"), "pol"), "precursor", "mass", 6.0, ["pol"]).where("sid <> key").select("sid", "key")
-    pairs = _with_peaks(near, _arrays(spark, d), "sid", "key").withColumn("c", similarity.nearest_cosine(2.0)("peaks.mz", "peaks.it", "ref.mz", "ref.it"))
+    rows = _spectra(spark, d).where("precursor > 0").select("sid", "precursor", "pol").join(_arrays(spark, d), "sid")
+    classes, members = bandjoin.in_classes(rows, "sid", ["precursor", "pol", "peaks"])
+    # a class meets itself if it has another member
+    near = bandjoin.class_pairs(classes, "precursor", F.col("precursor") * (1 - 6.0 * 1e-6), F.col("precursor") * (1 + 6.0 * 1e-6), ["pol"]).where("rep <> r_rep or rep <> last")
+    scored = near.select("rep", "r_rep", similarity.nearest_cosine(2.0)("peaks.mz", "peaks.it", "r_peaks.mz", "r_peaks.it").alias("c"))
+    pairs = scored.join(members, "rep").join(members.select(F.col("rep").alias("r_rep"), F.col("sid").alias("key")), "r_rep").where("sid <> key")
     m = pairs.select("sid", "key", F.round("c.score", 9).alias("score"), "c.matches")
     tiers = evidence.reference_tiers(m, "sid", (0.5, 4), (0.3, 3))
     top = evidence.library_max(m, "sid", "score", F.col("key") % 2 == 0)
