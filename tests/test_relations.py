@@ -347,3 +347,44 @@ def test_equal_bands_meet_the_other_side_once(spark, tmp_path):
         assert got.count() == got.distinct().count() == want
         # rows of equal bands stand in a few lists that repeat: less than a byte for each pair
         assert sum(f.stat().st_size for f in (tmp_path / str(i)).glob("*.parquet")) < want
+
+
+def test_pairs_are_products_of_blocks(spark, monkeypatch):
+    from ionloom.operators import network, similarity
+
+    monkeypatch.setattr(network, "SIDE", 30)
+    monkeypatch.setattr(network, "STRIPE", 16)
+    rng = random.Random(3)
+    rows = [(k, k % 2, [rng.getrandbits(64) - (1 << 63)]) for k in range(200)] + [(200 + k, 0, [7]) for k in range(9)] + [(300, 0, [0]), (301, 0, None), (302, None, [7])]
+    df = spark.createDataFrame(rows, "id long, g int, fp array<long>")
+    tanimoto = lambda a, b: similarity.tanimoto(F.col(f"{a}.fp"), F.col(f"{b}.fp"))
+    want = sorted(map(tuple, network.edges(df, "id", "g", tanimoto, 0.45).collect()))
+    assert sorted(map(tuple, network.bit_edges(df, "id", "g", "fp", 0.45).collect())) == want and len(want) > 72
+    right = df.select(F.col("id").alias("key"), "g", "fp")
+    pairs = df.alias("a").join(right.alias("b"), F.col("a.g") == F.col("b.g")).select("a.id", "b.key", tanimoto("a", "b").alias("s")).where("s is not null")
+    best = {}
+    for r in pairs.collect():
+        best.setdefault(r.id, []).append((-round(r.s, 9), r.key))
+    got = {(r.id, r["rank"]): r.key for r in network.nearest_bits(df, right, "id", "key", "g", "fp", 5).collect()}
+    assert got == {(i, n + 1): k for i, x in best.items() for n, (_, k) in enumerate(sorted(x)[:5])}
+    # a few wide bins, SLICE of them at a time
+    monkeypatch.setattr(network, "SLICE", 7)
+    monkeypatch.setattr(network, "candidates", None)  # pairs of an index are no longer shuffled
+    sets = [(k, "ab"[k % 2], set(rng.sample(range(40), 12))) for k in range(150)]
+    v = spectra_of(spark, sets)
+    found = {(r.src, r.dst): r.common for r in network.binned_edges(v, "id", "g", "v", 0.0, 6).collect()}
+    assert found == {(k, m): len(x & y) for k, g, x in sets for m, h, y in sets if k != m and g == h and len(x & y) >= 6}
+
+
+def test_cosines_are_ordered_where_they_are_made(spark, monkeypatch):
+    from ionloom.operators import network
+
+    left = spark.range(70).select("id", (F.col("id") % 3).alias("g"), F.array(F.col("id") % 5 - 2.0, F.col("id") % 7 - 3.0).alias("a"))
+    right = spark.range(90).select(F.col("id").alias("key"), (F.col("id") % 3).alias("g"), F.array(F.col("id") % 4 - 1.0, F.col("id") % 6 - 2.0).alias("b"))
+    ordered = network.ordered_cosines(left, right, "id", "key", "g", "a", "b")
+    assert ordered._jdf.queryExecution().executedPlan().toString().count("Window") == 0
+    want = {}
+    for i, g, a in left.collect():
+        cos = [(-round(0.0 if not any(a) or not any(b) else (a[0] * b[0] + a[1] * b[1]) / ((a[0] ** 2 + a[1] ** 2) * (b[0] ** 2 + b[1] ** 2)) ** 0.5, 9), k) for k, h, b in right.collect() if g == h]
+        want |= {(i, n + 1): k for n, (_, k) in enumerate(sorted(cos))}
+    assert {(r.id, r["rank"]): r.key for r in ordered.collect()} == want
