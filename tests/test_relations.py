@@ -388,3 +388,16 @@ def test_cosines_are_ordered_where_they_are_made(spark, monkeypatch):
         cos = [(-round(0.0 if not any(a) or not any(b) else (a[0] * b[0] + a[1] * b[1]) / ((a[0] ** 2 + a[1] ** 2) * (b[0] ** 2 + b[1] ** 2)) ** 0.5, 9), k) for k, h, b in right.collect() if g == h]
         want |= {(i, n + 1): k for n, (_, k) in enumerate(sorted(cos))}
     assert {(r.id, r["rank"]): r.key for r in ordered.collect()} == want
+
+
+def test_partitions_grow_with_a_table(spark, monkeypatch):
+    from ionloom import catalog
+    from ionloom.sources import tables
+
+    monkeypatch.setattr(tables, "PART_ROWS", 100)
+    df = spark.range(1000).select((F.col("id") % 50).alias("g"), "id")
+    rows = tables.together(df, df, "g")
+    assert rows.rdd.getNumPartitions() == 10
+    assert rows.select("g", F.spark_partition_id().alias("p")).distinct().count() == 50
+    monkeypatch.setattr(tables, "PART_ROWS", 1000)
+    assert "REPARTITION_BY_NUM" in catalog.queries()["window_quota_peaks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
