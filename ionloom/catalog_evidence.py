@@ -16,9 +16,12 @@ from .sources import tables
 
 def _scores(spark, d):
     """(mol, spectrum, cand, score)."""
+    lines = _t(spark, d, "lineitem")
     o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("spectrum"), F.col("o_custkey").alias("mol"))
-    li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("spectrum"), F.col("l_suppkey").alias("cand"), F.col("l_discount").alias("score"))
-    return li.join(o, "spectrum").groupBy("mol", "spectrum", "cand").agg(F.max("score").alias("score"))
+    li = lines.select(F.col("l_orderkey").alias("spectrum"), F.col("l_suppkey").alias("cand"), F.col("l_discount").alias("score"))
+    rows = tables.together(li, lines, "spectrum").join(tables.together(o, lines, "spectrum"), "spectrum")
+    # a molecule's rows stay where they are for all that follows
+    return tables.together(rows, lines, "mol").groupBy("mol", "spectrum", "cand").agg(F.max("score").alias("score"))
 
 
 _SQL_SCORES = "sc AS (SELECT o_custkey AS mol, o_orderkey AS spectrum, l_suppkey AS cand, max(l_discount) AS score FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)"
@@ -31,8 +34,10 @@ _SQL_CE = "CASE WHEN ce BETWEEN 30 AND 45 THEN 1.25 WHEN ce BETWEEN 50 AND 70 TH
 def spectral_fusion(spark, d):
     """G1, G2, G6."""
     s = _scores(spark, d)
-    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("spectrum"), F.array(F.col("o_totalprice") / 5000).alias("ce"))
-    n = s.groupBy("mol", "spectrum").agg(F.count("*").alias("n")).join(o, "spectrum")
+    lines = _t(spark, d, "lineitem")
+    o = tables.together(_t(spark, d, "orders").select(F.col("o_orderkey").alias("spectrum"), F.array(F.col("o_totalprice") / 5000).alias("ce")), lines, "spectrum")
+    n = tables.together(s.groupBy("mol", "spectrum").agg(F.count("*").alias("n")), lines, "spectrum").join(o, "spectrum")
+    n = tables.together(n, lines, "mol")
     w = n.withColumn("w_uniform", 1 / F.count("*").over(Window.partitionBy("mol")))
     w = evidence.spectrum_weights(w, "mol", F.lit(1.0), "n", "w_root")
     w = evidence.spectrum_weights(w, "mol", peaks.ce_weight(F.col("ce")), "n", "w_energy")
