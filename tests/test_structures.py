@@ -1,6 +1,8 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ionloom.functions import isomers, isotopes
 from ionloom.functions.chem import hill_formula, read_smiles
 from ionloom.operators import peaks
@@ -42,6 +44,18 @@ def test_structure_udfs(spark):
     assert b.k is c.k is None and b.m is None and b.i == c.i == []
 
 
+def test_fragment_scores_at_the_tolerance(spark, tmp_path):
+    """Peaks that lie within 5 of a piece by less than a rounding of its mass to 5 decimals, or beyond it by less."""
+    db = duckdb.connect()
+    part, line = (str(tmp_path / f"{t}.parquet") for t in ("part", "lineitem"))
+    db.execute(f"COPY (SELECT k AS p_partkey, 'b' AS p_brand, 't' AS p_type, CAST(s AS INTEGER) AS p_size, 900.0 AS p_retailprice FROM (VALUES (1, 3), (9, 6), (17, 7), (25, 0), (8, 4), (5, 5)) AS x(k, s)) TO '{part}' (FORMAT parquet)")
+    db.execute(f"COPY (SELECT CAST(k AS BIGINT) AS l_partkey, CAST(p AS DOUBLE) AS l_extendedprice, CAST(q AS DOUBLE) AS l_quantity FROM (SELECT unnest([1, 9, 17, 25, 8, 5]) AS k), (VALUES (2202.6, 9), (4005.73, 7), (5005.73, 5), (6808.86, 4), (7808.86, 3), (10611.99, 8), (40000, 10)) AS x(p, q)) TO '{line}' (FORMAT parquet)")
+    for t, p in (("part", part), ("lineitem", line)):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p}'")
+    want = sorted(db.execute(entry.oracle_sql()["fragment_scores"]).fetchall())
+    assert len(want) == 6 and sorted(tuple(r) for r in entry.queries()["fragment_scores"](spark, str(tmp_path)).collect()) == want
+
+
 def test_isotope_evidence(spark):
     df = spark.createDataFrame([([100.0, 150.0, 200.0, 201.997, 250.0], [0.2, 0.15, 1.0, 0.32, 0.05], 250.0), ([100.0, 150.0, 200.0, 201.998, 250.0], [0.2, 0.15, 1.0, 0.98, 0.05], 250.0)], "mz array<double>, it array<double>, p double")
     df = df.withColumn("x", peaks.make(F.col("mz"), F.col("it")))
