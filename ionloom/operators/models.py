@@ -39,8 +39,15 @@ def fit_boosted(train: DataFrame, features: list[str], label: str, weight: str,
     return _fitted(train, features, label, [GBTClassifier(featuresCol="_x", labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=depth, seed=s, subsamplingRate=0.8) for s in seeds])
 
 
-def fit_logistic(train: DataFrame, features: list[str], label: str, ridge: float = 1e-3):
-    return _fitted(train, features, label, [LogisticRegression(featuresCol="_x", labelCol=label, regParam=ridge, maxIter=50)])[0]
+def equal_rows(df: DataFrame, columns: list[str], count: str) -> DataFrame:
+    """One row for all rows that are equal in `columns`, with their number as a weight: a sum over rows, as a log loss is, is then a sum over fewer rows."""
+    return df.groupBy(*columns).agg(F.count("*").cast("double").alias(count))
+
+
+def fit_logistic(train: DataFrame, features: list[str], label: str, ridge: float = 1e-3, weight: str | None = None):
+    """A logistic regression; rows count `weight` times if it is given."""
+    how = {} if weight is None else {"weightCol": weight}
+    return _fitted(train, features, label, [LogisticRegression(featuresCol="_x", labelCol=label, regParam=ridge, maxIter=50, **how)])[0]
 
 
 def predict(df: DataFrame, models: list, features: list[str], name: str = "p") -> DataFrame:

@@ -67,6 +67,14 @@ def test_models_learn(spark):
         models.fit_logistic(df, ["a", "c"], "y")
 
 
+def test_equal_rows_fit_as_all_rows(spark):
+    df = spark.range(3000).selectExpr("cast(id % 7 as double) a", "cast(id % 3 as double) b", "cast(id % 11 > 4 as double) y").where("a < 6 or b > 0")
+    few = models.equal_rows(df, ["a", "b", "y"], "n")
+    assert few.count() <= 42 and few.agg(F.sum("n")).first()[0] == df.count()
+    one, all_ = models.fit_logistic(few, ["a", "b"], "y", weight="n"), models.fit_logistic(df, ["a", "b"], "y")
+    assert one.coefficients.toArray() == pytest.approx(all_.coefficients.toArray(), abs=1e-4) and one.intercept == pytest.approx(all_.intercept, abs=1e-4)
+
+
 def test_cross_validated_choice(spark):
     df = spark.createDataFrame([(0, 0, 0.9), (0, 1, 0.1), (1, 0, 0.2), (1, 1, 0.3), (2, 0, 0.2), (2, 1, 0.8)], "fold int, w int, mrr double")
     got = {r.fold: r.w for r in models.cross_validated(df, "fold").collect()}
