@@ -317,6 +317,7 @@ def boosted_ranker(spark, d):
     """M4, M5: two seeds, fitted on two thirds of the parts; probabilities and the order of the lines of the other third."""
     rows, names = _training(spark, d), ["l_quantity", "l_discount", "l_tax"]
     out = models.predict(rows.where("g % 3 = 0"), models.fit_boosted(rows.where("g % 3 <> 0"), names, "y", "w", [1, 2], rounds=5, depth=3), names)
+    out = tables.together(out, _t(spark, d, "lineitem"), "g")
     return out.select("g", "l_orderkey", "l_linenumber", F.round("p", 6).alias("p"), F.row_number().over(Window.partitionBy("g").orderBy(F.desc("p"), "l_orderkey", "l_linenumber", "l_suppkey")).alias("rank"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import PART_ROWS
+
 
 def class_weights(unseen: Column, w: float, library: Column | None = None, hold: float = 0.85, boost: float = 10.0) -> Column:
     """w for rows of unseen structures, 1 - w for the others; a library match of at least `hold` adds `boost`."""
@@ -18,25 +20,39 @@ def class_weights(unseen: Column, w: float, library: Column | None = None, hold:
     return base if library is None else base + F.when(F.coalesce(library, F.lit(0.0)) >= hold, boost).otherwise(0.0)
 
 
-def _features(df: DataFrame, features: list[str]) -> DataFrame:
+def _known(df: DataFrame, features: list[str]) -> None:
     if missing := [c for c in features if c not in df.columns]:
         raise ValueError(f"missing features: {', '.join(missing)}")
+
+
+def _features(df: DataFrame, features: list[str]) -> DataFrame:
+    _known(df, features)
     # a missing value is 0, as evidence that isn't there
     return VectorAssembler(inputCols=features, outputCol="_x").transform(df.na.fill(0.0, features))
 
 
 def _fitted(train: DataFrame, features: list[str], label: str, estimators: list) -> list:
     """Models of one assembled table, which is kept while they are fitted."""
-    rows = _features(train, features).withColumn(label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    weights = {e.getWeightCol() for e in estimators if e.isSet("weightCol")}
+    rows = _features(train, features).select("_x", F.col(label).cast("double").alias(label), *weights).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return [e.fit(rows) for e in estimators]
     finally:
         rows.unpersist()
 
 
+def dealt(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of df in partitions whose number grows with its rows, so that what a task reads and keeps doesn't grow with the table or with its files. They are ordered
+    in each partition, so that a sample drawn by place is the same whatever order a shuffle brings them in."""
+    rows = df.select(*columns)
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(least, -(-df.count() // PART_ROWS))).sortWithinPartitions(*columns)
+
+
 def fit_boosted(train: DataFrame, features: list[str], label: str, weight: str, seeds: list[int], rounds: int = 20, depth: int = 4) -> list:
     """One boosted-tree model per seed."""
-    return _fitted(train, features, label, [GBTClassifier(featuresCol="_x", labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=depth, seed=s, subsamplingRate=0.8) for s in seeds])
+    _known(train, features)
+    return _fitted(dealt(train, [*features, label, weight]), features, label, [GBTClassifier(featuresCol="_x", labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=depth, seed=s, subsamplingRate=0.8) for s in seeds])
 
 
 def equal_rows(df: DataFrame, columns: list[str], count: str) -> DataFrame:

@@ -67,6 +67,16 @@ def test_models_learn(spark):
         models.fit_logistic(df, ["a", "c"], "y")
 
 
+def test_partitions_of_a_fit_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(models, "PART_ROWS", 50)
+    df = spark.range(0, 1000, 1, 2).selectExpr("id", "cast(id % 7 as double) a", "cast(id % 11 > 4 as double) y", "1.0D w")
+    rows = models.dealt(df, ["a", "y", "w"])
+    sizes = [len(x) for x in rows.rdd.glom().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 1000 and max(sizes) <= 60
+    at = [models.fit_boosted(x, ["a"], "y", "w", [1], rounds=2, depth=2)[0].toDebugString.split("\n")[1:] for x in (df, df)]
+    assert at[0] == at[1]
+
+
 def test_equal_rows_fit_as_all_rows(spark):
     df = spark.range(3000).selectExpr("cast(id % 7 as double) a", "cast(id % 3 as double) b", "cast(id % 11 > 4 as double) y").where("a < 6 or b > 0")
     few = models.equal_rows(df, ["a", "b", "y"], "n")
