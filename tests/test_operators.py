@@ -95,3 +95,15 @@ def test_correlation_of_constant_groups(spark):
     names = {n: "b" for n in ("ap", "a1", "best", "top", "mean", "top_sim")}
     features = rank.ranker_features(df.withColumn("bits", F.lit(4)), ["g"], "k", "a", "b", "bits", "b", names)
     assert {(r.g, r.k): round(r.lib_corr, 9) for r in features.collect()} == {("flat", 1): 0, ("flat", 2): 0, ("up", 1): 1, ("up", 2): 1, ("one", 1): 0}
+
+
+def test_pooled_rows_equal_pooled_arrays(spark):
+    """Dense, sparse and repeated peaks, keys that begin late, runs of exactly the tolerance over the bounds of cells, and cells that the cluster before covers."""
+    rng = random.Random(5)
+    rows = [(g, round(rng.uniform(1, top), d), float(rng.randint(1, 9))) for g, n, top, d in (("a", 3000, 100, 4), ("b", 40, 900, 4), ("c", 500, 60, 1), ("d", 1, 50, 4)) for _ in range(n)]
+    rows += [("e", 0.5 * i, 1.0 + i % 3) for i in range(200)] + [("f", 15.75, 2.0), ("f", 16.0, 1.0), ("f", 16.25, 3.0), ("f", 33.0, 1.0)] + [("g", 16.0 + x, 1.0) for x in (-0.25, 0.25, 0.5, 16.1)] + [("h", None, 1.0), ("h", 700.0, 4.0), ("i", 9.0, None), ("i", 9.1, 2.0)]
+    df = spark.createDataFrame(rows, "g string, mz double, it double")
+    arrays = df.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("mz", "it"))).alias("p")).select("g", F.explode(peaks.pool(F.col("p"), 0.5)).alias("c")).select("g", "c.mz", "c.it")
+    plain = lambda x: sorted(map(tuple, x.collect()), key=str)
+    found = plain(peaks.pooled(df, "g", 0.5, df))
+    assert found == plain(arrays) and len(found) > 300
