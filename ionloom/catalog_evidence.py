@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .catalog import _SQL_FP, _SQL_LISTS, _SQL_PEAKS, _SQL_POOL, _SQL_SPECTRA, _SQL_TANI, _arrays, _lists, _long, _peaks, _pool, _spectra, _t, query
 from .functions import chem
-from .operators import bandjoin, evidence, fuse, linkage, models, peaks, rank, similarity
+from .operators import bandjoin, evidence, fuse, linkage, models, pairblocks, peaks, rank, similarity
 from .sources import tables
 
 
@@ -177,17 +177,12 @@ def adduct_surrogates(spark, d):
 @query()
 def reference_tiers(spark, d):
     """Neighbours in mass by nearest-peak cosine, tiers, and the promoted lists."""
-    rows = _spectra(spark, d).where("precursor > 0").select("sid", "precursor", "pol").join(_arrays(spark, d), "sid")
-    classes, members = bandjoin.in_classes(rows, "sid", ["precursor", "pol", "peaks"])
-    # a class meets itself if it has another member
-    near = bandjoin.class_pairs(classes, "precursor", F.col("precursor") * (1 - 6.0 * 1e-6), F.col("precursor") * (1 + 6.0 * 1e-6), ["pol"]).where("rep <> r_rep or rep <> last")
-    scored = near.select("rep", "r_rep", similarity.nearest_cosine(2.0)("peaks.mz", "peaks.it", "r_peaks.mz", "r_peaks.it").alias("c"))
-    pairs = scored.join(members, "rep").join(members.select(F.col("rep").alias("r_rep"), F.col("sid").alias("key")), "r_rep").where("sid <> key")
-    m = pairs.select("sid", "key", F.round("c.score", 9).alias("score"), "c.matches")
-    tiers = evidence.reference_tiers(m, "sid", (0.5, 4), (0.3, 3))
-    top = evidence.library_max(m, "sid", "score", F.col("key") % 2 == 0)
-    lists = rank.top_k(m, ["sid"], [F.asc("key")], 10).select("sid", "key", "rank")
-    gate = tiers.join(top, "sid", "left").withColumn("protected", F.coalesce(F.col("library_max") >= 0.85, F.lit(False)))
+    rows, w = _spectra(spark, d).where("precursor > 0").select("sid", "precursor", "pol"), 6.0 * 1e-6
+    cells = pairblocks.near_blocks(rows, "sid", "precursor", F.col("precursor") * (1 - w), F.col("precursor") * (1 + w), ["pol"])
+    found = pairblocks.references(cells, _arrays(spark, d), "sid", 2.0, 3, 10, ["pol"])
+    tiers = evidence.reference_tiers(found.where("best is not null").select("sid", "best.*"), "sid", (0.5, 4), (0.3, 3))
+    lists = found.select("sid", F.posexplode("keys").alias("rank", "key")).select("sid", "key", (F.col("rank") + 1).alias("rank"))
+    gate = tiers.join(found.select("sid", F.col("top").alias("library_max")), "sid", "left").withColumn("protected", F.coalesce(F.col("library_max") >= 0.85, F.lit(False)))
     return fuse.promote(lists, gate, "sid", "key", "protected")
 
 

@@ -116,3 +116,8 @@ def test_pairs_are_not_shuffled(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     after = plan.split("FlatMapGroupsInArrow")[0]
     assert "FlatMapGroupsInArrow" in plan and "Join" not in after and "Aggregate" not in after and "Window" not in after
+
+
+def test_reference_pairs_stay_in_tasks(spark):
+    plan = entry.queries()["reference_tiers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "ArrowEvalPython" not in plan
